@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, langid, minhash, mixing
+from panelwright.llm import bpe, langid, minhash, mixing, multiindex, segments
 
 #: The vocabulary of op8, a parameter of its operator.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return mixing.replicate(docs)
@@ -37,12 +41,16 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_poisson_mixing, op7_minhash_dedup, op8_bpe_codec, op10_language_id)
+    f.__name__: f for f in (op4_segment_topk, op5_poisson_mixing, op7_minhash_dedup, op8_bpe_codec, op9_multi_index_dedup, op10_language_id)
 }
 
 
@@ -51,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": mixing.oracle()}
+    return {"op4_segment_topk": segments.oracle(), "op5_poisson_mixing": mixing.oracle(), "op9_multi_index_dedup": multiindex.oracle()}
