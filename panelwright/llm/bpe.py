@@ -18,8 +18,10 @@ are encoded each. Columns other than those named are passed over.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per Python worker.
-MEMO = 400_000
+MEMO = 250_000
+_NONE, _MASK = 1 << 60, (1 << 24) - 1
 _END = ""  # stands for the end-of-word suffix; byte-level words never hold it
 #: Characters whose split can be done here exactly: Latin letters, digits, punctuation, plain white space.
 _PLAIN = re.compile("[\t\n\r\x0b\x0c -~\xa0-įı-ɏ]*").fullmatch
@@ -76,12 +79,14 @@ class SpeculativeBpe:
         order = np.argsort(keys)
         self._size, self._keys, self._ranks = size, keys[order], ranks[order]
         self.vocab = vocab
+        self._packed = {pair: rank << 24 | to for pair, (rank, to) in self.merges.items()}
         # entries that BPE itself never makes from their own text are of no use as a proposal
         self.greedy = {t: i for t, i in vocab.items() if len(t) == 1 or (len(t) == 2 and t[1] == _END) or self.rank[i] >= 0 and self.merge(t) == [i]}
         longest: dict[str, int] = {}
         for t in self.greedy:
             longest[t[:2]] = max(longest.get(t[:2], 0), len(t))
         self._longest = longest
+        self._texts = [self.text_of.get(i, "") for i in range(size)]
         self._bytes = byte_symbols()
         self._forget()
 
@@ -96,23 +101,45 @@ class SpeculativeBpe:
         self.memo: dict[str, int] = {}
         self._offsets, self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _base(self, word: str) -> list[str]:
-        """A byte-level word's first pieces; the last one carries the end mark."""
-        return [*word[:-1], word[-1] + _END]
-
     def merge(self, word: str) -> list[int]:
         """Exact BPE: the adjacent pair of lowest rank is merged, leftmost first, until none is left."""
-        if not word.endswith(_END):
-            ids = [self.vocab[c] for c in word]
-        else:
-            ids = [self.vocab[c] for c in self._base(word[:-1])]
-        while len(ids) > 1:
-            best = min((m[0], i, m[1]) if (m := self.merges.get((ids[i], ids[i + 1]))) else (1 << 60, i, -1) for i in range(len(ids) - 1))
-            if best[2] < 0:
-                break
-            ids[best[1] : best[1] + 2] = [best[2]]
+        pieces = [*word[:-2], word[-2:]] if word.endswith(_END) else word
+        ids = [self.vocab[c] for c in pieces]
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        find = self._packed.get
+        ranks = [find(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            ids[i : i + 2] = [least & _MASK]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = find((ids[i - 1], ids[i]), _NONE)
+            if i < len(ranks):
+                ranks[i] = find((ids[i], ids[i + 1]), _NONE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and linked pieces, for words of any length."""
+        find = self._packed.get
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := find(p, _NONE)) < _NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= len(ids) or find((ids[i], ids[j]), _NONE) != r:
+                continue
+            ids[i], ids[j] = r & _MASK, -1
+            after[i] = after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+                if (r := find((ids[i], ids[after[i]]), _NONE)) < _NONE:
+                    heapq.heappush(heap, (r, i))
+            if before[i] >= 0 and (r := find((ids[before[i]], ids[i]), _NONE)) < _NONE:
+                heapq.heappush(heap, (r, before[i]))
+        return [i for i in ids if i >= 0]
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over the word with its end mark."""
         out, at, n, find, longest = [], 0, len(word), self.greedy.get, self._longest
@@ -151,16 +178,14 @@ class SpeculativeBpe:
         return good
 
     def _learn(self, words: list[str]) -> None:
-        """Encode byte-level chunks (lists of words joined by a blank) that are new."""
-        proposals, owner, parts = [], [], []
-        for k, chunk in enumerate(words):
-            for w in chunk.split(" ") if chunk else ():
-                marked = w + _END
-                parts.append(marked)
-                owner.append(k)
-                proposals.append(self.propose(marked))
+        """Encode new chunks, each a list of byte-level words joined by blanks."""
+        number: dict[str, int] = {}
+        used = [number.setdefault(w, len(number)) for chunk in words if chunk for w in chunk.split(" ")]
+        owned = np.fromiter((chunk.count(" ") + 1 if chunk else 0 for chunk in words), np.int64, len(words))
+        parts = [w + _END for w in number]
+        proposals = list(map(self.propose, parts))
         lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((i for p in proposals for i in p), np.int64, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
         ends = np.cumsum(lengths)
         inner = np.ones(len(flat), bool)
         inner[ends[lengths > 0] - 1] = False
@@ -170,10 +195,15 @@ class SpeculativeBpe:
             pairs, inv = np.unique(flat[at] * self._size + flat[at + 1], return_inverse=True)
             ok = self.compatible(pairs // self._size, pairs % self._size)[inv]
             wrong[np.searchsorted(ends, at[~ok], side="right")] = True
-        for k in np.flatnonzero(wrong):
+        for k in np.flatnonzero(wrong).tolist():
             proposals[k] = self.merge(parts[k])
-        counts = np.bincount(np.array(owner, np.int64), [len(p) for p in proposals], len(words)).astype(np.int64) if parts else np.zeros(len(words), np.int64)
-        self._add(counts, np.array([i for p in proposals for i in p], np.int32))
+        lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int32, int(lengths.sum()))
+        use = np.array(used, np.int64)
+        counts, starts = lengths[use], (np.cumsum(lengths) - lengths)[use]
+        ends = np.cumsum(counts)
+        spread = flat[np.arange(counts.sum()) + np.repeat(starts - ends + counts, counts)]
+        self._add(np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(owned)))]), spread)
 
     def _add(self, counts: np.ndarray, flat: np.ndarray) -> None:
         first = len(self._flat)
@@ -241,7 +271,7 @@ class SpeculativeBpe:
 
     def decode(self, ids) -> str:
         """The tokens' texts joined by blanks: the vocabulary file names no decoder."""
-        return " ".join([self.text_of[i] for i in ids if i in self.text_of])
+        return " ".join(map(self._texts.__getitem__, ids))
 
 
 _made: dict[str, SpeculativeBpe] = {}
@@ -255,30 +285,39 @@ def codec(path: str) -> SpeculativeBpe:
 
 
 #: Characters encoded at once.
-_TEXTS = 1 << 21
+_TEXTS = 1 << 20
+
+
+def _slices(texts: list, limit: int = _TEXTS):
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= limit):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``ids array<int>`` for ``docs.text``."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """``keep`` columns plus ``ids array<int>`` for ``docs.text``, and ``decoded string`` for the ids if asked for."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    names = [*keep, "ids", *(["decoded"] if decoded else [])]
 
     def run(batches):
         bpe = codec(path)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= _TEXTS):
-                    size += len(texts[end] or "")
-                    end += 1
+            for at, end in _slices(texts):
                 ids, bounds = bpe.encode(texts[at:end])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, end - at) for i in range(len(keep))], lists], names=[*keep, "ids"])
-                at = end
+                out = [batch.column(i).slice(at, end - at) for i in range(len(keep))]
+                out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                if decoded:
+                    out.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["ids array<int>"]))
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["ids array<int>"] + ["decoded string"] * decoded))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
