@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -101,6 +103,48 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     return labels
 
 
+# ---------------------------------------------------------------- files in a shared folder
+
+
+class Files:
+    """Reading ranges and writing files by URI: plain files directly, other stores through pyarrow."""
+
+    def __init__(self, uri: str):
+        m = re.match(r"(?:file:)(?://)?(/.*)", uri)
+        self.local = m is not None or uri.startswith("/")
+        self._root = (m[1] if m else uri) if self.local else uri
+        self._open: dict = {}
+        if not self.local:
+            from pyarrow import fs
+
+            self._fs, self._root = fs.FileSystem.from_uri(uri)
+
+    def create(self, name: str):
+        path = f"{self._root}/{name}"
+        return open(path, "wb") if self.local else self._fs.open_output_stream(path)
+
+    def read(self, name: str, offset: int, length: int) -> bytes:
+        if name not in self._open:
+            if len(self._open) >= 128:
+                self.close()
+            path = f"{self._root}/{name}"
+            self._open[name] = open(path, "rb", buffering=0) if self.local else self._fs.open_input_file(path)
+        f = self._open[name]
+        return os.pread(f.fileno(), length, offset) if self.local else f.read_at(length, offset)
+
+    def bytes(self, name: str) -> np.ndarray:
+        """A whole file: memory-mapped where it is a plain file, else read."""
+        if self.local:
+            return np.memmap(f"{self._root}/{name}", np.uint8, "r")
+        with self._fs.open_input_file(f"{self._root}/{name}") as f:
+            return np.frombuffer(f.read(), np.uint8)
+
+    def close(self) -> None:
+        for f in self._open.values():
+            f.close()
+        self._open = {}
+
+
 # ---------------------------------------------------------------- 64-bit hashes of words, vectorised
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

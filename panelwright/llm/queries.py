@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, langid, minhash, mixing, multiindex, segments
+from panelwright.llm import bpe, chat, html, langid, minhash, mixing, multiindex, ngram, segments, warc
 
 #: The vocabulary of op8, a parameter of its operator.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), with_payload=False)
+    return found.select(F.col("capture_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    control = f"{chat.END}{chat.START}assistant ok"
+    rows = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
+    extra = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(control).alias("text"))
+    return chat.digests(turns.union(extra))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -27,12 +45,16 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs)
 
 
+def op6_trie_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    both = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -50,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_segment_topk, op5_poisson_mixing, op7_minhash_dedup, op8_bpe_codec, op9_multi_index_dedup, op10_language_id)
+    f.__name__: f for f in (op1_warc_index, op2_chat_windows, op3_html_text, op4_segment_topk, op5_poisson_mixing, op6_trie_scoring, op7_minhash_dedup, op8_bpe_codec, op9_multi_index_dedup, op10_language_id)
 }
 
 
@@ -59,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_segment_topk": segments.oracle(), "op5_poisson_mixing": mixing.oracle(), "op9_multi_index_dedup": multiindex.oracle()}
+    return {"op1_warc_index": warc.oracle(), "op2_chat_windows": chat.oracle(), "op4_segment_topk": segments.oracle(), "op5_poisson_mixing": mixing.oracle(), "op9_multi_index_dedup": multiindex.oracle()}
