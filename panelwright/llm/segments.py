@@ -1,6 +1,6 @@
 """Exact top-k inner product search with multi-resolution segment statistics.
 
-Vectors are cut into 4 and then 16 segments. With a segment's mean and deviation (times the root of its
+Vectors are cut into 4, then 16, then 32 segments. With a segment's mean and deviation (times the root of its
 length) the Cauchy-Schwarz inequality gives for each segment
 
     (q - c)^2 >= len * ((mean_q - mean_c)^2 + (dev_q - dev_c)^2)
@@ -30,7 +30,7 @@ from panelwright.llm.vectors import frame, packed, runs, stacked
 
 K = 20
 SCALE = 64
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 SHARD, QUERIES = 16_384, 8_192
 LIMIT = 1 << 27
 _BATCH, _ROWS = 2048, 512
@@ -59,18 +59,33 @@ class TopK:
         self.least = np.full(len(ids), -np.inf)
         self.largest = float(np.abs(x).max(initial=0))
 
-    def _exact(self, q: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
-        whole = self.largest * float(np.abs(y).max(initial=0)) * y.shape[1] < 2.0**52
-        a, b = (self.x, y) if whole else (self.x.astype(np.int64), y.astype(np.int64))
+    def _exact(self, rows: slice, live: np.ndarray, y: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, candidate row, score) of the survivors that can be among a query's best.
+
+        Few survivors are gathered pair by pair; many are scored as one matrix product, which is exact as
+        long as all partial sums are integers below 2**53.
+        """
+        if small and live.mean() > 0.02:
+            scores = np.where(live, self.x[rows] @ y.T, -np.inf)
+            least = self.least[rows]
+            if scores.shape[1] > self.k:
+                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            q, c = np.nonzero(live & (scores >= least[:, None]))
+            return q + rows.start, c, scores[q, c].astype(np.int64)
+        q, c = np.nonzero(live)
+        a, b = (self.x[rows], y) if small else (self.x[rows].astype(np.int64), y.astype(np.int64))
         out = np.empty(len(q), np.int64)
         for at in range(0, len(q), 1 << 16):
             s = slice(at, at + (1 << 16))
             out[s] = np.einsum("ij,ij->i", a[q[s]], b[c[s]])
-        return out
+        return q + rows.start, c, out
 
     def offer(self, ids: np.ndarray, y: np.ndarray) -> None:
         features = [segment_features(y, n) for n in LEVELS]
-        found = []
+        small = self.largest * float(np.abs(y).max(initial=0)) * y.shape[1] < 2.0**52
+        # float sums of a bound err by far less than this part of the norms' product
+        slack = 1e-9 * (1 + np.sqrt((self.x**2).sum(1)) * np.sqrt((y**2).sum(1).max(initial=0)))
+        found, n = [], 0
         for at in range(0, len(self.ids), _ROWS):
             rows = slice(at, at + _ROWS)
             least = self.least[rows]
@@ -78,16 +93,16 @@ class TopK:
             if np.isfinite(least).any():
                 for own, theirs in zip(self.levels, features, strict=True):
                     bound = own[rows] @ theirs.T
-                    live &= bound + 1e-9 * (1 + np.abs(bound)) >= least[:, None]
+                    live &= bound >= (least - slack[rows])[:, None]
                     if not live.any():
                         break
-            q, c = np.nonzero(live)
+            q, c, score = self._exact(rows, live, y, small)
             if len(q):
-                q += at
-                found.append(np.stack((q, self._exact(q, c, y), ids[c]), axis=1))
-                if found[-1].shape[0] > 1 << 20:
+                found.append(np.stack((q, score, ids[c]), axis=1))
+                n += len(q)
+                if n > 1 << 20:
                     self._merge(found)
-                    found = []
+                    found, n = [], 0
         self._merge(found)
 
     def _merge(self, found: list[np.ndarray]) -> None:
