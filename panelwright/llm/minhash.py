@@ -2,11 +2,12 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased, split at 0x20 and 0x09-0x0D)
 as 64-bit hashes; with fewer words the whole sequence is one shingle; without words the set is empty and
-the document is linked with nothing. K minima of multiplied hashes give bands of ROWS minima each, whose
-hashes bring candidates together, and a signature of the lowest B bits of each minimum. For a candidate
-pair the number of equal signature fields m estimates the similarity, corrected for chance agreement, as
-(m / K - 2**-B) / (1 - 2**-B); pairs that could still reach the threshold are confirmed on the full sets.
-A pair at the threshold of 0.75 shares no band with probability 5e-6.
+the document is linked with nothing. K minima of multiplied hashes give a signature of B low bits of each
+minimum; the first BANDED of them give bands of ROWS minima each, whose hashes bring candidates together.
+For a candidate pair the number of equal signature fields m estimates the similarity, corrected for chance
+agreement, as (m / K - 2**-B) / (1 - 2**-B); pairs whose estimate is within SLACK standard deviations of
+the threshold or above are confirmed on the full sets. A pair at the threshold of 0.75 shares no band with
+probability 5e-6.
 
 Pairs within a group of copies are never all listed:
 
@@ -33,26 +34,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import Scratch, batch_word_hashes, components, join_measured, mix64
+from panelwright.llm.base import Scratch, batch_word_hashes, components, mix64
 
 WORDS, PERCENT = 5, 75
-K, ROWS, BITS = 128, 4, 2
+K, BANDED, ROWS, BITS = 1024, 128, 4, 2
 BLOCK, SLOT = 8192, 512
 #: Standard deviations of the number of equal fields that the estimate may fall short of the threshold.
 SLACK = 5.0
 _LONGS = K * BITS // 64
 _rng = np.random.default_rng(20240607)
-_MULTIPLY = _rng.integers(0, 1 << 64, K, np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 64, K, np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 32, K, np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, K, np.uint32)
 _PLACE = _rng.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
-_BAND = _rng.integers(0, 1 << 64, (K // ROWS, ROWS), np.uint64) | np.uint64(1)
+_BAND = _rng.integers(0, 1 << 64, (BANDED // ROWS, ROWS), np.uint64) | np.uint64(1)
 _EVEN = np.uint64(0x5555555555555555)
 
 
-def least_equal() -> int:
+#: Longs of a signature that are compared first where many pairs meet.
+_FIRST = 4
+
+
+def least_equal(fields: int = K) -> int:
     """Equal signature fields below which a pair is taken to be under the threshold."""
     p = 2.0**-BITS + (1 - 2.0**-BITS) * PERCENT / 100
-    return int(np.floor(K * p - SLACK * np.sqrt(K * p * (1 - p))))
+    return int(np.floor(fields * p - SLACK * np.sqrt(fields * p * (1 - p))))
 
 
 def shingle_sets(texts) -> Iterator[np.ndarray]:
@@ -71,24 +76,25 @@ def shingle_sets(texts) -> Iterator[np.ndarray]:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(K, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        x = s[None, at : at + 2048] * _MULTIPLY[:, None]
+    out = np.full(K, np.iinfo(np.uint32).max, np.uint32)
+    short = s.astype(np.uint32)
+    for at in range(0, len(s), 512):
+        x = short[None, at : at + 512] * _MULTIPLY[:, None]
         x += _ADD[:, None]
         np.minimum(out, x.min(axis=1), out=out)
     return out
 
 
 def pack(m: np.ndarray) -> np.ndarray:
-    """The lowest BITS bits of each minimum, packed into longs."""
-    low = (m & np.uint64((1 << BITS) - 1)).reshape(_LONGS, -1)
+    """BITS low bits of each minimum (from the fifth on: the lowest ones depend on few bits of the shingle), packed into longs."""
+    low = ((m >> np.uint32(4)) & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(_LONGS, -1)
     return (low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
 
 def equal_fields(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of equal 2-bit fields of packed signatures; the last axis holds the longs."""
     x = a ^ b
-    return K - np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN).sum(axis=-1, dtype=np.int64)
+    return 32 * x.shape[-1] - np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN).sum(axis=-1, dtype=np.int64)
 
 
 def _sketch(batches):
@@ -100,7 +106,8 @@ def _sketch(batches):
             rows["f2"].append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(1))).view(np.int64)) if len(s) else 0)
             m = minima(s)
             rows["sig"].append(pack(m).view(np.int64) if len(s) else None)
-            rows["bands"].append(mix64((m.reshape(-1, ROWS) * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64) if len(s) else None)
+            banded = m[:BANDED].astype(np.uint64).reshape(-1, ROWS) + np.uint64(1)
+            rows["bands"].append(mix64((mix64(banded) * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64) if len(s) else None)
         yield pd.DataFrame(rows)
 
 
@@ -141,11 +148,11 @@ def _confirm_sorted(batches):
 def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of saved ``pairs(u, v)`` those whose full sets reach the threshold."""
     sized = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
-    slotted = pairs.join(sized, "v").select("u", "v", F.pmod(F.hash("u"), "slots").alias("slot"))
+    slotted = scratch.save(pairs.join(sized, "v").select("u", "v", F.pmod(F.hash("u"), "slots").alias("slot")), "slotted")
     members = slotted.select(F.col("u").alias("doc_id"), F.col("v").alias("grp"), "slot", F.lit(True).alias("member"))
     leaders = slotted.select("v", "slot").distinct().select(F.col("v").alias("doc_id"), F.col("v").alias("grp"), "slot", F.lit(False).alias("member"))
-    need = scratch.save(members.union(leaders), "need")
-    texts = join_measured(docs.select("doc_id", F.col("text").cast("string").alias("text")), need, "doc_id", "inner", need.count())
+    need = members.union(leaders)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(need.hint("merge"), "doc_id")
     ready = texts.repartition("grp", "slot").sortWithinPartitions("grp", "slot", "member")
     kind = dict(need.dtypes)["doc_id"]
     return scratch.save(ready.mapInPandas(_confirm_sorted, f"u {kind}, v {kind}"), "links")
@@ -153,17 +160,26 @@ def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _bucket_pairs(batches):
     """Rows sorted by (key, i, j): candidates between different components of one bucket's pair of blocks."""
-    least, held, current = least_equal(), [], None
+    least, first, held, current = least_equal(), least_equal(32 * _FIRST), [], None
 
     def compare(rows: pd.DataFrame):
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         ids, comp, block = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy()
         sig = np.stack(rows["sig"].to_numpy()).view(np.uint64)
+        bands = np.stack(rows["bands"].to_numpy())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for at in range(0, len(left), 256):
             rows_l = left[at : at + 256]
-            hit = equal_fields(sig[rows_l][:, None, :], sig[right][None, :, :]) >= least
+            hit = equal_fields(sig[rows_l][:, None, :_FIRST], sig[right][None, :, :_FIRST]) >= first
             a, b = np.nonzero(hit & (comp[rows_l][:, None] != comp[right][None, :]))
+            if not len(a):
+                continue
+            parts = [slice(k, k + 65536) for k in range(0, len(a), 65536)]
+            near = np.concatenate([equal_fields(sig[rows_l[a[k]]], sig[right[b[k]]]) >= least for k in parts])
+            a, b = a[near], b[near]
+            shared = bands[rows_l[a]] == bands[right[b]]
+            first_shared = bands[rows_l[a], shared.argmax(axis=1)] == rows["key"].iloc[0] if len(a) else a > 0
+            a, b = a[first_shared], b[first_shared]  # of all buckets that a pair shares, the first one reports it
             u, v = ids[rows_l[a]], ids[right[b]]
             if len(u):
                 yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
@@ -189,7 +205,7 @@ def _cross(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.select("key", "doc_id", "comp", "blocks", F.pmod(F.hash("doc_id"), "blocks").alias("block"))
     rows = rows.select("key", "doc_id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "doc_id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(reps.select("doc_id", "sig"), "doc_id")
+    rows = rows.join(reps, "doc_id")
     kind = dict(rows.dtypes)["doc_id"]
     sorted_ = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_.mapInPandas(_bucket_pairs, f"u {kind}, v {kind}").distinct()
