@@ -254,7 +254,7 @@ def read_captures(keys: DataFrame, directory: DataFrame, index_folder: str, arch
     null = lambda t: F.lit(None).cast(t)
     blocks = directory.select(F.explode(F.sequence(part_of("first_key"), part_of("last_key"))).alias("part"), F.lit(0).alias("kind"), F.col("first_key").alias("key"), "first_key", "last_key", "shard", "offset", "length", "n")
     asked = keys.where("key is not null").select(part_of("key").alias("part"), F.lit(1).alias("kind"), "key", null("string").alias("first_key"), null("string").alias("last_key"), null("string").alias("shard"), null("long").alias("offset"), null("long").alias("length"), null("int").alias("n"))
-    dealt = blocks.union(asked).repartition("part").sortWithinPartitions("kind", "key")
+    dealt = blocks.union(asked).repartition(parts, "part").sortWithinPartitions("kind", "key")
     return dealt.mapInPandas(_lookup(index_folder, archive_folder, with_payload), "key string, capture_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
