@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: The folder of each application that has no shared one.
+_OWN: dict[str, str] = {}
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -27,8 +31,8 @@ class Scratch:
         conf = spark.sparkContext.getConf()
         root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="panelwright-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            app = spark.sparkContext.applicationId
+            root = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelwright-"))
         self.root = f"{root.rstrip('/')}/panelwright-{uuid.uuid4().hex}"
         self._delete_on_exit(self.root)
 
@@ -211,6 +215,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
+def portions(texts, characters: int = 1 << 20):
+    """(index of the first, texts) in runs of about so many characters, so that arrays over a run stay small."""
+    at, size, part = 0, 0, []
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= characters:
+            yield at, part
+            at, size, part = at + len(part), 0, []
+    if part:
+        yield at, part
+
+
 def batch_word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of many texts (None counts as empty): (hashes, bounds); text i owns bounds[i]:bounds[i+1]."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import Scratch, batch_word_hashes, components, mix64
+from panelwright.llm.base import Scratch, batch_word_hashes, components, mix64, portions
 
 WORDS, PERCENT = 5, 75
 K, BANDED, ROWS, BITS = 1024, 128, 4, 2
@@ -62,17 +62,21 @@ def least_equal(fields: int = K) -> int:
 
 def shingle_sets(texts) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    h, bounds = batch_word_hashes(texts)
-    n = len(h) - WORDS + 1
-    full = mix64(sum((h[k : k + n] * _PLACE[k] for k in range(WORDS)), np.zeros(max(n, 0), np.uint64))) if n > 0 else h[:0]
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= WORDS:
-            s = np.sort(full[a : b - WORDS + 1])
-            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
-        elif b > a:
-            yield mix64(np.array([(h[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64))
-        else:
-            yield h[:0]
+    for _, part in portions(texts):
+        h, bounds = batch_word_hashes(part)
+        n = max(len(h) - WORDS + 1, 0)
+        full = np.zeros(n, np.uint64)
+        for k in range(WORDS):
+            full += h[k : k + n] * _PLACE[k]
+        full = mix64(full)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= WORDS:
+                s = np.sort(full[a : b - WORDS + 1])
+                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+            elif b > a:
+                yield mix64(np.array([(h[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64))
+            else:
+                yield h[:0]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -238,3 +242,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def oracle(docs: str = "documents") -> str:
+    """DuckDB SQL of ``near_duplicates``: all pairs that share a shingle, and the closure of their links."""
+    return rf"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from {docs}),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' '))) end as s from words),
+sizes as (select doc_id, len(s)::bigint as n from sets),
+shingles as (select doc_id, unnest(s) as g from sets),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as i from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+pairs as (select u, v from common join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * i >= {PERCENT} * (x.n + y.n - i)),
+links as (select u, v from pairs union all select v, u from pairs),
+reach(id, low) as (select u, v from links union select r.id, l.v from reach r join links l on r.low = l.u),
+lows as (select id, min(low) as low from reach group by id)
+select doc_id, n as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id, doc_id <= coalesce(low, doc_id) as kept
+from sizes left join lows on id = doc_id
+"""

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import Files, Scratch, batch_word_hashes
+from panelwright.llm.base import Files, Scratch, batch_word_hashes, portions
 from panelwright.llm.eliasfano import EliasFano
 from panelwright.llm.vectors import runs
 
@@ -66,18 +66,6 @@ def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, bounds[1:], _END), bounds + np.arange(len(bounds))
 
 
-def _portions(texts):
-    at, size, part = 0, 0, []
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= TEXTS:
-            yield at, part
-            at, size, part = at + len(part), 0, []
-    if part:
-        yield at, part
-
-
 class Counter:
     """Counts of uint64 keys, as a sorted array."""
 
@@ -151,7 +139,7 @@ def _count_words(shards: int):
             return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
         for pdf in batches:
-            for _, texts in _portions(pdf["text"]):
+            for _, texts in portions(pdf["text"], TEXTS):
                 held.add(token_hashes(texts)[0])
                 if len(held.keys) > SEND:
                     yield send()
@@ -254,7 +242,7 @@ def _count_pairs(words):
             return pd.DataFrame(rows, columns=["shard", "contexts", "lengths", "after", "counts"])
 
         for pdf in batches:
-            for _, texts in _portions(pdf["text"]):
+            for _, texts in portions(pdf["text"], TEXTS):
                 h, bounds = token_hashes(texts)
                 ids, _ = w.look_up(h)
                 held.add(contexts(ids, bounds, w.n).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
@@ -403,7 +391,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     def run(batches):
         t: Trie = shared.value
         for pdf in batches:
-            for at, texts in _portions(pdf["text"]):
+            for at, texts in portions(pdf["text"], TEXTS):
                 h, bounds = token_hashes(texts)
                 ids, counts = t.words.look_up(h)
                 p, base = t.score(ids, counts, contexts(ids, bounds, t.words.n))

@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": warc.oracle(), "op2_chat_windows": chat.oracle(), "op4_segment_topk": segments.oracle(), "op5_poisson_mixing": mixing.oracle(), "op9_multi_index_dedup": multiindex.oracle()}
+    return {"op1_warc_index": warc.oracle(), "op2_chat_windows": chat.oracle(), "op4_segment_topk": segments.oracle(), "op5_poisson_mixing": mixing.oracle(), "op7_minhash_dedup": minhash.oracle(), "op9_multi_index_dedup": multiindex.oracle()}

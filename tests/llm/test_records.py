@@ -16,7 +16,7 @@ from panelwright.llm.base import Scratch
 from tests.llm.test_dedup import brute
 
 
-@pytest.mark.parametrize("name", ["op1_warc_index", "op2_chat_windows", "op4_segment_topk", "op9_multi_index_dedup"])
+@pytest.mark.parametrize("name", ["op1_warc_index", "op2_chat_windows", "op4_segment_topk", "op7_minhash_dedup", "op9_multi_index_dedup"])
 def test_queries_match_sql(spark, sf, duck, rows_of, name):
     assert rows_of(queries.queries()[name](spark, sf)) == rows_of(duck.sql(queries.oracle_sql()[name]).df())
 
