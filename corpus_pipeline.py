@@ -13,13 +13,15 @@ from panelwright.llm import bpe, langid, minhash, mixing
 from panelwright.llm.base import Scratch, join_measured
 from panelwright.llm.queries import VOCABULARY
 
+#: A document whose profile agrees less than this with every language's is in none of them; clean texts of few words score twice as much.
+MIN_SCORE = 0.2
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be recognised (operator 10 answers ``und``)."""
+    """Drops documents in which no language can be recognised: operator 10 answers ``und``, or no profile comes near."""
     profiles = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs.select(*COLUMNS), profiles, keep=COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    return langid.predict(docs.select(*COLUMNS), profiles, keep=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,8 +205,9 @@ def test_bounds_hold():
 def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
     docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
     frame = spark.read.parquet(f"{sf}/documents.parquet")
-    pred = {r.doc_id: r.lang_pred for r in langid.identify(frame).collect()}
-    left = [d for d in docs if pred[d["doc_id"]] != "und"]
+    pred = {r.doc_id: r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_SCORE for r in langid.identify(frame).collect()}
+    left = [d for d in docs if pred[d["doc_id"]]]
+    assert len(left) == len(docs)  # clean documents stay
     comp = brute([(d["doc_id"], d["text"]) for d in left])
     left = [d for d in left if comp[d["doc_id"]][1] == d["doc_id"]]
     kept = spark.createDataFrame(left, frame.schema)
@@ -217,7 +218,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
 
 
 def test_pipeline_stages_keep_columns_and_take_edge_cases(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12", "en", "a", 2), (4, "the cat sat on the mat", "en", "a", 22), (5, "The cat sat on the mat", None, None, 22), (None, "the dog", "en", "a", 7)]
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12", "en", "a", 2), (4, "the cat sat on the mat", "en", "a", 22), (5, "The cat sat on the mat", None, None, 22), (None, "the dog", "en", "a", 7), (7, "日本語の文章です", None, "a", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("label", F.lit(1))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = Scratch(spark).save(stage(spark, docs, ""), name)
