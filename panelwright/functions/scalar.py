@@ -18,9 +18,14 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def bounded(x: Column, lo: float, hi: float) -> Column:
+    """``clip`` of a value that is never NULL; x is written, and so evaluated, once."""
+    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+
+
 def zero_if_odd(x: Column) -> Column:
-    """NULL, NaN and infinities as 0."""
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
+    """NULL, NaN and infinities as 0. (NaN is not below infinity here, and a comparison with NULL is not true.)"""
+    return F.coalesce(F.when(F.abs(x) < F.lit(float("inf")), x), F.lit(0.0))
 
 
 def or_else(x: Column, other) -> Column:
@@ -29,7 +34,7 @@ def or_else(x: Column, other) -> Column:
 
 def floor_eps(x: Column, zero_as: float = EPSILON) -> Column:
     """A divisor: 0 replaced, then at least epsilon; NULL stays NULL."""
-    return clip(F.when(x == 0, F.lit(float(zero_as))).otherwise(x), lo=EPSILON)
+    return clip(x if zero_as == EPSILON else F.when(x == 0, F.lit(float(zero_as))).otherwise(x), lo=EPSILON)
 
 
 def missing_as_null(x: Column) -> Column:

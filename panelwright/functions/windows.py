@@ -28,10 +28,6 @@ class Frame:
     def so_far(self):
         return self.ordered.rowsBetween(Window.unboundedPreceding, 0)
 
-    @property
-    def from_here(self):
-        return self.ordered.rowsBetween(0, Window.unboundedFollowing)
-
     @property
     def whole(self):
         """The whole partition, with the order kept so that no second sort is planned."""
@@ -69,8 +65,12 @@ class Frame:
         return F.last(x, ignorenulls=True).over(self.so_far)
 
     def filled(self, x: str) -> Column:
-        """Forward fill, then backward fill."""
-        return F.coalesce(self.carried(F.col(x)), F.first(x, ignorenulls=True).over(self.from_here))
+        """Forward fill, then backward fill.
+
+        After the forward fill only leading rows are null, and what follows them first is the first value
+        of the partition; a frame from each row to the end would be read anew for every row.
+        """
+        return F.coalesce(self.carried(F.col(x)), F.first(x, ignorenulls=True).over(self.whole))
 
     @property
     def row(self) -> Column:

@@ -31,8 +31,10 @@ def aligned(ranged: DataFrame, align: str = "union") -> DataFrame:
         dates = F.col("dates")
     else:
         raise ValueError(f"align must be 'union' or 'own', not {align!r}")
-    spread = bars.select("as_of", "ticker", "by_date", F.explode(dates).alias("bar_date"))
-    return spread.select("as_of", "ticker", "bar_date", F.try_element_at("by_date", "bar_date").alias("b")).select("as_of", "ticker", "bar_date", *[f"b.{f}" for f in FIELDS])
+    # the bars are looked up before the rows are spread, so that no row carries its ticker's whole map
+    days = F.transform(dates, lambda d: F.struct(d.alias("bar_date"), F.try_element_at("by_date", d).alias("b")))
+    spread = bars.select("as_of", "ticker", F.explode(days).alias("d"))
+    return spread.select("as_of", "ticker", "d.bar_date", *[F.col(f"d.b.{f}").alias(f) for f in FIELDS])
 
 
 def filled(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:

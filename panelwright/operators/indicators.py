@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import clip, floor_eps, or_else, true, zero_if_odd
+from panelwright.functions.scalar import bounded, clip, floor_eps, or_else, true, zero_if_odd
 from panelwright.functions.windows import Frame
 from panelwright.params import ADAPTIVE, BAND, EPSILON, IMPACT_LAG, MICRO, PIVOT, SMOOTH, SURGE
 
@@ -49,8 +49,8 @@ def body_conviction(rows: DataFrame) -> DataFrame:
 
 def volume_surge(rows: DataFrame) -> DataFrame:
     sd = floor_eps(or_else(F.col("v_sd"), F.col("v_sd_all")))
-    rows = rows.withColumn("volume_z", clip(zero_if_odd((F.col("volume") - F.col("volume_mean")) / sd), -5, 5))
-    rows = rows.withColumn("vol_surge", or_else(clip(F.col("volume_z") * 20 + 50, 0, 100), 50))
+    rows = rows.withColumn("volume_z", bounded(zero_if_odd((F.col("volume") - F.col("volume_mean")) / sd), -5, 5))
+    rows = rows.withColumn("vol_surge", bounded(F.col("volume_z") * 20 + 50, 0, 100))
     return rows.withColumn("volume_direction", F.when(F.col("close") > F.col("open"), F.col("vol_surge")).otherwise(-F.col("vol_surge")))
 
 
@@ -65,7 +65,7 @@ def flows(rows: DataFrame) -> DataFrame:
         "impact_flow": (F.col("close") - F.col("old_close")) * F.col("volume") / F.col("volume_mean"),
         "up_flow": F.when(up, F.col("money_flow")).otherwise(0.0),
         "down_flow": F.when(down, F.col("money_flow")).otherwise(0.0),
-        "velocity": clip(zero_if_odd(speed), -1000, 1000),
+        "velocity": bounded(zero_if_odd(speed), -1000, 1000),
     })
 
 
@@ -80,7 +80,7 @@ def liquidity_and_flow(rows: DataFrame, w: Frame = FRAME) -> DataFrame:
     })
     rows = rows.withColumn("liquidity", zero_if_odd(F.col("vwap_spread") - F.col("price_impact")))
     balance = (F.col("positive_flow") - F.col("negative_flow")) / (F.col("positive_flow") + F.col("negative_flow") + EPSILON)
-    rows = rows.withColumn("accumulation", clip(zero_if_odd(balance), -1, 1))
+    rows = rows.withColumn("accumulation", bounded(zero_if_odd(balance), -1, 1))
     rows = rows.withColumn("volume_score", zero_if_odd(F.col("volume_direction") / 100 * 0.5 + F.col("accumulation") * 0.5))
     return rows.withColumns({"gain": F.greatest("velocity_diff", F.lit(0.0)), "loss": F.greatest(-F.col("velocity_diff"), F.lit(0.0))}).withColumns({
         "gain": F.when(F.col("velocity_diff").isNotNull(), F.col("gain")),
@@ -97,8 +97,8 @@ def normalised(rows: DataFrame, w: Frame = FRAME, adjust: bool = True) -> DataFr
     })
     sd = floor_eps(or_else(F.col("l_sd"), 1), zero_as=1.0)
     return rows.withColumns({
-        "normalized_liq": clip(zero_if_odd((F.col("liquidity") - or_else(F.col("l_sma"), 0)) / sd), -10, 10),
-        "momentum_rsi": clip(or_else(F.col("rsi"), 50), 0, 100),
+        "normalized_liq": bounded(zero_if_odd((F.col("liquidity") - or_else(F.col("l_sma"), 0)) / sd), -10, 10),
+        "momentum_rsi": bounded(or_else(F.col("rsi"), 50), 0, 100),
     })
 
 
@@ -110,15 +110,15 @@ def bands(rows: DataFrame) -> DataFrame:
 
 def oscillator(rows: DataFrame) -> DataFrame:
     raw = F.col("normalized_liq") * 0.30 + F.col("volume_score") * 0.25 + F.col("direction_conviction") / 100 * 0.25 + (F.col("momentum_rsi") - 50) / 50 * 0.20
-    rows = rows.withColumn("raw_score", clip(zero_if_odd(raw), -5, 5))
-    return rows.withColumn("ilfo_value", clip(zero_if_odd(F.col("raw_score") * 8), -10, 10))
+    rows = rows.withColumn("raw_score", bounded(zero_if_odd(raw), -5, 5))
+    return rows.withColumn("ilfo_value", bounded(zero_if_odd(F.col("raw_score") * 8), -10, 10))
 
 
 def momentum_and_pivots(rows: DataFrame, w: Frame = FRAME) -> DataFrame:
     """Oscillator momentum and signal line; pivots, which are extremes of the 21 rows around them."""
     rows = rows.withColumns({
         "osc_momentum": or_else(clip(w.diff("ilfo_value", 2), -15, 15), 0),
-        "signal_line": clip(or_else(w.sma("ilfo_value", SMOOTH), 0), -10, 10),
+        "signal_line": bounded(or_else(w.sma("ilfo_value", SMOOTH), 0), -10, 10),
         "low_around": w.centred(F.min, "low", PIVOT),
         "high_around": w.centred(F.max, "high", PIVOT),
     })

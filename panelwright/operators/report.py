@@ -27,9 +27,13 @@ def results(signals: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame, tie: str = "seq") -> DataFrame:
-    """Actionable rows by confidence, the others after them in universe order."""
+    """Actionable rows by confidence, the others after them in universe order.
+
+    A range sort reads its input twice, to sample and to sort; the rows, one per ticker, are dealt out once
+    before it, so that what they were computed from isn't computed again.
+    """
     act = is_actionable()
-    return rows.orderBy(act.desc(), F.when(act, F.col("confidence")).desc_nulls_last(), tie)
+    return rows.repartition("ticker").orderBy(act.desc(), F.when(act, F.col("confidence")).desc_nulls_last(), tie)
 
 
 def positions(rows: DataFrame, tie: str = "seq", *keys: str) -> DataFrame:
