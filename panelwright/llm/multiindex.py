@@ -10,11 +10,12 @@ cosine in double precision.
 The bound of a half: a point of cell b is at least as near to b's centroid as to the vector's own
 centroid a, so it lies beyond the plane between them.
 
-Equal vectors of one label are one representative that counts as often as it occurs. A pair in two cells
-is met in the later cell of the two only. A cell's residents are cut into blocks of BLOCK; visitors and
-residents of later blocks stream past a block, so a cell of any size needs bounded memory. A task keeps
-of the links it finds their number per vector and, for connectivity, each vector's link to its first
-partner of the block and those between the first and the others, each once.
+Equal vectors of one label are one representative that counts as often as it occurs. Cells of a label are
+packed, in order, into blocks of about BLOCK residents, and a larger cell is cut into several, so a
+vector travels to the few blocks that hold its cells instead of to each cell. A pair is verified in the
+block of the one that comes later by (cell, id), and there once. A task holds a block and streams what
+visits it. It keeps of the links it finds their number per vector and, for connectivity, each vector's
+link to its first partner of the block and those between the first and the others, each once.
 
 The codebooks are fitted on a sample of at most SAMPLE rows (those with the smallest hashes); every row
 is indexed and is a query.
@@ -29,7 +30,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.base import Scratch, components, join_measured
@@ -97,7 +98,7 @@ def multi_sequence(b1: np.ndarray, b2: np.ndarray, limit: float):
 
 
 def _place(rows: DataFrame, books, limit: float) -> DataFrame:
-    """Adds each row's own cell and the later cells it visits."""
+    """Adds each row's own cell and the cells it visits from there on."""
     shared = rows.sparkSession.sparkContext.broadcast(books)
     cols = ["rep", "label", "dim", "n", "vec"]
 
@@ -106,7 +107,7 @@ def _place(rows: DataFrame, books, limit: float) -> DataFrame:
             for dim, part in pdf.groupby("dim", sort=False):
                 out = part[cols].copy()
                 if (book := shared.value.get(int(dim))) is None:
-                    out["cell"], out["visits"] = 0, [[]] * len(out)
+                    out["cell"], out["visits"] = 0, [[0]] * len(out)
                     yield out
                     continue
                 x = _units(list(part["vec"]))
@@ -115,7 +116,7 @@ def _place(rows: DataFrame, books, limit: float) -> DataFrame:
                 cell = o1 * width + o2
                 # the traversal of all rows at once: its visited cells are those within the limit
                 met = (b1[:, :, None] + b2[:, None, :] <= limit).reshape(len(x), -1)
-                met &= np.arange(met.shape[1])[None, :] > cell[:, None]
+                met &= np.arange(met.shape[1])[None, :] >= cell[:, None]
                 out["cell"], out["visits"] = cell, [np.flatnonzero(m) for m in met]
                 yield out
 
@@ -123,46 +124,83 @@ def _place(rows: DataFrame, books, limit: float) -> DataFrame:
     return rows.select(*cols).mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in cols] + ["cell int, visits array<int>"]))
 
 
-def _meet(cosine: float):
-    keys = ["label", "dim", "cell", "block"]
+class _Block:
+    """The residents of a block; compares them with what comes along."""
+
+    def __init__(self, cosine: float):
+        self.cosine, self._parts, self._told = cosine, [], np.zeros(0, np.int64)
+        self.ids = None
+
+    def add(self, part) -> None:
+        self._parts.append(part)
+
+    def settle(self):
+        """All residents have come: their links with each other."""
+        if self.ids is None:
+            self.ids, self.n, self.cells, self.units = (np.concatenate(x) for x in zip(*map(_columns, self._parts), strict=True)) if self._parts else (np.zeros(0, np.int64),) * 3 + (None,)
+            for part in self._parts:
+                yield from self.meet(part)
+            self._parts = []
+
+    def meet(self, part):
+        if self.units is None:
+            return
+        all_ids, all_n, all_cells, all_units = _columns(part)
+        for a in range(0, len(all_ids), _BATCH):
+            s = slice(a, a + _BATCH)
+            x_ids, x_n, x_cells = all_ids[s], all_n[s], all_cells[s]
+            hit = all_units[s] @ self.units.T >= self.cosine
+            later = x_cells[:, None] < self.cells[None, :]
+            hit &= later | (x_cells[:, None] == self.cells[None, :]) & (x_ids[:, None] < self.ids[None, :])
+            xi, yi = np.nonzero(hit)
+            if not len(xi):
+                continue
+            own = np.bincount(xi, self.n[yi], len(x_ids)).astype(np.int64)
+            their = np.bincount(yi, x_n[xi], len(self.ids)).astype(np.int64)
+            linked, theirs = np.flatnonzero(own), np.flatnonzero(their)
+            yield frame({"u": np.concatenate((x_ids[linked], self.ids[theirs])), "v": -1, "links": np.concatenate((own[linked], their[theirs]))})
+            starts = np.flatnonzero(np.diff(xi, prepend=-1))
+            first_of = yi[np.repeat(starts, np.diff(starts, append=len(xi)))]
+            codes = np.setdiff1d(np.unique(first_of * _WIDE + yi), self._told, assume_unique=True)
+            self._told = np.union1d(self._told, codes)
+            m, y = codes // _WIDE, codes % _WIDE
+            pick = m != y
+            yield frame({"u": np.concatenate((x_ids[xi[starts]], self.ids[y[pick]])), "v": np.concatenate((self.ids[yi[starts]], self.ids[m[pick]])), "links": 0})
+
 
+def _columns(part):
+    return part["rep"].to_numpy(), part["n"].to_numpy(), part["cell"].to_numpy(), _units(list(part["vec"]))
+
+
+def _meet(cosine: float):
     def run(batches):
-        current, ids, counts, units, told = None, None, None, None, None
-        for key, part in runs(batches, keys):
-            resident = part["visitor"].to_numpy() == 0
+        current, block = None, None
+        for key, part in runs(batches, ["label", "dim", "block"]):  # residents come before visitors
             if key != current:
-                current, told = key, np.zeros(0, np.int64)
-                ids, counts, units = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-            x_ids, x_n, x = part["rep"].to_numpy(), part["n"].to_numpy(), _units(list(part["vec"]))
-            if resident.any():
-                first = len(ids)
-                ids, counts = np.concatenate((ids, x_ids[resident])), np.concatenate((counts, x_n[resident]))
-                units = x[resident] if units is None else np.concatenate((units, x[resident]))
-            if units is None:
-                continue
-            at_resident = np.where(resident, np.cumsum(resident) - 1 + (first if resident.any() else 0), len(ids))
-            for a in range(0, len(x), _BATCH):
-                s = slice(a, a + _BATCH)
-                hit = x[s] @ units.T >= cosine
-                hit &= np.arange(len(ids))[None, :] < at_resident[s][:, None]  # residents with those before them
-                xi, yi = np.nonzero(hit)
-                if not len(xi):
-                    continue
-                own_links = np.bincount(xi, counts[yi], len(x[s])).astype(np.int64)
-                their = np.bincount(yi, x_n[s][xi], len(ids)).astype(np.int64)
-                linked, theirs = np.flatnonzero(own_links), np.flatnonzero(their)
-                yield frame({"u": np.concatenate((x_ids[s][linked], ids[theirs])), "v": -1, "links": np.concatenate((own_links[linked], their[theirs]))})
-                starts = np.flatnonzero(np.diff(xi, prepend=-1))
-                first_of = yi[np.repeat(starts, np.diff(starts, append=len(xi)))]
-                codes = np.setdiff1d(np.unique(first_of * _WIDE + yi), told, assume_unique=True)
-                told = np.union1d(told, codes)
-                m, y = codes // _WIDE, codes % _WIDE
-                pick = m != y
-                yield frame({"u": np.concatenate((x_ids[s][xi[starts]], ids[y[pick]])), "v": np.concatenate((ids[yi[starts]], ids[m[pick]])), "links": 0})
+                if block is not None:
+                    yield from block.settle()
+                current, block = key, _Block(cosine)
+            visits = part["visitor"].to_numpy()
+            if not visits.all():
+                block.add(part[~visits])
+            if visits.any():
+                yield from block.settle()
+                yield from block.meet(part[visits])
+        if block is not None:
+            yield from block.settle()
 
     return run
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """(label, dim, ranges): the first and last block of each cell; at most CENTROIDS squared cells a label and length."""
+    sizes = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("label", "dim").orderBy("cell")
+    upto = F.sum("size").over(order)
+    bounds = sizes.select("label", "dim", "cell", F.floor((upto - F.col("size")) / BLOCK).cast("int").alias("first"), F.floor((upto - 1) / BLOCK).cast("int").alias("last"))
+    return bounds.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("first", "last")))).alias("ranges"))
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k: int = CENTROIDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``rows(vec_id, embedding, label)``."""
     scratch = Scratch(rows.sparkSession)
@@ -175,16 +213,17 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k
     chosen = vectors.join(firsts.withColumnRenamed("rep", "vec_id"), [*same, "vec_id"]).dropDuplicates(same)
     placed = _place(chosen.withColumnRenamed("vec_id", "rep"), fit(vectors, k), (2 - 2 * cosine) * recall**2 + 1e-9)
     placed = scratch.save(placed, "placed")
-    cells = scratch.save(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
-    n_cells = cells.count()
-    base = ["rep", "label", "dim", "n", "vec"]
-    visits = join_measured(placed.select(*base, F.explode("visits").alias("cell")), cells, ["label", "dim", "cell"], "inner", n_cells)
-    visits = visits.select(*base, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visitor"))
-    homes = join_measured(placed.select(*base, "cell"), cells, ["label", "dim", "cell"], "inner", n_cells).withColumn("home", F.pmod(F.hash("rep"), "blocks"))
-    residents = homes.select(*base, "cell", F.explode(F.sequence(F.lit(0), F.col("home"))).alias("block"), "home")
-    residents = residents.select(*base, "cell", "block", (F.col("home") > F.col("block")).cast("int").alias("visitor"))
-    keys = ["label", "dim", "cell", "block"]
-    meeting = residents.union(visits).repartition(*keys).sortWithinPartitions(*keys, "visitor")
+    ranges = scratch.save(_blocks(placed), "blocks")
+    rows = join_measured(placed, ranges, ["label", "dim"], "inner", ranges.count() * CENTROIDS)
+    own = F.try_element_at("ranges", "cell")
+    rows = rows.withColumn("home", own["first"] + F.pmod(F.hash("rep"), own["last"] - own["first"] + 1))
+    spans = F.transform("visits", lambda c: F.try_element_at("ranges", c))
+    to = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda r: r.isNotNull()), lambda r: F.sequence(r["first"], r["last"]))))
+    trips = F.transform(to, lambda b: F.struct(b.alias("block"), (b != F.col("home")).alias("visitor")))
+    base = ["rep", "label", "dim", "n", "vec", "cell"]
+    meeting = rows.select(*base, F.explode(trips).alias("t")).select(*base, "t.block", "t.visitor")
+    keys = ["label", "dim", "block"]
+    meeting = meeting.repartition(*keys).sortWithinPartitions(*keys, "visitor")
     found = scratch.save(meeting.mapInPandas(_meet(cosine), "u long, v long, links long"), "found")
     links = found.where("links > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     comps = components(scratch, found.where("links = 0").select("u", "v"), "vectors").select(F.col("node").alias("rep"), "label")
