@@ -46,6 +46,7 @@ def rates(docs: DataFrame, targets: dict | None = None, temperature: float = TEM
             weight = F.when(F.col("source_key").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(weight)
         weighted = counts.withColumn("w", weight)
     total = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    # the totals are one row, which every source's row is given
     rated = weighted.join(F.broadcast(total)).select("source_key", F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))
     most = (F.col("rate") + TAIL * F.sqrt("rate") + 20).cast("int")
     term = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
