@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.save(sketches(docs), "sketches")
     full = sketched.where("n > 0 and doc_id is not null")
-    firsts = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    # written out, so that the join below is between two shuffles and a large group of copies can be split
+    firsts = scratch.save(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "firsts")
     copies = scratch.save(full.select("doc_id", "f1", "f2", "n").join(firsts, ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
     chosen = full.join(firsts.select("f1", "f2", "n", F.col("rep").alias("doc_id")), ["f1", "f2", "n", "doc_id"], "left_semi").dropDuplicates(["f1", "f2", "n"])
     reps = scratch.save(chosen.select("doc_id", "sig", "bands"), "reps")
