@@ -3,7 +3,8 @@
 A source's mean repetition rate is its target share of all rows divided by its actual share. Each
 document draws its number of copies from a Poisson distribution with that mean by inverting the
 distribution function at a uniform number hashed from the seed and the document's id; documents are
-exploded by that number and dealt out in a hashed global order.
+exploded by that number and dealt out in a hashed global order. Where the mean is above HIGH, the number
+is the sum of independent draws of equal means of at most HIGH, since exp(-mean) underflows from 746 on.
 
 Targets: a dict of weights by source (sources not named get weight 0; ``None`` names documents without
 a source), or a temperature: weight proportional to (number of documents) ** temperature.
@@ -27,16 +28,18 @@ TEMPERATURE = 0.5
 SEED = 17
 #: The distribution is inverted up to this many standard deviations (plus 20) above the mean; what lies beyond has a probability under 1e-20.
 TAIL = 12
+#: The largest mean of one draw: exp(-HIGH) is a normal double (they end near exp(-708)), so the terms of the distribution have full precision.
+HIGH = 700
 
 
 def uniform(*parts) -> Column:
-    """A number in [0, 1) from the first 52 bits of the md5 of the parts joined by a colon."""
-    text = F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("null")) if isinstance(p, str) and not p.startswith("=") else F.lit(str(p).lstrip("=")) for p in parts])
+    """A number in [0, 1) from the first 52 bits of the md5 of the parts (column names, columns, or fixed texts after ``=``) joined by a colon."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.coalesce(F.col(p).cast("string"), F.lit("null")) if isinstance(p, str) and not p.startswith("=") else F.lit(str(p).lstrip("=")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def rates(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(source_key, rate, steps): mean number of copies of each document of a source, and the distribution function at 0, 1, 2, ..."""
+    """(source_key, rate, draws, steps): mean number of copies of each document of a source, the number of draws it is split into, and the distribution function of one draw at 0, 1, 2, ..."""
     counts = docs.groupBy(F.col("source").alias("source_key")).agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
         weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
@@ -48,24 +51,29 @@ def rates(docs: DataFrame, targets: dict | None = None, temperature: float = TEM
     total = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     # the totals are one row, which every source's row is given
     rated = weighted.join(F.broadcast(total)).select("source_key", F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))
-    most = (F.col("rate") + TAIL * F.sqrt("rate") + 20).cast("int")
-    term = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    rated = rated.withColumn("draws", F.greatest(F.ceil(F.col("rate") / HIGH), F.lit(1)).cast("int")).withColumn("mean", F.col("rate") / F.col("draws"))
+    most = (F.col("mean") + TAIL * F.sqrt("mean") + 20).cast("int")
+    term = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
     steps = F.aggregate(
         F.sequence(F.lit(1), most),
         term,
-        lambda acc, j: F.struct((acc["p"] * F.col("rate") / j).alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + acc["p"] * F.col("rate") / j).alias("cdf")),
+        lambda acc, j: F.struct((acc["p"] * F.col("mean") / j).alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + acc["p"] * F.col("mean") / j).alias("cdf")),
     )["cdf"]
-    return rated.select("source_key", "rate", steps.alias("steps"))
+    return rated.select("source_key", "rate", "draws", steps.alias("steps"))
 
 
 def replicate(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """All columns of ``docs`` plus ``copy`` (1, 2, ...) and ``shuffle_key``, globally shuffled by the latter."""
     scratch = Scratch(docs.sparkSession)
     table = scratch.save(rates(docs.select("source"), targets, temperature), "rates")
-    small = table.count() <= BROADCAST_ROWS // 50  # rows of up to some dozens of numbers
+    small = table.count() <= BROADCAST_ROWS // 50  # rows of some dozens of numbers, of a high rate up to HIGH + TAIL * sqrt(HIGH) + 20
     docs = docs.drop("copy", "shuffle_key")
     joined = docs.join(F.broadcast(table) if small else table, docs["source"].eqNullSafe(table["source_key"]))
-    drawn = joined.withColumn("__u", uniform(f"={seed}", "=copies", "doc_id")).withColumn("__k", F.size(F.filter("steps", lambda c: c <= F.col("__u"))))
+    count = lambda u: F.size(F.filter("steps", lambda c: c <= u))
+    # the numbers of the further draws come as an array, so that each is hashed once and not for each step
+    more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda j: uniform(f"={seed}", F.concat(F.lit("copies/"), j.cast("string")), "doc_id"))
+    further = F.when(F.col("draws") > 1, F.aggregate(more, F.lit(0), lambda acc, u: acc + count(u))).otherwise(0)
+    drawn = joined.withColumn("__u", uniform(f"={seed}", "=copies", "doc_id")).withColumn("__k", count(F.col("__u")) + further)
     copies = drawn.where("__k > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", uniform(f"={seed}", "=order", "doc_id", "copy"))
     return keyed.repartition(F.hash("shuffle_key")).sortWithinPartitions("shuffle_key")

@@ -213,6 +213,16 @@ def test_mixing_reaches_targets(spark):
     assert out.columns == ["doc_id", "source", "text", "copy", "shuffle_key"]
 
 
+def test_mixing_draws_high_rates(spark, tmp_path):
+    spark.range(60000).selectExpr("id as doc_id", "case when id % 1500 = 0 then 'rare' else 'rest' end as source").write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    for weight in (1.0, 0.48, 0.46):  # on both sides of a mean that one draw can have
+        rate = 1500 * weight
+        out = mixing.replicate(rows, {"rare": weight, "rest": 1 - weight}).toPandas()
+        k = out[out.source == "rare"].groupby("doc_id").size().to_numpy()
+        assert len(k) == 40 and abs(k.mean() - rate) < 4 * math.sqrt(rate / 40) and 0.4 < k.var() / rate < 2
+
+
 def test_mixing_edge_cases(spark):
     df = spark.createDataFrame([(None, None, None), (None, None, None), (1, "x", None)], "doc_id long, source string, text string")
     out = mixing.replicate(df, temperature=1.0).collect()
