@@ -59,17 +59,19 @@ class TopK:
         self.least = np.full(len(ids), -np.inf)
         self.largest = float(np.abs(x).max(initial=0))
 
-    def _exact(self, rows: slice, live: np.ndarray, y: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _exact(self, rows: slice, live: np.ndarray, y: np.ndarray, small: bool, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, candidate row, score) of the survivors that can be among a query's best.
 
         Few survivors are gathered pair by pair; many are scored as one matrix product, which is exact as
-        long as all partial sums are integers below 2**53.
+        long as all partial sums are integers below 2**53. The k-th best of the batch is taken over the
+        ``first`` row of each id, so that k different candidates reach it whatever rows are repeated.
         """
         if small and live.mean() > 0.02:
             scores = np.where(live, self.x[rows] @ y.T, -np.inf)
             least = self.least[rows]
-            if scores.shape[1] > self.k:
-                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            once = scores if first.all() else scores[:, first]
+            if once.shape[1] > self.k:
+                least = np.maximum(least, np.partition(once, -self.k, axis=1)[:, -self.k])
             q, c = np.nonzero(live & (scores >= least[:, None]))
             return q + rows.start, c, scores[q, c].astype(np.int64)
         q, c = np.nonzero(live)
@@ -85,6 +87,8 @@ class TopK:
         small = self.largest * float(np.abs(y).max(initial=0)) * y.shape[1] < 2.0**52
         # float sums of a bound err by far less than this part of the norms' product
         slack = 1e-9 * (1 + np.sqrt((self.x**2).sum(1)) * np.sqrt((y**2).sum(1).max(initial=0)))
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
         found, n = [], 0
         for at in range(0, len(self.ids), _ROWS):
             rows = slice(at, at + _ROWS)
@@ -96,7 +100,7 @@ class TopK:
                     live &= bound >= (least - slack[rows])[:, None]
                     if not live.any():
                         break
-            q, c, score = self._exact(rows, live, y, small)
+            q, c, score = self._exact(rows, live, y, small, first)
             if len(q):
                 found.append(np.stack((q, score, ids[c]), axis=1))
                 n += len(q)

@@ -188,6 +188,22 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert segments.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).collect() == []
 
 
+def test_top_k_counts_repeated_rows_once(spark):
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(60, 8)), 1)
+    x[7] *= 3
+    x[9, :4], x[9, 4:] = x[8, 4:], x[8, :4]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)]
+    rows += [rows[7]] * 15 + [(7, [-v for v in rows[7][1]])] * 10 + [(8, rows[9][1])] * 5  # also other vectors of an id
+    got = segments.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True))
+    q = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for i in range(60):
+        best = sorted({(-int(a @ b), j) for k, a in q if k == i for j, b in q if j != i})[:20]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(5)
     a, b = r.normal(size=(50, 30)), r.normal(size=(60, 30))
