@@ -6,6 +6,7 @@ before the next one reads it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +14,29 @@ from panelwright.llm import bpe, langid, minhash, mixing
 from panelwright.llm.base import Scratch, join_measured
 from panelwright.llm.queries import VOCABULARY
 
-#: A document whose profile agrees less than this with every language's is in none of them; clean texts of few words score twice as much.
-MIN_SCORE = 0.2
+#: The score of a document that shares no n-gram with any language's profile, whatever its script and length.
+MIN_SCORE = 0.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _scripts(spark: SparkSession, profiles: langid.Profiles) -> list[str]:
+    """The Unicode scripts of the letters in the profiles' n-grams."""
+    codes = profiles.codes[profiles.codes > 0]
+    letters = {int(c) - 1 for k in range(langid.ORDERS) for c in np.unique(codes >> (langid._BITS * k) & ((1 << langid._BITS) - 1)) if c > 1}  # noqa: SLF001
+    script = getattr(spark.sparkContext._jvm.java.lang, "Character$UnicodeScript")  # noqa: SLF001
+    return sorted({script.of(c).name() for c in letters} - {"COMMON", "INHERITED", "UNKNOWN"})
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be recognised: operator 10 answers ``und``, or no profile comes near."""
+    """Drops documents in which no language can be recognised: operator 10 answers ``und``, or no n-gram is in any profile and no letter of a script of theirs.
+
+    A short text of rare characters can miss the profile of its large script, so its script is asked as well.
+    """
     profiles = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs.select(*COLUMNS), profiles, keep=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    known = F.col("score") > MIN_SCORE
+    if scripts := _scripts(spark, profiles):
+        known |= F.col("text").cast("string").rlike("[" + "".join(f"\\p{{script={x}}}" for x in scripts) + "]")
+    return langid.predict(docs.select(*COLUMNS), profiles, keep=COLUMNS).where((F.col("lang_pred") != "und") & known).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

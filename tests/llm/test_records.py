@@ -233,6 +233,18 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "mix", "tokenise"]
 
 
+def test_pipeline_keeps_short_texts_of_a_large_script(spark):
+    r = np.random.default_rng(2)
+    p = 1 / np.arange(1, 3501)
+    write = lambda n: "".join(chr(0x4E00 + k) for k in r.choice(3500, n, p=p / p.sum()))
+    rows = [(i, "\u3002".join(write(9) for _ in range(40)), "zh") for i in range(150)] + [(i, "the cat sat on the mat and the dog lay by it", "en") for i in range(150, 170)]
+    short = [write(int(n)) for n in r.integers(1, 60, 300)] + ["OK", "xyz", chr(0x4E00 + 3499)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(short)] + [(2000, "\u043f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440", None), (2001, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as source", "cast(length(text) as long) as n_chars")
+    left = {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()}
+    assert left == {x[0] for x in rows} - {2000, 2001}
+
+
 def test_pipeline_stages_keep_columns_and_take_edge_cases(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12", "en", "a", 2), (4, "the cat sat on the mat", "en", "a", 22), (5, "The cat sat on the mat", None, None, 22), (None, "the dog", "en", "a", 7), (7, "日本語の文章です", None, "a", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("label", F.lit(1))
