@@ -59,7 +59,9 @@ WALLS = frozenset("table td th caption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: What a style may hold besides its declarations: comments, strings, and arguments of functions.
+_ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"\n]*\"|'[^'\n]*'|\([^()]*\)", re.S)
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -178,7 +180,7 @@ def visible(node: Node) -> bool:
         return False
     if node.name == "input" and a.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in a and _HIDING.search(a["style"]))
+    return not ("style" in a and _HIDING.search(_ASIDE.sub(" ", a["style"])))
 
 
 def width(text: str) -> int:

@@ -146,6 +146,27 @@ def test_rendering(page, text):
     assert html.text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("style", "shown"),
+    [
+        ("backface-visibility: hidden", True),
+        ("-webkit-backface-visibility:hidden;backface-visibility:hidden", True),
+        ("--display:none; x-display: none", True),
+        ("/* display:none; */ color:red", True),
+        ("background:url(a;display:none)", True),
+        ("content:'; visibility:hidden'", True),
+        ("display:none-such", True),
+        ("backface-visibility:hidden;visibility:hidden", False),
+        ("/* off */ DISPLAY : none !important", False),
+        ("color:red;\n display:/**/none;", False),
+        ("content:\"it's\";visibility:collapse", False),
+        ("font-family:it's;display:none", False),
+    ],
+)
+def test_hiding_styles(style, shown):
+    assert html.text_of(f"<p>a<div style=\"{style.replace(chr(34), '&quot;')}\">b</div>") == ("a\n\nb" if shown else "a")
+
+
 def test_html_survives_anything():
     r = np.random.default_rng(1)
     bits = ["<", ">", "</", "p", "table", "td", " ", "x", "<tr>", "<li>", "<!--", "-->", "&", "'", '"', "<pre>", "</table>", "<select>", "\n"]
