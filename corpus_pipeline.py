@@ -40,11 +40,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (operator 7)."""
+    """Keeps one document of each group of near duplicates (operator 7).
+
+    Of kept rows that repeat both id and text (a null id counts as one) the one with the least lang, source
+    and n_chars stays; other texts of a repeated id stay each. Operator 7 links no null id to other documents.
+    """
     scratch = Scratch(spark)
     classes = minhash.near_duplicates(docs)
     gone = scratch.save(classes.where("not kept").select("doc_id").distinct(), "gone")
-    return join_measured(docs.select(*COLUMNS), gone, "doc_id", "left_anti", gone.count())
+    left = join_measured(docs.select(*COLUMNS), gone, "doc_id", "left_anti", gone.count())
+    often = scratch.save(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    n = often.count()
+    if not n:
+        return left
+    # only rows of repeated ids are shuffled by their texts
+    same = left["doc_id"].eqNullSafe(often["doc_id"])
+    once = join_measured(left, often, same, "left_anti", n)
+    least = F.min(F.struct("lang", "source", "n_chars")).alias("least")
+    copies = join_measured(left, often, same, "left_semi", n).groupBy("doc_id", "text").agg(least).select("doc_id", "text", "least.*")
+    return once.union(copies.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,6 +266,15 @@ def test_pipeline_keeps_short_texts_of_a_large_script(spark):
     assert left == {x[0] for x in rows} - {2000, 2001}
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    a, b = "the cat sat on the mat and slept", "another text that is about dogs only"
+    rows = [(1, a, "en", "s", 1)] * 3 + [(1, a, "en", "r", 1), (2, a, "en", "s", 1)] + [(None, b, "en", "s", 1)] * 2 + [(None, "third", None, None, None)] + [(3, "one more", "en", "s", 1)]
+    docs = Scratch(spark).save(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[3], rows[5], rows[7], rows[8]], key=repr)
+
+
 def test_pipeline_stages_keep_columns_and_take_edge_cases(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12", "en", "a", 2), (4, "the cat sat on the mat", "en", "a", 22), (5, "The cat sat on the mat", None, None, 22), (None, "the dog", "en", "a", 7), (7, "日本語の文章です", None, "a", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("label", F.lit(1))
