@@ -23,7 +23,8 @@ class Scratch:
     """Tables written to the folder that driver and executors share (``spark.checkpoint.dir``).
 
     Writing a table and reading it again cuts the lineage without relying on any executor's disk.
-    Where the setting is absent (tests, local runs) a folder of this machine is made once.
+    Where the setting is absent a folder of this machine is made once, but only for a local master: on a
+    cluster the executors would write to disks of their own.
     """
 
     def __init__(self, spark: SparkSession):
@@ -31,6 +32,8 @@ class Scratch:
         conf = spark.sparkContext.getConf()
         root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             app = spark.sparkContext.applicationId
             root = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelwright-"))
         self.root = f"{root.rstrip('/')}/panelwright-{uuid.uuid4().hex}"
@@ -110,6 +113,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
 # ---------------------------------------------------------------- files in a shared folder
 
 
+#: Bytes of files of remote stores that a worker holds; files are read again beyond that.
+HELD = 512 << 20
+_held: dict[str, np.ndarray] = {}
+
+
 class Files:
     """Reading ranges and writing files by URI: plain files directly, other stores through pyarrow."""
 
@@ -137,11 +145,18 @@ class Files:
         return os.pread(f.fileno(), length, offset) if self.local else f.read_at(length, offset)
 
     def bytes(self, name: str) -> np.ndarray:
-        """A whole file: memory-mapped where it is a plain file, else read."""
+        """A whole file: memory-mapped where it is a plain file, else read and held while HELD bytes allow."""
         if self.local:
             return np.memmap(f"{self._root}/{name}", np.uint8, "r")
-        with self._fs.open_input_file(f"{self._root}/{name}") as f:
-            return np.frombuffer(f.read(), np.uint8)
+        path = f"{self._root}/{name}"
+        if path not in _held:
+            with self._fs.open_input_file(path) as f:
+                data = np.frombuffer(f.read(), np.uint8)
+            while _held and sum(map(len, _held.values())) + len(data) > HELD:
+                del _held[next(iter(_held))]
+            _held[path] = data
+        _held[path] = _held.pop(path)  # the least recently used comes first
+        return _held[path]
 
     def close(self) -> None:
         for f in self._open.values():
@@ -151,14 +166,12 @@ class Files:
 
 # ---------------------------------------------------------------- 64-bit hashes of words, vectorised
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at once; a longer text is cut between words.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -170,29 +183,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_POW[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, np.uint64(inverse))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _POW[k] = np.multiply.accumulate(steps)
-    return _POW[0], _POW[1]
+#: One random number for each byte at each of a word's first places.
+_PLACES = 256
+_TABLE = mix64(mix64(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _segment_hashes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is the scrambled sum of one random number per (place in the word, byte).
+
+    A polynomial modulo 2**64 would do with less, but its words of 1,024 letters can collide by
+    construction (Thue-Morse words); sums of unrelated numbers have no such structure.
+    """
     space = _SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start
-    power, inverse = _powers(len(a) + 1)
+    # what the white space after a word adds is outside the sums
+    place = np.arange(len(a), dtype=np.int32)
+    place -= np.repeat(np.concatenate(([0], start)).astype(np.int32), np.diff(start, prepend=0, append=len(a)))
+    code = np.minimum(place, _PLACES - 1)
+    code <<= 8
+    code |= _LOWER[a]
+    value = _TABLE.take(code)
+    if (end - start).max() > _PLACES:
+        far = np.flatnonzero((place >= _PLACES) & ~space)
+        value[far] = mix64(mix64(place[far].astype(np.uint64) * np.uint64(256) + _LOWER[a[far]] + np.uint64(0x9E3779B97F4A7C15)))
     total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((_LOWER[a].astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=total[1:])
-    return mix64((total[end] - total[start]) * inverse[start]), start
+    np.cumsum(value, out=total[1:])
+    return mix64(total[end] - total[start]), start
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:

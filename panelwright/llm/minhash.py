@@ -11,15 +11,20 @@ probability 5e-6.
 
 Pairs within a group of copies are never all listed:
 
-1. documents with equal sets are one representative (the smallest id) and links to it;
+1. documents with the same sequence of words are one representative (the smallest id) and links to it.
+   Sequences are compared by their SHA-256 digests; equal ones have equal sets. Documents whose sets are
+   equal but whose sequences differ share every band and are confirmed on full sets like any other pair;
 2. in each band bucket every document is paired with the bucket's smallest id only, confirmed, and the
    links give first components;
-3. of a bucket only documents of different components still have to be compared. Buckets are cut into
-   blocks of BLOCK documents; each pair of blocks is compared by bit counts in one task, and only pairs
-   of different components that the estimate lets through are confirmed. So no link between components
-   is missed, however large the bucket.
+3. of a bucket only documents of different components still have to be compared. Its largest component
+   stands on one side: its documents are compared with the others only, and the others with each other.
+   Both sides are cut into blocks of BLOCK documents; each pair of blocks is compared by bit counts in one
+   task, and only pairs of different components that the estimate lets through are confirmed. So no link
+   between components is missed, however large the bucket, and one stranger in a bucket of copies costs
+   one comparison a copy.
 
-Texts travel only for documents in candidate pairs; a leader's partners are spread over slots of SLOT.
+Texts travel only for documents in candidate pairs; their ids are sent to the scan where their measured
+number allows it. A leader's partners are spread over slots of SLOT.
 
 Edge cases: null or empty texts have n_shingles 0 and their own id as component. A null id: component
 null, kept. Rows that repeat an id are one document. Other columns are ignored.
@@ -27,6 +32,7 @@ null, kept. Rows that repeat an id are one document. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +40,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import Scratch, batch_word_hashes, components, mix64, portions
+from panelwright.llm.base import BROADCAST_ROWS, Scratch, batch_word_hashes, components, join_measured, mix64, portions
 
 WORDS, PERCENT = 5, 75
 K, BANDED, ROWS, BITS = 1024, 128, 4, 2
-BLOCK, SLOT = 8192, 512
+BLOCK, SLOT = 2048, 512
 #: Standard deviations of the number of equal fields that the estimate may fall short of the threshold.
 SLACK = 5.0
 _LONGS = K * BITS // 64
@@ -101,13 +107,16 @@ def equal_fields(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 32 * x.shape[-1] - np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN).sum(axis=-1, dtype=np.int64)
 
 
+def _sequence_digest(text: str | None) -> bytes:
+    """SHA-256 of a text's words, in order."""
+    return hashlib.sha256(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())).digest()
+
+
 def _sketch(batches):
     for pdf in batches:
-        rows = {"doc_id": pdf["doc_id"], "n": [], "f1": [], "f2": [], "sig": [], "bands": []}
+        rows = {"doc_id": pdf["doc_id"], "n": [], "mark": [_sequence_digest(t) for t in pdf["text"]], "sig": [], "bands": []}
         for s in shingle_sets(pdf["text"]):
             rows["n"].append(len(s))
-            rows["f1"].append(int(s.sum(dtype=np.uint64).view(np.int64)))
-            rows["f2"].append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(1))).view(np.int64)) if len(s) else 0)
             m = minima(s)
             rows["sig"].append(pack(m).view(np.int64) if len(s) else None)
             banded = m[:BANDED].astype(np.uint64).reshape(-1, ROWS) + np.uint64(1)
@@ -116,10 +125,10 @@ def _sketch(batches):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, sig, bands): set size, fingerprint of the set, packed signature, band hashes."""
+    """(doc_id, n, mark, sig, bands): set size, digest of the word sequence, packed signature, band hashes."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(_sketch, f"doc_id {kind}, n long, f1 long, f2 long, sig array<long>, bands array<long>")
+    return rows.mapInPandas(_sketch, f"doc_id {kind}, n long, mark binary, sig array<long>, bands array<long>")
 
 
 def _fields(a: str, b: str):
@@ -156,22 +165,30 @@ def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     members = slotted.select(F.col("u").alias("doc_id"), F.col("v").alias("grp"), "slot", F.lit(True).alias("member"))
     leaders = slotted.select("v", "slot").distinct().select(F.col("v").alias("doc_id"), F.col("v").alias("grp"), "slot", F.lit(False).alias("member"))
     need = members.union(leaders)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(need.hint("merge"), "doc_id")
+    ids = scratch.save(need.select("doc_id").distinct(), "needed")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if (n := ids.count()) <= BROADCAST_ROWS:  # else the join below is the only filter
+        texts = join_measured(texts, ids, "doc_id", "left_semi", n)
+    texts = texts.join(need.hint("merge"), "doc_id")
     ready = texts.repartition("grp", "slot").sortWithinPartitions("grp", "slot", "member")
     kind = dict(need.dtypes)["doc_id"]
     return scratch.save(ready.mapInPandas(_confirm_sorted, f"u {kind}, v {kind}"), "links")
 
 
 def _bucket_pairs(batches):
-    """Rows sorted by (key, i, j): candidates between different components of one bucket's pair of blocks."""
+    """Rows sorted by (key, kind, i, j): candidates between different components of one bucket's pair of blocks.
+
+    Of kind 0 both blocks are of the others; of kind 1 block i is of the others and j of the largest component.
+    """
     least, first, held, current = least_equal(), least_equal(32 * _FIRST), [], None
+    tile = ["key", "kind", "i", "j"]
 
     def compare(rows: pd.DataFrame):
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        ids, comp, block = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy()
+        kind, i, j = (int(rows[c].iloc[0]) for c in ("kind", "i", "j"))
+        ids, comp, block, side = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["side"].to_numpy()
         sig = np.stack(rows["sig"].to_numpy()).view(np.uint64)
         bands = np.stack(rows["bands"].to_numpy())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = np.flatnonzero((block == i) & (side == 0)), np.flatnonzero((block == j) & (side == kind))
         for at in range(0, len(left), 256):
             rows_l = left[at : at + 256]
             hit = equal_fields(sig[rows_l][:, None, :_FIRST], sig[right][None, :, :_FIRST]) >= first
@@ -189,9 +206,9 @@ def _bucket_pairs(batches):
                 yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
 
     for pdf in batches:
-        starts = np.flatnonzero((pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1))
+        starts = np.flatnonzero((pdf[tile] != pdf[tile].shift()).any(axis=1))
         for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
-            key = tuple(pdf[["key", "i", "j"]].iloc[a])
+            key = tuple(pdf[tile].iloc[a])
             if key != current:
                 if held:
                     yield from compare(pd.concat(held))
@@ -203,16 +220,24 @@ def _bucket_pairs(batches):
 
 def _cross(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidates between different components within each bucket."""
-    labelled = bands.join(comps.select(F.col("node").alias("doc_id"), F.col("label")), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id"))
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    rows = labelled.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.select("key", "doc_id", "comp", "blocks", F.pmod(F.hash("doc_id"), "blocks").alias("block"))
-    rows = rows.select("key", "doc_id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "doc_id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(reps, "doc_id")
+    labelled = bands.join(comps.select(F.col("node").alias("doc_id"), F.col("label")), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = labelled.join(open_.select("key", "big", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("bigs")), "key")
+    rows = rows.withColumn("side", (F.col("comp") == F.col("big")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.hash("doc_id"), F.when(F.col("side") == 1, F.col("bigs")).otherwise(F.col("others"))))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    trip = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("block")
+    with_others = F.transform(every("others"), lambda o: trip(0, F.least(own, o), F.greatest(own, o)))
+    with_big = F.transform(every("bigs"), lambda o: trip(1, own, o))
+    of_big = F.transform(every("others"), lambda o: trip(1, o, own))
+    rows = rows.select("key", "doc_id", "comp", "side", "block", F.explode(F.when(F.col("side") == 1, of_big).otherwise(F.concat(with_others, with_big))).alias("t"))
+    rows = rows.select("key", "doc_id", "comp", "side", "block", "t.kind", "t.i", "t.j").join(reps, "doc_id")
     kind = dict(rows.dtypes)["doc_id"]
-    sorted_ = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInPandas(_bucket_pairs, f"u {kind}, v {kind}").distinct()
+    tile = ["key", "kind", "i", "j"]
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInPandas(_bucket_pairs, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,9 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = scratch.save(sketches(docs), "sketches")
     full = sketched.where("n > 0 and doc_id is not null")
     # written out, so that the join below is between two shuffles and a large group of copies can be split
-    firsts = scratch.save(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "firsts")
-    copies = scratch.save(full.select("doc_id", "f1", "f2", "n").join(firsts, ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
-    chosen = full.join(firsts.select("f1", "f2", "n", F.col("rep").alias("doc_id")), ["f1", "f2", "n", "doc_id"], "left_semi").dropDuplicates(["f1", "f2", "n"])
+    firsts = scratch.save(full.groupBy("mark").agg(F.min("doc_id").alias("rep")), "firsts")
+    copies = scratch.save(full.select("doc_id", "mark").join(firsts, "mark").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
+    chosen = full.join(firsts.select("mark", F.col("rep").alias("doc_id")), ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"])
     reps = scratch.save(chosen.select("doc_id", "sig", "bands"), "reps")
     bands = reps.select("doc_id", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v <> w").select("key", "v")

@@ -81,6 +81,42 @@ def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch):
     test_dense_group_of_near_copies_and_chain(spark)
 
 
+def test_a_stranger_in_a_bucket_of_copies(spark, monkeypatch):
+    """Large components stand on one side of a bucket; the others are compared with them and each other."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(9)
+    base = [f"w{r.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for i in range(150):  # near copies of one text
+        w = list(base)
+        w[r.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(40):  # on both sides of the threshold to them
+        w = list(base)
+        for k in range(0, r.randrange(20, 32) * 4, 4):
+            w[k] = f"s{i}_{k // 40}"
+        rows.append((500 + i, " ".join(w)))
+    far = base[:70] + [f"z{k}" for k in range(60)]
+    rows += [(700 + i, " ".join(far[i:])) for i in range(25)]
+    assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_unusual_texts(spark):
+    """Equal sets of other sequences, words built to collide under polynomial hashes, very long texts."""
+    loop = "a b c d e f g h".split()
+    rows = [(3, " ".join(loop * 3)), (1, " ".join((loop * 5)[3:])), (2, " ".join(loop * 3) + " "), (9, "A B c d e f g h a b c d e f g h a b c d e f g h"), (7, " ".join(reversed(loop * 3)))]
+    word = "a"  # a Thue-Morse word and its complement are equal under any odd base modulo 2**64
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    rows += [(11, word), (12, word.translate({97: 98, 98: 97})), (13, word.upper()), (14, "x " + word)]
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**6)}" for _ in range(100_000)]
+    rows += [(21, " ".join(words)), (22, " ".join(words[:80_000])), (23, " ".join(words[:65_000])), (24, " ".join(words[:1000]))]
+    got = found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 11: 11, 12: 12, 13: 11, 14: 14, 21: 21, 22: 21, 23: 21, 24: 24}
+
+
 def test_estimate_is_close_to_the_similarity():
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 63, 1000, np.uint64)
