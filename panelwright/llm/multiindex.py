@@ -1,14 +1,18 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two codebooks, fitted independently on the halves of the unit vectors, form a product grid of cells. A
-vector's cells are visited in the order of a lower bound of the squared distance between the vector and
-anything in the cell, the sum of one bound per half (multi-sequence traversal). Vectors of cosine c are
-sqrt(2 - 2 c) apart, so a traversal that stops where the bound passes that distance has met every
-partner: target recall 1. A smaller ``recall`` scales the radius down. Pairs met are verified by their
-cosine in double precision.
+vector visits cells by multi-sequence traversal, in the order of a lower bound of the squared distance
+between the vector and anything in the cell, the sum of one bound per half. Vectors of cosine c are
+sqrt(2 - 2 c) apart, so a traversal that stops where the bound passes 2 - 2 c has met every partner:
+target recall 1, the default. For a smaller ``recall`` the stop is measured: the bound at which that part
+of the sample's linked pairs has met. Pairs met are verified by their cosine in double precision.
 
-The bound of a half: a point of cell b is at least as near to b's centroid as to the vector's own
-centroid a, so it lies beyond the plane between them.
+The bound of a half: a point of cell b is at least as near to b's centroid as to any other centroid c, so
+it lies beyond the plane between them; the farthest of these planes counts.
+
+The codebooks grow with the root of the number of vectors, so that a cell has about RESIDENTS vectors at
+any size, up to MOST centroids a half. They are fitted on a sample of at most SAMPLE rows (those with the
+smallest hashes); every row is indexed and is a query.
 
 Equal vectors of one label are one representative that counts as often as it occurs. Cells of a label are
 packed, in order, into blocks of about BLOCK residents, and a larger cell is cut into several, so a
@@ -17,9 +21,6 @@ block of the one that comes later by (cell, id), and there once. A task holds a
 visits it. It keeps of the links it finds their number per vector and, for connectivity, each vector's
 link to its first partner of the block and those between the first and the others, each once.
 
-The codebooks are fitted on a sample of at most SAMPLE rows (those with the smallest hashes); every row
-is indexed and is a query.
-
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows
 without a label are linked with nothing; only vectors of equal length are compared; repeated rows count
 as vectors of their own. A null vec_id stays alone: component null, kept. Other columns are ignored.
@@ -27,8 +28,6 @@ as vectors of their own. A null vec_id stays alone: component null, kept. Other
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ from panelwright.llm.vectors import frame, packed, runs, stacked
 
 COSINE = 0.93
 SAMPLE = 8192
-#: Centroids per half.
-CENTROIDS = 16
+#: Centroids per half, and the vectors a cell is to have.
+LEAST, MOST, RESIDENTS = 8, 256, 128
 BLOCK = 4096
 _BATCH = 1024
 #: Above the number of a block's residents.
@@ -62,63 +61,105 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def fit(rows: DataFrame, k: int = CENTROIDS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Codebooks of both halves by vector length, from at most SAMPLE rows."""
-    sample = rows.select("dim", "vec").orderBy(F.hash("f1", "f2"), "f1", "f2").limit(SAMPLE).toPandas()
-    books = {}
-    for dim, part in sample.groupby("dim"):
+def centroids(n: int) -> int:
+    """Centroids per half for n vectors."""
+    return int(min(max(round((n / RESIDENTS) ** 0.5), LEAST), MOST))
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
+
+
+def fit(rows: DataFrame, k: int, cosine: float = COSINE, recall: float = 1.0) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], float]:
+    """(codebooks of both halves by vector length, bound at which a traversal stops), from at most SAMPLE rows."""
+    sample = rows.select("label", "dim", "vec").orderBy(F.hash("f1", "f2"), "f1", "f2").limit(SAMPLE).toPandas()
+    books = {int(dim): tuple(_kmeans(h, k) for h in _halves(_units(list(part["vec"])))) for dim, part in sample.groupby("dim")}
+    return books, (2 - 2 * cosine if recall >= 1 else measured_stop(sample, books, cosine, recall)) + 1e-9
+
+
+def measured_stop(sample, books, cosine: float, recall: float) -> float:
+    """The bound within which this part of the sample's linked pairs meet; the proven one if it has none."""
+    met = []
+    for (_, dim), part in sample.groupby(["label", "dim"]):
         x = _units(list(part["vec"]))
-        books[int(dim)] = tuple(_kmeans(h, k) for h in (x[:, : dim // 2], x[:, dim // 2 :]))
-    return books
+        (o1, b1), (o2, b2) = (half_bounds(h, c) for h, c in zip(_halves(x), books[int(dim)], strict=True))
+        cell = o1 * len(books[int(dim)][1]) + o2
+        for at in range(0, len(x), _BATCH):
+            i, j = np.nonzero(x[at : at + _BATCH] @ x.T >= cosine)
+            i += at
+            later = (i != j) & (cell[i] <= cell[j])
+            met.append(b1[i[later], o1[j[later]]] + b2[i[later], o2[j[later]]])
+    met = np.concatenate(met) if met else np.zeros(0)
+    return float(np.quantile(met, recall, method="higher")) if len(met) else 2 - 2 * cosine
 
 
 def half_bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(own centroid, lower bound of the squared distance to each centroid's cell)."""
     d = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).clip(0)
-    own = d.argmin(1)
-    apart = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1))[own]
-    gap = d - d[np.arange(len(x)), own][:, None]
-    beyond = np.divide(gap, 2 * apart, out=np.zeros_like(gap), where=apart > 0) - 1e-9
-    return own, np.maximum(beyond, 0) ** 2
-
-
-def multi_sequence(b1: np.ndarray, b2: np.ndarray, limit: float):
-    """Cells (i, j) in the order of b1[i] + b2[j], up to the limit."""
-    o1, o2 = np.argsort(b1, kind="stable"), np.argsort(b2, kind="stable")
-    heap, seen = [(b1[o1[0]] + b2[o2[0]], 0, 0)], {(0, 0)}
-    while heap:
-        d, i, j = heapq.heappop(heap)
-        if d > limit:
-            return
-        yield int(o1[i]), int(o2[j])
-        for n in ((i + 1, j), (i, j + 1)):
-            if n not in seen and n[0] < len(o1) and n[1] < len(o2):
-                seen.add(n)
-                heapq.heappush(heap, (b1[o1[n[0]]] + b2[o2[n[1]]], *n))
+    apart = 2 * np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(apart, np.inf)
+    apart[apart == 0] = np.inf
+    beyond = np.empty_like(d)
+    step = max(1, (1 << 22) // len(c) ** 2)
+    for at in range(0, len(x), step):
+        s = slice(at, at + step)
+        beyond[s] = ((d[s, :, None] - d[s, None, :]) / apart[None]).max(axis=2, initial=0)
+    return d.argmin(1), np.maximum(beyond - 1e-9, 0) ** 2
+
+
+def multi_sequence(b1: np.ndarray, b2: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j) of the cells that rows visit, each row's in the order of b1[row, i] + b2[row, j], up to the limit.
+
+    All rows walk in lockstep. For each i, by rising bound, ``after`` is the next j on its frontier; a step takes each
+    row's nearest frontier cell, moves that i on to its next j and opens the next i if this was its first.
+    """
+    o1, o2 = np.argsort(b1, axis=1, kind="stable"), np.argsort(b2, axis=1, kind="stable")
+    s1, s2 = np.take_along_axis(b1, o1, 1), np.take_along_axis(b2, o2, 1)
+    (n, k1), k2 = s1.shape, s2.shape[1]
+    after, cost = np.zeros((n, k1), np.int64), np.full((n, k1), np.inf)
+    cost[:, 0] = s1[:, 0] + s2[:, 0]
+    live, met = np.arange(n), []
+    while len(live):
+        i = cost[live].argmin(1)
+        near = cost[live, i] <= limit
+        live, i = live[near], i[near]
+        j = after[live, i]
+        met.append((live, o1[live, i], o2[live, j]))
+        after[live, i] = j + 1
+        cost[live, i] = np.where(j + 1 < k2, s1[live, i] + s2[live, np.minimum(j + 1, k2 - 1)], np.inf)
+        opens = (j == 0) & (i + 1 < k1)
+        row, new = live[opens], i[opens] + 1
+        cost[row, new] = s1[row, new] + s2[row, 0]
+    return tuple(np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 3
 
 
 def _place(rows: DataFrame, books, limit: float) -> DataFrame:
-    """Adds each row's own cell and the cells it visits from there on."""
+    """Adds each row's own cell and the cells it visits, in that order, from its own on."""
     shared = rows.sparkSession.sparkContext.broadcast(books)
     cols = ["rep", "label", "dim", "n", "vec"]
 
+    def visits(x, book):
+        (o1, b1), (o2, b2) = (half_bounds(h, c) for h, c in zip(_halves(x), book, strict=True))
+        width = len(book[1])
+        own = o1 * width + o2
+        row, i, j = multi_sequence(b1, b2, limit)
+        cell = i * width + j
+        later = cell >= own[row]  # of a pair, the one in the earlier cell visits the other
+        row, cell = row[later], cell[later]
+        order = np.argsort(row, kind="stable")
+        return own, np.split(cell[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
+
     def run(batches):
         for pdf in batches:
-            for dim, part in pdf.groupby("dim", sort=False):
-                out = part[cols].copy()
-                if (book := shared.value.get(int(dim))) is None:
-                    out["cell"], out["visits"] = 0, [[0]] * len(out)
+            for dim, whole in pdf.groupby("dim", sort=False):
+                for at in range(0, len(whole), _BATCH):
+                    part = whole.iloc[at : at + _BATCH]
+                    out = part[cols].copy()
+                    if (book := shared.value.get(int(dim))) is None:
+                        out["cell"], out["visits"] = 0, [[0]] * len(out)
+                    else:
+                        out["cell"], out["visits"] = visits(_units(list(part["vec"])), book)
                     yield out
-                    continue
-                x = _units(list(part["vec"]))
-                (o1, b1), (o2, b2) = (half_bounds(h, c) for h, c in zip((x[:, : dim // 2], x[:, dim // 2 :]), book, strict=True))
-                width = len(book[1])
-                cell = o1 * width + o2
-                # the traversal of all rows at once: its visited cells are those within the limit
-                met = (b1[:, :, None] + b2[:, None, :] <= limit).reshape(len(x), -1)
-                met &= np.arange(met.shape[1])[None, :] >= cell[:, None]
-                out["cell"], out["visits"] = cell, [np.flatnonzero(m) for m in met]
-                yield out
 
     types = dict(rows.dtypes)
     return rows.select(*cols).mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in cols] + ["cell int, visits array<int>"]))
@@ -193,7 +234,7 @@ def _meet(cosine: float):
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """(label, dim, ranges): the first and last block of each cell; at most CENTROIDS squared cells a label and length."""
+    """(label, dim, ranges): the first and last block of each cell; at most MOST squared cells a label and length."""
     sizes = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"))
     order = Window.partitionBy("label", "dim").orderBy("cell")
     upto = F.sum("size").over(order)
@@ -201,8 +242,8 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return bounds.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("first", "last")))).alias("ranges"))
 
 
-def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k: int = CENTROIDS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``rows(vec_id, embedding, label)``."""
+def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``rows(vec_id, embedding, label)``; ``k`` centroids a half instead of ``centroids``."""
     scratch = Scratch(rows.sparkSession)
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     some = F.exists(F.col("embedding"), lambda x: x != 0)
@@ -211,10 +252,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k
     firsts = vectors.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     of = scratch.save(vectors.select("vec_id", *same).join(firsts, same).select("vec_id", "rep", "n"), "of")
     chosen = vectors.join(firsts.withColumnRenamed("rep", "vec_id"), [*same, "vec_id"]).dropDuplicates(same)
-    placed = _place(chosen.withColumnRenamed("vec_id", "rep"), fit(vectors, k), (2 - 2 * cosine) * recall**2 + 1e-9)
-    placed = scratch.save(placed, "placed")
+    books, limit = fit(vectors, k or centroids(vectors.count()), cosine, recall)
+    placed = scratch.save(_place(chosen.withColumnRenamed("vec_id", "rep"), books, limit), "placed")
     ranges = scratch.save(_blocks(placed), "blocks")
-    rows = join_measured(placed, ranges, ["label", "dim"], "inner", ranges.count() * CENTROIDS)
+    rows = join_measured(placed, ranges, ["label", "dim"], "inner", ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0)
     own = F.try_element_at("ranges", "cell")
     rows = rows.withColumn("home", own["first"] + F.pmod(F.hash("rep"), own["last"] - own["first"] + 1))
     spans = F.transform("visits", lambda c: F.try_element_at("ranges", c))

@@ -207,8 +207,32 @@ def test_no_vectors(spark):
 
 def test_traversal_visits_cells_in_order_and_misses_none():
     r = np.random.default_rng(4)
-    b1, b2 = r.random(12), r.random(9)
-    cells = list(multi := multiindex.multi_sequence(b1, b2, 0.8))
-    costs = [b1[i] + b2[j] for i, j in cells]
-    assert costs == sorted(costs) and multi is not None
-    assert set(cells) == {(i, j) for i in range(12) for j in range(9) if b1[i] + b2[j] <= 0.8}
+    b1, b2 = r.random((30, 12)), r.random((30, 9))
+    row, i, j = multiindex.multi_sequence(b1, b2, 0.8)
+    for k in range(30):
+        costs = (b1[k, i[row == k]] + b2[k, j[row == k]]).tolist()
+        assert costs == sorted(costs)
+        assert sorted(zip(i[row == k].tolist(), j[row == k].tolist())) == [(a, b) for a in range(12) for b in range(9) if b1[k, a] + b2[k, b] <= 0.8]
+    assert [len(x) for x in multiindex.multi_sequence(b1 + 1, b2, 0.8)] == [0, 0, 0]
+
+
+def test_bounds_of_cells_hold():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 8))
+    own, bound = multiindex.half_bounds(x, multiindex._kmeans(x, 10))
+    apart = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert (bound[:, own] <= apart + 1e-9).all() and (bound[np.arange(400), own] == 0).all() and bound.max() > 0
+
+
+def test_measured_recall(spark):
+    """At a target below 1 the stop is measured on the sample; recall is that of brute force over all rows."""
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(60, 12))
+    rows = [(i, [float(v) for v in centres[i % 60] + r.normal(size=12) * 0.12 * (1 + i % 3)], i % 2) for i in range(1500)]
+    links = lambda got: sum(n for n, _ in got.values())
+    want = brute_vectors(rows)
+    for recall, least in ((0.95, 0.9), (1.0, 1.0)):
+        got = {x.vec_id: (x.n_links, x.component_id) for x in multiindex.near_vectors(vectors(spark, rows), recall=recall, k=8).collect()}
+        assert least <= links(got) / links(want) <= 1 and all(got[i][0] <= want[i][0] for i in want)
+    assert got == want
+    assert multiindex.centroids(100) == 8 and multiindex.centroids(4 * 10**6) > 5 * multiindex.centroids(10**5) and multiindex.centroids(10**12) == 256
