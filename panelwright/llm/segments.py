@@ -5,18 +5,25 @@ length) the Cauchy-Schwarz inequality gives for each segment
 
     (q - c)^2 >= len * ((mean_q - mean_c)^2 + (dev_q - dev_c)^2)
 
-and, with the norms, an upper bound of the inner product: |q|^2 + |c|^2 - 2 q.c = (q - c)^2. Candidates
-whose bound, coarse to fine, falls short of a query's k-th best score so far drop out; exact scores are
-computed for the survivors only. A bound equal to that score survives, so ties go to the smaller id.
+and, with the norms, an upper bound of the inner product: |q|^2 + |c|^2 - 2 q.c = (q - c)^2. A query's k-th
+best score so far is its threshold; the first comes from the exact scores of the candidates with the
+largest products of segment means. Candidates whose bound falls short of the threshold drop out, coarse to
+fine. Survivors are scored exactly in the order of their bounds, largest first, in growing steps: the
+threshold rises, and the rest is left as soon as the next bound falls short of it. A bound equal to the
+threshold survives, so ties go to the smaller id.
 
 Queries and candidates meet in a grid: candidates are dealt by a hash of their id to shards of about
 SHARD rows, queries to blocks of about QUERIES rows; a block and a shard meet in one task that holds
 the block and streams the shard. Each task returns k rows per query, and the best of these are ranked.
 
-Edge cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
-those with a quantised component beyond 2**27 (a score would not fit a long); only vectors of equal
-length are compared; a query with fewer than k candidates gets them all; rows with the query's own
-vec_id are not its candidates; repeated rows count once; null ids take no part.
+Exactness: sums whose parts may pass 2**52 are taken over 64-bit integers, and those that may pass 2**62
+over Python's integers, without bounds. A score beyond a long is ranked by its exact value and given as the
+largest or smallest long.
+
+Edge cases: vectors that are null, empty or hold null or non-finite components take no part; only vectors
+of equal length are compared; a query with fewer than k candidates gets them all; rows with the query's own
+vec_id are not its candidates; repeated rows count once; null ids take no part. A component whose multiple
+by the scale is not finite takes its vector out like a non-finite one.
 """
 
 from __future__ import annotations
@@ -32,8 +39,10 @@ K = 20
 SCALE = 64
 LEVELS = (4, 16, 32)
 SHARD, QUERIES = 16_384, 8_192
-LIMIT = 1 << 27
-_BATCH, _ROWS = 2048, 512
+_BATCH, _ROWS = 4096, 64
+#: Candidates scored first, without a threshold, and in the first step after it.
+_SEEDS, _STEP = 64, 128
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(cells, scale: int = SCALE) -> np.ndarray:
@@ -49,66 +58,130 @@ def segment_features(x: np.ndarray, pieces: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def sortable(x: int) -> bytes:
+    """Bytes that sort like the integers."""
+    size = (abs(x).bit_length() + 8) // 8
+    head = (0x80000000 + (size if x >= 0 else -size)).to_bytes(4, "big")
+    return head + (x + (1 << 8 * size) * (x < 0)).to_bytes(size, "big")
+
+
 class TopK:
-    """The k best (score, id) of each query of a block."""
+    """The k best (score, id) of each query of a block. ``pairs`` and ``scored`` count what met and what was scored."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
-        self.levels = [segment_features(x, n) for n in LEVELS]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.levels = [segment_features(x, n) for n in LEVELS]
+            self.norms = np.sqrt((x**2).sum(1))
         self.top = np.zeros((0, 3), np.int64)  # query row, score, id
         self.least = np.full(len(ids), -np.inf)
-        self.largest = float(np.abs(x).max(initial=0))
-
-    def _exact(self, rows: slice, live: np.ndarray, y: np.ndarray, small: bool, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, candidate row, score) of the survivors that can be among a query's best.
-
-        Few survivors are gathered pair by pair; many are scored as one matrix product, which is exact as
-        long as all partial sums are integers below 2**53. The k-th best of the batch is taken over the
-        ``first`` row of each id, so that k different candidates reach it whatever rows are repeated.
-        """
-        if small and live.mean() > 0.02:
-            scores = np.where(live, self.x[rows] @ y.T, -np.inf)
-            least = self.least[rows]
-            once = scores if first.all() else scores[:, first]
-            if once.shape[1] > self.k:
-                least = np.maximum(least, np.partition(once, -self.k, axis=1)[:, -self.k])
-            q, c = np.nonzero(live & (scores >= least[:, None]))
-            return q + rows.start, c, scores[q, c].astype(np.int64)
-        q, c = np.nonzero(live)
-        a, b = (self.x[rows], y) if small else (self.x[rows].astype(np.int64), y.astype(np.int64))
-        out = np.empty(len(q), np.int64)
-        for at in range(0, len(q), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            out[s] = np.einsum("ij,ij->i", a[q[s]], b[c[s]])
-        return q + rows.start, c, out
+        self.sizes = np.abs(x).max(axis=1, initial=0)
+        self.wide: dict[int, set[tuple[int, int]]] = {}  # query row -> (-score, id) of sums over Python's integers
+        self.pairs = self.scored = 0
 
     def offer(self, ids: np.ndarray, y: np.ndarray) -> None:
+        sizes = np.abs(y).max(axis=1, initial=0)
+        # vectors whose products with the largest of the other side may not fit; few or none in most tables
+        long = 2.0**62 / y.shape[1]
+        big_y = sizes * np.minimum(self.sizes.max(initial=0), np.sqrt(long)) >= long
+        big_q = self.sizes * np.where(big_y, 0, sizes).max(initial=0) >= long
+        if big_y.any() or big_q.any():
+            self._offer_wide(np.arange(len(self.ids)), ids[big_y], y[big_y])
+            self._offer_wide(np.flatnonzero(big_q), ids[~big_y], y[~big_y])
+        self._offer(np.flatnonzero(~big_q), ids[~big_y], y[~big_y])
+
+    def _offer_wide(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        theirs = [[int(v) for v in row] for row in y]
+        for q in rows.tolist() if len(ids) else []:
+            own = [int(v) for v in self.x[q]]
+            best = self.wide.setdefault(q, set())
+            best.update((-sum(map(int.__mul__, own, c)), i) for i, c in zip(ids.tolist(), theirs, strict=True) if i != self.ids[q])
+            self.wide[q] = set(sorted(best)[: self.k])
+            self.pairs += len(ids)
+            self.scored += len(ids)
+
+    def _offer(self, queries: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        if not len(ids) or not len(queries):
+            return
         features = [segment_features(y, n) for n in LEVELS]
-        small = self.largest * float(np.abs(y).max(initial=0)) * y.shape[1] < 2.0**52
+        # the smallest type whose sums are exact
+        most = self.sizes[queries].max(initial=0) * np.abs(y).max(initial=0) * y.shape[1]
+        kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**52 else np.int64
+        fits = np.where(self.sizes[:, None] < 2.0**62, self.x, 0)  # queries with larger components are not asked here
+        own, theirs = fits.astype(kind), y.astype(kind)
         # float sums of a bound err by far less than this part of the norms' product
-        slack = 1e-9 * (1 + np.sqrt((self.x**2).sum(1)) * np.sqrt((y**2).sum(1).max(initial=0)))
-        first = np.zeros(len(ids), bool)
-        first[np.unique(ids, return_index=True)[1]] = True
+        slack = 1e-9 * (1 + self.norms * np.sqrt((y**2).sum(1).max(initial=0)))
+        distinct = np.zeros(len(ids), bool)
+        distinct[np.unique(ids, return_index=True)[1]] = True
         found, n = [], 0
-        for at in range(0, len(self.ids), _ROWS):
-            rows = slice(at, at + _ROWS)
-            least = self.least[rows]
+        for at in range(0, len(queries), _ROWS):
+            rows = queries[at : at + _ROWS]
+            self._seed(rows, ids, own, theirs, features, distinct, found)
             live = ids[None, :] != self.ids[rows][:, None]
-            if np.isfinite(least).any():
-                for own, theirs in zip(self.levels, features, strict=True):
-                    bound = own[rows] @ theirs.T
-                    live &= bound >= (least - slack[rows])[:, None]
-                    if not live.any():
-                        break
-            q, c, score = self._exact(rows, live, y, small, first)
-            if len(q):
-                found.append(np.stack((q, score, ids[c]), axis=1))
-                n += len(q)
-                if n > 1 << 20:
-                    self._merge(found)
-                    found, n = [], 0
+            self.pairs += int(live.sum())
+            cols, bound = np.arange(len(ids)), None
+            for mine, other in zip(self.levels, features, strict=True):
+                if not len(cols):
+                    break
+                bound = mine[rows] @ other[cols].T
+                live = live & (bound >= (self.least[rows] - slack[rows])[:, None])
+                some = live.any(axis=0)
+                if some.mean() < 0.7:  # finer levels look at what some query of the rows still needs
+                    cols, live, bound = cols[some], live[:, some], bound[:, some]
+            for k, q in enumerate(rows.tolist() if len(cols) else []):
+                if len(mine := np.flatnonzero(live[k])):
+                    n += self._survivors(q, cols[mine], bound[k, mine], slack[q], ids, own, theirs, distinct, found)
+            if n > 1 << 18:
+                self._merge(found)
+                found, n = [], 0
         self._merge(found)
 
+    def _seed(self, rows, ids, own, theirs, features, distinct, found) -> None:
+        """First thresholds, from the candidates of the largest products of segment means."""
+        rows = rows[~np.isfinite(self.least[rows])]
+        if not len(rows) or distinct.sum() <= self.k:
+            return
+        once = np.flatnonzero(distinct)
+        means = self.levels[-1][rows][:, ::2] @ features[-1][once][:, ::2].T
+        means[ids[once][None, :] == self.ids[rows][:, None]] = -np.inf
+        n = min(len(once), max(_SEEDS, self.k + 1))
+        near = np.argpartition(means, -n, axis=1)[:, -n:]
+        for k, q in enumerate(rows.tolist()):
+            c = once[near[k]]
+            c = c[ids[c] != self.ids[q]]
+            if len(c) >= self.k:
+                score = theirs[c] @ own[q]
+                self.scored += len(c)
+                self._raise(q, np.partition(score, -self.k)[-self.k])
+
+    def _survivors(self, q: int, c: np.ndarray, bound: np.ndarray, slack: float, ids, own, theirs, distinct, found) -> int:
+        """Exact scores of candidates ``c`` of query row q, largest bound first, as long as the bound reaches the threshold."""
+        if len(c) > _STEP:
+            order = np.argsort(-bound)
+            c, bound = c[order], bound[order]
+        at, step, best, n = 0, _STEP, np.zeros(0, own.dtype), 0
+        while at < len(c) and bound[at] >= self.least[q] - slack:
+            part = c[at : at + step]
+            score = theirs[part] @ own[q]
+            self.scored += len(part)
+            keep = score >= self.least[q]
+            part, score = part[keep], score[keep]
+            if len(part):
+                found.append(np.stack((np.full(len(part), q), score.astype(np.int64), ids[part]), axis=1))
+                n += len(part)
+                # different candidates only, so that k of them reach the threshold whatever rows are repeated
+                best = np.concatenate((best, score[distinct[part]]))
+                if len(best) >= self.k:
+                    best = np.partition(best, -self.k)[-self.k :]
+                    self._raise(q, best[0])
+            at, step = at + step, step * 2
+        return n
+
+    def _raise(self, q: int, score) -> None:
+        """A threshold from a k-th best score; of an integer that no double holds, the next double below."""
+        as_float = float(score)
+        self.least[q] = max(self.least[q], as_float if abs(as_float) < 2.0**53 else np.nextafter(as_float, -np.inf))
+
     def _merge(self, found: list[np.ndarray]) -> None:
         if not found:
             return
@@ -122,8 +195,16 @@ class TopK:
         starts = np.flatnonzero(np.diff(rows[:, 0], prepend=-1))
         place = np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
         self.top = rows[place < self.k]
-        full = self.top[place[place < self.k] == self.k - 1]
-        self.least[full[:, 0]] = full[:, 1]
+
+    def results(self):
+        """(query_id, vec_id, score, exact) rows; ``exact`` orders scores that no long can hold."""
+        t = self.top
+        out = [(self.ids[t[:, 0]], t[:, 2], t[:, 1], np.full(len(t), None, object))]
+        for q, best in self.wide.items():
+            scores = [-s for s, _ in best]
+            exact = [sortable(s) if not _LEAST < s < _MOST else None for s in scores]
+            out.append((np.full(len(best), self.ids[q]), np.array([i for _, i in best], np.int64), np.array([min(max(s, _LEAST), _MOST) for s in scores], np.int64), np.array([*exact, None], object)[:-1]))
+        return [frame(dict(zip(("query_id", "vec_id", "score", "exact"), x, strict=True))) for x in out if len(x[0])]
 
 
 def _search(k: int, scale: int):
@@ -142,9 +223,8 @@ def _search(k: int, scale: int):
 
         def results():
             flush()
-            if block is not None and len(block.top):
-                t = block.top
-                yield frame({"query_id": block.ids[t[:, 0]], "vec_id": t[:, 2], "score": t[:, 1]})
+            if block is not None:
+                yield from block.results()
 
         for key, part in runs(batches, ["dim", "block", "shard"]):
             if key != current:
@@ -169,8 +249,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, scale: int = SCALE) -> D
     """(query_id, rank, vec_id, score): the k largest inner products of each row of ``rows(vec_id, embedding)`` that meets ``queries``."""
     scratch = Scratch(rows.sparkSession)
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    small = ~F.exists(F.col("embedding"), lambda x: F.abs(x.cast("double") * scale) > LIMIT)
-    vectors = packed(ids.where("vec_id is not null").where(small), ("vec_id",)).select("vec_id", "dim", "vec", queries.alias("asks"))
+    finite = F.forall(F.col("embedding"), lambda x: F.abs(x.cast("double") * scale) < float("inf"))
+    vectors = packed(ids.where("vec_id is not null").where(finite), ("vec_id",)).select("vec_id", "dim", "vec", queries.alias("asks"))
     vectors = scratch.save(vectors, "vectors")
     sizes = scratch.save(vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("blocks")), "sizes")
     dealt = join_measured(vectors, sizes, "dim", "inner", sizes.count())
@@ -180,8 +260,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, scale: int = SCALE) -> D
     offered = dealt.where("blocks > 0").select("vec_id", "dim", "vec", each("blocks").alias("block"), own("shards").alias("shard"), F.lit(1).alias("candidate"))
     keys = ["dim", "block", "shard"]
     grid = asked.select("vec_id", "vec", *keys, "candidate").union(offered.select("vec_id", "vec", *keys, "candidate"))
-    met = grid.repartition(*keys).sortWithinPartitions(*keys, "candidate").mapInPandas(_search(k, scale), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = grid.repartition(*keys).sortWithinPartitions(*keys, "candidate").mapInPandas(_search(k, scale), "query_id long, vec_id long, score long, exact binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("exact"), "vec_id")
     return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -205,6 +205,14 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(400) if j != i)[:20]
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     want += [(1080, 1, 1120, 64 * 64), (1120, 1, 1080, 64 * 64)]
+    # a vector of large components takes part like any other: 1e12 * 64 is exact, and so are its sums
+    wide = [64 * 10**12] * 24
+    for i in range(0, 400, 20):
+        s = sum(int(a) * b for a, b in zip(q[i], wide))
+        mine = [(-w[3], w[2]) for w in want if w[0] == i] + [(-s, 1100)]
+        want = [w for w in want if w[0] != i] + [(i, k + 1, j, -t) for k, (t, j) in enumerate(sorted(mine)[:20])]
+    scores = sorted((-sum(int(a) * b for a, b in zip(q[j], wide)), j) for j in range(400))[:20]
+    want += [(1100, k + 1, j, -t) for k, (t, j) in enumerate(scores)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert segments.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).collect() == []
 
@@ -225,6 +233,44 @@ def test_top_k_counts_repeated_rows_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_of_large_components():
+    """Scores within and beyond longs and doubles, in blocks whose other pairs are small."""
+    r = np.random.default_rng(4)
+    x = np.floor(r.normal(size=(300, 6)) * 10.0 ** r.integers(0, 13, (300, 1)))
+    x[:4] *= 10.0 ** np.array([[20], [60], [140], [15]])
+    ids = np.arange(300)
+    for part in (slice(0, 300), slice(0, 20), slice(20, 300)):
+        top = segments.TopK(ids[part], x[part], 7)
+        for at in range(0, 300, 90):
+            top.offer(ids[at : at + 90], x[at : at + 90])
+        got = {}
+        for f in top.results():
+            for q, c, s, e in f.itertuples(index=False):
+                got.setdefault(q, []).append((s, e or b"", -c))
+        rows = [[int(v) for v in row] for row in x]
+        for q in ids[part].tolist():
+            best = sorted((-sum(a * b for a, b in zip(rows[q], rows[c])), c) for c in range(300) if c != q)[:7]
+            mine = sorted(got[q], reverse=True)[:7]
+            assert [-c for *_, c in mine] == [c for _, c in best]
+            assert [s for s, *_ in mine] == [min(max(-s, -(1 << 63)), (1 << 63) - 1) for s, _ in best]
+    xs = [0, 1, -1, 255, 256, -256, 1 << 63, -(1 << 63), (1 << 200) + 1, 1 << 200, -(1 << 200)]
+    assert sorted(xs) == sorted(xs, key=segments.sortable)
+
+
+def test_bounds_spare_scores():
+    """Where vectors have structure, few pairs are scored; the result is that of brute force."""
+    r = np.random.default_rng(7)
+    x = np.floor(64 * np.cumsum(r.normal(size=(4000, 64)), axis=1) * r.choice([0.1, 1, 3], (4000, 1)))
+    top = segments.TopK(np.arange(100), x[:100], 20)
+    for at in range(0, 4000, 1000):
+        top.offer(np.arange(at, at + 1000), x[at : at + 1000])
+    assert top.scored < 0.1 * top.pairs
+    full = x[:100] @ x.T
+    for q in range(100):
+        best = sorted((-s, c) for c, s in enumerate(full[q]) if c != q)[:20]
+        assert [(-s, c) for s, c in top.top[top.top[:, 0] == q][:, 1:].tolist()] == best
+
+
 def test_bounds_hold():
     r = np.random.default_rng(5)
     a, b = r.normal(size=(50, 30)), r.normal(size=(60, 30))
