@@ -167,12 +167,151 @@ def test_hiding_styles(style, shown):
     assert html.text_of(f"<p>a<div style=\"{style.replace(chr(34), '&quot;')}\">b</div>") == ("a\n\nb" if shown else "a")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 210 + "<p style='display:none'>secret</p>shown", "shown"),
+        ("<p class=a\">text one</p><p>he said \"hi\" there</p>", "text one\n\nhe said \"hi\" there"),
+        ("<p style='visibility:hidden'>a <b style='visibility:visible'>b</b> c", "b"),
+        ("<p hidden style='display:block'>a</p><p style='display:none!important;display:block'>b", "a"),
+        ("<map>t<area alt=x></map><input type=submit value=Go><input type=hidden value=no><input type=password value=no>", "tGo"),
+        ("<table><tr><td rowspan=2>R<td>a<tr><td>b<tr><td>c<td>d</table>", "R | a\n  | b\nc | d"),
+        ("<table><tr><td>a<td rowspan=0>x<tr><td>b<tr><td>c<td>d</table>", "a | x\nb\nc |   | d"),
+        ("<table><tr><td colspan=1000>wide one<tr><td>a<td>b</table>", "wide one\na | b"),
+        ("<table><tfoot><tr><td>f</tfoot><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
+        ("<table><tr><td style='display:none'>x<td>a<tr style='visibility:collapse'><td>y<tr><td style='visibility:hidden'>zz<td>b</table>", "a\n  | b"),
+        ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+        ("<ol type=A start=26><li>x<li>y</ol><ol type=i><li value=4>z</ol>", "Z. x\nAA. y\n\niv. z"),
+        ("a<!-->b<!-- x --!>c<!x>d<?y>e</>f</ x>g", "abcdefg"),
+        ("x < y <3 a<b c='", "x < y <3 a"),
+        ("a<svg><path/><title>t</title><text>b</text></svg>c", "abc"),
+        ("<ul><li style='display:none'>x<li style='visibility:hidden'>y<li>z</ul>", "- z"),
+    ],
+)
+def test_rendering_of_odd_pages(page, text):
+    assert html.text_of(page) == text
+
+
+def test_html_matches_a_slow_renderer():
+    """Random trees, written out as HTML, against a recursive renderer of the trees themselves."""
+    r = np.random.default_rng(12)
+    words = iter(range(10**9))
+    hiding = [("", True, None)] * 12 + [(" hidden", False, None), (" style='display:none'", False, None), (" style='visibility: hidden'", True, False), (" style='color:red; visibility:visible'", True, True)]
+
+    def tree(depth, inline=False):
+        if depth and inline:
+            depth = 1 if r.random() < 0.5 else 0
+            return ("span", hiding[r.integers(len(hiding))], [tree(0)]) if depth else tree(0)
+        kind = r.choice(["text", "span", "div", "p", "ul", "ol", "blockquote", "table"], p=[0.4, 0.12, 0.12, 0.08, 0.08, 0.06, 0.04, 0.1]) if depth else "text"
+        if kind == "text":
+            return ("text", [f"w{next(words)}" for _ in range(r.integers(1, 4))])
+        few = lambda: [tree(depth - 1, kind == "p") for _ in range(r.integers(0, 4))]
+        style = hiding[r.integers(len(hiding))]
+        if kind in ("ul", "ol"):
+            return (kind, style, [(hiding[r.integers(len(hiding))], few()) for _ in range(r.integers(1, 4))])
+        if kind == "table":
+            rows, wide = int(r.integers(1, 4)), int(r.integers(1, 4))
+            taken, cells = set(), [[] for _ in range(rows)]
+            for y in range(rows):
+                for x in range(wide):
+                    if (y, x) not in taken:
+                        across, deep = int(r.integers(1, wide - x + 1)), int(r.integers(1, rows - y + 1))
+                        if any((y, x + i) in taken for i in range(across)):
+                            across = 1
+                        taken |= {(y + j, x + i) for j in range(deep) for i in range(across)}
+                        cells[y].append((x, across, deep, few()))
+            return (kind, style, cells)
+        return (kind, style, few())
+
+    def write(n):
+        if n[0] == "text":
+            return " " + " ".join(n[1]) + " "
+        inside = lambda xs: "".join(map(write, xs))
+        if n[0] in ("ul", "ol"):
+            body = "".join(f"<li{s[0]}>{inside(xs)}</li>" for s, xs in n[2])
+        elif n[0] == "table":
+            body = "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{inside(xs)}</td>" for _, a, d, xs in row) + "</tr>" for row in n[2])
+        else:
+            body = inside(n[2])
+        return f"<{n[0]}{n[1][0]}>{body}</{n[0]}>"
+
+    def boxes(n, seen, deep):
+        """Words, and (margin before, lines, margin after) for blocks."""
+        if n[0] == "text":
+            return list(n[1]) if seen else []
+        _, shown, own = n[1]
+        if not shown:
+            return []
+        seen = seen if own is None else own
+        inside = lambda xs, d=deep, s=seen: stack([b for x in xs for b in boxes(x, s, d)])
+        margin = {"div": 0, "p": 1, "blockquote": 1, "table": 1, "ul": 0 if deep else 1, "ol": 0 if deep else 1}.get(n[0])
+        if n[0] == "span":
+            return [b for x in n[2] for b in boxes(x, seen, deep)]
+        if n[0] in ("ul", "ol"):
+            out, k = [], 0
+            for (_, li_shown, li_own), xs in n[2]:
+                if li_shown:
+                    k += 1
+                    s = seen if li_own is None else li_own
+                    a, lines, b = inside(xs, deep + 1, s)
+                    mark = f"{k}. " if n[0] == "ol" else "- "
+                    first = mark if s else " " * len(mark)
+                    out.append((a, [((first if i == 0 else " " * len(mark)) + x).rstrip() if x else x for i, x in enumerate(lines)], b))
+            return [(margin, [], margin), stack(out), (margin, [], margin)]
+        if n[0] == "blockquote":
+            a, lines, b = inside(n[2], deep + 1)
+            return [(margin, [], 0), (a, [("  " + x).rstrip() for x in lines], b), (margin, [], 0)]
+        if n[0] == "table":
+            rows = [[(x, a, inside(xs, 0)[1]) for x, a, _, xs in row] for row in n[2]]
+            rows = [row for row in rows if any(lines for *_, lines in row)]
+            size = 1 + max((x for row in rows for x, *_ in row), default=0)
+            wide = [max([len(t) for row in rows for x, a, lines in row if x == c and min(a, size - x) == 1 for t in lines], default=0) for c in range(size)]
+            out = []
+            for row in rows:
+                for y in range(max(len(lines) for *_, lines in row)):
+                    slots = {c: " " * wide[c] for c in range(size)}
+                    for x, a, lines in row:
+                        upto = min(x + a, size)
+                        slots[x] = (lines[y] if y < len(lines) else "").ljust(sum(wide[x:upto]) + 3 * (upto - x - 1))
+                        for c in range(x + 1, upto):
+                            del slots[c]
+                    last = max(x + min(a, size - x) for x, a, _ in row)
+                    out.append(" | ".join(t for c, t in slots.items() if c < last).rstrip())
+            return [(margin, out, margin)]
+        a, lines, b = inside(n[2])
+        return [(max(a, margin), lines, max(b, margin))]
+
+    def stack(items):
+        before, lines, gap, line = 0, [], 0, []
+        for b in [*items, (0, [], 0)]:
+            if isinstance(b, str):
+                line.append(b)
+                continue
+            for a, more, c in [*([(0, [" ".join(line)], 0)] if line else []), b]:
+                gap = max(gap, a)
+                if more:
+                    if not lines:
+                        before = gap
+                    lines = lines + [""] * (gap if lines else 0) + more
+                    gap = 0
+                gap = max(gap, c)
+            line = []
+        return (before, lines, gap) if lines else (gap, [], gap)
+
+    for _ in range(400):
+        nodes = [tree(4) for _ in range(4)]
+        page = "".join(map(write, nodes))
+        want = stack([b for n in nodes for b in boxes(n, True, 0)])[1]
+        assert html.text_of(page) == "\n".join(want), page
+
+
 def test_html_survives_anything():
     r = np.random.default_rng(1)
     bits = ["<", ">", "</", "p", "table", "td", " ", "x", "<tr>", "<li>", "<!--", "-->", "&", "'", '"', "<pre>", "</table>", "<select>", "\n"]
     for _ in range(300):
         html.text_of("".join(r.choice(bits, 60)))
     assert html.text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert html.text_of("<ul><li>x" * 3000).count("x") == 3000 and html.text_of("<table><tr><td>a<td>" * 300).count("a") == 300
     assert html.text_of("<p>" + "word " * 50000).count("word") == 50000
 
 
@@ -186,6 +325,9 @@ def test_html_loses_no_text(spark, sf):
         assert got == [w for w in want if w != "-"]
     df = spark.createDataFrame([(1, None, "n"), (2, "<p>a", "n")], "page_id long, html string, text string")
     assert [x.text for x in html.extract(df).collect()] == [None, "a"]
+    kept = html.extract(df.withColumnRenamed("text", "html2"), keep=("page_id", "html2", "html"))
+    assert kept.columns == ["page_id", "html2", "html", "text"] and html.extract(df, keep=("text", "page_id")).columns == ["page_id", "text"]
+    assert kept.collect()[1][:] == (2, "n", "<p>a", "a")
 
 
 # ---------------------------------------------------------------- top-k
