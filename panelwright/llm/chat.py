@@ -5,13 +5,17 @@ control string gets one backslash more between ``<`` and ``|`` (``<|`` becomes `
 ``<\\\\|``), so no text can look like a mark, and taking one backslash away restores it. Roles are escaped
 likewise, and their backslashes and line feeds as well.
 
-A conversation is cut at turns by prefix sums of turn tokens: with C the tokens up to a turn's end and S
-the window's share for new turns, a turn belongs to span floor((C - 1) / S). Turns that lie within one
+Every window holds the conversation's system turn (its first turn, if the role is ``system``), whose
+tokens are taken off the budget first. The rest, less HISTORY, is the window's share S for new turns, at
+least one token. A conversation is cut at turns by prefix sums of turn tokens: with C the tokens up to a
+turn's end, the system turn aside, a turn belongs to span floor((C - 1) / S). Turns that lie within one
 span are at most S tokens; the turn that crosses into the span from before stays with them if the sum
 allows and else is a window of its own. Only a turn that is longer than S by itself exceeds the share.
 
-Each window begins with the conversation's system turn (its first turn, if the role is ``system``) and,
-as limited history, up to HISTORY_TURNS turns from before the window with at most HISTORY tokens in all.
+After the system turn each window repeats, as limited history, up to HISTORY_TURNS turns from before it,
+as far as HISTORY and what the budget leaves beside system turn and new turns allow. So a window exceeds
+the budget only if it has a single new turn that does so together with the system turn.
+
 The loss mask, character spans of the formatted window, covers the texts of its new assistant turns only:
 targets repeated as history are masked, so each assistant text is a target exactly once.
 
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of a window, of which the system turn and the history take up to their shares.
+#: Tokens of a window, those of the history in it, and its turns.
 BUDGET, HISTORY, HISTORY_TURNS = 512, 96, 2
 #: Tokens counted for a turn's marks and role.
 MARKS = 4
@@ -65,19 +69,23 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     The first ``n_repeated`` turns of ``formatted`` are system turn and history. ``loss_spans`` holds
     (start, length) pairs in characters.
     """
-    share = budget - history
     conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     all_before = conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("tok", count(F.col("text"))).withColumn("nth", F.row_number().over(conv)).withColumn("cum", F.sum("tok").over(all_before))
+    t = t.withColumn("tok", count(F.col("text"))).withColumn("nth", F.row_number().over(conv))
+    is_system = (F.col("nth") == 1) & (F.col("role") == "system")
     body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
-    t = t.withColumn("body", body)
-    t = t.withColumn("span", F.floor((F.col("cum") - 1) / share))
-    t = t.withColumn("crosses", F.col("cum") - F.col("tok") < F.col("span") * share)
+    t = t.withColumns({"body": body, "load": F.when(is_system, 0).otherwise(F.col("tok")), "system_tok": F.first(F.when(is_system, F.col("tok")).otherwise(0)).over(all_before)})
+    t = t.withColumns({"cum": F.sum("load").over(all_before), "share": F.greatest(budget - history - F.col("system_tok"), F.lit(1))})
+    t = t.withColumn("span", F.floor((F.col("cum") - 1) / F.col("share")))
+    t = t.withColumn("crosses", F.col("cum") - F.col("load") < F.col("span") * F.col("share"))
     in_span = Window.partitionBy("conv_id", "span")
-    t = t.withColumn("together", F.max("cum").over(in_span) - F.min(F.col("cum") - F.col("tok")).over(in_span) <= share)
-    # a window's number: two per span, the first for a crossing turn that must stand alone
+    t = t.withColumn("together", F.max("cum").over(in_span) - F.min(F.col("cum") - F.col("load")).over(in_span) <= F.col("share"))
+    # a window's number: two per span, the first for a crossing turn that must stand alone; the system turn opens the first
     t = t.withColumn("window", F.col("span") * 2 + F.when(F.col("crosses") & ~F.col("together"), 0).otherwise(1))
+    t = t.withColumn("window", F.when(is_system, F.coalesce(F.lead("window").over(conv), F.lit(1))).otherwise(F.col("window")))
+    left = budget - F.col("system_tok") - F.sum("load").over(Window.partitionBy("conv_id", "window"))
+    t = t.withColumn("spare", F.least(F.lit(history), F.greatest(left, F.lit(0))))
     earlier = conv.rowsBetween(-history_turns, -1)
     past = F.collect_list(F.struct("nth", "role", "tok", "body")).over(earlier)
     system = F.first(F.when((F.col("nth") == 1) & (F.col("role") == "system"), F.col("body"))).over(all_before)
@@ -90,7 +98,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
         F.reverse(fits),
         F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("bodies"), F.lit(True).alias("open")),
         lambda a, p: F.when(
-            a["open"] & (a["sum"] + p["tok"] <= history),
+            a["open"] & (a["sum"] + p["tok"] <= F.col("spare")),
             F.struct((a["sum"] + p["tok"]).alias("sum"), F.concat(F.array(p["body"]), a["bodies"]).alias("bodies"), F.lit(True).alias("open")),
         ).otherwise(F.struct(a["sum"].alias("sum"), a["bodies"].alias("bodies"), F.lit(False).alias("open"))),
     )["bodies"]
@@ -149,7 +157,6 @@ def digests(turns: DataFrame) -> DataFrame:
 
 def oracle(budget: int = BUDGET, history: int = HISTORY) -> str:
     """DuckDB SQL of the digests over ``conversations`` and the control conversation."""
-    share = budget - history
     return rf"""
 with src as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -161,12 +168,19 @@ esc as (
     ceil(length(text) / 4.0)::bigint + {MARKS} as tok from src),
 num as (
   select *, length('{START}') + length(erole) + 1 + length(etext) + length('{END}') + 1 as len,
-    row_number() over w as nth, sum(tok) over w as cum from esc window w as (partition by conv_id order by turn nulls first, role, text)),
-sp as (select *, floor((cum - 1) / {share})::bigint as span from num),
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as nth from esc),
+sys as (select conv_id, tok as system_tok from num where nth = 1 and role = 'system'),
+ld as (
+  select num.*, coalesce(system_tok, 0) as system_tok, case when nth = 1 and role = 'system' then 0 else tok end as load,
+    greatest({budget} - {history} - coalesce(system_tok, 0), 1) as share from num left join sys using (conv_id)),
+sm as (select *, sum(load) over (partition by conv_id order by nth) as cum from ld),
+sp as (select *, floor((cum - 1) / share)::bigint as span from sm),
 tg as (
-  select *, cum - tok < span * {share} as crosses,
-    max(cum) over (partition by conv_id, span) - min(cum - tok) over (partition by conv_id, span) <= {share} as together from sp),
-win as (select *, span * 2 + case when crosses and not together then 0 else 1 end as win from tg),
+  select *, cum - load < span * share as crosses,
+    max(cum) over (partition by conv_id, span) - min(cum - load) over (partition by conv_id, span) <= share as together from sp),
+cut as (select *, span * 2 + case when crosses and not together then 0 else 1 end as win0 from tg),
+pos as (select *, case when nth = 1 and role = 'system' then coalesce(lead(win0) over (partition by conv_id order by nth), 1) else win0 end as win from cut),
+win as (select *, least({history}, greatest({budget} - system_tok - sum(load) over (partition by conv_id, win), 0)) as spare from pos),
 op as (
   select *, coalesce(lag(win) over w <> win, true) as opens,
     first_value(case when nth = 1 and role = 'system' then len else 0 end) over w as system_len,
@@ -176,8 +190,8 @@ op as (
 rep as (
   select conv_id, len, role, text, nth, opens,
     case when opens and nth > 1 then system_len else 0 end as sys,
-    case when opens and nth > 1 and not (nth = 2 and first_role = 'system') and t1 <= {history} then l1 else 0 end as h1,
-    case when opens and nth > 2 and t1 <= {history} and not (nth = 3 and first_role = 'system') and t1 + t2 <= {history} then l2 else 0 end as h2
+    case when opens and nth > 1 and not (nth = 2 and first_role = 'system') and t1 <= spare then l1 else 0 end as h1,
+    case when opens and nth > 2 and t1 <= spare and not (nth = 3 and first_role = 'system') and t1 + t2 <= spare then l2 else 0 end as h2
   from op)
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,

@@ -110,6 +110,35 @@ def test_windows_keep_budget_system_and_history(spark):
     assert chat.digests(df.limit(0)).collect() == []
 
 
+def test_windows_keep_within_the_budget(spark):
+    """Tokens of each whole window, the system turn and history included; only a lone turn can exceed it."""
+    r = np.random.default_rng(3)
+    rows, sizes = [], {}
+    for conv, system in enumerate([None, 40, 300, 1600, 1700, 4000]):
+        n = 30
+        if system is not None:
+            rows.append((conv, 0, "system", "s" * system))
+        rows += [(conv, i + 1, ("user", "assistant")[i % 2], "t" * int(r.choice([0, 30, 200, 700, 1500, 2500]))) for i in range(n)]
+        sizes[conv] = n + (system is not None)
+    count = lambda part: -(-len(part.split("\n", 1)[1]) // 4) + 4
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    over = 0
+    for w in out:
+        parts = [count(p) for p in w.formatted.split("<|im_end|>\n")[:-1]]
+        system = count(w.formatted.split("<|im_end|>\n")[0]) if w.formatted.startswith("<|im_start|>system") else 0
+        fresh = parts[w.n_repeated :]
+        if system and w.n_repeated == 0:
+            fresh = fresh[1:]
+        assert sum(parts) <= chat.BUDGET or len(fresh) == 1 and sum(parts) == system + fresh[0]
+        over += sum(parts) > chat.BUDGET
+        assert sum(parts) - system - sum(fresh) <= chat.HISTORY and w.n_repeated <= 1 + chat.HISTORY_TURNS
+    assert over and {c: sum(w.n_turns for w in out if w.conv_id == c) for c in sizes} == sizes
+    want = {}
+    for c, _, role, text in rows:
+        want.setdefault(c, []).append(f"{role}\n{text}\n")
+    assert {x.conv_id: x.turns_sha256 for x in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()} == {c: hashlib.sha256("".join(t).encode()).hexdigest() for c, t in want.items()}
+
+
 def test_chat_runs_no_python(spark, sf):
     plan = queries.op2_chat_windows(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
