@@ -1,26 +1,31 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with absolute discounting, interpolated with add-one unigrams:
+The model has n-grams up to ORDER, with absolute discounting, interpolated down to add-one unigrams:
 
-    p(w | u) = max(c(u, w) - D, 0) / c(u) + D * t(u) / c(u) * p(w),    p(w) = (c(w) + 1) / (N + V + 1)
+    p(w | h) = max(c(h, w) - D, 0) / c(h) + D * t(h) / c(h) * p(w | h'),    p(w) = (c(w) + 1) / (N + V + 1)
 
-with t(u) the number of different successors of u. Texts begin in a context of their own and end with an
-end token. All counts are taken over all training documents; nothing is pruned.
+with h' the context without its first word, t(h) the number of different successors of h and c(h) how often
+it has one. The first token of a text has a context of its own, the begin of a text; contexts of two and
+more words lie within the text. Texts end with an end token. All counts are taken over all training
+documents; nothing is pruned.
 
-Level 1 of the trie holds the words, as 64-bit hashes in ascending order (a word's id is its rank), with
-counts; level 2 the successors of each context. Both are cut into shards by hash range. A level-2 shard
-holds Elias-Fano pointers from contexts to their successors, the successors' ids, each raised by the last
-value of the context before so that the whole sequence is monotone and Elias-Fano coded, and 16-bit
-quantised log probabilities; contexts have quantised backoff weights. A bigram is found by a successor
-search for its id relative to its context's base. Shards are files in the shared folder that tasks map
-into memory; no task loads a whole level.
+Level 1 of the trie holds the words, as 64-bit hashes in ascending order (a word's id is its rank): the
+hashes and the running sums of the counts are Elias-Fano coded, log probabilities quantised to 16 bits.
+Level n holds the n-grams. Their parents are the nodes of level n - 1 (of level 2: the words and the begin);
+Elias-Fano pointers lead from parents to successors, whose word ids are raised by the last value of the
+parent before, so that the whole sequence is monotone and Elias-Fano coded, with 16-bit quantised log
+probabilities of successors and log backoff weights of parents. An n-gram is found by a successor search for
+its word relative to its parent's base. A level is cut into shards by ranges of parents, at least one for
+SHARD tokens, so a frequent first word is spread over many. Shards are files in the shared folder that tasks
+map into memory.
 
-Counting merges sorted arrays within each task, sends each shard's part as one compact row, and merges
-again, so a frequent word costs one entry per task.
+A level is counted by walking the levels above: each token's context node and its probability so far, which
+the next order discounts into, are at hand. Counting merges sorted arrays within each task, sends each
+shard's part as one compact row, and merges again, so a frequent n-gram costs one entry per task.
 
 Edge cases: null and empty texts consist of the end token; with no training documents every token has
 probability 1; a null doc_id is held out; repeated rows are learned and scored each; other columns are
-ignored. Two words would have to collide in 64 bits to be taken for one.
+ignored. Words are told apart by 64-bit hashes (see ``base``), n-grams by their words.
 """
 
 from __future__ import annotations
@@ -37,11 +42,14 @@ from panelwright.llm.base import Files, Scratch, batch_word_hashes, portions
 from panelwright.llm.eliasfano import EliasFano
 from panelwright.llm.vectors import runs
 
+ORDER = 3
 DISCOUNT = 0.8
 #: Entries that a counting task holds before it merges, and before it sends what it has.
 MERGE, SEND = 1 << 21, 1 << 22
 #: Characters tokenised at once.
 TEXTS = 1 << 21
+#: Training tokens to a shard, at most.
+SHARD = 1 << 22
 #: Log10 probabilities are quantised in steps of FLOOR / 65535, from 0 down to -FLOOR.
 FLOOR = 16.0
 _END = np.uint64(0x5BD1E995CA11AB1E)
@@ -67,7 +75,7 @@ def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """Counts of uint64 keys, as a sorted array."""
+    """Counts of word hashes, as a sorted array."""
 
     def __init__(self):
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -110,14 +118,25 @@ def _store(folder: str, parts: list[np.ndarray], **about) -> str:
     return name
 
 
+#: Headers and arrays of files already mapped by this worker.
+_mapped: dict[tuple[str, str], tuple[dict, list[np.ndarray]]] = {}
+
+
 def _fetch(folder: str, name: str) -> tuple[dict, list[np.ndarray]]:
-    data = Files(folder).bytes(name)
+    if (folder, name) in _mapped:
+        return _mapped[folder, name]
+    files = Files(folder)
+    data = files.bytes(name)
     size = int.from_bytes(data[:8].tobytes(), "little")
     about, at, parts = json.loads(data[8 : 8 + size].tobytes()), 8 + size, []
     for kind, n in about["parts"]:
         length = n * np.dtype(kind).itemsize
         parts.append(data[at : at + length].view(kind))
         at += length + -length % 8
+    if files.local:  # what remote files hold is kept by ``Files``, within its bound
+        if len(_mapped) >= 4096:
+            _mapped.clear()
+        _mapped[folder, name] = about, parts
     return about, parts
 
 
@@ -128,6 +147,11 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 # ---------------------------------------------------------------- level 1
 
 
+def _first_hash(shard: int, shards: int) -> np.uint64:
+    """The smallest hash of a shard."""
+    return np.uint64(-(-(shard << 32) // shards) << 32)
+
+
 def _count_words(shards: int):
     def run(batches):
         held = Counter()
@@ -154,13 +178,16 @@ def _counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return k, np.frombuffer(counts, np.uint32 if len(counts) < 8 * len(k) else np.uint64).astype(np.int64)
 
 
-def _build_words(folder: str):
+def _build_words(folder: str, shards: int):
     def run(batches):
         current, held = None, None
 
         def finish():
             held.merge()
-            return pd.DataFrame([(current, _store(folder, [held.keys, held.counts]), len(held.keys), int(held.counts.sum()))], columns=["shard", "file", "n", "total"])
+            first = _first_hash(current, shards)
+            hashes, sums = EliasFano.build(held.keys - first), EliasFano.build(np.concatenate(([0], np.cumsum(held.counts))))
+            name = _store(folder, [*hashes.parts, *sums.parts, quantise(-np.log10(held.counts + 1.0))], sizes=[hashes.n, hashes.low_bits, sums.n, sums.low_bits])
+            return pd.DataFrame([(current, name, len(held.keys), int(held.counts.sum()))], columns=["shard", "file", "n", "total"])
 
         for (shard,), part in runs(batches, ["shard"]):
             if shard != current:
@@ -176,7 +203,7 @@ def _build_words(folder: str):
 
 
 class Words:
-    """Level 1: ids and counts of word hashes."""
+    """Level 1: ids, counts and log10 probabilities of word hashes."""
 
     def __init__(self, folder: str, table: list[tuple[int, str, int, int]], shards: int):
         self.shards, self.folder = shards, folder
@@ -186,153 +213,188 @@ class Words:
             size[s + 1] = n
         self.base = np.cumsum(size)
         self.n, self.total = int(self.base[-1]), sum(t for *_, t in table)
-        if self.n >= 1 << 32:
-            raise ValueError("more than 2**32 different words")
-        self._open: dict[int, tuple] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, count) of each hash; id -1 and count 0 if unknown."""
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, count, log10 p) of each hash; id -1 and count 0 if unknown."""
         u, inverse = np.unique(hashes, return_inverse=True)
-        ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
+        ids, counts, logs = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64), np.zeros(len(u))
         cut = np.searchsorted(_shard_of(u, self.shards), np.arange(self.shards + 1, dtype=np.uint64))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if s not in self.file:
                 continue
-            if s not in self._open:
-                self._open[s] = _fetch(self.folder, self.file[s])[1]
-            keys, n = self._open[s]
-            a, b = cut[s], cut[s + 1]
-            at = np.minimum(np.searchsorted(keys, u[a:b]), len(keys) - 1)
-            hit = keys[at] == u[a:b]
-            ids[a:b] = np.where(hit, self.base[s] + at, -1)
-            counts[a:b] = np.where(hit, n[at], 0)
-        return ids[inverse], counts[inverse]
+            about, p = _fetch(self.folder, self.file[s])
+            n1, b1, n2, b2 = about["sizes"]
+            keys, sums = EliasFano(n1, b1, *p[0:4]), EliasFano(n2, b2, *p[4:8])
+            part = slice(cut[s], cut[s + 1])
+            want = u[part] - _first_hash(s, self.shards)
+            at = keys.successor(want)
+            hit = at < n1
+            hit[hit] = keys.get(at[hit]) == want[hit]
+            at, where = at[hit], cut[s] + np.flatnonzero(hit)
+            ids[where], logs[where] = self.base[s] + at, -restore(p[8][at])
+            counts[where] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
+        return ids[inverse], counts[inverse], (logs - np.log10(self.total + self.n + 1))[inverse]
+
+
+# ---------------------------------------------------------------- levels from 2 on
+
+
+def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts pairs of uint64, places of the first of each distinct pair)."""
+    bits = int(b.max(initial=0)).bit_length()
+    # one sort of packed pairs wherever they fit 64 bits
+    order = np.argsort(a << np.uint64(bits) | b) if int(a.max(initial=0)).bit_length() + bits <= 64 else np.lexsort((b, a))
+    x, y = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, np.flatnonzero(first)
+
+
+class Grams:
+    """Counts of (parent, word), sorted, with the quantised log10 probability of the word one order below."""
+
+    def __init__(self):
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self._size = self._whole = 0
+
+    def add(self, parent: np.ndarray, word: np.ndarray, low: np.ndarray, counts: np.ndarray | None = None) -> None:
+        order, first = ordered(parent, word)
+        n = np.diff(first, append=len(order)) if counts is None else np.add.reduceat(counts[order], first) if len(first) else counts
+        keep = order[first]
+        self._parts.append((parent[keep], word[keep], low[keep], n))
+        self._size += len(keep)
+        if self._size > MERGE + 2 * self._whole:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        """(parents, words, low, counts)."""
+        if len(self._parts) != 1:
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64))
+            whole = [np.concatenate(x) for x in zip(*(self._parts or [none]), strict=True)]
+            self._parts, self._size = [], 0
+            self.add(*whole)
+        self._whole = self._size
+        return self._parts[0]
+
+    @property
+    def size(self) -> int:
+        return self._size
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64).tobytes()
 
 
-# ---------------------------------------------------------------- level 2
+def _widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.uint64).astype(np.uint64)
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray, begin: int) -> np.ndarray:
-    """The token before each token; ``begin`` at the start of a text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[bounds[:-1]] = begin
-    return before
+_GRAMS = "shard int, n long, parents binary, lengths binary, words binary, low binary, counts binary"
 
 
-def _count_pairs(words):
+def _count_grams(shared, cuts: np.ndarray):
     def run(batches):
-        w: Words = words.value
-        held, ends = Counter(), w.base[1:]
+        trie: Trie = shared.value
+        held = Grams()
 
         def send():
-            held.merge()
-            context, after = held.keys >> np.uint64(32), (held.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cut = np.concatenate(([0], np.searchsorted(context, ends.astype(np.uint64)), [len(context)]))
+            parent, word, low, counts = held.merge()
             rows = []
+            cut = np.searchsorted(parent, cuts.astype(np.uint64))
             for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                 if b > a:
-                    starts = np.flatnonzero(np.diff(context[a:b].astype(np.int64), prepend=-1))
-                    lengths = np.diff(starts, append=b - a)
-                    c = held.counts[a:b]
-                    rows.append((s, context[a:b][starts].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), after[a:b].tobytes(), c.astype(np.uint8 if c.max() < 256 else np.int64).tobytes()))
-            return pd.DataFrame(rows, columns=["shard", "contexts", "lengths", "after", "counts"])
+                    own = parent[a:b] - np.uint64(cuts[s])
+                    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    c = counts[a:b]
+                    rows.append((s, b - a, _narrow(own[starts]), np.diff(starts, append=b - a).astype(np.uint32).tobytes(), _narrow(word[a:b]), low[a:b].tobytes(), c.astype(np.uint8 if c.max() < 256 else np.int64).tobytes()))
+            return pd.DataFrame(rows, columns=["shard", "n", "parents", "lengths", "words", "low", "counts"])
 
         for pdf in batches:
             for _, texts in portions(pdf["text"], TEXTS):
                 h, bounds = token_hashes(texts)
-                ids, _ = w.look_up(h)
-                held.add(contexts(ids, bounds, w.n).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-                if len(held.keys) > SEND:
+                ids, _, logs = trie.words.look_up(h)
+                score, context = trie.walk(ids, logs, bounds)
+                at = np.flatnonzero(context >= 0)
+                if len(at):
+                    held.add(context[at].astype(np.uint64), ids[at].astype(np.uint64), quantise(score[at]))
+                if held.size > SEND:
                     yield send()
-                    held = Counter()
+                    held = Grams()
         yield send()
 
     return run
 
 
-def _build_pairs(words, folder: str, discount: float):
+def _build_grams(folder: str, cuts: np.ndarray, discount: float):
     def run(batches):
-        w: Words = words.value
         current, held = None, None
 
         def finish():
-            held.merge()
-            first = int(w.base[current]) if current <= w.shards else w.n
-            n = int(w.base[current + 1]) - first if current < w.shards else 1
-            context = (held.keys >> np.uint64(32)).astype(np.int64) - first
-            after = (held.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            pointers = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=n))))
-            seen = np.bincount(context, held.counts, n)
+            parent, word, low, counts = held.merge()
+            n = int(cuts[current + 1] - cuts[current])
+            parent, word = parent.astype(np.int64), word.astype(np.int64)
+            pointers = np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=n))))
+            seen = np.bincount(parent, counts, n)
             kinds = np.diff(pointers)
             weight = np.divide(discount * kinds, seen, out=np.ones(n), where=seen > 0)
-            # raised so that each context's successors follow those of the context before
-            lasts = np.where(kinds > 0, after[np.maximum(pointers[1:] - 1, 0)] + 1, 0)
+            # raised so that each parent's successors follow those of the parent before
+            lasts = np.where(kinds > 0, word[np.maximum(pointers[1:] - 1, 0)] + 1, 0)
             base = np.cumsum(lasts) - lasts
-            raised = (after + 1 + base[context]).astype(np.uint64)
-            p1 = (_counts_of(w, after) + 1) / (w.total + w.n + 1)
-            p = (held.counts - discount) / seen[context] + weight[context] * p1
-            parts = []
-            sizes = []
-            for ef in (EliasFano.build(pointers.astype(np.uint64)), EliasFano.build(raised)):
-                parts += ef.parts
-                sizes += [ef.n, ef.low_bits]
-            name = _store(folder, [*parts, quantise(np.log10(p)), quantise(np.log10(weight))], sizes=sizes, first=first)
-            return pd.DataFrame([(current, name, len(after))], columns=["shard", "file", "n"])
+            p = (counts - discount) / seen[parent] + weight[parent] * 10.0 ** restore(low)
+            raised = EliasFano.build((word + 1 + base[parent]).astype(np.uint64))
+            pointers = EliasFano.build(pointers.astype(np.uint64))
+            name = _store(folder, [*pointers.parts, *raised.parts, quantise(np.log10(p)), quantise(np.log10(weight))], sizes=[pointers.n, pointers.low_bits, raised.n, raised.low_bits])
+            return pd.DataFrame([(current, name, len(word))], columns=["shard", "file", "n"])
 
         for (shard,), part in runs(batches, ["shard"]):
             if shard != current:
                 if current is not None:
                     yield finish()
-                current, held = int(shard), Counter()
-            for c, n, a, k in zip(part["contexts"], part["lengths"], part["after"], part["counts"], strict=True):
-                context = np.repeat(np.frombuffer(c, np.uint32).astype(np.uint64), np.frombuffer(n, np.uint32))
-                succ = np.frombuffer(a, np.uint32).astype(np.uint64)
-                held.add(context << np.uint64(32) | succ, np.frombuffer(k, np.uint8 if len(k) == len(succ) else np.int64).astype(np.int64))
+                current, held = int(shard), Grams()
+            for n, p, k, w, low, c in zip(*(part[x] for x in ("n", "parents", "lengths", "words", "low", "counts")), strict=True):
+                lengths = np.frombuffer(k, np.uint32)
+                held.add(np.repeat(_widen(p, len(lengths)), lengths), _widen(w, n), np.frombuffer(low, np.uint16), np.frombuffer(c, np.uint8 if len(c) == n else np.int64).astype(np.int64))
         if current is not None:
             yield finish()
 
     return run
 
 
-def _counts_of(w: Words, ids: np.ndarray) -> np.ndarray:
-    """Counts of ids."""
-    u, inverse = np.unique(ids, return_inverse=True)
-    out = np.zeros(len(u), np.int64)
-    cut = np.searchsorted(u, w.base)
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        if s not in w._open:  # noqa: SLF001
-            w._open[s] = _fetch(w.folder, w.file[s])[1]  # noqa: SLF001
-        out[cut[s] : cut[s + 1]] = w._open[s][1][u[cut[s] : cut[s + 1]] - w.base[s]]  # noqa: SLF001
-    return out[inverse]
-
-
-class Trie:
-    """Both levels; answers log10 p(w | u) for arrays."""
-
-    def __init__(self, words: Words, folder: str, files: dict[int, str]):
-        self.words, self.folder, self.files = words, folder, files
-        self._open: dict[int, tuple] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+class Level:
+    """The n-grams of one order: successors of the nodes of the level above, which ``cuts`` divides into shards."""
 
-    def _shard(self, s: int):
-        if s not in self._open:
-            about, p = _fetch(self.folder, self.files[s])
-            n1, b1, n2, b2 = about["sizes"]
-            self._open[s] = about["first"], EliasFano(n1, b1, *p[0:4]), EliasFano(n2, b2, *p[4:8]), p[8], p[9]
-        return self._open[s]
-
-    def _pairs(self, s: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p or nan, log10 backoff weight) of sorted pairs in shard s."""
-        first, pointers, successors, probs, weights = self._shard(s)
+    def __init__(self, folder: str, cuts: np.ndarray, table: list[tuple[int, str, int]]):
+        self.folder, self.cuts = folder, cuts
+        self.files = {s: f for s, f, _ in table}
+        size = np.zeros(len(cuts), np.int64)
+        for s, _, n in table:
+            size[s + 1] = n
+        self.base = np.cumsum(size)
+        self.n = int(self.base[-1])
+
+    def look_up(self, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, log10 p, log10 weight of the parent); node -1 if there is none; words may be -1."""
+        a, b = parents.astype(np.uint64), (words + 1).astype(np.uint64)
+        order, first = ordered(a, b)
+        number = np.zeros(len(order), np.int64)
+        number[first[1:]] = 1
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(number)
+        u, v = parents[order[first]], words[order[first]]
+        node, p, weight = np.full(len(u), -1, np.int64), np.zeros(len(u)), np.zeros(len(u))
+        cut = np.searchsorted(u, self.cuts)
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            if s in self.files:
+                x = slice(cut[s], cut[s + 1])
+                node[x], p[x], weight[x] = self._in_shard(s, u[x] - self.cuts[s], v[x])
+        return node[inverse], p[inverse], weight[inverse]
+
+    def _in_shard(self, s: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        about, parts = _fetch(self.folder, self.files[s])
+        n1, b1, n2, b2 = about["sizes"]
+        pointers, successors, probs, weights = EliasFano(n1, b1, *parts[0:4]), EliasFano(n2, b2, *parts[4:8]), parts[8], parts[9]
         starts = np.flatnonzero(np.diff(u, prepend=-1))
-        own = u[starts] - first
-        repeat = np.diff(starts, append=len(u))
+        own, repeat = u[starts], np.diff(starts, append=len(u))
         begin, end = pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64)
         base = np.zeros(len(own), np.uint64)
         base[begin > 0] = successors.get(begin[begin > 0] - 1)
@@ -341,45 +403,61 @@ class Trie:
         at = successors.successor(want)
         hit = (at >= begin) & (at < end) & (v >= 0)
         hit[hit] = successors.get(at[hit]) == want[hit]
-        out = np.full(len(u), np.nan)
-        out[hit] = restore(probs[at[hit]])
-        return out, np.repeat(restore(weights[own]), repeat)
-
-    def score(self, ids: np.ndarray, counts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p(w | u), log10 p(w)) of tokens."""
-        w = self.words
-        base = np.log10((counts + 1) / (w.total + w.n + 1))
-        out = base.copy()
-        key, inverse = np.unique((before + 1).astype(np.uint64) << np.uint64(32) | (ids + 1).astype(np.uint64), return_inverse=True)
-        u, v = (key >> np.uint64(32)).astype(np.int64) - 1, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-        p, weight = np.full(len(key), np.nan), np.zeros(len(key))
-        cut = np.concatenate((np.searchsorted(u, w.base), [len(u)]))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            if s in self.files:
-                a, b = cut[s], cut[s + 1]
-                p[a:b], weight[a:b] = self._pairs(s, u[a:b], v[a:b])
-        p, weight = p[inverse], weight[inverse]
-        known = ~np.isnan(p)
-        out[known] = p[known]
-        out[~known] += weight[~known]
-        return out, base
+        node, p = np.full(len(u), -1, np.int64), np.zeros(len(u))
+        node[hit], p[hit] = self.base[s] + at[hit], restore(probs[at[hit]])
+        return node, p, np.repeat(restore(weights[own]), repeat)
 
 
-def fit(train: DataFrame, discount: float = DISCOUNT) -> Trie:
+class Trie:
+    """All levels; answers log10 p(w | h) for the tokens of texts."""
+
+    def __init__(self, words: Words, levels: list[Level]):
+        self.words, self.levels = words, levels
+
+    @property
+    def parents(self) -> int:
+        """Nodes that a further level could have as parents."""
+        return self.levels[-1].n if self.levels else self.words.n + 1
+
+    def walk(self, ids: np.ndarray, logs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p, parent in a further level) of each token; -1 where the trie has no such context or the text begins within it."""
+        score, starts = logs.copy(), bounds[:-1]
+        context = np.empty_like(ids)
+        context[1:] = ids[:-1]
+        context[starts] = self.words.n  # the begin of a text
+        for level in self.levels:
+            at = np.flatnonzero(context >= 0)
+            found, p, weight = level.look_up(context[at], ids[at])
+            hit = found >= 0
+            score[at] = np.where(hit, p, score[at] + weight)
+            node = np.full(len(ids), -1, np.int64)
+            node[at] = found
+            node[starts] = -1
+            context = np.empty_like(ids)
+            context[1:] = node[:-1]
+            context[starts] = -1
+        return score, context
+
+
+def fit(train: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Trie:
     """The trie of all texts of ``train(text)``."""
     spark = train.sparkSession
     scratch = Scratch(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = train.select(F.col("text").cast("string").alias("text"))
     folder = scratch.folder("trie")
-    dealt = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
-    counted = dealt(rows.mapInPandas(_count_words(shards), "shard int, keys binary, counts binary"))
-    table = scratch.save(counted.mapInPandas(_build_words(folder), "shard int, file string, n long, total long"), "words")
-    words = Words(folder, [tuple(r) for r in table.limit(shards).collect()], shards)
-    shared = spark.sparkContext.broadcast(words)
-    pairs = dealt(rows.mapInPandas(_count_pairs(shared), "shard int, contexts binary, lengths binary, after binary, counts binary"))
-    built = scratch.save(pairs.mapInPandas(_build_pairs(shared, folder, discount), "shard int, file string, n long"), "pairs")
-    return Trie(words, folder, {r.shard: r.file for r in built.select("shard", "file").limit(shards + 1).collect()})
+    dealt = lambda df, n: df.repartitionById(n, "shard").sortWithinPartitions("shard")
+    counted = dealt(rows.mapInPandas(_count_words(parts), "shard int, keys binary, counts binary"), parts)
+    table = scratch.save(counted.mapInPandas(_build_words(folder, parts), "shard int, file string, n long, total long"), "words")
+    trie = Trie(Words(folder, [tuple(r) for r in table.limit(parts).collect()], parts), [])
+    shards = max(parts, -(-trie.words.total // SHARD))
+    for _ in range(order - 1):
+        cuts = np.linspace(0, trie.parents, shards + 1).astype(np.int64)
+        shared = spark.sparkContext.broadcast(trie)
+        grams = dealt(rows.mapInPandas(_count_grams(shared, cuts), _GRAMS), shards)
+        built = scratch.save(grams.mapInPandas(_build_grams(folder, cuts, discount), "shard int, file string, n long"), "grams")
+        trie = Trie(trie.words, [*trie.levels, Level(folder, cuts, [tuple(r) for r in built.limit(shards).collect()])])
+    return trie
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
@@ -393,8 +471,9 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         for pdf in batches:
             for at, texts in portions(pdf["text"], TEXTS):
                 h, bounds = token_hashes(texts)
-                ids, counts = t.words.look_up(h)
-                p, base = t.score(ids, counts, contexts(ids, bounds, t.words.n))
+                ids, counts, logs = t.words.look_up(h)
+                p, _ = t.walk(ids, logs, bounds)
+                base = np.log10((counts + 1) / (t.words.total + t.words.n + 1))
                 first = bounds[:-1]
                 out = pdf[["doc_id", "held_out"]].iloc[at : at + len(texts)].copy()
                 out["n_tokens"], out["n_known"] = np.diff(bounds), np.add.reduceat((counts > 0).astype(np.int64), first)
@@ -405,6 +484,6 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learns from the documents that aren't held out and scores all."""
-    return score(docs, fit(docs.where(~held_out())))
+    return score(docs, fit(docs.where(~held_out()), order))

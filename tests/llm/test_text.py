@@ -150,27 +150,73 @@ def test_elias_fano(values, wanted):
     assert ef.successor(x).tolist() == np.searchsorted(v, x).tolist()
 
 
-def test_scores_match_a_slow_model(spark, sf):
-    docs = documents(sf)
-    words = {d["doc_id"]: (d["text"] or "").encode().lower().split() + [b"</s>"] for d in docs}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    uni, pairs, context = Counter(), Counter(), Counter()
-    for i, w in words.items():
-        if not out[i]:
-            uni.update(w)
-            pairs.update(zip([b"<s>", *w], w))
-            context.update([b"<s>", *w[:-1]])
-    kinds = Counter(u for u, _ in pairs)
-    n, v, d = sum(uni.values()), len(uni), ngram.DISCOUNT
-    for r in ngram.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect():
-        w = words[r.doc_id]
-        base = full = 0.0
-        for a, b in zip([b"<s>", *w], w):
-            p1 = (uni[b] + 1) / (n + v + 1)
-            base += math.log10(p1)
-            full += math.log10((max(pairs[a, b] - d, 0) + d * kinds[a] * p1) / context[a] if context[a] else p1)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in uni for x in w), n, out[r.doc_id])
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - full) < 2e-4 * len(w)
+def slow_scores(texts, learnt, order, d):
+    """(tokens, known tokens, base, score) by text, and the number of training tokens, from counts of tuples of words."""
+    words = {i: (t or "").encode().lower().split() + [b"</s>"] for i, t in texts.items()}
+    counts, kinds, follow = Counter(), Counter(), Counter()
+    uni = Counter()
+    for i in learnt:
+        uni.update(words[i])
+        for k, w in enumerate(words[i]):
+            for n in range(1, order):
+                h = tuple(words[i][k - n : k]) if k >= n else (b"<s>",) if n == 1 else None
+                if h:
+                    kinds[h] += (h, w) not in counts
+                    counts[h, w] += 1
+                    follow[h] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(h, w):
+        if not h:
+            return (uni[w] + 1) / (n + v + 1)
+        low = p(h[1:], w)
+        return (max(counts[h, w] - d, 0) + d * kinds[h] * low) / follow[h] if follow[h] else low
+
+    out = {}
+    for i, ws in words.items():
+        full = sum(math.log10(p(tuple(ws[max(0, k - order + 1) : k]) if k or order == 1 else (b"<s>",), w)) for k, w in enumerate(ws))
+        out[i] = len(ws), sum(w in uni for w in ws), sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws), full
+    return out, n
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_scores_match_a_slow_model(spark, order, sf, monkeypatch):
+    monkeypatch.setattr(ngram, "SHARD", 2000)  # more shards than partitions
+    texts = {d["doc_id"]: d["text"] for d in documents(sf) if order == ngram.ORDER or d["doc_id"] % 4 == 0}
+    out = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    want, total = slow_scores(texts, [i for i in texts if i not in out], order, ngram.DISCOUNT)
+    for r in ngram.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), order).collect():
+        n, known, base, full = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, r.doc_id in out)
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - full) < 2e-4 * order * n
+
+
+def test_a_token_probability_is_a_distribution(spark):
+    """Over all words, the end and one unknown word, the probabilities after any context sum to one."""
+    df = spark.createDataFrame([(1, "a b a b c"), (3, "b a c a b a"), (4, "c"), (5, "")], "doc_id long, text string")
+    trie = ngram.fit(df)
+    one = lambda text: {r.doc_id: r.score for r in ngram.score(spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string"), trie).collect()}
+    context = "a b"
+    texts = [f"{context} {w}" for w in ("a", "b", "c", "zzz")]
+    whole = one([context, *texts])
+    # p(text end) cancels: compare the text with its continuation, both before their ends
+    h = {t: ngram.token_hashes([t]) for t in texts}
+    total = 0.0
+    for t, (x, bounds) in h.items():
+        ids, _, logs = trie.words.look_up(x)
+        total += 10 ** trie.walk(ids, logs, bounds)[0][-2]
+    x, bounds = ngram.token_hashes([context])
+    ids, _, logs = trie.words.look_up(x)
+    total += 10 ** trie.walk(ids, logs, bounds)[0][-1]
+    assert abs(total - 1) < 2e-3 and all(v < 0 for v in whole.values())
+
+
+def test_grams_sort_alike_packed_or_not():
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 50, 500, np.uint64), r.integers(0, 50, 500, np.uint64)
+    for up in (0, 58):  # packed into 64 bits, or not
+        order, first = ngram.ordered(a << np.uint64(up), b)
+        assert list(zip(a[order[first]].tolist(), b[order[first]].tolist())) == sorted(set(zip(a.tolist(), b.tolist())))
 
 
 def test_scoring_edge_cases(spark):
