@@ -14,7 +14,7 @@ The table of rates has one row per source; it is broadcast only if it is measure
 
 Edge cases: documents without a source are a source of their own; a null id hashes as the text ``null``;
 rows with equal ids and texts get equal counts; an empty table gives an empty result; other columns ride
-along, except that columns named ``copy`` or ``shuffle_key`` are replaced.
+along whatever their names, except that columns named ``copy`` or ``shuffle_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -67,31 +67,35 @@ def replicate(docs: DataFrame, targets: dict | None = None, temperature: float =
     scratch = Scratch(docs.sparkSession)
     table = scratch.save(rates(docs.select("source"), targets, temperature), "rates")
     small = table.count() <= BROADCAST_ROWS // 50  # rows of some dozens of numbers, of a high rate up to HIGH + TAIL * sqrt(HIGH) + 20
-    docs = docs.drop("copy", "shuffle_key")
-    joined = docs.join(F.broadcast(table) if small else table, docs["source"].eqNullSafe(table["source_key"]))
+    # the documents' own columns travel in a struct, so that none of their names can meet one of these
+    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    docs = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("of"))
+    joined = docs.join(F.broadcast(table) if small else table, F.col("of").eqNullSafe(F.col("source_key")))
     count = lambda u: F.size(F.filter("steps", lambda c: c <= u))
     # the numbers of the further draws come as an array, so that each is hashed once and not for each step
-    more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda j: uniform(f"={seed}", F.concat(F.lit("copies/"), j.cast("string")), "doc_id"))
+    more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda j: uniform(f"={seed}", F.concat(F.lit("copies/"), j.cast("string")), "id"))
     further = F.when(F.col("draws") > 1, F.aggregate(more, F.lit(0), lambda acc, u: acc + count(u))).otherwise(0)
-    drawn = joined.withColumn("__u", uniform(f"={seed}", "=copies", "doc_id")).withColumn("__k", count(F.col("__u")) + further)
-    copies = drawn.where("__k > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", uniform(f"={seed}", "=order", "doc_id", "copy"))
+    drawn = joined.withColumn("u", uniform(f"={seed}", "=copies", "id")).withColumn("k", count(F.col("u")) + further)
+    copies = drawn.where("k > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", uniform(f"={seed}", "=order", "id", "copy")).select("doc.*", "copy", "shuffle_key")
     return keyed.repartition(F.hash("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
 def oracle(temperature: float = TEMPERATURE, seed: int = SEED, docs: str = "documents", columns: str = "d.doc_id, d.text, d.lang, d.source, d.n_chars") -> str:
-    """DuckDB SQL of ``replicate`` with a temperature."""
+    """DuckDB SQL of ``replicate`` with a temperature; the distribution's terms come from log-gamma, not from a recurrence."""
     u = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0"
     return f"""
-with recursive counts as (select source, count(*)::double as n from {docs} group by source),
+with counts as (select source, count(*)::double as n from {docs} group by source),
 rates as (select source, pow(n, {temperature!r}) * sum(n) over () / (sum(pow(n, {temperature!r})) over () * n) as rate from counts),
-steps as (
-  select source, rate, 0 as j, exp(-rate) as p, exp(-rate) as cdf from rates
-  union all
-  select source, rate, j + 1, p * rate / (j + 1), cdf + p * rate / (j + 1) from steps where j < (rate + {TAIL} * sqrt(rate) + 20)::int),
-tables as (select source, list(cdf order by j) as cdfs from steps group by source),
+means as (select source, greatest(ceil(rate / {HIGH}), 1)::int as draws, rate / greatest(ceil(rate / {HIGH}), 1) as mean from rates),
+terms as (
+  select source, draws, j, case when mean = 0 then (j = 0)::int::double else exp(j * ln(mean) - mean - lgamma(j + 1.0)) end as p
+  from (select *, unnest(range(0, (mean + {TAIL} * sqrt(mean) + 20)::int + 1)) as j from means)),
+steps as (select source, draws, j, sum(p) over (partition by source order by j) as cdf from terms),
+tables as (select source, any_value(draws) as draws, list(cdf order by j) as cdfs from steps group by source),
 drawn as (
-  select d.*, len(list_filter(t.cdfs, lambda c: c <= {u.format(f"concat('{seed}:copies:', coalesce(d.doc_id::varchar, 'null'))")})) as k
+  select d.*, list_sum(list_transform(range(1, t.draws + 1), lambda i: len(list_filter(t.cdfs, lambda c: c <=
+    {u.format(f"concat('{seed}:copies', case when i > 1 then concat('/', i::varchar) else '' end, ':', coalesce(d.doc_id::varchar, 'null'))")}))))::bigint as k
   from {docs} d join tables t on d.source is not distinct from t.source),
 copies as (select *, unnest(range(1, k + 1)) as copy from drawn where k > 0)
 select {columns}, d.copy::int as copy, {u.format(f"concat('{seed}:order:', coalesce(d.doc_id::varchar, 'null'), ':', d.copy::varchar)")} as shuffle_key from copies d
