@@ -11,6 +11,7 @@ Edge cases: a null or empty text, or one without letters, gets ``und`` and score
 document if there is nothing to learn from. Equal counts are ranked by the n-gram's code and equal
 distances by the language's name. Repeated rows are counted and answered as often as they occur. A
 null ``doc_id`` is held out. Columns other than doc_id, text and lang are ignored.
+More languages than LANGUAGES are an error.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 #: n-grams in a profile.
 PROFILE = 400
 ORDERS = 3
-#: Languages that a model may tell apart; the profiles sent to executors have at most LANGUAGES * PROFILE entries.
-LANGUAGES = 2000
+#: Languages that a model may tell apart, more than there are; the profiles sent to executors have at most LANGUAGES * PROFILE entries of 16 bytes.
+LANGUAGES = 20_000
 #: Characters whose n-grams are counted at once.
 CHUNK = 1 << 20
 _BITS = np.int64(21)
@@ -126,10 +127,12 @@ def _count_partition(batches):
 
 @dataclass(frozen=True)
 class Profiles:
-    """Ranks of each known n-gram in each language's profile; ``size`` stands for absent."""
+    """The n-grams of all profiles: n-gram k has rank ``ranks[i]`` in language ``owners[i]`` for i in starts[k]:starts[k + 1]."""
 
     langs: tuple[str, ...]
     codes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
     ranks: np.ndarray
     size: int
 
@@ -141,10 +144,13 @@ class Profiles:
         if not len(codes):
             return "und", 0.0
         own = ranked(codes, counts, self.size)
-        at = np.searchsorted(self.codes, own)
-        at[at == len(self.codes)] = 0
-        rank = np.where((self.codes[at] == own)[:, None], self.ranks[at], self.size)
-        away = np.where(rank < self.size, np.abs(rank - np.arange(len(own))[:, None]), self.size).sum(0)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == own)
+        first, n = self.starts[at[place]], self.starts[at[place] + 1] - self.starts[at[place]]
+        entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        # an n-gram that a language lacks counts the profile's length, one that it has the difference of ranks
+        nearer = self.size - np.abs(self.ranks[entry] - np.repeat(place, n))
+        away = self.size * len(own) - np.bincount(self.owners[entry], nearer, len(self.langs))
         best = int(np.argmin(away))
         return self.langs[best], 1.0 - float(away[best]) / (self.size * len(own))
 
@@ -156,34 +162,39 @@ def fit(train: DataFrame, size: int = PROFILE) -> Profiles:
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     found = top.select("lang", "gram", "rank").limit(LANGUAGES * size + 1).toPandas()
-    langs = sorted(found["lang"].unique())
+    langs, owners = np.unique(found["lang"].to_numpy(str), return_inverse=True) if len(found) else (np.zeros(0, str), np.zeros(0, np.int64))
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    codes = np.unique(found["gram"].to_numpy(np.int64))
-    ranks = np.full((max(1, len(codes)), max(1, len(langs))), size, np.int32)
-    if len(codes):
-        ranks[np.searchsorted(codes, found["gram"]), [langs.index(x) for x in found["lang"]]] = found["rank"] - 1
-    return Profiles(tuple(langs), codes if len(codes) else np.array([-1], np.int64), ranks, size)
+    grams = found["gram"].to_numpy(np.int64)
+    by_gram = np.argsort(grams, kind="stable")
+    codes, starts = np.unique(grams[by_gram], return_index=True)
+    if not len(codes):
+        codes = np.array([-1], np.int64)
+        starts = np.zeros(1, np.int64)
+    return Profiles(tuple(langs.tolist()), codes, np.append(starts, len(grams)), owners[by_gram].astype(np.int32), found["rank"].to_numpy(np.int32)[by_gram] - 1, size)
 
 
 def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``lang_pred`` and ``score``."""
+    """``keep`` columns plus ``lang_pred`` and ``score``; kept columns of these names give way to them."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    cols = [c for c in keep if c != "text"]
-    back = [*cols, *(["text"] if "text" in keep else [])]
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    names = [f"k{i}" for i in range(len(keep))]
+    # a kept text travels once
+    read = names[keep.index("text")] if "text" in keep and dict(docs.dtypes)["text"] == "string" else "text"
 
     def run(batches):
         p = shared.value
         for pdf in batches:
-            out = pdf[back].copy()
-            answers = [p.predict(t) for t in pdf["text"]]
+            out = pdf[names].copy()
+            answers = [p.predict(t) for t in pdf[read]]
             out["lang_pred"] = [a[0] for a in answers]
             out["score"] = [a[1] for a in answers]
             yield out
 
-    rows = docs.select(*cols, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([F.col("text").cast("string").alias("text")] if read == "text" else []))
     types = dict(rows.dtypes)
-    return rows.mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in back] + ["lang_pred string", "score double"]))
+    found = rows.mapInPandas(run, ", ".join([f"{n} {types[n]}" for n in names] + ["lang_pred string", "score double"]))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
 
 
 def held_out(doc_id="doc_id"):
