@@ -8,12 +8,16 @@ those, are merged exactly, merge by merge.
 The compatibility test undoes the merges that made the two tokens, latest first, and looks whether the
 two pieces that then touch would have been merged before the piece undone last came to be.
 
-Texts are split into words as the vocabulary file says. Words are remembered with their tokens, up to
+Texts are split into words as the vocabulary file says: where its normaliser and splitter are those written
+out below, texts of Latin letters are split here, all others by the library. A file whose model has parts
+that this codec has not (unknown tokens, byte fallback, prefixes, special tokens with own rules, no byte-level
+splitter) is refused. Words are remembered with their tokens, up to
 ``MEMO`` of them per Python worker; beyond that the memory is emptied.
 
 Edge cases: null and empty texts have no tokens and decode to an empty text; special tokens' strings
 inside a text become their ids, as the library does it; very long texts are encoded whole; repeated rows
-are encoded each. Columns other than those named are passed over.
+are encoded each. Columns other than those named are passed over; kept columns named ``ids`` or ``decoded``
+give way to the results.
 """
 
 from __future__ import annotations
@@ -38,6 +42,27 @@ _PLAIN = re.compile("[\t\n\r\x0b\x0c -~\xa0-įı-ɏ]*").fullmatch
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\\s\\w]|_)+").findall
 
 
+# The normaliser and splitter of the vocabulary file that _WORDS restates.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def check(spec: dict) -> None:
+    """Raises if the file needs something that this codec does not do."""
+    model, splitter = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"special token {t['content']}" for t in spec["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    odd += ["post_processor"] if spec.get("post_processor") and spec["post_processor"].get("type") != "ByteLevel" else []
+    if model.get("type") != "BPE" or "ByteLevel" not in splitter or '"add_prefix_space": true' in splitter or odd:
+        raise ValueError(f"not a byte-level BPE vocabulary that can be encoded here: {', '.join(odd) or 'model or splitter'}")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -50,8 +75,11 @@ class SpeculativeBpe:
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
+        check(spec)
+        self._latin = spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _SPLITTER
         model = spec["model"]
         suffix = model["end_of_word_suffix"] or ""
+        self._tail = _END if suffix else ""
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -147,7 +175,7 @@ class SpeculativeBpe:
             end = min(n, at + longest.get(word[at : at + 2], 1))
             while (i := find(word[at:end])) is None:
                 end -= 1
-            if end == n - 1:  # the end mark can't stand alone: leave a character to it
+            if self._tail and end == n - 1:  # the end mark can't stand alone: leave a character to it
                 end -= 1
                 while end > at and (i := find(word[at:end])) is None:
                     end -= 1
@@ -182,7 +210,7 @@ class SpeculativeBpe:
         number: dict[str, int] = {}
         used = [number.setdefault(w, len(number)) for chunk in words if chunk for w in chunk.split(" ")]
         owned = np.fromiter((chunk.count(" ") + 1 if chunk else 0 for chunk in words), np.int64, len(words))
-        parts = [w + _END for w in number]
+        parts = [w + self._tail for w in number]
         proposals = list(map(self.propose, parts))
         lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
         flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
@@ -218,12 +246,12 @@ class SpeculativeBpe:
         """Memo keys of a text: plain chunks between white space, ready-split chunks, special ids."""
         out: list = []
         at = 0
-        for m in [*(self._specials.finditer(text) if self._specials and "<" in text else ()), None]:
+        for m in [*(self._specials.finditer(text) if self._specials else ()), None]:
             piece = text[at : m.start() if m else len(text)]
-            if _PLAIN(piece):
+            if self._latin and _PLAIN(piece):
                 out += piece.lower().split()
             elif piece:
-                normal = self.library.normalizer.normalize_str(piece)
+                normal = self.library.normalizer.normalize_str(piece) if self.library.normalizer else piece
                 out += [("w", w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
             if m:
                 out.append(("s", self.special[m.group()]))
@@ -270,7 +298,9 @@ class SpeculativeBpe:
             self._flat = np.append(self._flat, np.int32(i))
 
     def decode(self, ids) -> str:
-        """The tokens' texts joined by blanks: the vocabulary file names no decoder."""
+        """The tokens' texts joined by blanks where the vocabulary file names no decoder, else as the library decodes."""
+        if self.library.decoder is not None:
+            return self.library.decode(list(ids), skip_special_tokens=False)
         return " ".join(map(self._texts.__getitem__, ids))
 
 
@@ -301,8 +331,10 @@ def _slices(texts: list, limit: int = _TEXTS):
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns plus ``ids array<int>`` for ``docs.text``, and ``decoded string`` for the ids if asked for."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    names = [*keep, "ids", *(["decoded"] if decoded else [])]
+    results = ["ids", *(["decoded"] if decoded else [])]
+    keep = tuple(c for c in keep if c not in results)
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         bpe = codec(path)
@@ -314,21 +346,25 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), deco
                 out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
                 if decoded:
                     out.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                yield pa.RecordBatch.from_arrays(out, names=[*names, *results])
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["ids array<int>"] + ["decoded string"] * decoded))
+    found = rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in names] + ["ids array<int>"] + ["decoded string"] * decoded))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *results)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """All columns plus ``decoded string`` for ``ids``."""
-    at = encoded.columns.index("ids")
+    """All columns plus ``decoded string`` for ``ids``; a column of that name gives way to it. Null ids decode to an empty text."""
+    keep = [c for c in encoded.columns if c != "decoded"]
+    names, at = [f"k{i}" for i in range(len(keep))], keep.index("ids")
+    rows = encoded.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
 
     def run(batches):
         bpe = codec(path)
         for batch in batches:
             texts = pa.array([bpe.decode(x.as_py() or ()) for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "decoded"])
 
-    types = dict(encoded.dtypes)
-    return encoded.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in encoded.columns] + ["decoded string"]))
+    types = dict(rows.dtypes)
+    found = rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in names] + ["decoded string"]))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "decoded")

@@ -1,6 +1,7 @@
 """Language identification, BPE, n-gram scoring and mixing against independent versions."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -79,6 +80,24 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in unlearnt.collect()} == {"und"}
 
 
+def test_language_of_kept_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", 0.5, "x"), (2, "le chat", "fr", 0.5, "x")], "doc_id long, text string, lang string, score double, lang_pred string")
+    profiles = langid.fit(df)
+    out = langid.predict(df, profiles, keep=("score", "doc_id", "text", "lang_pred", "lang"))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert [(r.text, r.lang_pred) for r in out.orderBy("doc_id").collect()] == [("the cat", "en"), ("le chat", "fr")]
+    assert langid.predict(df, profiles, keep=()).columns == ["lang_pred", "score"]
+
+
+def test_many_languages_share_one_index(spark):
+    """Profiles hold what each language has only, so their size is that of the profiles and not codes times languages."""
+    letters = [chr(0x4E00 + k) for k in range(1500)]
+    df = spark.createDataFrame([(i, c * 3, f"l{i}") for i, c in enumerate(letters)], "doc_id long, text string, lang string")
+    profiles = langid.fit(df)
+    assert len(profiles.langs) == 1500 and len(profiles.ranks) == len(profiles.owners) == profiles.starts[-1] < 1500 * 12
+    assert [profiles.predict(c) [0] for c in letters[:50]] == [f"l{i}" for i in range(50)]
+
+
 def test_pieces_count_like_the_whole(monkeypatch):
     text = "ab cde f " * 40 + "y" * 100 + " z"
     whole = langid.gram_counts(text)
@@ -135,6 +154,22 @@ def test_bpe_on_tables(spark):
     again = bpe.decode(bpe.encode(df.drop("ids"), PATH), PATH).collect()
     assert [r.decoded for r in again] == [r.decoded for r in out]
     assert bpe.encode(df.drop("ids").limit(0), PATH).collect() == []
+    kept = bpe.encode(df.withColumn("decoded", df["ids"]), PATH, keep=("doc_id", "ids", "decoded", "text"))
+    assert kept.columns == ["doc_id", "decoded", "text", "ids"]
+    twice = bpe.decode(kept, PATH)
+    assert twice.columns == ["doc_id", "text", "ids", "decoded"] and [r.decoded for r in twice.collect()] == [r.decoded for r in out]
+
+
+def test_other_vocabulary_files(tmp_path):
+    """Another byte-level file is split by its own rules; one that needs more is refused."""
+    other = bpe.SpeculativeBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    same(other, ["Hello World, it's  a test\n\n x", " lead", "naïve 日本語 \U0001d518", None, "don't<|endoftext|>STOP", "12345 67 \t", "q" * 400])
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"unk_token": "<unk>"}, {"type": "WordPiece"}, {"byte_fallback": True}):
+        with pytest.raises(ValueError):
+            bpe.check(spec | {"model": spec["model"] | change})
+    with pytest.raises(ValueError):
+        bpe.check(spec | {"pre_tokenizer": {"type": "Whitespace"}})
 
 
 # ---------------------------------------------------------------- n-gram scoring
@@ -269,6 +304,24 @@ def test_mixing_draws_high_rates(spark, tmp_path):
         assert len(k) == 40 and abs(k.mean() - rate) < 4 * math.sqrt(rate / 40) and 0.4 < k.var() / rate < 2
 
 
+def test_mixing_takes_columns_of_any_name(spark):
+    names = ["steps", "rate", "source_key", "draws", "u", "k", "id", "of", "doc", "mean", "n", "w"]
+    rows = spark.range(300).selectExpr("id as doc_id", "concat('s', id % 3) as source", "'t' as text", *[f"cast({i} as int) as {c}" for i, c in enumerate(names)])
+    out = mixing.replicate(rows, temperature=1.0)
+    assert out.columns == [*rows.columns, "copy", "shuffle_key"]
+    got = out.drop("copy", "shuffle_key").distinct()
+    assert got.exceptAll(rows).isEmpty() and got.count() > 150
+
+
+def test_mixing_of_many_high_rates_matches_sql(spark, duck, rows_of):
+    """The SQL's terms come from log-gamma, and it splits high rates as well."""
+    rows = spark.range(30000).selectExpr("id as doc_id", "case when id = 7 then 'one' when id < 40 then 'few' else 'rest' end as source", "'t' as text", "cast(null as string) as lang", "1 as n_chars")
+    duck.sql("create or replace temp view many as select range as doc_id, 't' as text, null::varchar as lang, case when range = 7 then 'one' when range < 40 then 'few' else 'rest' end as source, 1 as n_chars from range(30000)")
+    got = mixing.replicate(rows, temperature=0.05).groupBy("source", "doc_id").count().where("source <> 'rest'").toPandas()
+    want = duck.sql(f"select source, doc_id, count(*) as \"count\" from ({mixing.oracle(0.05, docs='many')}) where source <> 'rest' group by all").df()
+    assert rows_of(got) == rows_of(want) and got[got.source == "one"]["count"].iloc[0] > 5000
+
+
 def test_mixing_edge_cases(spark):
     df = spark.createDataFrame([(None, None, None), (None, None, None), (1, "x", None)], "doc_id long, source string, text string")
     out = mixing.replicate(df, temperature=1.0).collect()
