@@ -14,9 +14,12 @@ The directory has one row per BLOCK captures and is itself cut by key range: a l
 that its own keys need. Files are named after the task's attempt; a lost or repeated attempt leaves a file
 that nothing refers to.
 
-Edge cases: a null or empty html has an empty payload; a null url is an empty key; equal urls and repeated
-rows are captures of their own (ids should be unique: rows that repeat an id get the same answers); an
-empty table has no archives and no index; rows without an id are not archived. Other columns are ignored.
+Edge cases: a null or empty html has an empty payload; a null url is an empty key; every row has a record
+and a result row, since a key ends with the capture's running number: equal urls, repeated rows and rows that
+repeat an id with other contents are captures of their own. Rows without an id are archived under an empty
+one; they refer to the smallest id with their payload, and are responses if there is none. Rows that repeat
+the smallest id of a payload are all responses. An empty table has no archives and no index. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ DATE = "1970-01-01T00:00:00Z"
 # ---------------------------------------------------------------- records
 
 
-def capture_key(url: str | None, capture_id: int) -> str:
-    """Reversed host, path and query, then the id padded so that text order is numeric order."""
+def capture_key(url: str | None, run: int) -> str:
+    """Reversed host, path and query, then the capture's running number, padded so that text order is numeric order."""
     text = (url or "").strip()
     parts = urlsplit(text if "//" in text else f"//{text}") if _parses(text) else None
     if parts is None:
@@ -55,7 +58,7 @@ def capture_key(url: str | None, capture_id: int) -> str:
     else:
         host = ",".join(reversed((parts.hostname or "").split(".")))
         surt = f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
-    return f"{surt.replace(chr(9), '%09').replace(chr(10), '%0A').replace(' ', '%20')} {capture_id + (1 << 63):020d}"
+    return f"{surt.replace(chr(9), '%09').replace(chr(10), '%0A').replace(' ', '%20')} {run:020d}"
 
 
 def _parses(text: str) -> bool:
@@ -74,8 +77,9 @@ def _header_value(x: str) -> str:
     return re.sub(r"[\r\n]+", " ", x)
 
 
-def record(capture_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(capture_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response with the payload, or a revisit without it."""
+    capture_id = "" if capture_id is None else capture_id
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
@@ -111,13 +115,13 @@ def _write(folder: str):
         files, out, name, at = Files(folder), None, f"{uuid.uuid4().hex}.warc.gz", 0
         for pdf in batches:
             rows = []
-            for i, url, html, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first_id"], strict=True):
+            for run, i, url, html, first in zip(*(pdf[c] for c in ("run", "page_id", "url", "html", "first_id")), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                refers = None if pd.isna(first) or first == i else int(first)
+                i, refers = (None if pd.isna(x) else int(x) for x in (i, first))
                 member = zlib.compress(record(i, url, payload, payload_digest(payload), refers), _LEVEL, 31)
                 out = out or files.create(name)
                 out.write(member)
-                rows.append((capture_key(url, i), name, at, len(member)))
+                rows.append((capture_key(url, run), name, at, len(member)))
                 at += len(member)
             yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"])
         if out:
@@ -128,11 +132,14 @@ def _write(folder: str):
 
 def write_archives(scratch: Scratch, pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes ``pages(page_id, url, html)``; returns the captures (key, file, offset, length)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
-    marked = rows.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("mark")).where(F.octet_length(F.coalesce("html", F.lit(""))) >= revisit_bytes)
-    firsts = marked.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id <> last_id")
-    revisits = marked.join(firsts, "mark").where("page_id <> first_id").select("page_id", "first_id").distinct()
-    return scratch.save(rows.join(revisits, "page_id", "left").mapInPandas(_write(folder), "key string, file string, offset long, length long"), "captures")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    marked = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("mark")).where(F.octet_length("html") >= revisit_bytes)
+    firsts = marked.groupBy("mark").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count_if(F.col("page_id").isNull()).alias("nameless")).where("first_id <> last_id or first_id is not null and nameless > 0")
+    revisits = marked.join(firsts, "mark").where("page_id is null or page_id <> first_id").select(F.col("page_id").alias("id"), F.col("mark").alias("of"), "first_id").distinct()
+    # an id decides whom it refers to only together with its payload: ids may be repeated
+    numbered = rows.withColumns({"run": F.monotonically_increasing_id(), "mark": F.sha1(F.col("html").cast("binary"))})
+    joined = numbered.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
+    return scratch.save(joined.select("run", "page_id", "url", "html", "first_id").mapInPandas(_write(folder), "key string, file string, offset long, length long"), "captures")
 
 
 # ---------------------------------------------------------------- index
@@ -218,8 +225,8 @@ def _lookup(index_folder: str, archive_folder: str, with_payload: bool):
             refers, digest = fields.get("WARC-Refers-To"), fields["WARC-Payload-Digest"][5:]
             if not refers and payload_digest(payload) != digest:
                 raise ValueError(f"{fields['WARC-Record-ID']}: the payload doesn't have its digest")
-            rows.append((key, int(fields["WARC-Record-ID"][13:-1]), fields["WARC-Target-URI"], fields["WARC-Type"], digest, int(http["Content-Length"]), int(refers[13:-1]) if refers else None, payload if with_payload and not refers else None))
-        return pd.DataFrame(rows, columns=_RECORD).astype({"refers_to": "Int64"})
+            rows.append((key, int(name) if (name := fields["WARC-Record-ID"][13:-1]) else None, fields["WARC-Target-URI"], fields["WARC-Type"], digest, int(http["Content-Length"]), int(refers[13:-1]) if refers else None, payload if with_payload and not refers else None))
+        return pd.DataFrame(rows, columns=_RECORD).astype({"refers_to": "Int64", "capture_id": "Int64"})
 
     def run(batches):
         reader, blocks = None, []
@@ -240,42 +247,48 @@ def _lookup(index_folder: str, archive_folder: str, with_payload: bool):
 _RECORD = ["key", "capture_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
 
 
+def _deal(cuts: list[str], directory: bool):
+    """Adds the parts of the key range that a row belongs to, found by binary search: one for a key, for a block all that it spans."""
+
+    def run(batches):
+        for pdf in batches:
+            first = [bisect.bisect_right(cuts, k) for k in pdf["first_key" if directory else "key"]]
+            pdf["part"] = first
+            if directory:
+                last = [bisect.bisect_right(cuts, k) for k in pdf["last_key"]]
+                pdf["part"] = [list(range(a, b + 1)) for a, b in zip(first, last, strict=True)]
+                pdf = pdf.explode("part").astype({"part": "int32"})
+            yield pdf
+
+    return run
+
+
 def read_captures(keys: DataFrame, directory: DataFrame, index_folder: str, archive_folder: str, parts: int, with_payload: bool = True) -> DataFrame:
     """The records of ``keys(key)``, found through the index.
 
     Keys are looked up block by block of the directory's order: key and directory rows are dealt by key
-    range, and a block whose range spans several tasks goes to each of them.
+    range, and a block whose range spans several tasks goes to each of them. The cuts, one a task, come from
+    the directory's first keys.
     """
     bounds = directory.select(F.col("first_key").alias("key"))
-    cuts = [r[0] for r in bounds.repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("m")).orderBy("m").select("m").toLocalIterator()]
-    spread = F.lit(0)
-    edges = F.array(*[F.lit(c) for c in cuts[1:]]) if len(cuts) > 1 else F.array().cast("array<string>")
-    part_of = lambda k: spread + F.size(F.filter(edges, lambda e: e <= F.col(k)))
+    cuts = [r[0] for r in bounds.repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("m")).orderBy("m").select("m").limit(parts).collect()][1:]
     null = lambda t: F.lit(None).cast(t)
-    blocks = directory.select(F.explode(F.sequence(part_of("first_key"), part_of("last_key"))).alias("part"), F.lit(0).alias("kind"), F.col("first_key").alias("key"), "first_key", "last_key", "shard", "offset", "length", "n")
-    asked = keys.where("key is not null").select(part_of("key").alias("part"), F.lit(1).alias("kind"), "key", null("string").alias("first_key"), null("string").alias("last_key"), null("string").alias("shard"), null("long").alias("offset"), null("long").alias("length"), null("int").alias("n"))
-    dealt = blocks.union(asked).repartition(parts, "part").sortWithinPartitions("kind", "key")
-    return dealt.mapInPandas(_lookup(index_folder, archive_folder, with_payload), "key string, capture_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
-
-
-def capture_keys(pages: DataFrame) -> DataFrame:
-    """(page_id, key) of ``pages(page_id, url)``."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "key": [capture_key(u, i) for u, i in zip(pdf["url"], pdf["page_id"], strict=True)]})
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).where("page_id is not null").mapInPandas(run, "page_id long, key string")
+    fields = "first_key string, last_key string, shard string, offset long, length long, n int, part int"
+    dealt = directory.select(*_DIRECTORY).mapInPandas(_deal(cuts, True), fields).withColumns({"kind": F.lit(0), "key": F.col("first_key")})
+    empty = {c: null(t) for c, t in zip(_DIRECTORY, ("string", "string", "string", "long", "long", "int"), strict=True)}
+    asked = keys.where("key is not null").select("key").mapInPandas(_deal(cuts, False), "key string, part int").withColumns({"kind": F.lit(1), **empty})
+    met = dealt.unionByName(asked).repartition(parts, "part").sortWithinPartitions("kind", "key")
+    return met.mapInPandas(_lookup(index_folder, archive_folder, with_payload), "key string, capture_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def archive_and_read(pages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Writes ``pages`` to archives, indexes them and reads every capture back through the index."""
+    """Writes ``pages`` to archives, indexes them and reads every capture back through the index by its key."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
     archives, index = scratch.folder("archives"), scratch.folder("index")
     captures = write_archives(scratch, pages, archives)
     directory = write_index(scratch, captures, index)
-    return read_captures(capture_keys(pages), directory, index, archives, int(spark.conf.get("spark.sql.shuffle.partitions")), with_payload)
+    return read_captures(captures.select("key"), directory, index, archives, int(spark.conf.get("spark.sql.shuffle.partitions")), with_payload)
 
 
 def oracle() -> str:

@@ -42,6 +42,15 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages(spark).limit(0)).collect() == []
 
 
+def test_every_row_has_a_record(spark):
+    """Null and repeated ids, also with other contents under the same id and url, and a null id's payload of its own."""
+    rows = [(5, "http://a.b/", "x"), (5, "http://a.b/", "y"), (5, "http://a.b/", "x"), (3, "http://a.b/", "y"), (None, "http://a.b/", "x"), (None, None, "only"), (None, None, "only"), (None, None, None), (9, "http://a.b/", "z")]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    seen = sorted((r.capture_id or 0, r.url, r.record_type, r.refers_to or 0, bytes(r.payload or b"").decode(), r.payload_bytes) for r in got)
+    u = "http://a.b/"
+    assert seen == sorted([(5, u, "response", 0, "x", 1)] * 2 + [(5, u, "revisit", 3, "", 1), (3, u, "response", 0, "y", 1), (0, u, "revisit", 5, "", 1), (0, "", "response", 0, "only", 4), (0, "", "response", 0, "only", 4), (0, "", "response", 0, "", 0), (9, u, "response", 0, "z", 1)])
+
+
 def test_archives_are_valid_members(spark, tmp_path):
     captures = warc.write_archives(Scratch(spark), pages(spark), f"file://{tmp_path}").collect()
     for c in captures:
@@ -66,17 +75,19 @@ def test_index_blocks(spark, tmp_path, monkeypatch):
     archives.mkdir(), index.mkdir()
     scratch = Scratch(spark)
     many = spark.range(50).selectExpr("id as page_id", "concat('http://h', id % 7, '.example.org/p', id) as url", "cast(id as string) as html")
-    directory = warc.write_index(scratch, warc.write_archives(scratch, many, f"file://{archives}"), f"file://{index}").toPandas()
+    captures = warc.write_archives(scratch, many, f"file://{archives}")
+    directory = warc.write_index(scratch, captures, f"file://{index}").toPandas()
     assert len(directory) >= 17 and directory["n"].sum() == 50
     reader = warc.IndexReader(directory, f"file://{index}", f"file://{archives}")
-    keys = [warc.capture_key(f"http://h{i % 7}.example.org/p{i}", i) for i in range(50)]
-    assert [warc.parse_record(x)[2] for x in reader.fetch(keys)] == [str(i).encode() for i in range(50)]
+    keys = [r.key for r in captures.select("key").collect()]
+    assert sorted(int(warc.parse_record(x)[2]) for x in reader.fetch(keys)) == list(range(50))
+    assert all(re.match(r"org,example,h\d\)/p\d+ \d{20}$", k) for k in keys)
     assert reader.locate("aaa") is None and reader.locate(keys[0] + "x") is None and reader.locate("zzz") is None
 
 
 def test_keys_sort_by_host():
     k = [warc.capture_key(u, 1) for u in ("http://a.example.com/", "http://example.com/z", "http://b.example.com/")]
-    assert all(x.startswith("com,example") for x in k) and warc.capture_key("http://x.y/", -5) < warc.capture_key("http://x.y/", 3)
+    assert all(x.startswith("com,example") for x in k) and warc.capture_key("http://x.y/", 5) < warc.capture_key("http://x.y/", 30)
 
 
 # ---------------------------------------------------------------- chat
