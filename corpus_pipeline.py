@@ -31,6 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be recognised: operator 10 answers ``und``, or no n-gram is in any profile and no letter of a script of theirs.
 
     A short text of rare characters can miss the profile of its large script, so its script is asked as well.
+
+    Null and empty texts and those without letters go. Rows that repeat an id or a text are judged each, a null
+    id, lang or source does not matter, and other columns than those of documents are left behind. With nothing
+    to learn from every document is ``und`` and goes; an empty table stays empty.
     """
     profiles = langid.fit(docs.where(~langid.held_out()))
     known = F.col("score") > MIN_SCORE
@@ -44,6 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of kept rows that repeat both id and text (a null id counts as one) the one with the least lang, source
     and n_chars stays; other texts of a repeated id stay each. Operator 7 links no null id to other documents.
+    Null, empty and blank texts are linked with nothing and stay, once per id; very long ones are compared whole;
+    an empty table stays empty.
     """
     scratch = Scratch(spark)
     classes = minhash.near_duplicates(docs)
@@ -62,12 +68,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources reach their target weights (operator 5)."""
+    """Repeats documents so that sources reach their target weights (operator 5).
+
+    Documents without a source are a source of their own; repeated rows get equal numbers of copies; nulls in
+    other columns do not matter; an empty table stays empty.
+    """
     return mixing.replicate(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (operator 8)."""
+    """Token ids of each document (operator 8).
+
+    Null and empty texts have no tokens, very long ones are encoded whole, repeated rows each; an empty table
+    stays empty.
+    """
     return bpe.encode(docs, VOCABULARY, keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
