@@ -6,6 +6,7 @@ the same partitioning and order: one shuffle and one sort serve them all.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, Window
@@ -85,10 +86,11 @@ class Frame:
         """100 * average gain / (average gain + average loss), exponentially averaged with factor 1/n.
 
         The common decay cancels, so both averages are running sums weighted by (1 - 1/n) ** -row. NULL
-        before n values and for 0 / 0. The weights stay finite for some 5000 rows, twenty times the
-        longest range that the engine reads.
+        before n values and for 0 / 0. The weights stay finite for some thousand rows, many times the
+        longest range that the engine reads by default; a longer range is an error rather than a wrong value.
         """
-        weight = F.pow(F.lit(n / (n - 1.0)), F.col(row))
+        longest = int(600 / math.log(n / (n - 1.0)))
+        weight = F.when(F.col(row) <= longest, F.pow(F.lit(n / (n - 1.0)), F.col(row))).otherwise(F.raise_error(F.lit(f"an average of {n} rows can't run over more than {longest}")).cast("double"))
         if not adjust:  # the first value starts the average instead of being weighted like the rest
             weight = F.when(F.col(row) == 1, weight * n).otherwise(weight)
         up, down = (F.sum(F.col(c) * weight).over(self.so_far) for c in (gain, loss))

@@ -21,7 +21,7 @@ def aligned(ranged: DataFrame, align: str = "union") -> DataFrame:
     spread over the calendar, so that this shuffle is the only one up to the last window. The calendar has
     one row per as-of date, with at most as many dates as the range has days, and is broadcast.
     """
-    bars = ranged.groupBy("as_of", "ticker").agg(F.map_from_entries(F.collect_list(F.struct("bar_date", F.struct(*FIELDS)))).alias("by_date"), F.count("close").alias("__closes"))
+    bars = ranged.groupBy("as_of", "ticker").agg(F.map_from_entries(F.collect_list(F.struct("bar_date", F.struct(*FIELDS)))).alias("by_date"), F.count("close").alias("__closes"), *([F.max("fault").alias("fault")] if "fault" in ranged.columns else []))
     bars = bars.where("__closes > 0")
     if align == "own":
         dates = F.map_keys("by_date")
@@ -33,8 +33,9 @@ def aligned(ranged: DataFrame, align: str = "union") -> DataFrame:
         raise ValueError(f"align must be 'union' or 'own', not {align!r}")
     # the bars are looked up before the rows are spread, so that no row carries its ticker's whole map
     days = F.transform(dates, lambda d: F.struct(d.alias("bar_date"), F.try_element_at("by_date", d).alias("b")))
-    spread = bars.select("as_of", "ticker", F.explode(days).alias("d"))
-    return spread.select("as_of", "ticker", "d.bar_date", *[F.col(f"d.b.{f}").alias(f) for f in FIELDS])
+    fault = ["fault"] if "fault" in bars.columns else []
+    spread = bars.select("as_of", "ticker", *fault, F.explode(days).alias("d"))
+    return spread.select("as_of", "ticker", "d.bar_date", *[F.col(f"d.b.{f}").alias(f) for f in FIELDS], *fault)
 
 
 def filled(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
@@ -45,14 +46,16 @@ def filled(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
 def guarded(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
     """Adds ``status``, the label of a ticker that can't be computed, with ``status_details``; cleans volumes.
 
-    A null, zero or negative volume is 1 from here on.
+    A null, zero or negative volume is 1 from here on. A bar with a fault (see ``bars.scan``) makes its
+    ticker's record an ``Error (Calc)`` with the fault as details.
     """
     from panelwright.params import MIN_ROWS
 
     n, volumes, bad = F.count(F.lit(1)).over(frame.whole), F.count("volume").over(frame.whole), F.bool_or(F.col("close") <= 0).over(frame.whole)
     rows = rows.withColumns({"__n": n, "__v": volumes, "__bad": bad})
     short, empty, odd = F.col("__n") < MIN_ROWS, F.col("__v") == 0, F.coalesce("__bad", F.lit(False))
-    status = F.when(short | empty, "Insufficient Data").when(odd, "Invalid Data")
-    details = F.when(short, "N/A").when(empty, "Missing main series").when(odd, "Non-positive prices detected")
+    fault = F.col("fault") if "fault" in rows.columns else F.lit(None).cast("string")
+    status = F.when(short, "Insufficient Data").when(fault.isNotNull(), "Error (Calc)").when(empty, "Insufficient Data").when(odd, "Invalid Data")
+    details = F.when(short, "N/A").when(fault.isNotNull(), fault).when(empty, "Missing main series").when(odd, "Non-positive prices detected")
     clean = F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(1.0))
     return rows.withColumns({"status": status, "status_details": details, "volume": clean}).drop("__n", "__v", "__bad")

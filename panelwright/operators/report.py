@@ -83,6 +83,25 @@ def signal_counts(rows: DataFrame, missing: int | Column = 0) -> DataFrame:
     return counts.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+# What the tabs of a report say.
+NOTES = {
+    "Long": "No long signals generated for this analysis period.",
+    "Short": "No short signals generated for this analysis period.",
+    "Errors": "✅ No errors encountered during analysis!",
+}
+SOME_ERRORS = "⚠️ {} stocks encountered errors during analysis."
+
+
+def notes(rows: DataFrame, missing: int | Column = 0) -> DataFrame:
+    """(tab, n, note) of the Long, Short and Errors tabs: an empty one says so; errors are announced with the missing tickers counted."""
+    extra = missing if isinstance(missing, Column) else F.lit(missing)
+    c = rows.agg(F.count_if(F.col("signal").contains("Long")).alias("Long"), F.count_if(F.col("signal").contains("Short")).alias("Short"), F.count_if(is_error()).alias("Errors"))
+    n = {"Long": F.col("Long"), "Short": F.col("Short"), "Errors": F.col("Errors") + extra}
+    some = F.format_string(SOME_ERRORS.replace("{}", "%d"), n["Errors"])
+    note = {t: F.when(F.col(t) == 0, NOTES[t]).otherwise(some if t == "Errors" else F.lit(None).cast("string")) for t in NOTES}
+    return c.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), n[t].cast("long").alias("n"), note[t].alias("note")) for t in NOTES])).alias("t")).select("t.*")
+
+
 def total(names: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"`{n}`") for n in names])
 

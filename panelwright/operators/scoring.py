@@ -12,7 +12,9 @@ from panelwright.schema import CRITERIA
 
 
 def proximity(value: Column, median, spread) -> Column:
-    """1 at the median, 0 from the spread on; null for a missing value."""
+    """1 at the median, 0 from the spread on; null for a missing value or without an anchor."""
+    if not isinstance(median, Column) and median is None:
+        return F.lit(None).cast("double")
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(value - median) / spread))
 
 
@@ -52,17 +54,18 @@ def grade(confidence: Column, what: int = 1) -> Column:
     return out.otherwise(params.LOWEST_GRADE[what - 1])
 
 
-def breakdown(rows: DataFrame, keys: tuple[str, ...], side: str = "side", supplied: tuple[str, ...] = CRITERIA) -> DataFrame:
+def breakdown(rows: DataFrame, keys: tuple[str, ...], side: str = "side", supplied: tuple[str, ...] = CRITERIA, table: DataFrame | None = None) -> DataFrame:
     """One row per parameter: (keys, side, param, value, status, proximity, contribution, max_contribution, importance).
 
-    ``rows`` has ``side`` and the supplied parameters. The parameter table has 18 rows and is broadcast.
+    ``rows`` has ``side`` and the supplied parameters. The parameter table has 18 rows and is broadcast. A
+    parameter whose table row has no median has the status ``no_stats`` and adds to the maximum only.
     """
-    table = params.table(rows.sparkSession)
+    table = params.table(rows.sparkSession) if table is None else table
     values = F.map_from_arrays(F.array(*[F.lit(p) for p in supplied]), F.array(*[F.col(p).cast("double") for p in supplied]))
     joined = rows.select(*keys, F.col(side).alias("side"), values.alias("__values")).join(F.broadcast(table), "side")
     value = F.try_element_at("__values", F.col("param"))
     near = proximity(value, F.col("median"), F.col("spread"))
-    status = F.when(value.isNull(), "missing").when(near == 0, "far_from_median").when(near <= 0.5, "near_median").otherwise("optimal_proximity")
+    status = F.when(F.col("median").isNull(), "no_stats").when(value.isNull(), "missing").when(near == 0, "far_from_median").when(near <= 0.5, "near_median").otherwise("optimal_proximity")
     return joined.select(
         *keys,
         "side",

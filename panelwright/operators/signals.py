@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.windows import Frame
 from panelwright.schema import CRITERIA
+from panelwright.sources.bars import as_dates
 
 FRAME = Frame()
 
@@ -50,6 +51,17 @@ def classified(last: DataFrame) -> DataFrame:
     )
 
 
+def no_data(tickers: DataFrame, records: DataFrame, as_ofs) -> DataFrame:
+    """Scored records with one more, ``No Data``, for each ticker and as-of date that has none."""
+    asked = tickers.select("ticker").distinct().withColumn("as_of", F.explode(F.array(*[F.lit(d) for d in as_dates(as_ofs)])))
+    gone = asked.join(records.select("as_of", "ticker"), ["as_of", "ticker"], "left_anti")
+    text = F.concat(F.lit("No data at "), F.col("as_of").cast("string"))
+    values = {"signal": F.lit("No Data"), "status_details": text, "details": text, "confidence_score": F.lit(0.0), "confidence_grade": F.lit("D"), "confidence_class": F.lit("poor")}
+    types = dict(records.dtypes)
+    filled = gone.select(*[c if c in ("as_of", "ticker") else values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in records.columns])
+    return records.unionByName(filled)
+
+
 def is_actionable(signal: str = "signal") -> Column:
     return F.coalesce(F.col(signal).rlike("Long|Short"), F.lit(False))
 

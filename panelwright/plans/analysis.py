@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from panelwright.logs import logger, progress
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
 from panelwright.sources import bars as bar_sources
@@ -42,7 +43,15 @@ class Analysis:
 
     @property
     def missing_count(self) -> int:
-        return self.missing.count()
+        with progress(self.missing.sparkSession, "tickers without data"):
+            n = self.missing.count()
+        if n:
+            logger.warning("no data for %d tickers", n)
+        return n
+
+    @property
+    def notes(self) -> DataFrame:
+        return report.notes(self.results, self.missing_count)
 
     @property
     def longs(self) -> DataFrame:
@@ -69,9 +78,14 @@ class Analysis:
         return report.sector_pivot(self.results)
 
 
-def run(universe: DataFrame, bars: DataFrame, sectors: DataFrame, as_of, align_on: str = "union", model: Model = flow_model, keep: bool = True) -> Analysis:
-    """Results of a universe as of one date, cached once if ``keep`` since every report reads them."""
+def run(universe: DataFrame, bars: DataFrame, sectors: DataFrame, as_of, align_on: str = "union", model: Model = flow_model, keep: bool = True, absent: bool = False) -> Analysis:
+    """Results of a universe as of one date, cached once if ``keep`` since every report reads them.
+
+    Tickers without bars in the range are only counted as missing, or with ``absent`` have ``No Data`` records.
+    """
+    logger.info("analysis as of %s, dates aligned by %s", as_of, align_on)
     mine = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
-    scored = signals(mine, as_of, align_on, model).join(universe, "ticker")
+    scored = signals(mine, as_of, align_on, model)
+    scored = (sig.no_data(universe, scored, as_of) if absent else scored).join(universe, "ticker")
     results = report.ordered(report.results(sector_sources.with_sector(scored, sectors)))
     return Analysis(results.cache() if keep else results, report.missing_tickers(universe, scored))

@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
-from panelwright import params
-from panelwright.schema import CRITERIA
+CRITERIA = ("ilfo_value", "vol_surge", "momentum_rsi", "osc_momentum", "osc_accel", "volume_score", "normalized_liq")
+LONG_SIGNALS, SHORT_SIGNALS = ("Extreme Long", "Long", "Divergence Long"), ("Extreme Short", "Short", "Divergence Short")
+BUCKETS = (*LONG_SIGNALS, *SHORT_SIGNALS, "Neutral", "Error")
+# Fixed values, written out a second time so that a wrong constant of the library shows:
+# side, param, ord, lo, hi, weight, importance, median, fail mean.
+TABLE = (
+    ("Long", "ilfo_value", 0, 0.362, 2.521, 0.13, "critical", 2.399, 2.315),
+    ("Long", "normalized_liq", 1, 1.158, 2.010, 0.12, "low", 1.999, 1.798),
+    ("Long", "vol_surge", 2, 60.354, 72.076, 0.13, "high", 71.887, 74.562),
+    ("Long", "momentum_rsi", 3, 41.230, 45.518, 0.13, "high", 45.282, 45.023),
+    ("Long", "osc_momentum", 4, 1.973, 4.491, 0.13, "medium", 1.983, 2.384),
+    ("Long", "osc_accel", 5, -0.438, 1.962, 0.12, "medium", 1.858, 1.856),
+    ("Long", "volume_score", 6, -0.551, -0.318, 0.12, "low", -0.541, -0.455),
+    ("Long", "confidence_score", 7, 7.148, 57.958, 0.0, "low", 0.0, 4.231),
+    ("Long", "body_conviction", 8, 88.889, 100.0, 0.12, "low", 72.222, 62.5),
+    ("Short", "ilfo_value", 0, -2.600, -0.590, 0.13, "critical", -2.532, -2.415),
+    ("Short", "normalized_liq", 1, -1.359, 2.527, 0.12, "low", -2.024, -1.865),
+    ("Short", "vol_surge", 2, 60.449, 72.079, 0.12, "high", 72.262, 73.775),
+    ("Short", "momentum_rsi", 3, 53.625, 57.618, 0.12, "high", 53.762, 54.208),
+    ("Short", "osc_momentum", 4, -1.931, -0.160, 0.13, "medium", -1.788, -2.122),
+    ("Short", "osc_accel", 5, -4.572, -1.777, 0.12, "medium", -1.809, -1.654),
+    ("Short", "volume_score", 6, 0.737, 1.000, 0.13, "low", 0.635, 0.507),
+    ("Short", "confidence_score", 7, 8.149, 45.797, 0.0, "low", 0.558, 4.855),
+    ("Short", "body_conviction", 8, 66.667, 88.889, 0.13, "low", 66.667, 60.488),
+)
+_SPREAD = "(case when abs({0} - {1}) >= 1e-6 then abs({0} - {1}) when 0.1 * abs({0}) >= 1e-6 then 0.1 * abs({0}) else 0.1 end)"
+PARAMS = "params as (select *, " + _SPREAD.format("median", "fail_mean") + " as spread from (values " + ", ".join(str(r) for r in TABLE) + ") t(side, param, ord, lo, hi, weight, importance, median, fail_mean))"
+INDICES = """(values ('NIFTY 50', 'ind_nifty50list.csv'), ('NIFTY NEXT 50', 'ind_niftynext50list.csv'), ('NIFTY 100', 'ind_nifty100list.csv'),
+  ('NIFTY 200', 'ind_nifty200list.csv'), ('NIFTY 500', 'ind_nifty500list.csv'), ('NIFTY MIDCAP 50', 'ind_niftymidcap50list.csv'),
+  ('NIFTY MIDCAP 100', 'ind_niftymidcap100list.csv'), ('NIFTY SMLCAP 100', 'ind_niftysmallcap100list.csv'), ('NIFTY BANK', 'ind_niftybanklist.csv'),
+  ('NIFTY AUTO', 'ind_niftyautolist.csv'), ('NIFTY FIN SERVICE', 'ind_niftyfinancelist.csv'), ('NIFTY FMCG', 'ind_niftyfmcglist.csv'),
+  ('NIFTY IT', 'ind_niftyitlist.csv'), ('NIFTY MEDIA', 'ind_niftymedialist.csv'), ('NIFTY METAL', 'ind_niftymetallist.csv'),
+  ('NIFTY PHARMA', 'ind_niftypharmalist.csv')) t(index_name, path)"""
+SIGNAL_CLASS = """case signal when 'Extreme Long' then 'signal-extreme-long' when 'Long' then 'signal-long' when 'Divergence Long' then 'signal-div-long'
+  when 'Extreme Short' then 'signal-extreme-short' when 'Short' then 'signal-short' when 'Divergence Short' then 'signal-div-short'
+  when 'Neutral' then 'signal-neutral' else 'signal-error' end"""
 
 _ROUND = "floor(({0}) * 10000.0 + 0.500001) / 10000.0"
 _FIELDS = ("open", "high", "low", "close", "volume")
@@ -46,6 +80,15 @@ daily as (
   from trades group by l_suppkey, bar_date),
 bars as (select s_name || '.NS' as ticker, bar_date, open, high, low, close, volume from daily join supplier on s_suppkey = l_suppkey)"""
 
+#: Bars of some tickers made odd: no volume, a close of zero, few rows, volumes of zero and less, no close.
+ODD_BARS = BARS.replace("\nbars as (", "\nbars0 as (") + """,
+numbered as (select *, substring(ticker, 10, 9)::int % 6 as kind from bars0),
+bars as (
+  select ticker, bar_date, open, high, low,
+    case when kind = 2 and day(bar_date) = 15 then 0.0 when kind = 5 then null else close end as close,
+    case when kind = 1 then null when kind = 4 then (day(bar_date) % 3 - 1)::double else volume end as volume
+  from numbered where kind <> 3 or bar_date > date '2001-05-31')"""
+
 UNIVERSE = "universe as (select row_number() over (order by s_suppkey) - 1 as seq, s_name || '.NS' as ticker from supplier where trim(s_name) <> '')"
 SECTORS = "sectors as (select s_name || '.NS' as ticker, n_name as sector from supplier join nation on n_nationkey = s_nationkey where s_nationkey % 5 <> 0)"
 
@@ -54,7 +97,7 @@ def aligned(as_ofs: tuple[str, ...], align: str = "union") -> str:
     days = ", ".join(f"(date '{d}')" for d in as_ofs)
     grid = "live join calendar using (as_of)" if align == "union" else "(select as_of, ticker, bar_date from ranged) join live using (as_of, ticker)"
     return f"""days(as_of) as (values {days}),
-ranged as (select as_of, b.* from bars b join days on bar_date between as_of - {params.LOOKBACK_DAYS} and as_of),
+ranged as (select as_of, b.* from bars b join days on bar_date between as_of - 250 and as_of),
 live as (select as_of, ticker from ranged group by all having count(close) > 0),
 calendar as (select distinct as_of, bar_date from ranged),
 aligned as (select as_of, ticker, bar_date, open, high, low, close, volume from {grid} left join ranged using (as_of, ticker, bar_date))"""
@@ -65,8 +108,8 @@ def filled() -> str:
     return f"""filled as (select as_of, ticker, bar_date, {cols} from aligned {WINDOWS}),
 counted as (select *, count(*) over whole as n, count(volume) over whole as nv, bool_or(close <= 0) over whole as bad from filled {WINDOWS}),
 guarded as (select as_of, ticker, bar_date, open, high, low, close, greatest(coalesce(volume, 0), 1) as volume,
-  case when n < {params.MIN_ROWS} or nv = 0 then 'Insufficient Data' when bad then 'Invalid Data' end as status,
-  case when n < {params.MIN_ROWS} then 'N/A' when nv = 0 then 'Missing main series' when bad then 'Non-positive prices detected' end as status_details
+  case when n < 42 or nv = 0 then 'Insufficient Data' when bad then 'Invalid Data' end as status,
+  case when n < 42 then 'N/A' when nv = 0 then 'Missing main series' when bad then 'Non-positive prices detected' end as status_details
   from counted)"""
 
 
@@ -74,7 +117,7 @@ def layers() -> str:
     """CTEs of all indicators; the last one is ``masks``."""
     less = " + ".join(f"(case when body_{k} < body then 1 else 0 end)" for k in range(1, 10))
     lags = ", ".join(f"lag(body, {k}) over w as body_{k}" for k in range(1, 10))
-    eps = params.EPSILON
+    eps = 1e-10
     return f"""
 a0 as (select *, abs(close - open) as body, (high + low) / 2 - open as spread from guarded),
 a1 as (select *, row_number() over w - 1 as row, lag(close) over w as prev_close, lag(close, 5) over w as old_close,
@@ -122,35 +165,33 @@ b3 as (select *, coalesce({clip('osc_momentum - lag(osc_momentum) over w', -15.0
 masks as (select *,
   coalesce(low < last_low * 0.998 and ilfo_value > last_low_osc * 1.05 and oversold and volume > volume_mean * 0.8, false) as bull_div,
   coalesce(high > last_high * 1.002 and ilfo_value < last_high_osc * 0.95 and overbought and volume > volume_mean * 0.8, false) as bear_div,
-  oversold and osc_momentum > 0 and osc_accel > 0 and vol_surge > {params.SURGE} as x_long,
-  overbought and osc_momentum < 0 and osc_accel < 0 and vol_surge > {params.SURGE} as x_short from b3)"""
+  oversold and osc_momentum > 0 and osc_accel > 0 and vol_surge > 60.0 as x_long,
+  overbought and osc_momentum < 0 and osc_accel < 0 and vol_surge > 60.0 as x_short from b3)"""
 
 
 def _score(side: str) -> str:
-    rows = [r for r in params.rows() if r[0] == side and r[1] in CRITERIA]
-    near = {r[1]: f"greatest(0, 1 - abs({r[1]} - {r[7]!r}) / {r[9]!r})" for r in rows}
+    rows = [r for r in TABLE if r[0] == side and r[1] in CRITERIA]
+    near = {r[1]: f"greatest(0, 1 - abs({r[1]} - {r[7]!r}) / {_SPREAD.format(repr(r[7]), repr(r[8]))})" for r in rows}
     points = " + ".join(f"{near[r[1]]} * {r[5]!r} * 100" for r in rows)
     hits = lambda kind: " + ".join(f"(case when {near[r[1]]} > 0.5 then 1 else 0 end)" for r in rows if r[6] == kind)
-    most = sum(r[5] * 100 for r in params.rows() if r[0] == side)
+    most = " + ".join(f"{r[5]!r} * 100" for r in TABLE if r[0] == side)
     bonus = f"(case when {hits('critical')} >= 2 then 5.0 when {hits('critical')} >= 1 and {hits('high')} >= 2 then 3.0 else 0.0 end)"
-    return f"(least({points} + {bonus}, 100.0) / {most!r} * 100)"
+    return f"(least({points} + {bonus}, 100.0) / ({most}) * 100)"
 
 
-def _grades(what: int) -> str:
-    return "case " + " ".join(f"when confidence_score >= {g[0]} then '{g[what]}'" for g in params.GRADES) + f" else '{params.LOWEST_GRADE[what - 1]}' end"
+_GRADE = "case when confidence_score >= 90 then 'A+' when confidence_score >= 80 then 'A' when confidence_score >= 70 then 'B+' when confidence_score >= 60 then 'B' when confidence_score >= 50 then 'C+' when confidence_score >= 40 then 'C' else 'D' end"
+_CLASS = "case when confidence_score >= 90 then 'exceptional' when confidence_score >= 80 then 'excellent' when confidence_score >= 70 then 'good' when confidence_score >= 60 then 'acceptable' when confidence_score >= 50 then 'marginal' when confidence_score >= 40 then 'weak' else 'poor' end"
 
 
 def _details() -> str:
-    from panelwright.operators.display import _DETAILS
-
-    ranges = {(r[0], r[1]): r[3:5] for r in params.rows()}
+    ranges = {(r[0], r[1]): r[3:5] for r in TABLE}
 
     def cell(label: str, p: str, d: int) -> str:
         inside = lambda side: f"{p} between {ranges[side, p][0]!r} and {ranges[side, p][1]!r}"
         css = f"case when contains(signal, 'Long') and {inside('Long')} then 'pct-positive' when not contains(signal, 'Long') and contains(signal, 'Short') and {inside('Short')} then 'pct-negative' else 'signal-neutral' end"
         return f"'{label}: <span class=\"' || ({css}) || '\">' || printf('%.{d}f', {p}) || '</span>'"
 
-    c = [cell(*x) for x in _DETAILS]
+    c = [cell("ILFO", "ilfo_value", 2), cell("NL", "normalized_liq", 2), cell("VolSurge", "vol_surge", 1), cell("MomRSI", "momentum_rsi", 2), cell("OscMom", "osc_momentum", 2), cell("OscAcc", "osc_accel", 2), cell("VolScore", "volume_score", 2)]
     return " || ' | ' || ".join(c[:4]) + " || '<br>' || " + " || ' | ' || ".join(c[4:])
 
 
@@ -165,8 +206,8 @@ classified as (select as_of, ticker, bar_date, status_details, coalesce(status,
 sided as (select *, case when contains(signal, 'Long') then 'Long' when contains(signal, 'Short') then 'Short' end as side,
   coalesce(status_details, {_details()}) as details from classified),
 pointed as (select *, case side when 'Long' then {_score('Long')} when 'Short' then {_score('Short')} else 0.0 end as confidence_score from sided),
-scored as (select *, case when contains(signal, 'Data') or contains(signal, 'Error') then 'D' when side is null then 'N/A' else {_grades(1)} end as confidence_grade,
-  case when contains(signal, 'Data') or contains(signal, 'Error') then 'poor' when side is null then 'neutral' else {_grades(2)} end as confidence_class from pointed),
+scored as (select *, case when contains(signal, 'Data') or contains(signal, 'Error') then 'D' when side is null then 'N/A' else {_GRADE} end as confidence_grade,
+  case when contains(signal, 'Data') or contains(signal, 'Error') then 'poor' when side is null then 'neutral' else {_CLASS} end as confidence_class from pointed),
 results as (select as_of, seq, ticker, coalesce(sector, 'Other') as sector, signal, side, pct_change, confidence_score as confidence, confidence_grade as grade, confidence_class, details,
   case when contains(signal, 'Data') or contains(signal, 'Error') then 'Error' else signal end as bucket, {', '.join(CRITERIA)}
   from scored join universe using (ticker) left join sectors using (ticker))"""

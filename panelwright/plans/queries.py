@@ -15,6 +15,7 @@ from panelwright.schema import CRITERIA, FIELDS
 from panelwright.sinks import exports
 from panelwright.sources import bars as bar_sources
 from panelwright.sources import sectors as sector_sources
+from panelwright.sources import store
 from panelwright.sources import universe as universes
 from panelwright.streaming import bars as streaming
 
@@ -31,10 +32,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars made from the trades."""
     return bar_sources.from_trades(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier"), universes.SUFFIX)
 
 
+def bars_path(spark: SparkSession, sf_dir: str) -> str:
+    """The table of bars, derived once; each of its files is sorted by date, so that a date range skips most of it."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")]
+    return store.once(spark, "bars", inputs, lambda: derived_bars(spark, sf_dir).sortWithinPartitions("bar_date", "ticker"))
+
+
+def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(bars_path(spark, sf_dir))
+
+
+def bars_for(spark: SparkSession, sf_dir: str, as_ofs, universe: DataFrame | None = None) -> DataFrame:
+    """Bars of the as-of dates' range; the range reaches the scan."""
+    return bar_sources.scan(spark, bars_path(spark, sf_dir), as_ofs, universe)
+
+
 def all_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universes.tickers(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("SYMBOL")), ["s_suppkey"])
 
@@ -52,12 +69,12 @@ def sector_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, as_ofs=AS_OF, how: str = "union") -> DataFrame:
-    return analysis.panel(all_bars(spark, sf_dir), as_ofs, how)
+    return analysis.panel(bars_for(spark, sf_dir, as_ofs), as_ofs, how)
 
 
 def records(spark: SparkSession, sf_dir: str, as_ofs=MANY) -> DataFrame:
     """Results of every as-of date, with sector and universe order."""
-    scored = analysis.signals(all_bars(spark, sf_dir), as_ofs).join(all_tickers(spark, sf_dir), "ticker")
+    scored = analysis.signals(bars_for(spark, sf_dir, as_ofs), as_ofs).join(all_tickers(spark, sf_dir), "ticker")
     return report.results(sector_sources.with_sector(scored, stored_sectors(spark, sf_dir)))
 
 
@@ -91,19 +108,25 @@ def universe_symbols(spark, sf_dir):
     return universes.require(all_tickers(spark, sf_dir))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', 'ind_{v}list.csv')" for k, v in universes.INDEX_FILES.items()) + ") t(index_name, path)")
+@query(f"select * from {oracle.INDICES}")
 def index_catalog(spark, sf_dir):
     return universes.catalog(spark)
 
 
 @query(f"with {oracle.BARS} select * from bars")
 def bars_daily(spark, sf_dir):
-    return all_bars(spark, sf_dir)
+    return derived_bars(spark, sf_dir)
+
+
+@query(f"with {oracle.BARS}, {oracle.SECTORS} select * from bars where bar_date between date '1997-03-31' - 250 and date '1999-09-30' and ticker in (select ticker from sectors)")
+def bars_scan(spark, sf_dir):
+    """The stored bars of a universe and a range of dates, both ends included."""
+    return bars_for(spark, sf_dir, MANY, stored_sectors(spark, sf_dir))
 
 
 @query(oracle.panel_sql(MANY, "select as_of, ticker, count(*) as n, max(bar_date) as bar_date, arg_max(close, bar_date) as close from ranged group by as_of, ticker", through="aligned"))
 def bars_range_asof(spark, sf_dir):
-    ranged = bar_sources.in_range(all_bars(spark, sf_dir), MANY)
+    ranged = bar_sources.in_range(bars_for(spark, sf_dir, MANY), MANY)
     return ranged.groupBy("as_of", "ticker").agg(F.count(F.lit(1)).alias("n"), F.max("bar_date").alias("bar_date"), F.max_by("close", "bar_date").alias("close"))
 
 
@@ -118,7 +141,7 @@ def event_bars(spark, sf_dir):
 
 @query(oracle.panel_sql(AS_OF, "select * from aligned", through="aligned"))
 def calendar_align(spark, sf_dir):
-    return align.aligned(bar_sources.in_range(all_bars(spark, sf_dir), AS_OF))
+    return align.aligned(bar_sources.in_range(bars_for(spark, sf_dir, AS_OF), AS_OF))
 
 
 @query(oracle.panel_sql(AS_OF, "select as_of, ticker, bar_date, open, high, low, close, volume from guarded", through="guarded"))
@@ -132,6 +155,19 @@ def ticker_status(spark, sf_dir):
     return rows.groupBy("as_of", "ticker").agg(F.any_value("status").alias("status"), F.any_value("status_details").alias("status_details"), F.count(F.lit(1)).alias("n"))
 
 
+@query(oracle.panel_sql(AS_OF, "select as_of, ticker, any_value(status) as status, any_value(status_details) as status_details, count(*) as n, min(volume) as least, max(volume) as most from guarded group by as_of, ticker", "own", "guarded").replace(oracle.BARS, oracle.ODD_BARS))
+def guards_of_odd_rows(spark, sf_dir):
+    """Tickers without volumes, with a close of zero, with few rows, with volumes below one, without any close."""
+    kind, day = F.substring("ticker", 10, 9).cast("int") % 6, F.dayofmonth("bar_date")
+    odd = bars_for(spark, sf_dir, AS_OF).where((kind != 3) | (F.col("bar_date") > F.lit("2001-05-31").cast("date")))
+    odd = odd.withColumns({
+        "close": F.when((kind == 2) & (day == 15), 0.0).when(kind != 5, F.col("close")),
+        "volume": F.when(kind == 4, (day % 3 - 1).cast("double")).when(kind != 1, F.col("volume")),
+    })
+    rows = analysis.panel(odd, AS_OF, "own")
+    return rows.groupBy("as_of", "ticker").agg(F.any_value("status").alias("status"), F.any_value("status_details").alias("status_details"), F.count(F.lit(1)).alias("n"), F.min("volume").alias("least"), F.max("volume").alias("most"))
+
+
 # ---------------------------------------------------------------- indicators: every row of the panel
 
 
@@ -196,8 +232,7 @@ def _confidence(side: str):
 for _side in params.SIDES:
     _confidence(_side)
 
-_PARAMS_SQL = "params(side, param, ord, lo, hi, weight, importance, median, fail_mean, spread) as (values " + ", ".join(str(r) for r in params.rows()) + ")"
-_PARTS_SQL = f"""{_PARAMS_SQL},
+_PARTS_SQL = f"""{oracle.PARAMS},
 vals as (select as_of, ticker, sides.side, struct_pack({', '.join(f'{c} := {c}' for c in CRITERIA)}) as s from classified, (values ('Long'), ('Short')) sides(side) where status_details is null),
 near as (select v.as_of, v.ticker, p.*, val as value, greatest(0, 1 - abs(val - p.median) / p.spread) as proximity
   from (select as_of, ticker, side, s, unnest([{', '.join(f"struct_pack(p := '{c}', x := s.{c})" for c in CRITERIA)}, struct_pack(p := 'confidence_score', x := null::double), struct_pack(p := 'body_conviction', x := null::double)]) as u from vals) v
@@ -232,7 +267,14 @@ def confidence_summary(spark, sf_dir):
 
 @query(oracle.panel_sql(MANY, f"select as_of, ticker, signal, side, {oracle.r4('confidence_score')}, confidence_grade, confidence_class from scored"))
 def confidence_grade(spark, sf_dir):
-    return analysis.signals(all_bars(spark, sf_dir), MANY).select("as_of", "ticker", "signal", "side", r4("confidence_score"), "confidence_grade", "confidence_class")
+    return analysis.signals(bars_for(spark, sf_dir, MANY), MANY).select("as_of", "ticker", "signal", "side", r4("confidence_score"), "confidence_grade", "confidence_class")
+
+
+@query(oracle.panel_sql(EARLY, f"select as_of, ticker, signal, details, confidence_grade, confidence_class, {oracle.r4('confidence_score')} from scored union all select date '1995-02-10', ticker, 'No Data', 'No data at 1995-02-10', 'D', 'poor', 0.0 from universe where ticker not in (select ticker from scored)"))
+def no_data_records(spark, sf_dir):
+    """Every ticker of the universe has a record; those without bars in the range have ``No Data``."""
+    rows = sig.no_data(all_tickers(spark, sf_dir), analysis.signals(bars_for(spark, sf_dir, EARLY), EARLY), EARLY)
+    return rows.select("as_of", "ticker", "signal", "details", "confidence_grade", "confidence_class", r4("confidence_score"))
 
 
 # ---------------------------------------------------------------- sectors
@@ -257,7 +299,7 @@ def sector_upsert(spark, sf_dir):
 
 # ---------------------------------------------------------------- reports
 
-_BUCKETS_SQL = "(values " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(params.BUCKETS)) + ") b(ord, bucket)"
+_BUCKETS_SQL = "(values " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(oracle.BUCKETS)) + ") b(ord, bucket)"
 
 
 @query(oracle.panel_sql(EARLY, f"select b.ord::int as ord, b.bucket, count(r.ticker) + case when b.bucket = 'Error' then (select count(*) from universe where ticker not in (select ticker from results)) else 0 end as n from {_BUCKETS_SQL} left join results r on r.bucket = b.bucket group by b.ord, b.bucket"))
@@ -276,8 +318,8 @@ def signal_counts(spark, sf_dir):
 _COUNT = lambda names: "count(*) filter (bucket in (" + ", ".join(f"'{n}'" for n in names) + "))"
 _PIVOT_SQL = (
     "select *, row_number() over (order by \"Total\" desc, sector = 'Other', sector)::int as pos from (select sector, "
-    + ", ".join(f"{_COUNT([b])} as \"{b}\"" for b in params.BUCKETS)
-    + f", count(*) as \"Total\", {_COUNT(params.LONG_SIGNALS)} as \"Total Long\", {_COUNT(params.SHORT_SIGNALS)} as \"Total Short\" from results group by sector)"
+    + ", ".join(f"{_COUNT([b])} as \"{b}\"" for b in oracle.BUCKETS)
+    + f", count(*) as \"Total\", {_COUNT(oracle.LONG_SIGNALS)} as \"Total Long\", {_COUNT(oracle.SHORT_SIGNALS)} as \"Total Short\" from results group by sector)"
 )
 
 
@@ -286,7 +328,12 @@ def sector_pivot(spark, sf_dir):
     return report.sector_pivot(records(spark, sf_dir))
 
 
-@query(oracle.panel_sql(MANY, f"select sector, series, n from (unpivot (select sector, {_COUNT(params.LONG_SIGNALS)} as \"Total Long\", {_COUNT(params.SHORT_SIGNALS)} as \"Total Short\", {_COUNT(['Neutral'])} as \"Neutral\" from results group by sector) on \"Total Long\", \"Total Short\", \"Neutral\" into name series value n)"))
+@query(oracle.panel_sql(MANY, f"select * exclude (pos, \"Error\") from ({_PIVOT_SQL})"))
+def sector_display(spark, sf_dir):
+    return report.sector_display(report.sector_pivot(records(spark, sf_dir)))
+
+
+@query(oracle.panel_sql(MANY, f"select sector, series, n from (unpivot (select sector, {_COUNT(oracle.LONG_SIGNALS)} as \"Total Long\", {_COUNT(oracle.SHORT_SIGNALS)} as \"Total Short\", {_COUNT(['Neutral'])} as \"Neutral\" from results group by sector) on \"Total Long\", \"Total Short\", \"Neutral\" into name series value n)"))
 def sector_chart(spark, sf_dir):
     return report.sector_chart(report.sector_pivot(records(spark, sf_dir)))
 
@@ -295,7 +342,7 @@ _METRICS_SQL = f"""select *, case when ratio > 1.2 then 'success' when ratio > 0
   case when ratio > 1.2 then 'Bullish' when ratio < 0.8 then 'Bearish' else 'Balanced' end as ratio_label,
   case when isinf(ratio) then '∞' else printf('%.2f', ratio) end as ratio_text from (
 select total_long, total_short, total_neutral, total_error, case when total_short = 0 then 'inf'::double else total_long / total_short end as ratio from (
-select {_COUNT(params.LONG_SIGNALS)} as total_long, {_COUNT(params.SHORT_SIGNALS)} as total_short, {_COUNT(['Neutral'])} as total_neutral, {_COUNT(['Error'])} as total_error from results))"""
+select {_COUNT(oracle.LONG_SIGNALS)} as total_long, {_COUNT(oracle.SHORT_SIGNALS)} as total_short, {_COUNT(['Neutral'])} as total_neutral, {_COUNT(['Error'])} as total_error from results))"""
 
 
 @query(oracle.panel_sql(MANY, _METRICS_SQL.replace("total_error, case", "total_error, case").replace("else total_long / total_short end as ratio", "else round(total_long / total_short, 4) end as ratio")))
@@ -317,9 +364,21 @@ def avg_confidence(spark, sf_dir):
 _N = lambda x, a: f"format('{{:,}}', {x}) as {a}"
 
 
-@query(oracle.panel_sql(MANY, f"select {_N('count(*)', 'analysed')}, {_N(_COUNT(params.LONG_SIGNALS), 'total_long')}, {_N(_COUNT(params.SHORT_SIGNALS), 'total_short')}, {_N(_COUNT(['Neutral']), 'total_neutral')}, {_N(_COUNT(['Error']), 'total_error')} from results"))
+@query(oracle.panel_sql(MANY, f"""select {_N('count(*)', 'analysed')}, {_N(_COUNT(oracle.LONG_SIGNALS), 'total_long')}, {_N(_COUNT(oracle.SHORT_SIGNALS), 'total_short')}, {_N(_COUNT(['Neutral']), 'total_neutral')}, {_N(_COUNT(['Error']), 'total_error')},
+  {_N('count(*) filter (confidence >= 80)', 'high_confidence')}, {_N('count(*) filter (confidence >= 60 and confidence < 80)', 'medium_confidence')}, {_N('count(*) filter (confidence > 0 and confidence < 60)', 'low_confidence')},
+  printf('%.1f', coalesce(avg(confidence) filter (side = $$Long$$), 0)) as avg_long_confidence, printf('%.1f', coalesce(avg(confidence) filter (side = $$Short$$), 0)) as avg_short_confidence,
+  case when {_COUNT(oracle.SHORT_SIGNALS)} = 0 then '∞' else printf('%.2f', {_COUNT(oracle.LONG_SIGNALS)} / {_COUNT(oracle.SHORT_SIGNALS)}) end as ratio_text,
+  case when {_COUNT(oracle.SHORT_SIGNALS)} = 0 or {_COUNT(oracle.LONG_SIGNALS)} > 1.2 * {_COUNT(oracle.SHORT_SIGNALS)} then 'Bullish' when {_COUNT(oracle.LONG_SIGNALS)} < 0.8 * {_COUNT(oracle.SHORT_SIGNALS)} then 'Bearish' else 'Balanced' end as ratio_label from results"""))
 def metric_cards(spark, sf_dir):
-    return report.cards(report.metrics(records(spark, sf_dir))).select("analysed", "total_long", "total_short", "total_neutral", "total_error")
+    return report.cards(report.metrics(records(spark, sf_dir)))
+
+
+@query(oracle.panel_sql(EARLY, """select 'Long' as tab, count(*) as n, case when count(*) = 0 then 'No long signals generated for this analysis period.' end as note from results where contains(signal, 'Long')
+union all select 'Short', count(*), case when count(*) = 0 then 'No short signals generated for this analysis period.' end from results where contains(signal, 'Short')
+union all select 'Errors', count(*), case when count(*) = 0 then '✅ No errors encountered during analysis!' else '⚠️ ' || count(*) || ' stocks encountered errors during analysis.' end from results where bucket = 'Error'"""))
+def report_notes(spark, sf_dir):
+    """What the tabs of a report say where they are empty, and of errors."""
+    return report.notes(records(spark, sf_dir, EARLY))
 
 
 _ROW = ("as_of", "seq", "ticker", "sector", "signal", "grade", "confidence_class")
@@ -364,7 +423,7 @@ def details_text(spark, sf_dir):
 
 
 def _cell_sql() -> str:
-    css = "case signal " + " ".join(f"when '{k}' then '{v}'" for k, v in display._SIGNAL_CLASS.items()) + " when 'Neutral' then 'signal-neutral' else 'signal-error' end"  # noqa: SLF001
+    css = oracle.SIGNAL_CLASS
     cell = lambda c, t: f"'<span class=\"' || {c} || '\">' || {t} || '</span>'"
     return f"""select as_of, ticker, {cell(f"({css})", 'signal')} as signal,
   case when pct_change is null then {cell("'pct-neutral'", "'N/A'")} when pct_change > 0 then {cell("'pct-positive'", "printf('+%.2f%%', pct_change)")}
@@ -384,10 +443,18 @@ def csv_base64(spark, sf_dir):
     return exports.csv_base64(all_tickers(spark, sf_dir).select("ticker", F.col("seq").alias("seq"), F.col("seq").alias("__pos")), "__pos")
 
 
+@query(oracle.panel_sql(MANY, """select base64(encode('ticker,sector,signal,grade,details' || chr(10) || coalesce(string_agg(concat_ws(',', ticker, sector, signal, grade,
+  '"' || replace(details, '"', '""') || '"') || chr(10), '' order by as_of, seq), ''))) as csv_base64 from results where side is not null"""))
+def csv_base64_report(spark, sf_dir):
+    """The actionable rows of a report as CSV, with the HTML of their details, as base64."""
+    rows = records(spark, sf_dir).where(sig.is_actionable())
+    return exports.csv_base64(rows.select("ticker", "sector", "signal", "grade", "details", F.struct("as_of", "seq").alias("__pos")), "__pos")
+
+
 @query(oracle.panel_sql((FLAGSHIP,), f"select {_ROW_SQL}, details from results"))
 def full_analysis(spark, sf_dir):
     """Universe, bars, signals, scores, sectors and order, as of one date."""
-    done = analysis.run(all_tickers(spark, sf_dir), all_bars(spark, sf_dir), stored_sectors(spark, sf_dir), FLAGSHIP, keep=False)
+    done = analysis.run(all_tickers(spark, sf_dir), bars_for(spark, sf_dir, FLAGSHIP), stored_sectors(spark, sf_dir), FLAGSHIP, keep=False)
     return _row(done.results, "details")
 
 

@@ -8,8 +8,12 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a report that may be rendered on the driver.
+#: Rows of a report that may be rendered on the driver; ``write_html`` takes any number.
 RENDERED = 10_000
+#: Columns whose cells are HTML already.
+MARKED = ("signal", "pct_change", "confidence", "grade", "details")
+# The label and classes of the download link, and the table's class.
+_LINK, _LINK_CLASS, _TABLE_CLASS = "📥 Download CSV Report", "download-link", "stMarkdown table"
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -37,7 +41,7 @@ def csv_base64(rows: DataFrame, order: str) -> DataFrame:
 
 
 def link(encoded: Column, filename: str) -> Column:
-    return F.concat(F.lit('<a href="data:file/csv;base64,'), encoded, F.lit(f'" download="{filename}" class="download-link">📥 Download CSV Report</a>'))
+    return F.concat(F.lit('<a href="data:file/csv;base64,'), encoded, F.lit(f'" download="{html.escape(filename)}" class="{_LINK_CLASS}">{_LINK}</a>'))
 
 
 def export_name(title: str, as_of: dt.date, part: str = "complete") -> str:
@@ -46,11 +50,35 @@ def export_name(title: str, as_of: dt.date, part: str = "complete") -> str:
     return f"{title}_{as_of}_{part}.csv"
 
 
-def html_table(cells: DataFrame) -> str:
-    """A report as an HTML table; cells are HTML already. Longer reports belong in a file."""
-    rows = cells.limit(RENDERED + 1).collect()
+def _head(columns: list[str]) -> str:
+    return f'<table class="{_TABLE_CLASS}"><thead><tr>{"".join(f"<th>{html.escape(c)}</th>" for c in columns)}</tr></thead><tbody>'
+
+
+_FOOT = "</tbody></table>"
+
+
+def html_rows(cells: DataFrame, marked: tuple[str, ...] = MARKED) -> DataFrame:
+    """(line) of a report's rows as HTML; cells of columns that aren't ``marked`` are escaped, nulls are empty."""
+
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+        if name not in marked:
+            for sign, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+                text = F.replace(text, F.lit(sign), F.lit(to))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+    return cells.select(F.concat(F.lit("<tr>"), *[cell(c) for c in cells.columns], F.lit("</tr>")).alias("line"))
+
+
+def html_table(cells: DataFrame, marked: tuple[str, ...] = MARKED) -> str:
+    """A report as an HTML table. Longer ones are an error here: ``write_html`` writes them."""
+    rows = html_rows(cells, marked).limit(RENDERED + 1).collect()
     if len(rows) > RENDERED:
-        raise ValueError(f"more than {RENDERED} rows: write them to a file")
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in cells.columns)
-    body = "".join("<tr>" + "".join(f"<td>{'' if v is None else v}</td>" for v in r) + "</tr>" for r in rows)
-    return f'<table class="stMarkdown table"><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>'
+        raise ValueError(f"more than {RENDERED} rows: use write_html")
+    return _head(cells.columns) + "".join(r.line for r in rows) + _FOOT
+
+
+def write_html(cells: DataFrame, path: str, marked: tuple[str, ...] = MARKED) -> tuple[str, str]:
+    """Writes the rows of a report of any length as text files, in their order, and returns what goes before and after them."""
+    html_rows(cells, marked).write.mode("overwrite").text(path)
+    return _head(cells.columns), _FOOT

@@ -13,6 +13,10 @@ from panelwright.params import LOOKBACK_DAYS
 from panelwright.schema import FIELDS
 
 
+#: As-of dates that a plan holds as constants, and pairs of dates that may be broadcast.
+DATES, PAIRS = 64, 1_000_000
+
+
 def as_dates(as_ofs) -> list[dt.date]:
     one = isinstance(as_ofs, (str, dt.date))
     return sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in ([as_ofs] if one else as_ofs)})
@@ -26,19 +30,34 @@ def not_after(as_of: dt.date, today: dt.date | None = None) -> dt.date:
 
 
 def scan(spark: SparkSession, path: str, as_ofs, universe: DataFrame | None = None, lookback: int = LOOKBACK_DAYS) -> DataFrame:
-    """Bars of a Parquet or CSV table in the range that the as-of dates need, NaN as NULL."""
+    """Bars of a Parquet or CSV table in the range that the as-of dates need, NaN as NULL.
+
+    Where a field is text, ``fault`` names the first one that is not a number; its value is NULL.
+    """
     raw = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     days = as_dates(as_ofs)
     rows = raw.where(F.col("bar_date").between(F.lit(days[0] - dt.timedelta(days=lookback)), F.lit(days[-1])))
     if universe is not None:
         rows = rows.join(universe.select("ticker"), "ticker", "left_semi")
-    return rows.select("ticker", F.to_date("bar_date").alias("bar_date"), *[missing_as_null(F.col(f).cast("double")).alias(f) for f in FIELDS])
+    values = [missing_as_null(F.col(f).try_cast("double")).alias(f) for f in FIELDS]
+    texts = [f for f, t in raw.dtypes if f in FIELDS and t == "string"]
+    odd = [F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), F.concat(F.lit(f"{f} is not a number: "), F.col(f))) for f in texts]
+    fault = [F.coalesce(*odd).alias("fault")] if odd else []
+    return rows.select("ticker", F.to_date("bar_date").alias("bar_date"), *values, *fault)
 
 
 def in_range(bars: DataFrame, as_ofs, lookback: int = LOOKBACK_DAYS) -> DataFrame:
-    """A copy of each bar for each as-of date whose range holds it (``as_of`` column); no join, one scan."""
+    """A copy of each bar for each as-of date whose range holds it (``as_of`` column), from one scan.
+
+    The copies are what exactness costs: running values start anew with each range. Up to DATES dates are
+    constants of the plan; more of them are joined by the bar's date.
+    """
     days = as_dates(as_ofs)
     ranged = bars.where(F.col("bar_date").between(F.lit(days[0] - dt.timedelta(days=lookback)), F.lit(days[-1])))
+    if len(days) > DATES:
+        table = bars.sparkSession.createDataFrame([(d,) for d in days], "as_of date")
+        every = table.select("as_of", F.explode(F.sequence(F.date_sub("as_of", lookback), "as_of")).alias("bar_date"))
+        return ranged.join(F.broadcast(every) if len(days) * (lookback + 1) <= PAIRS else every, "bar_date")
     dates = F.array(*[F.lit(d) for d in days])
     return ranged.withColumn("as_of", F.explode(F.filter(dates, lambda d: (F.col("bar_date") <= d) & (F.col("bar_date") >= F.date_sub(d, lookback)))))
 

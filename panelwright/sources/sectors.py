@@ -12,21 +12,30 @@ from panelwright.schema import SECTORS
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The stored table, or an empty one if there is none."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], SECTORS)
-    return spark.read.parquet(path).select("ticker", "sector")
+    for place in (path, f"{path.rstrip('/')}.old"):
+        p = jvm.org.apache.hadoop.fs.Path(place)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(place).select("ticker", "sector")
+    return spark.createDataFrame([], SECTORS)
 
 
 def store(sectors: DataFrame, path: str) -> None:
-    """Replaces the stored table, which ``sectors`` may be derived from: written aside, then swapped in."""
+    """Replaces the stored table, which ``sectors`` may be derived from: written aside, then swapped in.
+
+    The old table is moved away, not deleted, before the new one takes its name; if a driver is lost between the
+    two moves, ``load`` finds the old table where it was moved to.
+    """
     spark = sectors.sparkSession
     jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in (".new", ""))
+    new, now, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in (".new", "", ".old"))
     sectors.select("ticker", "sector").write.mode("overwrite").parquet(new.toString())
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        fs.rename(now, old)
+    if not fs.rename(new, now):
+        raise OSError(f"{new} could not be moved to {now}")
     fs.delete(old, True)
-    fs.rename(new, old)
 
 
 def missing(universe: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from panelwright.schema import UNIVERSE
 
 SUFFIX = ".NS"
-# The indices on offer, and the words by which the constituent files are named.
+# The indices on offer, and the files of their constituents.
 INDEX_FILES = {
-    "NIFTY 50": "nifty50",
-    "NIFTY NEXT 50": "niftynext50",
-    "NIFTY 100": "nifty100",
-    "NIFTY 200": "nifty200",
-    "NIFTY 500": "nifty500",
-    "NIFTY MIDCAP 50": "niftymidcap50",
-    "NIFTY MIDCAP 100": "niftymidcap100",
-    "NIFTY SMLCAP 100": "niftysmallcap100",
-    "NIFTY BANK": "niftybank",
-    "NIFTY AUTO": "niftyauto",
-    "NIFTY FIN SERVICE": "niftyfinance",
-    "NIFTY FMCG": "niftyfmcg",
-    "NIFTY IT": "niftyit",
-    "NIFTY MEDIA": "niftymedia",
-    "NIFTY METAL": "niftymetal",
-    "NIFTY PHARMA": "niftypharma",
+    "NIFTY 50": "ind_nifty50list.csv",
+    "NIFTY NEXT 50": "ind_niftynext50list.csv",
+    "NIFTY 100": "ind_nifty100list.csv",
+    "NIFTY 200": "ind_nifty200list.csv",
+    "NIFTY 500": "ind_nifty500list.csv",
+    "NIFTY MIDCAP 50": "ind_niftymidcap50list.csv",
+    "NIFTY MIDCAP 100": "ind_niftymidcap100list.csv",
+    "NIFTY SMLCAP 100": "ind_niftysmallcap100list.csv",
+    "NIFTY BANK": "ind_niftybanklist.csv",
+    "NIFTY AUTO": "ind_niftyautolist.csv",
+    "NIFTY FIN SERVICE": "ind_niftyfinancelist.csv",
+    "NIFTY FMCG": "ind_niftyfmcglist.csv",
+    "NIFTY IT": "ind_niftyitlist.csv",
+    "NIFTY MEDIA": "ind_niftymedialist.csv",
+    "NIFTY METAL": "ind_niftymetallist.csv",
+    "NIFTY PHARMA": "ind_niftypharmalist.csv",
 }
 DEFAULT_INDEX = "NIFTY 500"
 KINDS = ("F&O Stocks", "Index Constituents")
@@ -37,13 +37,13 @@ class UniverseError(ValueError):
 
 def catalog(spark: SparkSession, root: str = "") -> DataFrame:
     """(index_name, path) of every index under a root folder."""
-    return spark.createDataFrame([(k, f"{root}ind_{v}list.csv") for k, v in INDEX_FILES.items()], "index_name string, path string")
+    return spark.createDataFrame([(k, f"{root}{v}") for k, v in INDEX_FILES.items()], "index_name string, path string")
 
 
 def index_path(name: str, root: str = "") -> str:
     if name not in INDEX_FILES:
         raise UniverseError(f"no such index: {name}")
-    return f"{root}ind_{INDEX_FILES[name]}list.csv"
+    return f"{root}{INDEX_FILES[name]}"
 
 
 def tickers(symbols: DataFrame, order: list[str] | None = None, suffix: str = SUFFIX) -> DataFrame:

@@ -225,3 +225,39 @@ def test_details_highlight(spark):
     long, short, neutral = (r.d for r in df.select(display.details().alias("d")).collect())
     assert long.count("pct-positive") == 6 and 'MomRSI: <span class="signal-neutral">41.00</span><br>OscMom' in long
     assert short.count("pct-negative") == 2 and "pct-" not in neutral and 'VolSurge: <span class="signal-neutral">72.1</span>' in neutral
+
+
+def test_odd_results_are_no_data(spark):
+    """A value that is null or not finite at the last row; guards come first."""
+    good = {"status": None, "status_details": None, "pct_change": 1.0, "x_long": False, "x_short": False, "bull_div": False, "bear_div": False, **{c: 1.0 for c in CRITERIA}}
+    rows = [("ok", {}), ("null", {"osc_accel": None}), ("nan", {"vol_surge": math.nan}), ("inf", {"ilfo_value": -math.inf}), ("guard", {"ilfo_value": None, "status": "Invalid Data", "status_details": "why"})]
+    schema = "ticker string, as_of date, bar_date date, status string, status_details string, pct_change double, x_long boolean, x_short boolean, bull_div boolean, bear_div boolean, " + ", ".join(f"{c} double" for c in CRITERIA)
+    df = spark.createDataFrame([(t, DAY, DAY, *(good | odd).values()) for t, odd in rows], schema)
+    out = {r.ticker: (r.signal, r.status_details, r.pct_change) for r in sig.classified(df).collect()}
+    assert out == {"ok": ("Neutral", None, 1.0), "guard": ("Invalid Data", "why", None), **{t: ("No Data", "Invalid calculation result", None) for t in ("null", "nan", "inf")}}
+
+
+def test_parameters_without_anchors(spark):
+    table = params.table(spark).withColumns({x: F.when(F.col("param") != "vol_surge", F.col(x)) for x in ("median", "fail_mean", "spread")})
+    df = values(spark, [at("Long", "median")]).withColumn("id", F.lit(1))
+    parts = {r.param: r for r in scoring.breakdown(df, ("id",), table=table).collect()}
+    assert parts["vol_surge"].status == "no_stats" and parts["vol_surge"].contribution == 0 and abs(parts["vol_surge"].max_contribution - 13) < 1e-9
+    assert parts["ilfo_value"].status == "optimal_proximity" and scoring.proximity(F.lit(1.0), None, None) is not None
+
+
+def test_records_of_absent_tickers(spark):
+    universe = spark.createDataFrame([(0, "A"), (1, "Z")], "seq long, ticker string")
+    no_sectors = spark.createDataFrame([], "ticker string, sector string")
+    done = analysis.run(universe, bars(spark, A=walk(60)), no_sectors, DAY, absent=True)
+    out = {r.ticker: r for r in done.results.collect()}
+    assert (out["Z"].signal, out["Z"].details, out["Z"].grade) == ("No Data", "No data at 2001-06-30", "D") and done.missing_count == 0
+    counted = analysis.run(universe, bars(spark, A=walk(60)), no_sectors, DAY, keep=False)
+    assert counted.missing_count == 1
+    assert {r.tab: r.n for r in counted.notes.collect()}["Errors"] == 1
+
+
+def test_notes(spark):
+    said = {r.tab: (r.n, r.note) for r in report.notes(results(spark), 3).collect()}
+    assert said == {"Long": (2, None), "Short": (2, None), "Errors": (7, "⚠️ 7 stocks encountered errors during analysis.")}
+    none = {r.tab: r.note for r in report.notes(results(spark).limit(0)).collect()}
+    assert none == report.NOTES

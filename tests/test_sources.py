@@ -2,6 +2,9 @@
 
 import base64
 import datetime as dt
+import logging
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,8 @@ from pyspark.sql import functions as F
 from panelwright.plans import analysis
 from panelwright.plans import queries as q
 from panelwright.sinks import exports
-from panelwright.sources import bars, sectors, universe
+from panelwright import logs
+from panelwright.sources import bars, sectors, store, universe
 from panelwright.streaming import bars as streaming
 
 
@@ -92,3 +96,87 @@ def test_analysis(spark, sf):
     assert sum(r.n for r in done.counts.collect()) == 10
     assert done.metrics.collect()[0].analysed == 10 and sum(r.Total for r in done.by_sector.collect()) == 10
     assert done.longs.count() + done.shorts.count() + done.errors.count() <= 10
+
+
+def test_signals_scan_the_range_of_stored_bars(spark, sf):
+    """Of the query itself: no trades are read again, the date range reaches the scan, two exchanges by hash."""
+    plan = q.signal_asof(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert scans and not any("lineitem" in x or "l_" in x for x in scans) and all("panelwright-bars" in x for x in scans)
+    assert all("GreaterThanOrEqual(bar_date,2000-10-23)" in x and "LessThanOrEqual(bar_date,2001-06-30)" in x for x in scans), plan
+    # the calendar's scan reads dates only
+    assert len(scans) == 2 and any(re.search(r"ReadSchema: struct<bar_date:date>", x) for x in scans)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2, plan
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    made = []
+    make = lambda: made.append(1) or spark.read.parquet(source)
+    first = store.once(spark, "t", [source], make)
+    assert store.once(spark, "t", [source], make) == first and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    second = store.once(spark, "t", [source], make)
+    assert second != first and spark.read.parquet(second).count() == 5
+    path = second.removeprefix("file:").replace("///", "/")
+    os.rename(path, path + ".away")
+    assert spark.read.parquet(store.once(spark, "t", [source], make)).count() == 5 and len(made) == 3
+
+
+def test_text_that_is_no_number_is_an_error_of_its_ticker(spark, tmp_path):
+    day = dt.date(2001, 6, 30)
+    lines = ["ticker,bar_date,open,high,low,close,volume"]
+    for t in ("A", "B", "C"):
+        for i in range(60 if t != "C" else 20):
+            close = "n/a" if t in "BC" and i == 7 else "" if i == 3 else "10.5"
+            lines.append(f"{t},{day - dt.timedelta(days=i)},10,11,9,{close},100")
+    (tmp_path / "bars.csv").write_text("\n".join(lines))
+    rows = bars.scan(spark, f"{tmp_path}/bars.csv", day)
+    assert rows.where("fault is not null").count() == 2
+    out = {r.ticker: r for r in analysis.signals(rows, day, "own").collect()}
+    assert (out["B"].signal, out["B"].details, out["B"].confidence_grade) == ("Error (Calc)", "close is not a number: n/a", "D")
+    assert out["A"].signal == "Neutral" and out["C"].signal == "Insufficient Data"
+    assert out["B"].vol_surge is None and out["B"].pct_change is None
+
+
+def test_many_as_of_dates_are_joined(spark, monkeypatch):
+    days = [(f"T{k}", dt.date(2000, 1, 1) + dt.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0) for k in range(2) for i in range(0, 300, 7)]
+    df = spark.createDataFrame(days, "ticker string, bar_date date, open double, high double, low double, close double, volume double")
+    dates = [dt.date(2000, 3, 1) + dt.timedelta(days=9 * i) for i in range(12)]
+    want = sorted((r.as_of, r.ticker, r.bar_date) for r in bars.in_range(df, dates).collect())
+    monkeypatch.setattr(bars, "DATES", 3)
+    assert sorted((r.as_of, r.ticker, r.bar_date) for r in bars.in_range(df, dates).collect()) == want
+    monkeypatch.setattr(bars, "PAIRS", 3)
+    assert sorted((r.as_of, r.ticker, r.bar_date) for r in bars.in_range(df, dates).collect()) == want
+
+
+def test_sector_table_survives_a_lost_driver(spark, tmp_path):
+    path = f"{tmp_path}/sectors"
+    sectors.store(spark.createDataFrame([("A", "x")], "ticker string, sector string"), path)
+    os.rename(path, path + ".old")  # lost after the old table was moved away
+    assert [r.sector for r in sectors.load(spark, path).collect()] == ["x"]
+    sectors.store(spark.createDataFrame([("A", "y")], "ticker string, sector string"), path)
+    assert [r.sector for r in sectors.load(spark, path).collect()] == ["y"] and not os.path.exists(path + ".old")
+
+
+def test_html_reports_escape_and_have_any_length(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("A<&", "<b>x</b>", None), ("B", "y", "it's")], "ticker string, signal string, sector string")
+    text = exports.html_table(df)
+    assert "<td>A&lt;&amp;</td><td><b>x</b></td><td></td>" in text and "it&#x27;s" in text
+    monkeypatch.setattr(exports, "RENDERED", 1)
+    with pytest.raises(ValueError, match="write_html"):
+        exports.html_table(df)
+    head, foot = exports.write_html(df, str(tmp_path / "html"))
+    body = "".join(r.value for r in spark.read.text(str(tmp_path / "html")).collect())
+    assert body.count("<tr>") == 2 and head + body + foot == text or set(body.split("</tr>")) == set(text.removeprefix(head).removesuffix(foot).split("</tr>"))
+
+
+def test_log_lines(spark, caplog):
+    with caplog.at_level(logging.INFO, "panelwright"):
+        with logs.progress(spark, "count", every=0.01):
+            spark.range(1000).repartition(4).count()
+        with pytest.raises(ZeroDivisionError), logs.progress(spark, "broken"):
+            1 / 0  # noqa: B018
+    text = caplog.text
+    assert "count: started" in text and "tasks" in text and "count: done" in text and "broken: failed" in text

@@ -43,6 +43,13 @@ def test_wilder_rsi(spark, adjust):
         assert (r["rsi"] is None) == np.isnan(w) and (r["rsi"] is None or abs(r["rsi"] - w) < 1e-9)
 
 
+def test_rsi_of_too_long_a_range_is_an_error(spark):
+    df = series(spark, [i % 7 for i in range(6000)]).withColumn("row", W.row)
+    assert df.where("row < 5000").withColumn("r", W.wilder_rsi("x", "x", "row", 9)).where("r > 49").count() > 4900
+    with pytest.raises(Exception, match="can't run over more than"):
+        df.withColumn("r", W.wilder_rsi("x", "x", "row", 9)).agg(F.sum("r")).collect()
+
+
 def test_rsi_of_a_constant_is_null(spark):
     df = series(spark, [0] * 20).withColumn("row", W.row)
     assert {r["r"] for r in run(df, r=W.wilder_rsi("x", "x", "row", 9))} == {None}
