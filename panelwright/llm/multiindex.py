@@ -14,12 +14,13 @@ The codebooks grow with the root of the number of vectors, so that a cell has ab
 any size, up to MOST centroids a half. They are fitted on a sample of at most SAMPLE rows (those with the
 smallest hashes); every row is indexed and is a query.
 
-Equal vectors of one label are one representative that counts as often as it occurs. Cells of a label are
-packed, in order, into blocks of about BLOCK residents, and a larger cell is cut into several, so a
-vector travels to the few blocks that hold its cells instead of to each cell. A pair is verified in the
-block of the one that comes later by (cell, id), and there once. A task holds a block and streams what
-visits it. It keeps of the links it finds their number per vector and, for connectivity, each vector's
-link to its first partner of the block and those between the first and the others, each once.
+Equal vectors of one label are one representative that counts as often as it occurs. The grid of a label is
+divided, in the order of its cells, into blocks for about BLOCK vectors each, and a block with more residents
+is cut into parts, so a vector travels to the few blocks that hold its cells instead of to each cell. A pair
+is verified in the block of the one that comes later by (cell, id), and there once. A task holds a part of a
+block and streams what visits it. It keeps of the links it finds their number per vector and, for
+connectivity, each vector's link to its first partner of the part and those between the first and the
+others, each once.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows
 without a label are linked with nothing; only vectors of equal length are compared; repeated rows count
@@ -29,7 +30,7 @@ as vectors of their own. A null vec_id stays alone: component null, kept. Other
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.base import Scratch, components, join_measured
@@ -156,13 +157,14 @@ def _place(rows: DataFrame, books, limit: float) -> DataFrame:
                     part = whole.iloc[at : at + _BATCH]
                     out = part[cols].copy()
                     if (book := shared.value.get(int(dim))) is None:
-                        out["cell"], out["visits"] = 0, [[0]] * len(out)
+                        out["cell"], out["grid"], out["visits"] = 0, 1, [[0]] * len(out)
                     else:
+                        out["grid"] = len(book[0]) * len(book[1])
                         out["cell"], out["visits"] = visits(_units(list(part["vec"])), book)
-                    yield out
+                    yield out[[*cols, "cell", "grid", "visits"]]
 
     types = dict(rows.dtypes)
-    return rows.select(*cols).mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in cols] + ["cell int, visits array<int>"]))
+    return rows.select(*cols).mapInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in cols] + ["cell int, grid int, visits array<int>"]))
 
 
 class _Block:
@@ -216,7 +218,7 @@ def _columns(part):
 def _meet(cosine: float):
     def run(batches):
         current, block = None, None
-        for key, part in runs(batches, ["label", "dim", "block"]):  # residents come before visitors
+        for key, part in runs(batches, ["label", "dim", "block", "part"]):  # residents come before visitors
             if key != current:
                 if block is not None:
                     yield from block.settle()
@@ -233,13 +235,20 @@ def _meet(cosine: float):
     return run
 
 
+def _block(cell):
+    """The block of a cell: as many equal ranges of cells as a label has blocks."""
+    return F.floor(cell.cast("long") * F.col("blocks") / F.col("grid")).cast("int")
+
+
 def _blocks(placed: DataFrame) -> DataFrame:
-    """(label, dim, ranges): the first and last block of each cell; at most MOST squared cells a label and length."""
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("label", "dim").orderBy("cell")
-    upto = F.sum("size").over(order)
-    bounds = sizes.select("label", "dim", "cell", F.floor((upto - F.col("size")) / BLOCK).cast("int").alias("first"), F.floor((upto - 1) / BLOCK).cast("int").alias("last"))
-    return bounds.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("first", "last")))).alias("ranges"))
+    """(label, dim, blocks, parts): the number of blocks of a label and length, and of the parts of each block."""
+    keys = ["label", "dim"]
+    totals = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("grid").alias("grid"))
+    cells = placed.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cells.join(totals, keys).groupBy(*keys, _block(F.col("cell")).alias("block")).agg(F.sum("size").alias("size"))
+    every = totals.select(*keys, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    parts = every.join(sizes, [*keys, "block"], "left").select(*keys, "blocks", F.struct("block", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(0)).cast("int").alias("parts")).alias("p"))
+    return parts.groupBy(*keys, "blocks").agg(F.sort_array(F.collect_list("p")).alias("p")).select(*keys, "blocks", F.transform("p", lambda p: p["parts"]).alias("parts"))
 
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k: int | None = None) -> DataFrame:
@@ -254,16 +263,17 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = 1.0, k
     chosen = vectors.join(firsts.withColumnRenamed("rep", "vec_id"), [*same, "vec_id"]).dropDuplicates(same)
     books, limit = fit(vectors, k or centroids(vectors.count()), cosine, recall)
     placed = scratch.save(_place(chosen.withColumnRenamed("vec_id", "rep"), books, limit), "placed")
-    ranges = scratch.save(_blocks(placed), "blocks")
-    rows = join_measured(placed, ranges, ["label", "dim"], "inner", ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0)
-    own = F.try_element_at("ranges", "cell")
-    rows = rows.withColumn("home", own["first"] + F.pmod(F.hash("rep"), own["last"] - own["first"] + 1))
-    spans = F.transform("visits", lambda c: F.try_element_at("ranges", c))
-    to = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda r: r.isNotNull()), lambda r: F.sequence(r["first"], r["last"]))))
-    trips = F.transform(to, lambda b: F.struct(b.alias("block"), (b != F.col("home")).alias("visitor")))
+    blocks = scratch.save(_blocks(placed), "blocks")
+    rows = join_measured(placed, blocks, ["label", "dim"], "inner", blocks.agg(F.sum("blocks")).first()[0] or 0)
+    home = _block(F.col("cell"))
+    rows = rows.withColumns({"home": home, "own": F.pmod(F.hash("rep"), F.get("parts", home))})
+    to = F.array_distinct(F.transform("visits", lambda c: _block(c)))
+    trip = lambda b, p: F.struct(b.alias("block"), p.alias("part"), ((b != F.col("home")) | (p != F.col("own"))).alias("visitor"))
+    held = F.filter(to, lambda b: F.get("parts", b) > 0)
+    trips = F.flatten(F.transform(held, lambda b: F.transform(F.sequence(F.lit(0), F.get("parts", b) - 1), lambda p: trip(b, p))))
     base = ["rep", "label", "dim", "n", "vec", "cell"]
-    meeting = rows.select(*base, F.explode(trips).alias("t")).select(*base, "t.block", "t.visitor")
-    keys = ["label", "dim", "block"]
+    meeting = rows.select(*base, F.explode(trips).alias("t")).select(*base, "t.block", "t.part", "t.visitor")
+    keys = ["label", "dim", "block", "part"]
     meeting = meeting.repartition(*keys).sortWithinPartitions(*keys, "visitor")
     found = scratch.save(meeting.mapInPandas(_meet(cosine), "u long, v long, links long"), "found")
     links = found.where("links > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
