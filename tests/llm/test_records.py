@@ -3,7 +3,10 @@
 import base64
 import gzip
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -11,9 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelwright.llm import chat, html, langid, mixing, queries, segments, warc
+from panelwright.llm import bpe, chat, html, langid, queries, segments, warc
 from panelwright.llm.base import Scratch
 from tests.llm.test_dedup import brute
+from tests.llm.test_text import code, slow_grams
 
 
 @pytest.mark.parametrize("name", ["op1_warc_index", "op2_chat_windows", "op4_segment_topk", "op7_minhash_dedup", "op9_multi_index_dedup"])
@@ -468,17 +472,34 @@ def test_bounds_hold():
 
 
 def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
+    """Language by slow profiles, near duplicates by all pairs, copies by a Poisson inversion of its own, ids by the tokenizers library."""
     docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
-    frame = spark.read.parquet(f"{sf}/documents.parquet")
-    pred = {r.doc_id: r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_SCORE for r in langid.identify(frame).collect()}
-    left = [d for d in docs if pred[d["doc_id"]]]
+    size = langid.PROFILE
+    train = {}
+    for d in docs:
+        if zlib.crc32(str(d["doc_id"]).encode()) % 5 and d["lang"] is not None:
+            train.setdefault(d["lang"], Counter()).update(slow_grams(d["text"] or ""))
+    rank = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    known = {g for counts in train.values() for g in rank(counts)}
+    left = [d for d in docs if known.intersection(rank(slow_grams(d["text"] or "")))]
     assert len(left) == len(docs)  # clean documents stay
     comp = brute([(d["doc_id"], d["text"]) for d in left])
     left = [d for d in left if comp[d["doc_id"]][1] == d["doc_id"]]
-    kept = spark.createDataFrame(left, frame.schema)
-    mixed = [(r.doc_id, r.source) for r in mixing.replicate(kept).collect()]
-    out = corpus_pipeline.run(spark, sf)
-    assert sorted((r.doc_id, r.source) for r in out.collect()) == sorted(mixed)
+    sizes = Counter(d["source"] for d in left)
+    weights = sum(math.sqrt(n) for n in sizes.values())
+    u = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0**52
+    library = bpe.codec(queries.VOCABULARY).library
+    want = []
+    for d in left:
+        mean = math.sqrt(sizes[d["source"]]) / weights * len(left) / sizes[d["source"]]
+        draw, at, below = u(f"17:copies:{d['doc_id']}"), 0, math.exp(-mean)
+        while below <= draw:
+            at += 1
+            below += math.exp(at * math.log(mean) - mean - math.lgamma(at + 1))
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        want += [(d["doc_id"], d["lang"] or "", d["source"] or "", len(ids), ids)] * at
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.lang or "", r.source or "", r.n_tokens, r.ids) for r in out) == sorted(want) and len(out) > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "mix", "tokenise"]
 
 
