@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,30 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written within: long texts meet whole batches of their like."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 1280
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to TEXT_ROWS: 10,000 whole texts are held several times over in JVM and worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def join_measured(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
     """Join; the small side is broadcast only if its measured count is within BROADCAST_ROWS."""
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
@@ -147,7 +172,7 @@ class Files:
     def bytes(self, name: str) -> np.ndarray:
         """A whole file: memory-mapped where it is a plain file, else read and held while HELD bytes allow."""
         if self.local:
-            return np.memmap(f"{self._root}/{name}", np.uint8, "r")
+            return np.asarray(np.memmap(f"{self._root}/{name}", np.uint8, "r"))
         path = f"{self._root}/{name}"
         if path not in _held:
             with self._fs.open_input_file(path) as f:

@@ -17,8 +17,8 @@ Pairs within a group of copies are never all listed:
 2. in each band bucket every document is paired with the bucket's smallest id only, confirmed, and the
    links give first components;
 3. of a bucket only documents of different components still have to be compared. Its largest component
-   stands on one side: its documents are compared with the others only, and the others with each other.
-   Both sides are cut into blocks of BLOCK documents; each pair of blocks is compared by bit counts in one
+   stands on one side: its documents are compared with the others only, and the others with each other
+   (of a bucket of up to BLOCK documents all are compared at once). Both sides are cut into blocks of BLOCK documents; each pair of blocks is compared by bit counts in one
    task, and only pairs of different components that the estimate lets through are confirmed. So no link
    between components is missed, however large the bucket, and one stranger in a bucket of copies costs
    one comparison a copy.
@@ -40,11 +40,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import BROADCAST_ROWS, Scratch, batch_word_hashes, components, join_measured, mix64, portions
+from panelwright.llm.base import BROADCAST_ROWS, Scratch, batch_word_hashes, batches_of, components, join_measured, mix64, portions
 
 WORDS, PERCENT = 5, 75
 K, BANDED, ROWS, BITS = 1024, 128, 4, 2
 BLOCK, SLOT = 2048, 512
+#: Texts that a confirming task takes at once.
+TEXTS = 256
 #: Standard deviations of the number of equal fields that the estimate may fall short of the threshold.
 SLACK = 5.0
 _LONGS = K * BITS // 64
@@ -172,13 +174,15 @@ def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = texts.join(need.hint("merge"), "doc_id")
     ready = texts.repartition("grp", "slot").sortWithinPartitions("grp", "slot", "member")
     kind = dict(need.dtypes)["doc_id"]
-    return scratch.save(ready.mapInPandas(_confirm_sorted, f"u {kind}, v {kind}"), "links")
+    with batches_of(scratch.spark, TEXTS):
+        return scratch.save(ready.mapInPandas(_confirm_sorted, f"u {kind}, v {kind}"), "links")
 
 
 def _bucket_pairs(batches):
     """Rows sorted by (key, kind, i, j): candidates between different components of one bucket's pair of blocks.
 
-    Of kind 0 both blocks are of the others; of kind 1 block i is of the others and j of the largest component.
+    Of kind 0 both blocks are of the others; of kind 1 block i is of the others and j of the largest component;
+    of kind 2 the only block holds all.
     """
     least, first, held, current = least_equal(), least_equal(32 * _FIRST), [], None
     tile = ["key", "kind", "i", "j"]
@@ -188,7 +192,7 @@ def _bucket_pairs(batches):
         ids, comp, block, side = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["side"].to_numpy()
         sig = np.stack(rows["sig"].to_numpy()).view(np.uint64)
         bands = np.stack(rows["bands"].to_numpy())
-        left, right = np.flatnonzero((block == i) & (side == 0)), np.flatnonzero((block == j) & (side == kind))
+        left, right = (np.arange(len(ids)),) * 2 if kind == 2 else (np.flatnonzero((block == i) & (side == 0)), np.flatnonzero((block == j) & (side == kind)))
         for at in range(0, len(left), 256):
             rows_l = left[at : at + 256]
             hit = equal_fields(sig[rows_l][:, None, :_FIRST], sig[right][None, :, :_FIRST]) >= first
@@ -224,7 +228,7 @@ def _cross(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = labelled.join(open_.select("key", "big", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("bigs")), "key")
+    rows = labelled.join(open_.select("key", "big", (F.col("n") <= BLOCK).alias("small"), blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("bigs")), "key")
     rows = rows.withColumn("side", (F.col("comp") == F.col("big")).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.hash("doc_id"), F.when(F.col("side") == 1, F.col("bigs")).otherwise(F.col("others"))))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -233,7 +237,7 @@ def _cross(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     with_others = F.transform(every("others"), lambda o: trip(0, F.least(own, o), F.greatest(own, o)))
     with_big = F.transform(every("bigs"), lambda o: trip(1, own, o))
     of_big = F.transform(every("others"), lambda o: trip(1, o, own))
-    rows = rows.select("key", "doc_id", "comp", "side", "block", F.explode(F.when(F.col("side") == 1, of_big).otherwise(F.concat(with_others, with_big))).alias("t"))
+    rows = rows.select("key", "doc_id", "comp", "side", "block", F.explode(F.when(F.col("small"), F.array(trip(2, F.lit(0), F.lit(0)))).when(F.col("side") == 1, of_big).otherwise(F.concat(with_others, with_big))).alias("t"))
     rows = rows.select("key", "doc_id", "comp", "side", "block", "t.kind", "t.i", "t.j").join(reps, "doc_id")
     kind = dict(rows.dtypes)["doc_id"]
     tile = ["key", "kind", "i", "j"]
