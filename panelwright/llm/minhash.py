@@ -11,9 +11,8 @@ probability 5e-6.
 
 Pairs within a group of copies are never all listed:
 
-1. documents with the same sequence of words are one representative (the smallest id) and links to it.
-   Sequences are compared by their SHA-256 digests; equal ones have equal sets. Documents whose sets are
-   equal but whose sequences differ share every band and are confirmed on full sets like any other pair;
+1. documents with equal sets are one representative (the smallest id) and links to it. Full sets are
+   compared, by the SHA-256 of all their sorted hashes, which a confirmation compares one by one;
 2. in each band bucket every document is paired with the bucket's smallest id only, confirmed, and the
    links give first components;
 3. of a bucket only documents of different components still have to be compared. Its largest component
@@ -109,16 +108,12 @@ def equal_fields(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 32 * x.shape[-1] - np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN).sum(axis=-1, dtype=np.int64)
 
 
-def _sequence_digest(text: str | None) -> bytes:
-    """SHA-256 of a text's words, in order."""
-    return hashlib.sha256(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())).digest()
-
-
 def _sketch(batches):
     for pdf in batches:
-        rows = {"doc_id": pdf["doc_id"], "n": [], "mark": [_sequence_digest(t) for t in pdf["text"]], "sig": [], "bands": []}
+        rows = {"doc_id": pdf["doc_id"], "n": [], "mark": [], "sig": [], "bands": []}
         for s in shingle_sets(pdf["text"]):
             rows["n"].append(len(s))
+            rows["mark"].append(hashlib.sha256(s.tobytes()).digest())
             m = minima(s)
             rows["sig"].append(pack(m).view(np.int64) if len(s) else None)
             banded = m[:BANDED].astype(np.uint64).reshape(-1, ROWS) + np.uint64(1)
@@ -127,7 +122,7 @@ def _sketch(batches):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, mark, sig, bands): set size, digest of the word sequence, packed signature, band hashes."""
+    """(doc_id, n, mark, sig, bands): set size, digest of the set, packed signature, band hashes."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInPandas(_sketch, f"doc_id {kind}, n long, mark binary, sig array<long>, bands array<long>")
