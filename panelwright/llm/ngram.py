@@ -45,7 +45,7 @@ from panelwright.llm.vectors import runs
 ORDER = 3
 DISCOUNT = 0.8
 #: Entries that a counting task holds before it merges, and before it sends what it has.
-MERGE, SEND = 1 << 21, 1 << 22
+MERGE, SEND = 1 << 20, 1 << 22
 #: Characters tokenised at once.
 TEXTS = 1 << 21
 #: Training tokens to a shard, at most.
@@ -227,12 +227,12 @@ class Words:
             keys, sums = EliasFano(n1, b1, *p[0:4]), EliasFano(n2, b2, *p[4:8])
             part = slice(cut[s], cut[s + 1])
             want = u[part] - _first_hash(s, self.shards)
-            at = keys.successor(want)
-            hit = at < n1
-            hit[hit] = keys.get(at[hit]) == want[hit]
+            at = keys.find(want)
+            hit = at >= 0
             at, where = at[hit], cut[s] + np.flatnonzero(hit)
             ids[where], logs[where] = self.base[s] + at, -restore(p[8][at])
-            counts[where] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
+            before, upto = sums.get_pairs(at)
+            counts[where] = (upto - before).astype(np.int64)
         return ids[inverse], counts[inverse], (logs - np.log10(self.total + self.n + 1))[inverse]
 
 
@@ -395,14 +395,14 @@ class Level:
         pointers, successors, probs, weights = EliasFano(n1, b1, *parts[0:4]), EliasFano(n2, b2, *parts[4:8]), parts[8], parts[9]
         starts = np.flatnonzero(np.diff(u, prepend=-1))
         own, repeat = u[starts], np.diff(starts, append=len(u))
-        begin, end = pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64)
+        begin, end = (x.astype(np.int64) for x in pointers.get_pairs(own))
         base = np.zeros(len(own), np.uint64)
         base[begin > 0] = successors.get(begin[begin > 0] - 1)
         begin, end, base = (np.repeat(x, repeat) for x in (begin, end, base))
-        want = base + (v + 1).astype(np.uint64)
-        at = successors.successor(want)
-        hit = (at >= begin) & (at < end) & (v >= 0)
-        hit[hit] = successors.get(at[hit]) == want[hit]
+        at = np.full(len(u), -1, np.int64)
+        asked = np.flatnonzero((v >= 0) & (end > begin))
+        at[asked] = successors.find(base[asked] + (v[asked] + 1).astype(np.uint64))
+        hit = (at >= begin) & (at < end)
         node, p = np.full(len(u), -1, np.int64), np.zeros(len(u))
         node[hit], p[hit] = self.base[s] + at[hit], restore(probs[at[hit]])
         return node, p, np.repeat(restore(weights[own]), repeat)

@@ -183,6 +183,10 @@ def test_elias_fano(values, wanted):
     assert ef.get(np.arange(len(v))).tolist() == v.tolist()
     x = np.array(wanted + [int(t) for t in v[:20]], np.uint64)
     assert ef.successor(x).tolist() == np.searchsorted(v, x).tolist()
+    found = ef.find(x)
+    assert (found >= 0).tolist() == np.isin(x, v).tolist() and v[found[found >= 0]].tolist() == x[found >= 0].tolist()
+    pairs = ef.get_pairs(np.arange(max(len(v) - 1, 0)))
+    assert pairs[0].tolist() == v[:-1].tolist() and pairs[1].tolist() == v[1:].tolist()
 
 
 def slow_scores(texts, learnt, order, d):
@@ -263,6 +267,19 @@ def test_scoring_edge_cases(spark):
     assert (alone.train_tokens, alone.score, alone.held_out) == (0, 0.0, True)
 
 
+def test_very_long_texts_are_scored_whole(spark, monkeypatch):
+    """A text beyond every batch and segment; its tokens are those of slow counting."""
+    monkeypatch.setattr(ngram, "TEXTS", 1 << 16)
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.7)) % 5000}" for _ in range(120_000)]
+    texts = {1: " ".join(words), 3: " ".join(words[:500]), 4: "x" * 300_000, 5: "w1 w2"}
+    want, total = slow_scores(texts, [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2], ngram.ORDER, ngram.DISCOUNT)
+    got = {x.doc_id: x for x in ngram.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, (n, known, base, full) in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert abs(got[i].base_score - base) < 1e-9 * abs(base) + 1e-9 and abs(got[i].score - full) < 2e-4 * ngram.ORDER * n
+
+
 def test_counter_merges():
     r = random.Random(1)
     want, c = Counter(), ngram.Counter()
