@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per Python worker.
-MEMO = 250_000
+MEMO = 150_000
 _NONE, _MASK = 1 << 60, (1 << 24) - 1
 _END = ""  # stands for the end-of-word suffix; byte-level words never hold it
 #: Characters whose split can be done here exactly: Latin letters, digits, punctuation, plain white space.

@@ -29,7 +29,7 @@ ORDERS = 3
 #: Languages that a model may tell apart, more than there are; the profiles sent to executors have at most LANGUAGES * PROFILE entries of 16 bytes.
 LANGUAGES = 20_000
 #: Characters whose n-grams are counted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BITS = np.int64(21)
 _alpha: list[np.ndarray] = []
 

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe, chat, html, langid, minhash, mixing, multiindex, ngram, segments, warc
+from panelwright.llm.base import small_batches
 
 #: The vocabulary of op8, a parameter of its operator.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
