@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe, langid, minhash, mixing
-from panelwright.llm.base import Scratch, join_measured
+from panelwright.llm.base import Scratch, join_measured, small_batches
 from panelwright.llm.queries import VOCABULARY
 
 #: The score of a document that shares no n-gram with any language's profile, whatever its script and length.
@@ -36,6 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id, lang or source does not matter, and other columns than those of documents are left behind. With nothing
     to learn from every document is ``und`` and goes; an empty table stays empty.
     """
+    small_batches(spark)
     profiles = langid.fit(docs.where(~langid.held_out()))
     known = F.col("score") > MIN_SCORE
     if scripts := _scripts(spark, profiles):
@@ -51,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are linked with nothing and stay, once per id; very long ones are compared whole;
     an empty table stays empty.
     """
+    small_batches(spark)
     scratch = Scratch(spark)
     classes = minhash.near_duplicates(docs)
     gone = scratch.save(classes.where("not kept").select("doc_id").distinct(), "gone")
@@ -82,6 +84,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens, very long ones are encoded whole, repeated rows each; an empty table
     stays empty.
     """
+    small_batches(spark)
     return bpe.encode(docs, VOCABULARY, keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
