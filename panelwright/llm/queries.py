@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, chat, html, langid, minhash, mixing, multiindex, ngram, phrases, segments, spelling, warc
+from panelwright.llm import bpe, chat, html, langid, minhash, mixing, multiindex, ngram, phrases, projections, segments, spelling, warc
 from panelwright.llm.base import small_batches
 
 #: The vocabulary of op8, a parameter of its operator.
@@ -78,12 +78,16 @@ def op11_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_index, op2_chat_windows, op3_html_text, op4_segment_topk, op5_poisson_mixing, op6_trie_scoring, op7_minhash_dedup, op8_bpe_codec, op9_multi_index_dedup, op10_language_id, op11_suffix_sigma, op13_spelling_variants)
+    f.__name__: f for f in (op1_warc_index, op2_chat_windows, op3_html_text, op4_segment_topk, op5_poisson_mixing, op6_trie_scoring, op7_minhash_dedup, op8_bpe_codec, op9_multi_index_dedup, op10_language_id, op11_suffix_sigma, op12_projected_neighbours, op13_spelling_variants)
 }
 
 
