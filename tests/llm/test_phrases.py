@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import phrases
 
@@ -43,9 +46,7 @@ def story(r, words, n):
 
 
 @pytest.mark.parametrize("max_n", [2, 3, 4])
-def test_phrases_match_a_plain_count(spark, monkeypatch, max_n):
-    monkeypatch.setattr(phrases, "COUNTED", 50)  # suffixes come in several parts
-    monkeypatch.setattr(phrases, "BYTES", 64)  # and texts are cut
+def test_phrases_match_a_plain_count(spark, max_n):
     r = random.Random(max_n)
     words = ["the", "The", "a", "Ä", "ä", "of", "x\x01", "x", "\x02", "x\x00y", "größe", "q" * 100, "n'y"]
     rows = [(story(r, words, r.randrange(60)), r.choice(["en", "en", "en", "de", None, "und"])) for _ in range(60)]
@@ -55,10 +56,57 @@ def test_phrases_match_a_plain_count(spark, monkeypatch, max_n):
     assert {g[0] for g in got} == {"en", "de", "und"}
 
 
-def test_a_hot_first_word_and_pair_are_cut_into_ranges(spark):
+def all_counts(rows, max_n, hot, buckets, least=1):
+    """What the tasks of both sides of the shuffle make of the rows, and the runs between them."""
+    names = ["lang", "text"]
+    batches = [pa.RecordBatch.from_pylist([{"lang": lang, "text": t} for t, lang in rows[at : at + 7]], pa.schema([("lang", pa.string()), ("text", pa.binary())])) for at in range(0, len(rows), 7)]
+    assert all(b.schema.names == names for b in batches)
+    runs = [x for b in phrases._runs(max_n, hot, buckets)(iter(batches)) for x in b.to_pylist()]
+    runs.sort(key=lambda x: (x["bucket"], x["lang"]))
+    table = pa.RecordBatch.from_pylist(runs, pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("codes", pa.binary()), ("n", pa.binary())]))
+    found = Counter()
+    parts = Counter()
+    for b in phrases._counts(max_n, least, hot)(iter([table.slice(0, 3), table.slice(3)])):
+        for x in b.to_pylist():
+            found[x["lang"], x["phrase"]] += x["n"]
+            parts[x["lang"], x["phrase"]] += 1
+    return found, parts, runs
+
+
+@pytest.mark.parametrize("max_n", [1, 2, 3, 4])
+def test_parts_of_texts_runs_and_hot_prefixes_lose_nothing(monkeypatch, max_n):
+    monkeypatch.setattr(phrases, "TEXT", 60)
+    r = random.Random(max_n)
+    words = [b"a", b"b", b"hot", b"pair", "ä".encode(), b"long" * 9]
+    rows = [(b" ".join(r.choice(words) + r.choice([b"", b"", b".", b"\n"]) for _ in range(r.randrange(80))), r.choice(["x", "y"])) for _ in range(40)]
+    want = Counter()
+    for text, lang in rows:
+        for piece in re.split(rb"[.\n]", text):
+            w = piece.split()
+            want[lang, b""] += len(w)
+            for k in range(1, max_n + 1):
+                want.update((lang, b" ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    want = +want
+    hot = {"x": {(b"hot",), (b"hot", b"pair"), (b"hot", b"a"), (b"absent",)}, "y": {(b"a",)}}
+    for h in ({}, hot):
+        h = {lang: {p for p in ps if len(p) < max_n} for lang, ps in h.items()}
+        found, parts, runs = all_counts(rows, max_n, h, 16)
+        assert found == want and len(runs) > 40
+        cut = {key for key, n in parts.items() if n > 1 and key[1]}
+        assert all(tuple(p.split()) in h.get(lang, set()) for lang, p in cut)  # only hot prefixes are counted in several buckets
+        assert max_n < 3 or not h or {("x", b"hot"), ("x", b"hot pair"), ("y", b"a")} <= cut
+        # rare phrases are left out, but hot ones are passed on
+        few, _, _ = all_counts(rows, max_n, h, 16, least=60)
+        assert {k: n for k, n in few.items() if n >= 60 or not k[1]} == {k: n for k, n in want.items() if n >= 60 or not k[1]}
+        assert max_n == 1 or len(few) < len(want)
+
+
+def test_a_hot_first_word_and_pair(spark):
     r = random.Random(3)
     rows = [(" ".join(f"hot pair w{r.randrange(300)}" for _ in range(40)), "en") for _ in range(60)] + [("a b c d. " * 20, "fr")]
     df = spark.createDataFrame(rows, "text string, lang string")
+    texts = df.select("lang", F.col("text").cast("binary").alias("text"))
+    assert phrases.hot_prefixes(texts, 3, 0.1) == {"en": {(b"hot",), (b"hot", b"pair"), (b"pair",)}}
     counts = phrases.phrase_counts(df, 3, 2)
     got = {(x.lang, x.phrase): x.f for x in counts.collect()}
     assert got["en", ""] == 60 * 40 * 3 and got["en", "hot"] == got["en", "hot pair"] == 2400 and got["fr", "b c d"] == 20
@@ -66,13 +114,14 @@ def test_a_hot_first_word_and_pair_are_cut_into_ranges(spark):
     assert mined(spark, rows, **kw) == plain(rows, **kw)
 
 
-def test_stack_hands_counts_down():
-    s = phrases.Stack(2)
-    for suffix, n in [(b"b\ta\t", 1), (b"b\t", 1), (b"a\tc\tb\t", 2), (b"a\tc\ta\t", 1), (b"a\tb\t", 1), (b"a\t", 3)]:
-        s.add("en", suffix, n)
-    s.end()
-    # all prefixes of the first suffix and those open at the end are passed on; of the others the frequent ones
-    assert s.out == [("en", b"b a", 2, 1), ("en", b"b", 1, 2), ("en", b"a c b", 3, 2), ("en", b"a c", 2, 3), ("en", b"a", 1, 7), ("en", b"", 0, 9)]
+def test_ranks_replace_numbers_that_grow_too_large():
+    r = np.random.default_rng(1)
+    columns = [r.integers(0, 1 << 20, 3000) for _ in range(6)]
+    columns = [np.concatenate((c, c[:100])) for c in columns]
+    code = phrases.combined(columns, 1 << 20)
+    rows = list(zip(*columns, strict=True))
+    assert np.argsort(code, kind="stable").tolist() == sorted(range(len(rows)), key=lambda i: (rows[i], i))
+    assert len(np.unique(code)) == len(set(rows))
 
 
 def test_edge_cases(spark):
