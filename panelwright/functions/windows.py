@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.scans import decayed
+
 
 @dataclass(frozen=True)
 class Frame:
@@ -82,16 +84,22 @@ class Frame:
     def is_last(self) -> Column:
         return F.lead(self.order).over(self.ordered).isNull()
 
-    def wilder_rsi(self, gain: str, loss: str, row: str, n: int, adjust: bool = True) -> Column:
-        """100 * average gain / (average gain + average loss), exponentially averaged with factor 1/n.
+    def wilder_rsi(self, rows: DataFrame, gain: str, loss: str, row: str, n: int, adjust: bool = True, span: int | None = None, name: str = "rsi") -> DataFrame:
+        """Adds 100 * average gain / (average gain + average loss), exponentially averaged with factor 1/n.
 
-        The common decay cancels, so both averages are running sums weighted by (1 - 1/n) ** -row. NULL
-        before n values and for 0 / 0. The weights stay finite for some thousand rows, many times the
-        longest range that the engine reads by default; a longer range is an error rather than a wrong value.
+        The common divisor of both averages cancels, so decayed running sums do. NULL before n values and for 0 / 0.
+        Where ``span``, a bound of the partition's rows, allows, the sums are running sums weighted by (1 - 1/n) ** -row;
+        else they come from a scan (see ``scans.decayed``), for any number of rows. Without ``adjust`` the first
+        value starts the average instead of being weighted like the rest.
         """
-        longest = int(600 / math.log(n / (n - 1.0)))
-        weight = F.when(F.col(row) <= longest, F.pow(F.lit(n / (n - 1.0)), F.col(row))).otherwise(F.raise_error(F.lit(f"an average of {n} rows can't run over more than {longest}")).cast("double"))
-        if not adjust:  # the first value starts the average instead of being weighted like the rest
-            weight = F.when(F.col(row) == 1, weight * n).otherwise(weight)
-        up, down = (F.sum(F.col(c) * weight).over(self.so_far) for c in (gain, loss))
-        return F.when(F.count(gain).over(self.so_far) >= n, F.try_divide(up * 100.0, up + down))
+        first = lambda c: F.when(F.col(row) == 1, F.col(c) * n).otherwise(F.col(c)) if not adjust else F.col(c)
+        if span is not None and span * math.log(n / (n - 1.0)) <= 600:
+            weight = F.pow(F.lit(n / (n - 1.0)), F.col(row))
+            up, down = (F.sum(first(c) * weight).over(self.so_far) for c in (gain, loss))
+            rows = rows.withColumn(name, F.struct(up.alias("up"), down.alias("down")))
+            up, down = F.col(f"{name}.up"), F.col(f"{name}.down")
+        else:
+            rows = rows.withColumns({"__up": first(gain), "__down": first(loss)})
+            rows = decayed(rows, self.ordered, 1 - 1 / n, {"__up": "__up", "__down": "__down"}, span)
+            up, down = F.col("__up"), F.col("__down")
+        return rows.withColumn(name, F.when(F.count(gain).over(self.so_far) >= n, F.try_divide(up * 100.0, up + down))).drop("__up", "__down")

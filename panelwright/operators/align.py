@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import Frame
+from panelwright.params import LOOKBACK_DAYS, MIN_ROWS
 from panelwright.schema import FIELDS
+from panelwright.sources.bars import as_dates
 
 FRAME = Frame()
 
 
-def aligned(ranged: DataFrame, align: str = "union") -> DataFrame:
-    """Every ticker on every date of its as-of range's calendar, null where it has no bar.
-
-    ``ranged`` has (as_of, ticker, bar_date) once each. With ``align='own'`` each ticker keeps its own
-    dates. Tickers without any close drop out, but their dates count for the calendar.
+def by_date(bars: DataFrame) -> DataFrame:
+    """One row per ticker: its bars in order of their dates (``days``), and what is wrong with it (``faults``: date and text).
 
-    The bars of a ticker in range, at most one per calendar day, are gathered once by (as_of, ticker) and
-    spread over the calendar, so that this shuffle is the only one up to the last window. The calendar has
-    one row per as-of date, with at most as many dates as the range has days, and is broadcast.
+    ``bars`` may have a column ``fault`` (see ``bars.typed``). Of bars repeated for a date the first by value counts, and
+    the repetition is a fault of that date. A fault without a date holds for every date.
     """
-    bars = ranged.groupBy("as_of", "ticker").agg(F.map_from_entries(F.collect_list(F.struct("bar_date", F.struct(*FIELDS)))).alias("by_date"), F.count("close").alias("__closes"), *([F.max("fault").alias("fault")] if "fault" in ranged.columns else []))
-    bars = bars.where("__closes > 0")
-    if align == "own":
-        dates = F.map_keys("by_date")
-    elif align == "union":
-        calendar = ranged.groupBy("as_of").agg(F.collect_set("bar_date").alias("dates"))
-        bars = bars.join(F.broadcast(calendar), "as_of")
-        dates = F.col("dates")
+    found = [F.sort_array(F.collect_list(F.when(F.col("bar_date").isNotNull(), F.struct("bar_date", F.struct(*FIELDS).alias("b"))))).alias("days")]
+    wrong = F.struct("bar_date", F.col("fault").alias("text"))
+    if "fault" in bars.columns:
+        found.append(F.collect_list(F.when(F.col("fault").isNotNull(), wrong)).alias("faults"))
     else:
+        found.append(F.array().cast("array<struct<bar_date:date,text:string>>").alias("faults"))
+    rows = bars.groupBy("ticker").agg(*found)
+    day = F.col("days")
+    again = lambda x, i: (i > 0) & (F.get(day, i - 1)["bar_date"] == x["bar_date"])
+    rows = rows.withColumn("repeats", F.filter(day, again))
+    repeated = F.transform("repeats", lambda x: F.struct(x["bar_date"], F.concat(F.lit("repeated bar: "), x["bar_date"].cast("string")).alias("text")))
+    once = F.when(F.size("repeats") > 0, F.filter(day, lambda x, i: ~again(x, i))).otherwise(day)
+    return rows.select("ticker", once.alias("days"), F.concat("faults", repeated).alias("faults"))
+
+
+def aligned(bars: DataFrame, as_ofs, align: str = "union", lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """(as_of, ticker, bar_date, fields, fault): every ticker on every date of each as-of range's calendar, null where it has no bar.
+
+    With ``align='own'`` each ticker keeps its own dates. Tickers without any close in a range drop out of it, but
+    their dates count for the calendar. ``fault`` is the first one in the range, by date.
+
+    The bars of a ticker, at most one per calendar day, are shuffled once, by ticker, whatever the number of
+    as-of dates: they are laid out along the calendar once and each range is a slice of that. All windows up to
+    the signal are within a ticker, so that shuffle is the only one. The calendar is one row with the dates of all
+    ranges, at most one per day, and each range's place among them; it is broadcast.
+    """
+    if align not in ("union", "own"):
         raise ValueError(f"align must be 'union' or 'own', not {align!r}")
-    # the bars are looked up before the rows are spread, so that no row carries its ticker's whole map
-    days = F.transform(dates, lambda d: F.struct(d.alias("bar_date"), F.try_element_at("by_date", d).alias("b")))
-    fault = ["fault"] if "fault" in bars.columns else []
-    spread = bars.select("as_of", "ticker", *fault, F.explode(days).alias("d"))
-    return spread.select("as_of", "ticker", "d.bar_date", *[F.col(f"d.b.{f}").alias(f) for f in FIELDS], *fault)
+    asked = as_dates(as_ofs)
+    inside = F.col("bar_date").between(F.lit(asked[0] - dt.timedelta(days=lookback)), F.lit(asked[-1]))
+    wanted = inside | (F.col("bar_date").isNull() & F.col("fault").isNotNull()) if "fault" in bars.columns else inside
+    bars = bars.where(wanted)
+    dates = F.split(F.lit(",".join(map(str, asked))), ",").cast("array<date>")
+    rows = by_date(bars)
+    # the number of entries of a sorted array before a range, and in it
+    before = lambda days, d: F.size(F.filter(days, lambda x: x < F.date_sub(d, lookback)))
+    within = lambda days, d: F.size(F.filter(days, lambda x: x.between(F.date_sub(d, lookback), d)))
+    ranges = lambda days: F.transform(dates, lambda d: F.struct(d.alias("as_of"), (before(days, d) + 1).alias("at"), within(days, d).alias("n")))
+    if align == "union":
+        calendar = bars.where(inside).agg(F.sort_array(F.collect_set("bar_date")).alias("dates")).select("dates", ranges(F.col("dates")).alias("ranges"))
+        known = F.map_from_entries("days")
+        rows = rows.withColumn("known", known).join(F.broadcast(calendar))
+        laid = F.transform("dates", lambda d: F.struct(d.alias("bar_date"), F.try_element_at("known", d).alias("b")))
+        rows = rows.select("ticker", "faults", "ranges", laid.alias("laid"))
+    else:
+        own = F.transform("days", lambda x: x["bar_date"])
+        rows = rows.withColumn("own", own).select("ticker", "faults", ranges(F.col("own")).alias("ranges"), F.col("days").alias("laid"))
+    fault = lambda d: F.array_min(F.filter("faults", lambda f: f["bar_date"].isNull() | f["bar_date"].between(F.date_sub(d, lookback), d)))["text"]
+    parts = F.transform("ranges", lambda r: F.struct(r["as_of"].alias("as_of"), fault(r["as_of"]).alias("fault"), F.slice("laid", r["at"], r["n"]).alias("days")))
+    live = F.filter(parts, lambda r: F.exists(r["days"], lambda x: x["b"]["close"].isNotNull()))
+    spread = rows.select("ticker", F.explode(live).alias("r")).select("r.as_of", "ticker", "r.fault", F.explode("r.days").alias("d"))
+    return spread.select("as_of", "ticker", "d.bar_date", *[F.col(f"d.b.{f}").alias(f) for f in FIELDS], "fault")
 
 
 def filled(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
@@ -46,11 +83,9 @@ def filled(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
 def guarded(rows: DataFrame, frame: Frame = FRAME) -> DataFrame:
     """Adds ``status``, the label of a ticker that can't be computed, with ``status_details``; cleans volumes.
 
-    A null, zero or negative volume is 1 from here on. A bar with a fault (see ``bars.scan``) makes its
-    ticker's record an ``Error (Calc)`` with the fault as details.
+    A null, zero or negative volume is 1 from here on. A fault in the range (see ``bars.typed``, ``by_date``)
+    makes its ticker's record an ``Error (Calc)`` with the fault as details; other tickers are as without it.
     """
-    from panelwright.params import MIN_ROWS
-
     n, volumes, bad = F.count(F.lit(1)).over(frame.whole), F.count("volume").over(frame.whole), F.bool_or(F.col("close") <= 0).over(frame.whole)
     rows = rows.withColumns({"__n": n, "__v": volumes, "__bad": bad})
     short, empty, odd = F.col("__n") < MIN_ROWS, F.col("__v") == 0, F.coalesce("__bad", F.lit(False))

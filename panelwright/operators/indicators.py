@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import bounded, clip, floor_eps, or_else, true, zero_if_odd
 from panelwright.functions.windows import Frame
-from panelwright.params import ADAPTIVE, BAND, EPSILON, IMPACT_LAG, MICRO, PIVOT, SMOOTH, SURGE
+from panelwright.params import ADAPTIVE, BAND, EPSILON, IMPACT_LAG, LOOKBACK_DAYS, MICRO, PIVOT, SMOOTH, SURGE
 
 FRAME = Frame()
 
@@ -88,13 +88,10 @@ def liquidity_and_flow(rows: DataFrame, w: Frame = FRAME) -> DataFrame:
     })
 
 
-def normalised(rows: DataFrame, w: Frame = FRAME, adjust: bool = True) -> DataFrame:
-    """Normalised liquidity and the RSI of velocity."""
-    rows = rows.withColumns({
-        "l_sma": w.sma("liquidity", ADAPTIVE),
-        "l_sd": w.stdev("liquidity", ADAPTIVE),
-        "rsi": w.wilder_rsi("gain", "loss", "row", MICRO, adjust),
-    })
+def normalised(rows: DataFrame, w: Frame = FRAME, adjust: bool = True, span: int | None = LOOKBACK_DAYS + 1) -> DataFrame:
+    """Normalised liquidity and the RSI of velocity; ``span`` bounds a range's rows, None if nothing does."""
+    rows = rows.withColumns({"l_sma": w.sma("liquidity", ADAPTIVE), "l_sd": w.stdev("liquidity", ADAPTIVE)})
+    rows = w.wilder_rsi(rows, "gain", "loss", "row", MICRO, adjust, span)
     sd = floor_eps(or_else(F.col("l_sd"), 1), zero_as=1.0)
     return rows.withColumns({
         "normalized_liq": bounded(zero_if_odd((F.col("liquidity") - or_else(F.col("l_sma"), 0)) / sd), -10, 10),
@@ -170,10 +167,10 @@ LAYERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def computed(rows: DataFrame, through: str = "masks") -> DataFrame:
-    """All layers up to and including ``through``."""
+def computed(rows: DataFrame, through: str = "masks", span: int | None = LOOKBACK_DAYS + 1) -> DataFrame:
+    """All layers up to and including ``through``; ``span`` as in ``normalised``."""
     for name, layer in LAYERS.items():
-        rows = layer(rows)
+        rows = layer(rows, span=span) if layer is normalised else layer(rows)
         if name == through:
             return rows
     raise KeyError(through)

@@ -10,30 +10,32 @@ from pyspark.sql import DataFrame
 from panelwright.logs import logger, progress
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
-from panelwright.sources import bars as bar_sources
+from panelwright.params import LOOKBACK_DAYS
 from panelwright.sources import sectors as sector_sources
+from panelwright.sources.actions import adjusted
 
 #: A model: aligned panel rows in, classified last rows out.
 Model = Callable[[DataFrame], DataFrame]
 
 
-def panel(bars: DataFrame, as_ofs, align_on: str = "union") -> DataFrame:
+def panel(bars: DataFrame, as_ofs, align_on: str = "union", lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """Filled, cleaned, guarded rows of each as-of range."""
-    return align.guarded(align.filled(align.aligned(bar_sources.in_range(bars, as_ofs), align_on)))
+    return align.guarded(align.filled(align.aligned(bars, as_ofs, align_on, lookback)))
 
 
-def flow_model(rows: DataFrame) -> DataFrame:
-    """The liquidity-flow oscillator model."""
-    return sig.classified(sig.last_rows(indicators.computed(rows)))
+def flow_model(rows: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """The liquidity-flow oscillator model, for ranges of any number of days."""
+    return sig.classified(sig.last_rows(indicators.computed(rows, span=lookback + 1)))
 
 
-def signals(bars: DataFrame, as_ofs, align_on: str = "union", model: Model = flow_model) -> DataFrame:
-    """A scored record per ticker and as-of date.
+def signals(bars: DataFrame, as_ofs, align_on: str = "union", model: Model | None = None, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """A scored record per ticker and as-of date; ``flow_model`` unless another model is given.
 
     Several as-of dates are exact by construction: windows are partitioned by (as_of, ticker), so nothing
     of a date's range looks past it.
     """
-    return display.with_details(scoring.scored(model(panel(bars, as_ofs, align_on))))
+    rows = panel(bars, as_ofs, align_on, lookback)
+    return display.with_details(scoring.scored(model(rows) if model else flow_model(rows, lookback)))
 
 
 @dataclass
@@ -78,13 +80,17 @@ class Analysis:
         return report.sector_pivot(self.results)
 
 
-def run(universe: DataFrame, bars: DataFrame, sectors: DataFrame, as_of, align_on: str = "union", model: Model = flow_model, keep: bool = True, absent: bool = False) -> Analysis:
+def run(universe: DataFrame, bars: DataFrame, sectors: DataFrame, as_of, align_on: str = "union", model: Model | None = None, keep: bool = True, absent: bool = False, actions: DataFrame | None = None) -> Analysis:
     """Results of a universe as of one date, cached once if ``keep`` since every report reads them.
 
+    With ``actions`` (see ``sources.actions``) bars are adjusted first; that adds no shuffle to the signals' one by ticker.
+
     Tickers without bars in the range are only counted as missing, or with ``absent`` have ``No Data`` records.
     """
     logger.info("analysis as of %s, dates aligned by %s", as_of, align_on)
     mine = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    if actions is not None:
+        mine = adjusted(mine, actions)
     scored = signals(mine, as_of, align_on, model)
     scored = (sig.no_data(universe, scored, as_of) if absent else scored).join(universe, "ticker")
     results = report.ordered(report.results(sector_sources.with_sector(scored, sectors)))

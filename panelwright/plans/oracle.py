@@ -89,6 +89,31 @@ bars as (
     case when kind = 1 then null when kind = 4 then (day(bar_date) % 3 - 1)::double else volume end as volume
   from numbered where kind <> 3 or bar_date > date '2001-05-31')"""
 
+#: Bars adjusted for splits and dividends made from the largest trades.
+ADJUSTED_BARS = BARS.replace("\nbars as (", "\nbars0 as (") + """,
+actions as (
+  select s_name || '.NS' as ticker, l_shipdate::date as bar_date, case when l_quantity = 50 and l_discount >= 0.08 then 1.0 + l_linenumber / 4 end as ratio,
+    case when not (l_quantity = 50 and l_discount >= 0.08) then l_tax * 20 end as dividend
+  from lineitem join supplier on s_suppkey = l_suppkey where l_quantity >= 49),
+strictly as (
+  select a.ticker, a.bar_date, coalesce(case when ratio > 0 then ratio end, 1.0) as shares,
+    coalesce(case when dividend > 0 and dividend < b.close then 1 - dividend / b.close end, 1.0) as cash
+  from actions a asof left join (select ticker, bar_date, close from bars0 where close is not null) b on a.ticker = b.ticker and a.bar_date > b.bar_date),
+factors as (
+  select b.ticker, b.bar_date, coalesce(product(s.cash), 1.0) as cash, coalesce(product(s.shares), 1.0) as shares
+  from bars0 b left join strictly s on s.ticker = b.ticker and s.bar_date > b.bar_date group by b.ticker, b.bar_date),
+bars as (
+  select ticker, bar_date, open * cash / shares as open, high * cash / shares as high, low * cash / shares as low, close * cash / shares as close, volume * shares as volume
+  from bars0 join factors using (ticker, bar_date))"""
+
+#: Bars of some tickers without those that have no readable date; ``faults`` has what is wrong with tickers.
+FAULTY_BARS = BARS.replace("\nbars as (", "\nbars0 as (") + """,
+numbered as (select *, substring(ticker, 10, 9)::int % 7 as kind from bars0),
+bars as (select ticker, bar_date, open, high, low, close, case when kind = 2 and day(bar_date) = 15 then null else volume end as volume from numbered where not (kind = 3 and day(bar_date) = 20))"""
+FAULTS = """faults as (
+  select as_of, ticker, case kind when 1 then 'repeated bar: ' || min(bar_date) when 2 then 'volume is not a number: n/a' else 'bar_date is not a date: ' || min(bar_date) || '?' end as text
+  from numbered join days on kind = 3 and day(bar_date) = 20 or bar_date between as_of - 250 and as_of and (kind = 1 and day(bar_date) = 10 or kind = 2 and day(bar_date) = 15) group by as_of, ticker, kind)"""
+
 UNIVERSE = "universe as (select row_number() over (order by s_suppkey) - 1 as seq, s_name || '.NS' as ticker from supplier where trim(s_name) <> '')"
 SECTORS = "sectors as (select s_name || '.NS' as ticker, n_name as sector from supplier join nation on n_nationkey = s_nationkey where s_nationkey % 5 <> 0)"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import params
+from panelwright.functions import scans
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
 from panelwright.plans import analysis, oracle
@@ -17,6 +18,7 @@ from panelwright.sources import bars as bar_sources
 from panelwright.sources import sectors as sector_sources
 from panelwright.sources import store
 from panelwright.sources import universe as universes
+from panelwright.sources.actions import adjusted
 from panelwright.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,18 @@ def bars_for(spark: SparkSession, sf_dir: str, as_ofs, universe: DataFrame | Non
     return bar_sources.scan(spark, bars_path(spark, sf_dir), as_ofs, universe)
 
 
+def derived_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and dividends made from the largest trades."""
+    t = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    split = (F.col("l_quantity") == 50) & (F.col("l_discount") >= 0.08)
+    return t.select(
+        F.concat("s_name", F.lit(universes.SUFFIX)).alias("ticker"),
+        F.to_date("l_shipdate").alias("action_date"),
+        F.when(split, 1.0 + F.col("l_linenumber") / 4).alias("ratio"),
+        F.when(~split, F.col("l_tax") * 20).alias("dividend"),
+    )
+
+
 def all_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universes.tickers(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("SYMBOL")), ["s_suppkey"])
 
@@ -124,6 +138,15 @@ def bars_scan(spark, sf_dir):
     return bars_for(spark, sf_dir, MANY, stored_sectors(spark, sf_dir))
 
 
+_ADJUSTED_SQL = ", ".join(map(oracle.r4, FIELDS))
+
+
+@query(f"with {oracle.ADJUSTED_BARS} select ticker, bar_date, {_ADJUSTED_SQL} from bars")
+def bars_adjusted(spark, sf_dir):
+    """All bars, adjusted for splits and dividends."""
+    return adjusted(all_bars(spark, sf_dir), derived_actions(spark, sf_dir)).select("ticker", "bar_date", *map(r4, FIELDS))
+
+
 @query(oracle.panel_sql(MANY, "select as_of, ticker, count(*) as n, max(bar_date) as bar_date, arg_max(close, bar_date) as close from ranged group by as_of, ticker", through="aligned"))
 def bars_range_asof(spark, sf_dir):
     ranged = bar_sources.in_range(bars_for(spark, sf_dir, MANY), MANY)
@@ -141,7 +164,7 @@ def event_bars(spark, sf_dir):
 
 @query(oracle.panel_sql(AS_OF, "select * from aligned", through="aligned"))
 def calendar_align(spark, sf_dir):
-    return align.aligned(bar_sources.in_range(bars_for(spark, sf_dir, AS_OF), AS_OF))
+    return align.aligned(bars_for(spark, sf_dir, AS_OF), AS_OF).drop("fault")
 
 
 @query(oracle.panel_sql(AS_OF, "select as_of, ticker, bar_date, open, high, low, close, volume from guarded", through="guarded"))
@@ -190,6 +213,24 @@ _indicator("volume_surge", "volume_surge", ("volume_z", "vol_surge", "volume_dir
 _indicator("money_flow", "liquidity_and_flow", ("money_flow", "positive_flow", "negative_flow", "accumulation", "volume_score"))
 _indicator("liquidity_normalized", "normalised", ("spread", "vwap_spread", "price_impact", "liquidity", "normalized_liq"))
 _indicator("wilder_rsi", "normalised", ("momentum_rsi",))
+@query("""with recursive v as (
+  select event_type, ts::date as day, row_number() over (partition by event_type order by ts, event_id) as r, value - 50 as x from events where value is not null and ts is not null and event_type is not null),
+steps as (
+  select event_type, day, r, greatest(x, 0)::double as up, greatest(-x, 0)::double as down from v where r = 1
+  union all select v.event_type, v.day, v.r, s.up * 8 / 9 + greatest(x, 0), s.down * 8 / 9 + greatest(-x, 0) from steps s join v on v.event_type = s.event_type and v.r = s.r + 1)
+select event_type, day, n, """ + oracle.r4("rsi") + """ from (
+  select event_type, day, r as n, case when r >= 9 and up + down > 0 then up * 100 / (up + down) end as rsi
+  from steps qualify row_number() over (partition by event_type, day order by r desc) = 1)""")
+def rsi_of_event_values(spark, sf_dir):
+    """The strength of values above 50 against those below, averaged over all events of a type, at each day's last one; days are the blocks of the scan."""
+    v = read(spark, sf_dir, "events").where("value is not null and ts is not null and event_type is not null")
+    v = v.select("event_type", "ts", "event_id", F.to_date("ts").alias("day"), F.greatest(F.col("value") - 50, F.lit(0.0)).alias("gain"), F.greatest(50 - F.col("value"), F.lit(0.0)).alias("loss"))
+    s = scans.decayed_by_blocks(v, ("event_type",), "day", ("ts", "event_id"), 8 / 9, {"up": "gain", "down": "loss"}, "n")
+    last = s.groupBy("event_type", "day").agg(F.max(F.struct("n", "up", "down")).alias("s"))
+    rsi = F.when(F.col("s.n") >= 9, F.try_divide(F.col("s.up") * 100, F.col("s.up") + F.col("s.down")))
+    return last.select("event_type", "day", "s.n", r4(rsi, "rsi"))
+
+
 _indicator("bands_breakout", "bands", ("upper_band", "lower_band"), ("overbought", "oversold"))
 _indicator("oscillator", "acceleration_and_last_pivots", ("raw_score", "ilfo_value", "osc_momentum", "osc_accel", "signal_line"))
 _indicator("pivots", "momentum_and_pivots", ("low_around", "high_around"), ("pivot_low", "pivot_high"))
@@ -213,6 +254,28 @@ def signal_asof(spark, sf_dir):
     return _signal(spark, sf_dir, AS_OF)
 
 
+@query(oracle.panel_sql(AS_OF, _SIGNAL_SQL).replace(oracle.BARS, oracle.ADJUSTED_BARS))
+def signal_of_adjusted_bars(spark, sf_dir):
+    rows = analysis.panel(adjusted(all_bars(spark, sf_dir), derived_actions(spark, sf_dir)), AS_OF)
+    return analysis.flow_model(rows).select("as_of", "ticker", "bar_date", "signal", "status_details", r4("pct_change"), *map(r4, CRITERIA))
+
+
+@query(oracle.panel_sql(AS_OF, f"""select as_of, ticker, bar_date, case when text is null then signal else 'Error (Calc)' end as signal, coalesce(text, status_details) as status_details,
+  {', '.join(oracle.r4(f'case when text is null then {c} end', c) for c in ('pct_change', *CRITERIA))} from classified left join faults using (as_of, ticker)""").replace(oracle.BARS, oracle.FAULTY_BARS).replace("classified as (", oracle.FAULTS + ",\nclassified as (", 1))
+def faults_confined(spark, sf_dir):
+    """Repeated bars, text that is no number and dates that can't be read make errors of their tickers; the others are as ever."""
+    kind, day = F.substring("ticker", 10, 9).cast("int") % 7, F.dayofmonth("bar_date")
+    bars = all_bars(spark, sf_dir).withColumns({"kind": kind, "day": day})
+    text = F.col("bar_date").cast("string")
+    raw = bars.withColumns({
+        "bar_date": F.when((kind == 3) & (F.col("day") == 20), F.concat(text, F.lit("?"))).otherwise(text),
+        "volume": F.when((kind == 2) & (F.col("day") == 15), "n/a").otherwise(F.col("volume").cast("string")),
+    })
+    raw = raw.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((F.col("kind") == 1) & (F.col("day") == 10), 2).otherwise(1))))
+    rows = analysis.flow_model(analysis.panel(bar_sources.typed(raw.select("ticker", "bar_date", *FIELDS)), AS_OF))
+    return rows.select("as_of", "ticker", "bar_date", "signal", "status_details", r4("pct_change"), *map(r4, CRITERIA))
+
+
 @query(oracle.panel_sql(MANY, _SIGNAL_SQL))
 def signal_multi_asof(spark, sf_dir):
     return _signal(spark, sf_dir, MANY)

@@ -29,28 +29,40 @@ def not_after(as_of: dt.date, today: dt.date | None = None) -> dt.date:
     return as_of
 
 
-def scan(spark: SparkSession, path: str, as_ofs, universe: DataFrame | None = None, lookback: int = LOOKBACK_DAYS) -> DataFrame:
-    """Bars of a Parquet or CSV table in the range that the as-of dates need, NaN as NULL.
+def typed(raw: DataFrame) -> DataFrame:
+    """Bars with the types of the schema, NaN as NULL.
 
-    Where a field is text, ``fault`` names the first one that is not a number; its value is NULL.
+    Where a field or the date is text, ``fault`` names the first one that can't be read; its value is NULL, and a bar
+    whose date can't be read has a NULL date. Bars whose date is missing are dropped.
     """
+    types = dict(raw.dtypes)
+    values = [missing_as_null(F.col(f).try_cast("double")).alias(f) for f in FIELDS]
+    odd = [F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), F.concat(F.lit(f"{f} is not a number: "), F.col(f))) for f in FIELDS if types[f] == "string"]
+    day = F.to_date("bar_date")
+    if types["bar_date"] == "string":
+        day = F.col("bar_date").try_cast("date")
+        odd.insert(0, F.when(day.isNull(), F.concat(F.lit("bar_date is not a date: "), F.col("bar_date"))))
+    fault = [F.coalesce(*odd).alias("fault")] if odd else []
+    return raw.where(F.col("bar_date").isNotNull()).select("ticker", day.alias("bar_date"), *values, *fault)
+
+
+def scan(spark: SparkSession, path: str, as_ofs, universe: DataFrame | None = None, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """``typed`` bars of a Parquet or CSV table in the range that the as-of dates need; the range reaches a scan of dates."""
     raw = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     days = as_dates(as_ofs)
-    rows = raw.where(F.col("bar_date").between(F.lit(days[0] - dt.timedelta(days=lookback)), F.lit(days[-1])))
+    first, last = F.lit(days[0] - dt.timedelta(days=lookback)), F.lit(days[-1])
     if universe is not None:
-        rows = rows.join(universe.select("ticker"), "ticker", "left_semi")
-    values = [missing_as_null(F.col(f).try_cast("double")).alias(f) for f in FIELDS]
-    texts = [f for f, t in raw.dtypes if f in FIELDS and t == "string"]
-    odd = [F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), F.concat(F.lit(f"{f} is not a number: "), F.col(f))) for f in texts]
-    fault = [F.coalesce(*odd).alias("fault")] if odd else []
-    return rows.select("ticker", F.to_date("bar_date").alias("bar_date"), *values, *fault)
+        raw = raw.join(universe.select("ticker"), "ticker", "left_semi")
+    if dict(raw.dtypes)["bar_date"] == "string":
+        return typed(raw).where(F.col("bar_date").between(first, last) | F.col("bar_date").isNull())
+    return typed(raw.where(F.col("bar_date").between(first, last)))
 
 
 def in_range(bars: DataFrame, as_ofs, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """A copy of each bar for each as-of date whose range holds it (``as_of`` column), from one scan.
 
-    The copies are what exactness costs: running values start anew with each range. Up to DATES dates are
-    constants of the plan; more of them are joined by the bar's date.
+    For counts by range; ``align.aligned`` lays ranges out without shuffling copies. Up to DATES dates are constants of
+    the plan; more of them are joined by the bar's date.
     """
     days = as_dates(as_ofs)
     ranged = bars.where(F.col("bar_date").between(F.lit(days[0] - dt.timedelta(days=lookback)), F.lit(days[-1])))

@@ -60,7 +60,7 @@ def test_union_calendar_fills_missing_bars(spark):
 
 def test_fill_and_volume_cleaning(spark):
     df = bars(spark, A=[(None, 1, 1, 1, None), (2, None, 1, 1, 0), (None, 3, 1, 1, -5), (4, None, 1, 1, None), (None, None, 1, 1, 7)])
-    rows = align.guarded(align.filled(align.aligned(df.withColumn("as_of", F.lit(DAY)), "own"))).orderBy("bar_date").collect()
+    rows = align.guarded(align.filled(align.aligned(df, DAY, "own"))).orderBy("bar_date").collect()
     assert [r.open for r in rows] == [2, 2, 2, 4, 4] and [r.high for r in rows] == [1, 1, 3, 3, 3]
     assert [r.volume for r in rows] == [1, 1, 1, 1, 7]
 

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.functions import scans
 from panelwright.functions.scalar import clip, floor_eps, missing_as_null, zero_if_odd
 from panelwright.functions.windows import Frame
+from panelwright.schema import BARS
 
 W = Frame(("k",), "t")
 
@@ -30,29 +32,67 @@ def test_sma_and_stdev_need_full_frames(spark):
         assert (r["s"] is None) == np.isnan(s) and (r["s"] is None or abs(r["s"] - s) < 1e-12)
 
 
+@pytest.mark.parametrize("span", [80, None])
 @pytest.mark.parametrize("adjust", [True, False])
-def test_wilder_rsi(spark, adjust):
+def test_wilder_rsi(spark, adjust, span):
     x = pd.Series(np.random.default_rng(1).normal(size=80).cumsum())
     d = x.diff()
     up, down = (s.clip(lower=0).where(d.notna()).ewm(alpha=1 / 9, min_periods=9, adjust=adjust).mean() for s in (d, -d))
     want = 100 * up / (up + down)
     df = series(spark, x).withColumn("d", W.diff("x")).withColumn("row", W.row)
     df = df.withColumns({"g": F.when(F.col("d").isNotNull(), F.greatest("d", F.lit(0.0))), "l": F.when(F.col("d").isNotNull(), F.greatest(-F.col("d"), F.lit(0.0)))})
-    out = run(df, rsi=W.wilder_rsi("g", "l", "row", 9, adjust))
+    out = W.wilder_rsi(df, "g", "l", "row", 9, adjust, span).orderBy("t").collect()
     for r, w in zip(out, want):
         assert (r["rsi"] is None) == np.isnan(w) and (r["rsi"] is None or abs(r["rsi"] - w) < 1e-9)
 
 
-def test_rsi_of_too_long_a_range_is_an_error(spark):
-    df = series(spark, [i % 7 for i in range(6000)]).withColumn("row", W.row)
-    assert df.where("row < 5000").withColumn("r", W.wilder_rsi("x", "x", "row", 9)).where("r > 49").count() > 4900
-    with pytest.raises(Exception, match="can't run over more than"):
-        df.withColumn("r", W.wilder_rsi("x", "x", "row", 9)).agg(F.sum("r")).collect()
+def recurrence(xs, decay):
+    y, out = 0.0, []
+    for x in xs:
+        y = y * decay + (x or 0.0)
+        out.append(y)
+    return out
+
+
+def test_rsi_of_a_long_history(spark):
+    """100,000 rows, with stretches in which nothing moves."""
+    n = 100_000
+    r = np.random.default_rng(7)
+    d = r.normal(size=n)
+    d[20_000:22_000] = 0
+    d[50_000:59_000] = 0  # long enough for a decayed sum to vanish
+    frame = pd.DataFrame({"k": "a", "t": np.arange(n), "g": np.maximum(d, 0), "l": np.maximum(-d, 0)})
+    df = spark.createDataFrame(frame).withColumn("row", F.col("t"))
+    out = W.wilder_rsi(df, "g", "l", "row", 9).orderBy("t").select("rsi").toPandas()["rsi"].to_numpy()
+    up, down = np.array(recurrence(frame.g, 8 / 9)), np.array(recurrence(frame.l, 8 / 9))
+    sure = np.arange(n) >= 8
+    sure[56_000:59_000] = False  # the plain sums become too small to divide there
+    assert np.abs(out[sure] - (100 * up / np.where(up + down > 0, up + down, 1))[sure]).max() < 1e-9
+    assert np.isnan(out[:8]).all() and np.isnan(out[58_900:59_000]).all()
+
+
+@pytest.mark.parametrize("decay", [8 / 9, 0.5, 1e-3])
+def test_blocks_are_scanned_like_one_sequence(spark, decay):
+    r = np.random.default_rng(2)
+    rows = [(k, i, int(i**0.5) // 7 if k == "a" else i // 700, None if i % 11 == 0 else float(r.normal())) for k in "ab" for i in range(2000 if k == "a" else 1500)]
+    df = spark.createDataFrame(rows, "k string, t int, b int, x double").repartition(5)
+    out = scans.decayed_by_blocks(df, ("k",), "b", ("t",), decay, {"y": "x"}, "n").toPandas().sort_values(["k", "t"])
+    for k in "ab":
+        mine = out[out.k == k]
+        assert mine.n.tolist() == list(range(1, len(mine) + 1))
+        assert np.abs(mine.y.to_numpy() - np.array(recurrence([x for a, _, _, x in rows if a == k], decay))).max() < 1e-9
+    assert scans.decayed_by_blocks(df.limit(0), ("k",), "b", ("t",), decay, {"y": "x"}, "n").count() == 0
+
+
+def test_rounds_of_a_scan():
+    assert scans.rounds(8 / 9, 251) == 8 and scans.rounds(8 / 9) == 13 and scans.rounds(0.5, 1) == 0 and scans.rounds(0.0) == 0
+    assert (8 / 9) ** (2 ** scans.rounds(8 / 9)) == 0.0
 
 
 def test_rsi_of_a_constant_is_null(spark):
     df = series(spark, [0] * 20).withColumn("row", W.row)
-    assert {r["r"] for r in run(df, r=W.wilder_rsi("x", "x", "row", 9))} == {None}
+    for span in (20, None):
+        assert {r.rsi for r in W.wilder_rsi(df, "x", "x", "row", 9, span=span).collect()} == {None}
 
 
 def test_fill_lag_diff_last(spark):
@@ -87,3 +127,45 @@ def test_one_shuffle_and_one_sort_serve_all_layers(spark):
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     sorts = [x for x in plan.splitlines() if "Sort [as_of" in x]
     assert len(exchanges) == 1 and len(sorts) == 1, plan
+
+
+def test_bars_are_shuffled_once_whatever_the_number_of_dates(spark):
+    from panelwright.operators import align
+    from panelwright.plans import analysis
+
+    start = dt.date(2000, 1, 1)
+    days = [(f"T{k}", start + dt.timedelta(days=i), 1.0 + k, 2.0 + i % 5, 0.5, 1.5 + (i * k) % 3, 3.0) for k in range(3) for i in range(0, 600, 1 + k)]
+    bars = spark.createDataFrame(days, BARS)
+    plans = {}
+    for n in (6, 60):
+        asked = [start + dt.timedelta(days=300 + 236 * i // (n - 1)) for i in range(n)]  # of the same range
+        df = align.aligned(bars, asked)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # what is copied for each date, the explode, comes after the exchange of bars
+        below = plan[plan.index("Exchange hashpartitioning(ticker") :]
+        assert "Generate" not in below and plan.count("Exchange hashpartitioning") == 1, plan
+        plans[n] = (plan.count("Exchange"), *written(df))
+    assert plans[6] == plans[60] and plans[6][1] <= len(days)
+    several = {(r.as_of, r.ticker): r for r in analysis.signals(bars, asked).collect()}
+    for day in (asked[0], asked[31]):
+        alone = {(r.as_of, r.ticker): r for r in analysis.signals(bars, day).collect()}
+        assert alone and all(several[k] == r for k, r in alone.items())
+
+
+def written(df):
+    """Records and bytes written to the exchange by ticker when the plan is run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        else:
+            if name == "Exchange" and "hashpartitioning(ticker" in p.toString().splitlines()[0]:
+                found.append([p.metrics().apply(m).value() for m in ("shuffleRecordsWritten", "shuffleBytesWritten")])
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert len(found) == 1
+    return found[0]
