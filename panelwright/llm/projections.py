@@ -5,7 +5,7 @@ x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have |q' - x'|^2 = |q|^2 + M^2 - 2 q
 on DIMENSIONS Gaussian directions. As the Gaussian is 2-stable, the squared distance of two projections,
 divided by that of the vectors, has the chi-square distribution with as many degrees of freedom.
 
-A query takes projected neighbours by rising distance and verifies them by their inner product. With d the
+A query takes projected neighbours by rising distance, a leaf of the tree at a time, and verifies them by their inner product. With d the
 distance of its k-th best so far, it stops once the projected distance r passes the test
 
     P(chi-square <= r^2 / d^2) >= CONFIDENCE
@@ -44,7 +44,7 @@ K = 20
 #: Projected components (an even number), and the probability with which a neighbour is to be found.
 DIMENSIONS, CONFIDENCE = 12, 0.95
 SAMPLE, CELL, CELLS, PART, LEAF = 8192, 8192, 1024, 16_384, 64
-_QUERIES = 256
+_QUERIES = 512
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -143,49 +143,70 @@ class Tree:
             pending += [part[order[len(part) // 2 :]], part[order[: len(part) // 2]]]
         order = np.concatenate(leaves)
         self.ids, self.x, self.projected = ids[order], x[order], projected[order]
+        self.squares = (self.projected * self.projected).sum(axis=1)
         ends = np.cumsum([len(leaf) for leaf in leaves])
         self.leaves = [np.arange(e - len(leaf), e) for e, leaf in zip(ends, leaves, strict=True)]
         self.low = np.array([self.projected[i].min(axis=0) for i in self.leaves])
         self.high = np.array([self.projected[i].max(axis=0) for i in self.leaves])
 
     def search(self, ids: np.ndarray, q: np.ndarray, floors: np.ndarray):
-        """(query row, vec_id, score) of up to k neighbours of each query that aren't below its floor, its k-th best score elsewhere."""
+        """(query row, vec_id, score) columns: up to k neighbours of each query that aren't below its floor, its k-th best score elsewhere.
+
+        All queries walk in lockstep, each through its own leaves by rising distance. In a step, those of a leaf's vectors
+        whose projections a query reaches are verified, for all queries of the leaf together; products that may be
+        among the k best are taken again in one fixed order.
+        """
         projected = self.space.project(q, asks=True)
         norms = ((q * self.space.scale) ** 2).sum(axis=1)
+        squares = (projected * projected).sum(axis=1)
         boxes = to_boxes(projected, self.low, self.high)
         order = np.argsort(boxes, axis=1)
-        for row in range(len(ids)):
-            found = self._one(ids[row], q[row], projected[row], norms[row], floors[row], boxes[row], order[row])
-            if len(found[0]):
-                yield row, *found
-
-    def _one(self, own, q, projected, norm, floor, boxes, order):
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        reach, at, step = float(self.space.reach(norm, floor)), 0, 2
-        while at < len(order) and boxes[order[at]] <= reach:
-            near = [self.leaves[leaf] for leaf in order[at : at + step] if boxes[leaf] <= reach]
-            at, step = at + step, step * 2
-            points = np.concatenate(near)
-            away = ((self.projected[points] - projected) ** 2).sum(axis=1)
-            inside = np.flatnonzero((away <= reach) & (self.ids[points] != own))
-            inside = inside[np.argsort(away[inside])]
-            points, away = points[inside], away[inside]
-            done, width = 0, 4 * self.k
-            while done < len(points) and away[done] <= reach:
-                some = points[done : done + width]
-                done, width = done + width, width * 2
-                self.verified += len(some)
+        away = np.take_along_axis(boxes, order, axis=1)
+        floors, reach = floors.copy(), self.space.reach(norms, floors)
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * np.sqrt((self.x * self.x).sum(axis=1).max())
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        live, at, step = np.arange(len(ids)), 0, 2
+        while at < order.shape[1] and len(live := live[away[live, at] <= reach[live]]):
+            row, place = np.nonzero(away[live, at : at + step] <= reach[live, None])
+            row, leaf = live[row], order[live[row], at + place]
+            by = np.argsort(leaf, kind="stable")
+            row, leaf = row[by], leaf[by]
+            cuts = np.concatenate((np.flatnonzero(np.diff(leaf, prepend=-1)), [len(leaf)]))
+            some = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mine, points = row[a:b], self.leaves[leaf[a]]
+                part = slice(points[0], points[-1] + 1)
+                apart = squares[mine, None] + self.squares[None, part] - 2 * projected[mine] @ self.projected[part].T
+                i, j = np.nonzero(apart <= reach[mine, None])  # the others come after the stop
+                self.verified += len(i)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    score = np.nan_to_num(np.einsum("ij,j->i", self.x[some], q), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-                keep = score >= floor
-                ids, scores = np.concatenate((ids, self.ids[some][keep])), np.concatenate((scores, score[keep]))
-                if len(ids) > self.k:
-                    best = np.lexsort((ids, -scores))[: self.k]
-                    ids, scores = ids[best], scores[best]
-                if len(ids) == self.k and scores.min() > floor:
-                    floor = scores.min()
-                    reach = float(self.space.reach(norm, floor))
-        return ids, scores
+                    dense = 4 * len(i) > apart.size
+                    score = (q[mine] @ self.x[part].T)[i, j] if dense else np.einsum("ij,ij->i", q[mine[i]], self.x[points[j]])
+                good = ~(score < (floors - slack)[mine[i]])
+                some.append((mine[i[good]], points[j[good]]))
+            row, point = (np.concatenate(c) for c in zip(*some, strict=True))
+            other = self.ids[point] != ids[row]
+            top = self._best(top, row[other], point[other], q, floors)
+            full = np.bincount(top[0], minlength=len(ids)) == self.k
+            lowest = np.full(len(ids), np.inf)
+            np.minimum.at(lowest, top[0], top[2])
+            floors = np.where(full, np.maximum(floors, lowest), floors)
+            reach = self.space.reach(norms, floors)
+            at, step = at + step, min(step * 2, 16)
+        return top[0], self.ids[top[1]], top[2]
+
+    def _best(self, top, row, point, q, floors):
+        """The k best (row, point, score) of each row, of those so far and more."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.nan_to_num((self.x[point] * q[row]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        keep = score >= floors[row]
+        row, point, score = (np.concatenate(c) for c in zip(top, (row[keep], point[keep], score[keep]), strict=True))
+        by = np.lexsort((self.ids[point], -score, row))
+        row, point, score = row[by], point[by], score[by]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        best = np.arange(len(row)) - np.repeat(starts, np.diff(starts, append=len(row))) < self.k
+        return row[best], point[best], score[best]
 
 
 class Directory:
@@ -260,9 +281,8 @@ def _search(directory, k: int):
             q = stacked(list(part["vec"][asks]))
             for at in range(0, len(ids), _QUERIES):
                 s = slice(at, at + _QUERIES)
-                found = list(tree.search(ids[s], q[s], floors[s]))
-                if found:
-                    yield frame({"query_id": np.concatenate([np.full(len(i), ids[at + row]) for row, i, _ in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+                row, near, score = tree.search(ids[s], q[s], floors[s])
+                yield frame({"query_id": ids[s][row], "vec_id": near, "score": score})
 
     return run
 
