@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.numbering import numbered
 from panelwright.operators.signals import is_actionable, is_error
 from panelwright.params import BUCKETS, LONG_SIGNALS, OTHER_SECTOR, SHORT_SIGNALS
 from panelwright.schema import CRITERIA, RESULTS
@@ -37,10 +38,12 @@ def ordered(rows: DataFrame, tie: str = "seq") -> DataFrame:
 
 
 def positions(rows: DataFrame, tie: str = "seq", *keys: str) -> DataFrame:
-    """The order of ``ordered`` as a column ``pos`` (from 1), within ``keys`` if given."""
+    """The order of ``ordered`` as a column ``pos`` (from 1), within ``keys`` if given; without them rows are numbered in ranges."""
     act = is_actionable()
-    w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(1)]).orderBy(act.desc(), F.when(act, F.col("confidence")).desc_nulls_last(), tie)
-    return rows.withColumn("pos", F.row_number().over(w))
+    by = [act.desc(), F.when(act, F.col("confidence")).desc_nulls_last(), F.col(tie)]
+    if not keys:
+        return numbered(rows, by, "pos", 1).withColumn("pos", F.col("pos").cast("int"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
 
 
 def top(rows: DataFrame, k: int, tie: str = "seq") -> DataFrame:

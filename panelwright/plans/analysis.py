@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from panelwright.logs import logger, progress
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
 from panelwright.params import LOOKBACK_DAYS
 from panelwright.sources import sectors as sector_sources
+from panelwright.sources import store
 from panelwright.sources.actions import adjusted
 
 #: A model: aligned panel rows in, classified last rows out.
@@ -40,13 +42,20 @@ def signals(bars: DataFrame, as_ofs, align_on: str = "union", model: Model | Non
 
 @dataclass
 class Analysis:
+    """Results, the tickers without any, and where results are kept, how many tickers were asked for and had a record."""
+
     results: DataFrame
     missing: DataFrame
+    seen: tuple[int, int] | None = None
 
     @property
     def missing_count(self) -> int:
-        with progress(self.missing.sparkSession, "tickers without data"):
-            n = self.missing.count()
+        """Known from the run that made the results; where they weren't kept, the tickers are counted."""
+        if self.seen is not None:
+            n = self.seen[0] - self.seen[1]
+        else:
+            with progress(self.missing.sparkSession, "tickers without data"):
+                n = self.missing.count()
         if n:
             logger.warning("no data for %d tickers", n)
         return n
@@ -81,17 +90,29 @@ class Analysis:
 
 
 def run(universe: DataFrame, bars: DataFrame, sectors: DataFrame, as_of, align_on: str = "union", model: Model | None = None, keep: bool = True, absent: bool = False, actions: DataFrame | None = None) -> Analysis:
-    """Results of a universe as of one date, cached once if ``keep`` since every report reads them.
+    """Results of a universe as of one date.
 
+    With ``keep`` they are written once, since every report reads them, to the shared folder, where no lost executor takes
+    them along; what is counted of the run is observed while it writes. Without it, nothing is computed here.
     With ``actions`` (see ``sources.actions``) bars are adjusted first; that adds no shuffle to the signals' one by ticker.
-
     Tickers without bars in the range are only counted as missing, or with ``absent`` have ``No Data`` records.
     """
     logger.info("analysis as of %s, dates aligned by %s", as_of, align_on)
-    mine = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    tickers = universe.select("ticker").distinct()
+    mine = bars.join(tickers, "ticker", "left_semi")
     if actions is not None:
         mine = adjusted(mine, actions)
     scored = signals(mine, as_of, align_on, model)
     scored = (sig.no_data(universe, scored, as_of) if absent else scored).join(universe, "ticker")
     results = report.ordered(report.results(sector_sources.with_sector(scored, sectors)))
-    return Analysis(results.cache() if keep else results, report.missing_tickers(universe, scored))
+    if not keep:
+        return Analysis(results, report.missing_tickers(universe, scored))
+    with progress(universe.sparkSession, "analysis"):
+        found = Observation("records")
+        # observed after the sort, as what comes before it may be computed twice
+        numbered = results.observe(found, F.count(F.lit(1)).alias("n")).withColumn("__at", F.monotonically_increasing_id())
+        kept = store.save(numbered, "results").orderBy("__at").drop("__at")
+        asked, each = universe.agg(F.count(F.lit(1)), F.count_distinct("ticker")).first()
+        # a record a ticker, unless the universe repeats some
+        seen = (each, found.get["n"] if asked == each else kept.select("ticker").distinct().count())
+    return Analysis(kept, report.missing_tickers(universe, kept), seen)

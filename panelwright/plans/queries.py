@@ -12,11 +12,11 @@ from panelwright.functions import scans
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
 from panelwright.plans import analysis, oracle
-from panelwright.schema import CRITERIA, FIELDS
+from panelwright.schema import CRITERIA, FIELDS, UNIVERSE
 from panelwright.sinks import exports
 from panelwright.sources import bars as bar_sources
 from panelwright.sources import sectors as sector_sources
-from panelwright.sources import store
+from panelwright.sources import remote, store
 from panelwright.sources import universe as universes
 from panelwright.sources.actions import adjusted
 from panelwright.streaming import bars as streaming
@@ -67,7 +67,9 @@ def derived_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universes.tickers(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("SYMBOL")), ["s_suppkey"])
+    """The universe of all suppliers, numbered once a session."""
+    make = lambda: universes.tickers(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("SYMBOL")), ["s_suppkey"])
+    return spark.read.schema(UNIVERSE).parquet(store.once(spark, "universe", [f"{sf_dir}/supplier.parquet"], make))
 
 
 def stored_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,6 +355,19 @@ def sector_delta(spark, sf_dir):
     return sector_sources.missing(all_tickers(spark, sf_dir), stored_sectors(spark, sf_dir))
 
 
+@query("""select s_name || '.NS' as ticker, case when s_nationkey % 2 = 0 then n_name else 'Other' end as sector
+from supplier join nation on n_nationkey = s_nationkey where s_name || '.NS' between 'Supplier#000000003' and 'Supplier#000000700' and s_nationkey % 5 = 0""")
+def sectors_by_request(spark, sf_dir):
+    """Sectors of a range of the missing tickers, asked of a store of records; what it doesn't have is ``Other``."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("supplier", "nation")]
+    url = store.once(spark, "sector-store", inputs, lambda path: remote.write_store(sector_source(spark, sf_dir), path, "ticker", 8))
+    first, last = "Supplier#000000003", "Supplier#000000700"
+    asked = F.col("ticker").between(first, last)
+    found = remote.records(spark, url, "ticker string, sector string", "ticker", first=first, last=last).where(asked)
+    missing = sector_sources.missing(all_tickers(spark, sf_dir), stored_sectors(spark, sf_dir)).where(asked)
+    return sector_sources.look_up(missing, found)
+
+
 @query(f"""with {oracle.SECTORS} select s_name || '.NS' as ticker,
   coalesce(s.sector, case when s_nationkey % 2 = 0 then n_name else 'Other' end) as sector
 from supplier join nation on n_nationkey = s_nationkey left join sectors s on s.ticker = s_name || '.NS'""")
@@ -514,6 +529,23 @@ def csv_base64_report(spark, sf_dir):
     return exports.csv_base64(rows.select("ticker", "sector", "signal", "grade", "details", F.struct("as_of", "seq").alias("__pos")), "__pos")
 
 
+@query(f"""with {oracle.BARS}, lines as (select ticker, bar_date, ticker || ',' || bar_date || ',' || close || ',' || volume::bigint || chr(10) as line from bars),
+whole as (select base64(encode('ticker,bar_date,close,volume' || chr(10) || string_agg(line, '' order by ticker, bar_date))) as b from lines)
+select part, substr(b, part * {exports.PART // 3 * 4} + 1, {exports.PART // 3 * 4}) as csv_base64 from (select b, unnest(range(0, (length(b) + {exports.PART // 3 * 4 - 1}) // {exports.PART // 3 * 4})) as part from whole)""")
+def csv_base64_of_bars(spark, sf_dir):
+    """All closes as one CSV text, as base64 in parts."""
+    bars = all_bars(spark, sf_dir)
+    rows = bars.select("ticker", "bar_date", "close", F.col("volume").cast("long").alias("volume"), F.struct("ticker", "bar_date").alias("__pos"))
+    return exports.csv_base64_parts(rows, "__pos")
+
+
+@query(oracle.panel_sql(MANY, f"select {_ROW_SQL}, row_number() over (order by side is not null desc, case when side is not null then confidence end desc nulls last, as_of, seq)::int as pos from results"))
+def results_numbered(spark, sf_dir):
+    """The results of all dates in one order."""
+    rows = records(spark, sf_dir).withColumn("tie", F.struct("as_of", "seq"))
+    return _row(report.positions(rows, "tie"), "pos")
+
+
 @query(oracle.panel_sql((FLAGSHIP,), f"select {_ROW_SQL}, details from results"))
 def full_analysis(spark, sf_dir):
     """Universe, bars, signals, scores, sectors and order, as of one date."""

@@ -8,8 +8,12 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators.numbering import summed
+
 #: Rows of a report that may be rendered on the driver; ``write_html`` takes any number.
 RENDERED = 10_000
+#: Bytes of a CSV text that a part of its base64 encodes.
+PART = 3 << 16
 #: Columns whose cells are HTML already.
 MARKED = ("signal", "pct_change", "confidence", "grade", "details")
 # The label and classes of the download link, and the table's class.
@@ -33,13 +37,37 @@ def csv_lines(rows: DataFrame, order: str) -> DataFrame:
 
 
 def csv_base64(rows: DataFrame, order: str) -> DataFrame:
-    """One row with the base64 of the whole CSV text, lines by ``order``. A report's rows meet in one task by nature of the link."""
+    """One row with the base64 of the whole CSV text, lines by ``order``. A report's rows meet in one task by nature of the cell; ``csv_base64_parts`` has parts instead."""
     header = ",".join(c for c in rows.columns if c != order)
     lines = csv_lines(rows, order).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
     text = F.concat(F.lit(header + "\n"), F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.lit("\n"))), ""))
     return lines.select(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "[\r\n]", "").alias("csv_base64"))
 
 
+def csv_base64_parts(rows: DataFrame, order: str, size: int = PART) -> DataFrame:
+    """(part, csv_base64): the base64 of the whole CSV text, lines by ``order``, in parts that give ``csv_base64`` when joined in their order.
+
+    Each part encodes ``size`` bytes, a multiple of three, so only the last can need padding. Where a line's bytes lie
+    follows from prefix sums over ranges of lines; a line is cut where a part ends. No task holds more than its range
+    of lines and its parts.
+    """
+    if size % 3 or size <= 0:
+        raise ValueError(f"a part has a multiple of three bytes, not {size}")
+    header = ",".join(c for c in rows.columns if c != order) + "\n"
+    lines = csv_lines(rows, order).select("pos", F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("bytes"))
+    lines = summed(lines.withColumn("n", F.octet_length("bytes")), ["pos"], "n", "at").select("bytes", "n", (F.col("at") + len(header.encode())).alias("at"))
+    first = rows.sparkSession.range(1).select(F.encode(F.lit(header), "UTF-8").alias("bytes"), F.lit(len(header.encode())).alias("n"), F.lit(0).cast("long").alias("at"))
+    part = F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size)))
+    pieces = first.union(lines).select("bytes", "n", "at", part.alias("part"))
+    start = F.greatest(F.col("at"), F.col("part") * size)
+    end = F.least(F.col("at") + F.col("n"), (F.col("part") + 1) * size)
+    pieces = pieces.select("part", start.alias("at"), F.substring("bytes", (start - F.col("at") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+    # a character of ISO-8859-1 for each byte: text joins fast, and gives the same bytes again
+    texts = pieces.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("at", F.decode("piece", "ISO-8859-1").alias("t")))).alias("l"))
+    whole = F.encode(F.array_join(F.transform("l", lambda x: x["t"]), ""), "ISO-8859-1")
+    return texts.select("part", F.regexp_replace(F.base64(whole), "[\r\n]", "").alias("csv_base64"))
+
+
 def link(encoded: Column, filename: str) -> Column:
     return F.concat(F.lit('<a href="data:file/csv;base64,'), encoded, F.lit(f'" download="{html.escape(filename)}" class="{_LINK_CLASS}">{_LINK}</a>'))
 

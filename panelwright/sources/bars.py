@@ -5,16 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import missing_as_null
 from panelwright.params import LOOKBACK_DAYS
-from panelwright.schema import FIELDS
+from panelwright.schema import BARS, FIELDS
 
 
 #: As-of dates that a plan holds as constants, and pairs of dates that may be broadcast.
 DATES, PAIRS = 64, 1_000_000
+#: Bars in an Arrow batch made of a wide table.
+BATCH = 16_384
 
 
 def as_dates(as_ofs) -> list[dt.date]:
@@ -75,10 +78,28 @@ def in_range(bars: DataFrame, as_ofs, lookback: int = LOOKBACK_DAYS) -> DataFram
 
 
 def from_wide(wide: DataFrame, date: str = "bar_date") -> DataFrame:
-    """Bars of a table with one column ``ticker|field`` per ticker and field."""
-    names = sorted({c.rsplit("|", 1)[0] for c in wide.columns if c != date})
-    entries = F.array(*[F.struct(F.lit(t).alias("ticker"), *[(F.col(f"`{t}|{f}`").cast("double") if f"{t}|{f}" in wide.columns else F.lit(None).cast("double")).alias(f) for f in FIELDS]) for t in names])
-    return wide.select(F.to_date(date).alias("bar_date"), F.explode(entries).alias("b")).select("b.ticker", "bar_date", *[f"b.{f}" for f in FIELDS])
+    """Bars of a table with one column ``ticker|field`` per ticker and field; fields without a column are NULL.
+
+    Arrow columns are laid one below the other, ticker by ticker, so the plan doesn't grow with the tickers, and no
+    batch of bars with the table's width: it has about BATCH rows.
+    """
+
+    # names are numbers on the way, whatever signs tickers have
+    at = {name: i for i, name in enumerate(wide.columns)}
+    tickers = sorted({n.rsplit("|", 1)[0] for n in at if n != date and "|" in n})
+
+    def run(batches):
+        for batch in batches:
+            days = batch.column(at[date])
+            step = max(1, BATCH // max(len(days), 1))
+            for some in (tickers[i : i + step] for i in range(0, len(tickers), step)):
+                field = lambda t, f: batch.column(at[f"{t}|{f}"]).cast(pa.float64()) if f"{t}|{f}" in at else pa.nulls(len(days), pa.float64())  # noqa: B023, E731
+                names = pa.concat_arrays([pa.array([t] * len(days), pa.string()) for t in some])
+                columns = [names, pa.concat_arrays([days] * len(some)), *[pa.concat_arrays([field(t, f) for t in some]) for f in FIELDS]]
+                yield pa.RecordBatch.from_arrays(columns, names=["ticker", "bar_date", *FIELDS])
+
+    columns = wide.toDF(*[f"c{i}" for i in range(len(at))])
+    return columns.withColumn(f"c{at[date]}", F.to_date(f"c{at[date]}")).mapInArrow(run, BARS).withColumns({f: missing_as_null(F.col(f)) for f in FIELDS})
 
 
 def from_frames(frames: dict[str, DataFrame]) -> DataFrame:

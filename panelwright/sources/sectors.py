@@ -7,35 +7,37 @@ from pyspark.sql import functions as F
 
 from panelwright.params import OTHER_SECTOR
 from panelwright.schema import SECTORS
+from panelwright.sources.snapshots import Snapshots
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The stored table, or an empty one if there is none."""
-    jvm = spark.sparkContext._jvm
-    for place in (path, f"{path.rstrip('/')}.old"):
-        p = jvm.org.apache.hadoop.fs.Path(place)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return spark.read.parquet(place).select("ticker", "sector")
-    return spark.createDataFrame([], SECTORS)
+    _, folder = Snapshots(spark, path).latest()
+    if folder is None:
+        return spark.createDataFrame([], SECTORS)
+    return spark.read.parquet(folder).select("ticker", "sector")
+
+
+def one_each(sectors: DataFrame) -> DataFrame:
+    """One row a ticker: of several the first sector by name that isn't empty. Rows without a ticker are dropped."""
+    named = F.nullif("sector", F.lit(""))
+    return sectors.where("ticker is not null").groupBy("ticker").agg(F.min(named).alias("sector"))
 
 
 def store(sectors: DataFrame, path: str) -> None:
-    """Replaces the stored table, which ``sectors`` may be derived from: written aside, then swapped in.
+    """Replaces the stored table, which ``sectors`` may be derived from, by one with a row a ticker (see ``snapshots``)."""
+    Snapshots(sectors.sparkSession, path).replace(one_each(sectors.select("ticker", "sector")))
 
-    The old table is moved away, not deleted, before the new one takes its name; if a driver is lost between the
-    two moves, ``load`` finds the old table where it was moved to.
-    """
-    spark = sectors.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, now, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in (".new", "", ".old"))
-    sectors.select("ticker", "sector").write.mode("overwrite").parquet(new.toString())
-    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(now):
-        fs.delete(old, True)
-        fs.rename(now, old)
-    if not fs.rename(new, now):
-        raise OSError(f"{new} could not be moved to {now}")
-    fs.delete(old, True)
+
+def store_refreshed(universe: DataFrame, source: DataFrame, path: str) -> None:
+    """Adds the universe's missing tickers to the stored table; writers at the same time lose nothing of each other's."""
+    spark = universe.sparkSession
+
+    def make(old: DataFrame | None) -> DataFrame:
+        sectors = spark.createDataFrame([], SECTORS) if old is None else old.select("ticker", "sector")
+        return one_each(refresh(universe, sectors, source))
+
+    Snapshots(spark, path).change(make)
 
 
 def missing(universe: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -44,8 +46,8 @@ def missing(universe: DataFrame, sectors: DataFrame) -> DataFrame:
 
 
 def look_up(tickers: DataFrame, source: DataFrame) -> DataFrame:
-    """(ticker, sector) from a source table; null, empty or absent sectors are ``Other``."""
-    found = tickers.join(source.select("ticker", "sector"), "ticker", "left")
+    """(ticker, sector) from a source table; null, empty or absent sectors are ``Other``; ``one_each`` of repeated tickers counts."""
+    found = tickers.join(one_each(source.select("ticker", "sector")), "ticker", "left")
     return found.select("ticker", F.coalesce(F.nullif("sector", F.lit("")), F.lit(OTHER_SECTOR)).alias("sector"))
 
 
@@ -60,6 +62,9 @@ def refresh(universe: DataFrame, sectors: DataFrame, source: DataFrame) -> DataF
 
 
 def with_sector(rows: DataFrame, sectors: DataFrame) -> DataFrame:
-    """``rows`` with their sector, ``Other`` where none is stored. Spark broadcasts the dimension if its size allows."""
+    """``rows`` with their sector, ``Other`` where none is stored; ``sectors`` has one row a ticker, as ``store`` leaves it.
+
+    Spark broadcasts the dimension if its size allows.
+    """
     joined = rows.join(sectors.select("ticker", "sector"), "ticker", "left")
     return joined.withColumn("sector", F.coalesce("sector", F.lit(OTHER_SECTOR)))

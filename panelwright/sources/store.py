@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +36,11 @@ def _state(spark: SparkSession, uri: str) -> tuple:
     return uri, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
 
 
-def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> str:
-    """The path of a Parquet table made from the inputs; written again if an input has changed since, or the table is gone."""
+def once(spark: SparkSession, name: str, inputs: list[str], make: Callable) -> str:
+    """The path of what is made from the inputs; made again if an input has changed since, or it is gone.
+
+    ``make()`` gives a table, which is written as Parquet; with an argument, ``make(path)`` writes what it makes itself.
+    """
     key = (spark.sparkContext.applicationId, name, *(_state(spark, i) for i in inputs))
     known = _WRITTEN.get(key)
     if known:
@@ -45,7 +49,20 @@ def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], D
             return known
     uri = f"{shared_folder(spark)}/panelwright-{name}-{uuid.uuid4().hex}"
     path, fs = _path(spark, uri)
-    make().write.parquet(uri)
+    if signature(make).parameters:
+        make(uri)
+    else:
+        make().write.parquet(uri)
     fs.deleteOnExit(path)
     _WRITTEN[key] = uri
     return uri
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder until the session ends and read again: its lineage is cut, no executor's disk is relied on."""
+    spark = df.sparkSession
+    uri = f"{shared_folder(spark)}/panelwright-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(uri)
+    path, fs = _path(spark, uri)
+    fs.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(uri)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.operators.numbering import numbered
 from panelwright.schema import UNIVERSE
 
 SUFFIX = ".NS"
@@ -49,15 +50,16 @@ def index_path(name: str, root: str = "") -> str:
 def tickers(symbols: DataFrame, order: list[str] | None = None, suffix: str = SUFFIX) -> DataFrame:
     """(seq, ticker) of a table with a column SYMBOL, symbol or Symbol: blank ones dropped, the suffix added.
 
-    ``seq`` numbers the rows by ``order``; without it rows are numbered as read, which is the order of a
-    file. Only names pass through the single task that numbers them.
+    ``seq`` numbers the rows by ``order``, which should tell rows apart; without it rows are numbered as read, which is
+    the order of a file. Rows are numbered in ranges (see ``operators.numbering``), not in one task.
     """
     found = next((c for c in ("SYMBOL", "symbol", "Symbol") if c in symbols.columns), None)
     if found is None:
         raise UniverseError(f"no symbol column among {symbols.columns}")
     kept = symbols.withColumn("__at", F.monotonically_increasing_id()).where(F.col(found).isNotNull() & (F.trim(found) != ""))
     by = [F.col(c) for c in order] if order else [F.col("__at")]
-    return kept.select((F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("seq"), F.concat(F.col(found).cast("string"), F.lit(suffix)).alias("ticker"))
+    names = kept.select(F.concat(F.col(found).cast("string"), F.lit(suffix)).alias("ticker"), *[c.alias(f"__by{i}") for i, c in enumerate(by)])
+    return numbered(names, [f"__by{i}" for i in range(len(by))], "seq").select("seq", "ticker")
 
 
 def require(universe: DataFrame) -> DataFrame:
