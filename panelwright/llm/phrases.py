@@ -37,11 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.base import TEXT_ROWS, Scratch, batches_of, join_measured, mix64
+from panelwright.llm.base import Scratch, batches_of, join_measured, mix64
 
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes of text whose suffixes are counted at once and that a bucket is for; the sample that tells hot prefixes.
-TEXT, BUCKET, SAMPLE, HINT = 8 << 20, 16 << 20, 2048, 16_384
+TEXT, BUCKET, SAMPLE, HINT = 4 << 20, 16 << 20, 2048, 16_384
+#: Rows, of texts and of runs, in an Arrow batch.
+ROWS = 160
 #: Slices of a language's candidates that are ranked before the language is.
 SLICES = 16
 _TO = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -279,9 +281,11 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> Da
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-size // BUCKET))
     hot = hot_prefixes(texts, max_n, 0.25 / buckets)
-    dealt = texts.mapInArrow(_runs(max_n, hot, buckets), RUNS).repartition("bucket").sortWithinPartitions("bucket", "lang")
+    runs = texts.mapInArrow(_runs(max_n, hot, buckets), RUNS)
+    dealt = runs.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "lang")
     found = dealt.mapInArrow(_counts(max_n, least, hot), "lang string, phrase binary, size int, n long")
     sums = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "size").agg(F.sum("n").alias("f"))
     return sums.where((F.col("f") >= least) | (F.col("size") == 0))
@@ -290,7 +294,7 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> Da
 def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of ``docs(text, lang)``: each language's ``top`` phrases of 2 to ``max_n`` words."""
     scratch = Scratch(docs.sparkSession)
-    with batches_of(docs.sparkSession, TEXT_ROWS):
+    with batches_of(docs.sparkSession, ROWS):
         grams = scratch.save(phrase_counts(docs, max_n, least), "phrases")
     candidates = grams.where("size >= 2").withColumnRenamed("f", "a")
     part = lambda name, side: grams.where("size >= 1").select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
