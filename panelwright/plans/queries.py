@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,48 @@ def index_catalog(spark, sf_dir):
     return universes.catalog(spark)
 
 
+@query("""select case s_nationkey % 3 when 0 then 'NIFTY 50' when 1 then 'NIFTY BANK' else 'NIFTY IT' end as index_name, trim(s_name) || '.NS' as ticker
+from supplier where s_suppkey % 11 <> 0""")
+def index_constituents(spark, sf_dir):
+    """The constituents of three indices, each read from its CSV file with a header; some symbols are blank or absent."""
+    names = ("NIFTY 50", "NIFTY BANK", "NIFTY IT")
+
+    def files(root: str) -> None:
+        blank = F.when(F.col("s_suppkey") % 22 == 0, "  ").when(F.col("s_suppkey") % 11 != 0, F.col("s_name"))
+        for i, name in enumerate(names):
+            mine = read(spark, sf_dir, "supplier").where(F.col("s_nationkey") % 3 == i)
+            path = universes.index_path(name, f"{root}/")
+            mine.select(F.concat(F.lit("Company, "), "s_name").alias("Company Name"), blank.alias("Symbol"), F.lit("EQ").alias("Series")).write.option("header", True).csv(path)
+
+    root = store.once(spark, "indices", [f"{sf_dir}/supplier.parquet"], files)
+    found = [universes.resolve(spark, universes.KINDS[1], n, f"{root}/").select(F.lit(n).alias("index_name"), "ticker") for n in names]
+    return reduce(DataFrame.union, found)
+
+
+@query(f"""with {oracle.BARS}, n as (select n_name, bar_date, avg(close) as close, sum(volume) as volume from bars join supplier on ticker = s_name || '.NS' join nation on n_nationkey = s_nationkey group by all),
+days as (select distinct bar_date from bars)
+select n_name as ticker, bar_date, null::double as open, null::double as high, null::double as low, {oracle.r4('close')}, {oracle.r4('volume')} from (select n_name from nation) cross join days left join n using (n_name, bar_date)""")
+def bars_of_wide_table(spark, sf_dir):
+    """Mean closes and volumes of nations: a wide table with two columns for each, made long again."""
+    where = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    bars = all_bars(spark, sf_dir).join(where.select(F.concat("s_name", F.lit(universes.SUFFIX)).alias("ticker"), "n_name"), "ticker")
+    names = sorted(r.n_name for r in read(spark, sf_dir, "nation").select("n_name").distinct().collect())  # 25 rows at any scale
+    wide = bars.groupBy("bar_date").pivot("n_name", names).agg(F.avg("close").alias("close"), F.sum("volume").alias("volume"))
+    wide = wide.toDF("bar_date", *[f"{n}|{f}" for n in names for f in ("close", "volume")])
+    return bar_sources.from_wide(wide).select("ticker", "bar_date", "open", "high", "low", r4("close"), r4("volume"))
+
+
+@query(f"""with {oracle.BARS} select r_name as ticker, bar_date, {oracle.r4('min(open)', 'open')}, {oracle.r4('max(high)', 'high')}, {oracle.r4('min(low)', 'low')}, {oracle.r4('max(close)', 'close')}, {oracle.r4('sum(volume)', 'volume')}
+from bars join supplier on ticker = s_name || '.NS' join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey group by r_name, bar_date""")
+def bars_of_frames(spark, sf_dir):
+    """Bars of regions, of one table for each."""
+    where = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    bars = all_bars(spark, sf_dir).join(where.select(F.concat("s_name", F.lit(universes.SUFFIX)).alias("ticker"), "r_name"), "ticker")
+    days = bars.groupBy("r_name", "bar_date").agg(F.min("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"), F.sum("volume").alias("volume"))
+    frames = {r.r_name: days.where(F.col("r_name") == r.r_name) for r in read(spark, sf_dir, "region").select("r_name").collect()}  # 5 rows at any scale
+    return bar_sources.from_frames(frames).select("ticker", "bar_date", *map(r4, FIELDS))
+
+
 @query(f"with {oracle.BARS} select * from bars")
 def bars_daily(spark, sf_dir):
     return derived_bars(spark, sf_dir)
@@ -297,6 +340,13 @@ def _confidence(side: str):
 for _side in params.SIDES:
     _confidence(_side)
 
+
+@query(oracle.panel_sql(MANY, "select as_of, ticker, 0.0 as confidence_score from classified where status_details is null"))
+def confidence_of_no_side(spark, sf_dir):
+    """A side that the model doesn't know has the score 0."""
+    rows = analysis.flow_model(panel(spark, sf_dir, MANY)).where("status_details is null")
+    return rows.select("as_of", "ticker", r4(scoring.score(F.lit("Sideways")), "confidence_score"))
+
 _PARTS_SQL = f"""{oracle.PARAMS},
 vals as (select as_of, ticker, sides.side, struct_pack({', '.join(f'{c} := {c}' for c in CRITERIA)}) as s from classified, (values ('Long'), ('Short')) sides(side) where status_details is null),
 near as (select v.as_of, v.ticker, p.*, val as value, greatest(0, 1 - abs(val - p.median) / p.spread) as proximity
@@ -317,6 +367,16 @@ def confidence_breakdown(spark, sf_dir):
     return _parts(spark, sf_dir).select("as_of", "ticker", "side", "param", "ord", "status", "importance", *map(r4, ("value", "proximity", "contribution", "max_contribution")))
 
 
+@query(oracle.panel_sql(AS_OF, f"""select as_of, ticker, side, param, ord, case when param = 'vol_surge' then 'no_stats' else status end as status,
+  {oracle.r4("case when param = 'vol_surge' then 0.0 else contribution end", 'contribution')}, {oracle.r4('max_contribution')} from parts""").replace("\nselect as_of, ticker, side, param", f",\n{_PARTS_SQL}\nselect as_of, ticker, side, param", 1))
+def confidence_without_anchor(spark, sf_dir):
+    """A parameter without a median adds to the maximum only."""
+    rows = analysis.flow_model(panel(spark, sf_dir, AS_OF)).where("status_details is null")
+    table = params.table(spark).withColumn("median", F.when(F.col("param") != "vol_surge", F.col("median")))
+    parts = scoring.breakdown(rows.withColumn("side", F.explode(F.array(*map(F.lit, params.SIDES)))), ("as_of", "ticker"), table=table)
+    return parts.select("as_of", "ticker", "side", "param", "ord", "status", r4("contribution"), r4("max_contribution"))
+
+
 _SUMMARY_SQL = f"""select as_of, ticker, side, {oracle.r4('points')}, {oracle.r4('max_score')}, critical_hits, high_hits, bonus, {oracle.r4('least(points + bonus, 100) / max_score * 100', 'confidence_score')} from (
   select *, case when critical_hits >= 2 then 5.0 when critical_hits >= 1 and high_hits >= 2 then 3.0 else 0.0 end as bonus from (
     select as_of, ticker, side, sum(contribution) as points, sum(max_contribution) as max_score,
@@ -375,6 +435,20 @@ def sector_upsert(spark, sf_dir):
     return sector_sources.refresh(all_tickers(spark, sf_dir), stored_sectors(spark, sf_dir), sector_source(spark, sf_dir))
 
 
+@query(f"""with {oracle.SECTORS} select s_name || '.NS' as ticker,
+  coalesce(s.sector, case when s_nationkey % 2 = 0 then n_name else 'Other' end) as sector
+from supplier join nation on n_nationkey = s_nationkey left join sectors s on s.ticker = s_name || '.NS'""")
+def sector_table_stored(spark, sf_dir):
+    """The dimension as it is stored and read again: an absent table, a first one, and one with the missing tickers added."""
+
+    def publish(path: str) -> None:
+        sector_sources.store(sector_sources.upsert(sector_sources.load(spark, path), stored_sectors(spark, sf_dir)), path)
+        sector_sources.store_refreshed(all_tickers(spark, sf_dir), sector_source(spark, sf_dir), path)
+
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("supplier", "nation")]
+    return sector_sources.load(spark, store.once(spark, "sector-table", inputs, publish))
+
+
 # ---------------------------------------------------------------- reports
 
 _BUCKETS_SQL = "(values " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(oracle.BUCKETS)) + ") b(ord, bucket)"
@@ -516,6 +590,19 @@ def display_cells(spark, sf_dir):
     return report.displayed(display.cells(records(spark, sf_dir))).select("as_of", "ticker", "signal", "pct_change", "confidence", "grade")
 
 
+def _html_sql() -> str:
+    cells = _cell_sql()
+    return f"select as_of, ticker, '<tr><td>' || ticker || '</td><td>' || signal || '</td><td>' || pct_change || '</td><td>' || confidence || '</td><td>' || grade || '</td></tr>' as line from ({cells})"
+
+
+@query(oracle.panel_sql(MANY, _html_sql()))
+def html_report_rows(spark, sf_dir):
+    """The rows of a report's HTML table, as ``write_html`` writes them."""
+    shown = report.displayed(display.cells(records(spark, sf_dir)))
+    columns = ["ticker", "signal", "pct_change", "confidence", "grade"]
+    return exports.html_rows(shown.select(*columns, "as_of", F.col("ticker").alias("key")), keep={"as_of": "as_of", "key": "ticker"})
+
+
 @query(f"""with {oracle.UNIVERSE} select base64(encode('ticker,seq' || chr(10) || string_agg(ticker || ',' || seq || chr(10), '' order by seq))) as csv_base64 from universe""")
 def csv_base64(spark, sf_dir):
     return exports.csv_base64(all_tickers(spark, sf_dir).select("ticker", F.col("seq").alias("seq"), F.col("seq").alias("__pos")), "__pos")

@@ -85,8 +85,12 @@ def _head(columns: list[str]) -> str:
 _FOOT = "</tbody></table>"
 
 
-def html_rows(cells: DataFrame, marked: tuple[str, ...] = MARKED) -> DataFrame:
-    """(line) of a report's rows as HTML; cells of columns that aren't ``marked`` are escaped, nulls are empty."""
+def html_rows(cells: DataFrame, marked: tuple[str, ...] = MARKED, keep: dict[str, str] | None = None) -> DataFrame:
+    """(line) of a report's rows as HTML; cells of columns that aren't ``marked`` are escaped, nulls are empty.
+
+    Columns to ``keep`` (their names, and those of the result) are no cells.
+    """
+    keep = keep or {}
 
     def cell(name: str) -> Column:
         text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
@@ -95,7 +99,7 @@ def html_rows(cells: DataFrame, marked: tuple[str, ...] = MARKED) -> DataFrame:
                 text = F.replace(text, F.lit(sign), F.lit(to))
         return F.concat(F.lit("<td>"), text, F.lit("</td>"))
 
-    return cells.select(F.concat(F.lit("<tr>"), *[cell(c) for c in cells.columns], F.lit("</tr>")).alias("line"))
+    return cells.select(*[F.col(c).alias(to) for c, to in keep.items()], F.concat(F.lit("<tr>"), *[cell(c) for c in cells.columns if c not in keep], F.lit("</tr>")).alias("line"))
 
 
 def html_table(cells: DataFrame, marked: tuple[str, ...] = MARKED) -> str:
