@@ -17,8 +17,10 @@ Rendering: white space collapses outside ``pre`` and ``textarea``; blocks begin
 headings, lists, quotes and tables with a blank line around them; list items have a dash or their number
 (``start``, ``reversed``, ``value`` and ``type`` are observed) and nested lists are indented, as quotes are;
 table cells are padded so that columns align, cells of several lines keep their lines, and ``colspan`` and
-``rowspan`` are observed. Indentation stops growing at INDENT columns, and a table within more than TABLES
-others has its cells one below the other: layout costs a line's length at each level.
+``rowspan`` are observed. A table whose columns take more than ALIGNED characters together is not aligned: a line has
+what the row's cells have there, only separated. Indentation stops growing at INDENT columns, and a table within
+more than TABLES others has its cells one below the other. So what layout adds is bounded by a number of
+characters for each line of text and each level of lists and quotes, never by a product of a page's parts.
 
 Edge cases: a null page has a null text, an empty one or one without visible text an empty text; repeated
 rows are rendered each; other columns are ignored, a kept column named ``text`` gives way to the result.
@@ -34,7 +36,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INDENT, TABLES = 200, 50
+INDENT, TABLES, ALIGNED = 200, 50, 240
 
 # The element classes of the HTML standard, and the keywords of display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -519,8 +521,12 @@ def _grid(page: Page, sections: list) -> None:
         for k, across, lines in line:
             if min(across, columns - k) == 1:
                 widths[k] = max(widths[k], max(map(width, lines), default=0))
+    aligned = sum(widths) + 3 * (columns - 1) <= ALIGNED
     for line in placed:
         for y in range(max(len(lines) for *_, lines in line)):
+            if not aligned:
+                page.whole([" | ".join(lines[y] for *_, lines in line if y < len(lines) and lines[y])])
+                continue
             out, at = [], 0
             for k, across, lines in line:
                 out += [" " * w for w in widths[at:k]]

@@ -236,7 +236,7 @@ def test_rendering_of_odd_pages(page, text):
     assert html.text_of(page) == text
 
 
-def test_html_matches_a_slow_renderer():
+def test_html_matches_a_slow_renderer(monkeypatch):
     """Random trees, written out as HTML, against a recursive renderer of the trees themselves."""
     r = np.random.default_rng(12)
     words = iter(range(10**9))
@@ -313,6 +313,9 @@ def test_html_matches_a_slow_renderer():
             out = []
             for row in rows:
                 for y in range(max(len(lines) for *_, lines in row)):
+                    if sum(wide) + 3 * (size - 1) > html.ALIGNED:
+                        out.append(" | ".join(lines[y] for *_, lines in row if y < len(lines) and lines[y]))
+                        continue
                     slots = {c: " " * wide[c] for c in range(size)}
                     for x, a, lines in row:
                         upto = min(x + a, size)
@@ -342,7 +345,8 @@ def test_html_matches_a_slow_renderer():
             line = []
         return (before, lines, gap) if lines else (gap, [], gap)
 
-    for _ in range(400):
+    for k in range(400):
+        monkeypatch.setattr(html, "ALIGNED", 240 if k % 2 else 20)  # where tables are too wide to align
         nodes = [tree(4) for _ in range(4)]
         page = "".join(map(write, nodes))
         want = stack([b for n in nodes for b in boxes(n, True, 0)])[1]
@@ -536,3 +540,23 @@ def test_pipeline_stages_keep_columns_and_take_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
+
+
+def test_layout_of_tables_is_bounded():
+    """No text grows with rows times the widest cell, columns or lines of another cell."""
+    long = "word " * 10_000
+    pages = {
+        "wide cell": "<table>" + "<tr><td>a<td>b<td>c" * 2000 + f"<tr><td>{long}<td>x<td>y</table>",
+        "many columns": "<table><tr>" + "<td>wide cell here" * 400 + "<tr><td>x<td colspan=390><td>y" * 2000 + "</table>",
+        "many lines": "<table><tr>" + "<td>c" * 500 + "<td>" + "l<br>" * 5000 + "</table>",
+        "spans": "<table><tr><td colspan=1000>a<td>b" + "<tr><td colspan=999><td>x<td>y" * 2000 + "</table>",
+        "nested": "<table><tr><td>" * 40 + long + "<tr><td>z" * 500,
+    }
+    for name, page in pages.items():
+        text = html.text_of(page)
+        assert len(text) <= 12 * len(page), (name, len(page), len(text))
+    assert html.text_of(pages["wide cell"]).split("\n")[:2] == ["a | b | c", "a | b | c"]
+    assert html.text_of(pages["wide cell"]).count("word") == 10_000 and html.text_of(pages["many lines"]).count("l") == 5000
+    edge = "x" * (html.ALIGNED - 4)
+    assert html.text_of(f"<table><tr><td>a<td>b<tr><td>{edge}<td>c</table>").split("\n")[0] == "a" + " " * (len(edge) - 1) + " | b"
+    assert html.text_of(f"<table><tr><td>a<td>b<tr><td>{edge}x<td>c</table>").split("\n")[0] == "a | b"
