@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -12,31 +11,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.sources.store import shared_folder
+
 #: Rows of (id, few numbers) that may be broadcast once their count has been measured.
 BROADCAST_ROWS = 200_000
 
 
-#: The folder of each application that has no shared one.
-_OWN: dict[str, str] = {}
-
-
 class Scratch:
     """Tables written to the folder that driver and executors share (``spark.checkpoint.dir``).
 
     Writing a table and reading it again cuts the lineage without relying on any executor's disk.
-    Where the setting is absent a folder of this machine is made once, but only for a local master: on a
-    cluster the executors would write to disks of their own.
+    See ``store.shared_folder`` for sessions without that setting.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        conf = spark.sparkContext.getConf()
-        root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            app = spark.sparkContext.applicationId
-            root = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelwright-"))
+        root = shared_folder(spark)
         self.root = f"{root.rstrip('/')}/panelwright-{uuid.uuid4().hex}"
         self._delete_on_exit(self.root)
 

@@ -22,8 +22,9 @@ largest or smallest long.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; only vectors
 of equal length are compared; a query with fewer than k candidates gets them all; rows with the query's own
-vec_id are not its candidates; repeated rows count once; null ids take no part. A component whose multiple
-by the scale is not finite takes its vector out like a non-finite one.
+vec_id are not its candidates; of rows with one vec_id those with equal scores count once, so repeated rows do;
+null ids take no part. A component whose multiple by the scale is not finite takes its vector out like a
+non-finite one.
 """
 
 from __future__ import annotations
@@ -246,11 +247,11 @@ def _search(k: int, scale: int):
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products of each row of ``rows(vec_id, embedding)`` that meets ``queries``."""
+    """(query_id, rank, vec_id, score): the k largest inner products of each row of ``rows(vec_id, embedding)`` that meets ``queries``, which may use any column."""
     scratch = Scratch(rows.sparkSession)
-    ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks"))
     finite = F.forall(F.col("embedding"), lambda x: F.abs(x.cast("double") * scale) < float("inf"))
-    vectors = packed(ids.where("vec_id is not null").where(finite), ("vec_id",)).select("vec_id", "dim", "vec", queries.alias("asks"))
+    vectors = packed(ids.where("vec_id is not null").where(finite), ("vec_id", "asks")).select("vec_id", "dim", "vec", "asks")
     vectors = scratch.save(vectors, "vectors")
     sizes = scratch.save(vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("blocks")), "sizes")
     dealt = join_measured(vectors, sizes, "dim", "inner", sizes.count())
@@ -271,7 +272,7 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)) as v from embeddings
   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  select distinct q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id and q.vec_id % {every} = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select * from r where rank <= {k}

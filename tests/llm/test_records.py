@@ -423,6 +423,22 @@ def test_top_k_counts_repeated_rows_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_agrees_with_its_sql_on_repeated_rows(spark):
+    import duckdb
+
+    r = np.random.default_rng(12)
+    rows = [(int(i), r.integers(-3, 4, 4).astype(float).tolist(), "ask" if i % 20 == 0 else None) for i in r.integers(0, 60, 200)]
+    rows += rows[:50]
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [(i, [x / 64 for x in v]) for i, v, _ in rows])
+    want = sorted(map(tuple, con.sql(segments.oracle()).fetchall()))
+    df = spark.createDataFrame([(i, [x / 64 for x in v], t) for i, v, t in rows], "vec_id long, embedding array<double>, kind string")
+    names = ["query_id", "rank", "vec_id", "score"]
+    got = sorted(tuple(x[c] for c in names) for x in segments.top_k(df, F.col("kind") == "ask").collect())  # a condition on another column
+    assert got == [tuple(w) for w in want] and len(got) > 40
+
+
 def test_top_k_of_large_components():
     """Scores within and beyond longs and doubles, in blocks whose other pairs are small."""
     r = np.random.default_rng(4)
