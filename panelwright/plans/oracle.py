@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CRITERIA = ("ilfo_value", "vol_surge", "momentum_rsi", "osc_momentum", "osc_accel", "volume_score", "normalized_liq")
 LONG_SIGNALS, SHORT_SIGNALS = ("Extreme Long", "Long", "Divergence Long"), ("Extreme Short", "Short", "Divergence Short")
 BUCKETS = (*LONG_SIGNALS, *SHORT_SIGNALS, "Neutral", "Error")
@@ -35,6 +37,8 @@ INDICES = """(values ('NIFTY 50', 'ind_nifty50list.csv'), ('NIFTY NEXT 50', 'ind
   ('NIFTY AUTO', 'ind_niftyautolist.csv'), ('NIFTY FIN SERVICE', 'ind_niftyfinancelist.csv'), ('NIFTY FMCG', 'ind_niftyfmcglist.csv'),
   ('NIFTY IT', 'ind_niftyitlist.csv'), ('NIFTY MEDIA', 'ind_niftymedialist.csv'), ('NIFTY METAL', 'ind_niftymetallist.csv'),
   ('NIFTY PHARMA', 'ind_niftypharmalist.csv')) t(index_name, path)"""
+INDEX_NAMES = str(re.findall(r"\('([^']+)', 'ind", INDICES))
+# The cells' classes.
 SIGNAL_CLASS = """case signal when 'Extreme Long' then 'signal-extreme-long' when 'Long' then 'signal-long' when 'Divergence Long' then 'signal-div-long'
   when 'Extreme Short' then 'signal-extreme-short' when 'Short' then 'signal-short' when 'Divergence Short' then 'signal-div-short'
   when 'Neutral' then 'signal-neutral' else 'signal-error' end"""

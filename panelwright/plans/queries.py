@@ -125,9 +125,12 @@ def universe_symbols(spark, sf_dir):
     return universes.require(all_tickers(spark, sf_dir))
 
 
-@query(f"select * from {oracle.INDICES}")
+@query(f"select index_name, path, count(s_suppkey) as n from {oracle.INDICES} left join supplier on index_name = ({oracle.INDEX_NAMES})[s_suppkey % 16 + 1] and trim(s_name) <> '' group by all")
 def index_catalog(spark, sf_dir):
-    return universes.catalog(spark)
+    """All indices with the number of their constituents, the suppliers dealt to them in turn."""
+    names = F.array(*[F.lit(n) for n in universes.INDEX_FILES])
+    dealt = read(spark, sf_dir, "supplier").where("trim(s_name) <> ''").groupBy(F.get(names, (F.col("s_suppkey") % 16).cast("int")).alias("index_name")).agg(F.count(F.lit(1)).alias("n"))
+    return universes.catalog(spark).join(dealt, "index_name", "left").select("index_name", "path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""select case s_nationkey % 3 when 0 then 'NIFTY 50' when 1 then 'NIFTY BANK' else 'NIFTY IT' end as index_name, trim(s_name) || '.NS' as ticker
