@@ -14,7 +14,9 @@ threshold survives, so ties go to the smaller id.
 
 Queries and candidates meet in a grid: candidates are dealt by a hash of their id to shards of about
 SHARD rows, queries to blocks of about QUERIES rows; a block and a shard meet in one task that holds
-the block and streams the shard. Each task returns k rows per query, and the best of these are ranked.
+the block and streams the shard. A query meets one shard first, and the others with the threshold that it has
+from there, so that each of them profits from what is known. Each task returns at most k rows per query, and
+the best of these are ranked.
 
 Exactness: sums whose parts may pass 2**52 are taken over 64-bit integers, and those that may pass 2**62
 over Python's integers, without bounds. A score beyond a long is ranked by its exact value and given as the
@@ -30,6 +32,7 @@ non-finite one.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +72,8 @@ def sortable(x: int) -> bytes:
 class TopK:
     """The k best (score, id) of each query of a block. ``pairs`` and ``scored`` count what met and what was scored."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floors: dict[int, int] | None = None):
+        """``floors`` has for some query rows the k-th best score among other candidates: lower ones needn't be found."""
         self.ids, self.x, self.k = ids, x, k
         with np.errstate(over="ignore", invalid="ignore"):
             self.levels = [segment_features(x, n) for n in LEVELS]
@@ -79,6 +83,8 @@ class TopK:
         self.sizes = np.abs(x).max(axis=1, initial=0)
         self.wide: dict[int, set[tuple[int, int]]] = {}  # query row -> (-score, id) of sums over Python's integers
         self.pairs = self.scored = 0
+        for q, score in (floors or {}).items():
+            self._raise(q, score)
 
     def offer(self, ids: np.ndarray, y: np.ndarray) -> None:
         sizes = np.abs(y).max(axis=1, initial=0)
@@ -210,12 +216,13 @@ class TopK:
 
 def _search(k: int, scale: int):
     def run(batches):
-        current, block, ids, vecs, held, pending = None, None, [], [], [], 0
+        current, block, ids, vecs, known, held, pending = None, None, [], [], [], [], 0
 
         def flush():
             nonlocal held, pending, block
             if block is None and ids:
-                block = TopK(np.concatenate(ids), np.concatenate(vecs), k)
+                floors = {q: int(f) for q, f in enumerate(f for part in known for f in part) if not pd.isna(f)}
+                block = TopK(np.concatenate(ids), np.concatenate(vecs), k, floors)
             if held and block is not None:
                 i, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 for at in range(0, len(i), _BATCH):
@@ -230,12 +237,13 @@ def _search(k: int, scale: int):
         for key, part in runs(batches, ["dim", "block", "shard"]):
             if key != current:
                 yield from results()
-                current, block, ids, vecs = key, None, [], []
+                current, block, ids, vecs, known = key, None, [], [], []
             asks = part["candidate"].to_numpy() == 0
             x, i = quantised(list(part["vec"]), scale), part["vec_id"].to_numpy()
             if asks.any():
                 ids.append(i[asks])
                 vecs.append(x[asks])
+                known.append(part["floor"][asks].tolist())
             if not asks.all():
                 held.append((i[~asks], x[~asks]))
                 pending += int((~asks).sum())
@@ -255,15 +263,25 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, scale: int = SCALE) -> D
     vectors = scratch.save(vectors, "vectors")
     sizes = scratch.save(vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("blocks")), "sizes")
     dealt = join_measured(vectors, sizes, "dim", "inner", sizes.count())
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.hash("vec_id"), n)
-    asked = dealt.where("asks").select("vec_id", "dim", "vec", own("blocks").alias("block"), each("shards").alias("shard"), F.lit(0).alias("candidate"))
-    offered = dealt.where("blocks > 0").select("vec_id", "dim", "vec", each("blocks").alias("block"), own("shards").alias("shard"), F.lit(1).alias("candidate"))
     keys = ["dim", "block", "shard"]
-    grid = asked.select("vec_id", "vec", *keys, "candidate").union(offered.select("vec_id", "vec", *keys, "candidate"))
-    met = grid.repartition(*keys).sortWithinPartitions(*keys, "candidate").mapInPandas(_search(k, scale), "query_id long, vec_id long, score long, exact binary")
+    asked = dealt.where("asks").select("vec_id", "dim", "vec", own("blocks").alias("block"), own("shards").alias("home"), each("shards").alias("shards"))
+    offered = dealt.where("blocks > 0").select("vec_id", "dim", "vec", F.explode(each("blocks")).alias("block"), own("shards").alias("shard"), F.lit(None).cast("long").alias("floor"), F.lit(1).alias("candidate"))
+
+    def met(queries_: DataFrame) -> DataFrame:
+        grid = queries_.select("vec_id", "dim", "vec", "block", "shard", F.col("floor").cast("long").alias("floor"), F.lit(0).alias("candidate")).union(offered)
+        sorted_ = grid.repartition(*keys).sortWithinPartitions(*keys, "candidate")
+        return sorted_.mapInPandas(_search(k, scale), "query_id long, vec_id long, score long, exact binary")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("exact"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = scratch.save(met(asked.withColumns({"shard": F.col("home"), "floor": F.lit(None)})), "near")
+    # a score that no long holds is no threshold
+    floors = ranked(near).where((F.col("rank") == k) & F.col("exact").isNull()).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = F.explode(F.filter("shards", lambda x: x != F.col("home"))).alias("shard")
+    rest = asked.join(floors, "vec_id", "left").select("vec_id", "dim", "vec", "block", others, "floor")
+    return ranked(near.union(met(rest))).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(k: int = K, scale: int = SCALE, every: int = 20) -> str:

@@ -423,6 +423,34 @@ def test_top_k_counts_repeated_rows_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_shards_profit_from_the_first_ones_thresholds():
+    """Of isotropic vectors, four shards with the first one's thresholds score hardly more than one stream, less than on their own."""
+    r = np.random.default_rng(4)
+    x = np.floor(64 * r.standard_normal((16_384, 64)) / 8)
+    ids, q = np.arange(len(x)), np.arange(64)
+    one = segments.TopK(ids[q], x[q], 20)
+    for at in range(0, len(x), 4096):
+        one.offer(ids[at : at + 4096], x[at : at + 4096])
+    parts, floors = [], None
+    for shard in range(4):
+        t = segments.TopK(ids[q], x[q], 20, floors)
+        t.offer(ids[shard::4], x[shard::4])
+        parts.append(t)
+        if floors is None:
+            floors = {k: int(np.sort(t.top[t.top[:, 0] == k, 1])[-20]) for k in range(len(q))}
+    share = lambda ts: sum(t.scored for t in ts) / sum(t.pairs for t in ts)
+    assert share(parts) <= 1.05 * share([one])
+    alone = [segments.TopK(ids[q], x[q], 20) for _ in range(4)]
+    for shard, t in enumerate(alone):
+        t.offer(ids[shard::4], x[shard::4])
+    assert share(parts) < 0.95 * share(alone), (share(parts), share(alone))
+    found = np.concatenate([t.top for t in parts])
+    for k in range(len(q)):
+        mine = found[found[:, 0] == k]
+        mine = mine[np.lexsort((mine[:, 2], -mine[:, 1]))][:20]
+        assert mine.tolist() == one.top[one.top[:, 0] == k].tolist()
+
+
 def test_top_k_agrees_with_its_sql_on_repeated_rows(spark):
     import duckdb
 
