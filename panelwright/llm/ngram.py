@@ -15,9 +15,10 @@ Level n holds the n-grams. Their parents are the nodes of level n - 1 (of level
 Elias-Fano pointers lead from parents to successors, whose word ids are raised by the last value of the
 parent before, so that the whole sequence is monotone and Elias-Fano coded, with 16-bit quantised log
 probabilities of successors and log backoff weights of parents. An n-gram is found by a successor search for
-its word relative to its parent's base. A level is cut into shards by ranges of parents, at least one for
-SHARD tokens, so a frequent first word is spread over many. Shards are files in the shared folder that tasks
-map into memory.
+its word relative to its parent's base. A level is cut into shards by equal ranges of parents, at least one for
+SHARD tokens. From level 3 on a frequent word's continuations have many parents and lie in many shards; at
+level 2 all different successors of one word lie in one. Shards are files in the shared folder that tasks map
+into memory.
 
 A level is counted by walking the levels above: each token's context node and its probability so far, which
 the next order discounts into, are at hand. Counting merges sorted arrays within each task, sends each
