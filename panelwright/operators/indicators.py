@@ -49,7 +49,7 @@ def body_conviction(rows: DataFrame) -> DataFrame:
 
 def volume_surge(rows: DataFrame) -> DataFrame:
     sd = floor_eps(or_else(F.col("v_sd"), F.col("v_sd_all")))
-    rows = rows.withColumn("volume_z", bounded(zero_if_odd((F.col("volume") - F.col("volume_mean")) / sd), -5, 5))
+    rows = rows.withColumn("volume_z", bounded(zero_if_odd(F.try_divide(F.col("volume") - F.col("volume_mean"), sd)), -5, 5))
     rows = rows.withColumn("vol_surge", bounded(F.col("volume_z") * 20 + 50, 0, 100))
     return rows.withColumn("volume_direction", F.when(F.col("close") > F.col("open"), F.col("vol_surge")).otherwise(-F.col("vol_surge")))
 
@@ -59,10 +59,10 @@ def flows(rows: DataFrame) -> DataFrame:
     money = zero_if_odd((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))
     rows = rows.withColumn("money_flow", money)
     up, down = true(F.col("close") > F.col("prev_close")), true(F.col("close") < F.col("prev_close"))
-    speed = (F.col("close") - F.col("prev_close")) / clip(F.col("prev_close"), lo=EPSILON) * 10000
+    speed = F.try_divide(F.col("close") - F.col("prev_close"), clip(F.col("prev_close"), lo=EPSILON)) * 10000
     return rows.withColumns({
-        "spread_flow": F.col("spread") * F.col("volume") / F.col("volume_mean"),
-        "impact_flow": (F.col("close") - F.col("old_close")) * F.col("volume") / F.col("volume_mean"),
+        "spread_flow": F.try_divide(F.col("spread") * F.col("volume"), F.col("volume_mean")),
+        "impact_flow": F.try_divide((F.col("close") - F.col("old_close")) * F.col("volume"), F.col("volume_mean")),
         "up_flow": F.when(up, F.col("money_flow")).otherwise(0.0),
         "down_flow": F.when(down, F.col("money_flow")).otherwise(0.0),
         "velocity": bounded(zero_if_odd(speed), -1000, 1000),
@@ -79,7 +79,7 @@ def liquidity_and_flow(rows: DataFrame, w: Frame = FRAME) -> DataFrame:
         "velocity_diff": w.diff("velocity"),
     })
     rows = rows.withColumn("liquidity", zero_if_odd(F.col("vwap_spread") - F.col("price_impact")))
-    balance = (F.col("positive_flow") - F.col("negative_flow")) / (F.col("positive_flow") + F.col("negative_flow") + EPSILON)
+    balance = F.try_divide(F.col("positive_flow") - F.col("negative_flow"), F.col("positive_flow") + F.col("negative_flow") + EPSILON)
     rows = rows.withColumn("accumulation", bounded(zero_if_odd(balance), -1, 1))
     rows = rows.withColumn("volume_score", zero_if_odd(F.col("volume_direction") / 100 * 0.5 + F.col("accumulation") * 0.5))
     return rows.withColumns({"gain": F.greatest("velocity_diff", F.lit(0.0)), "loss": F.greatest(-F.col("velocity_diff"), F.lit(0.0))}).withColumns({
@@ -94,7 +94,7 @@ def normalised(rows: DataFrame, w: Frame = FRAME, adjust: bool = True, span: int
     rows = w.wilder_rsi(rows, "gain", "loss", "row", MICRO, adjust, span)
     sd = floor_eps(or_else(F.col("l_sd"), 1), zero_as=1.0)
     return rows.withColumns({
-        "normalized_liq": bounded(zero_if_odd((F.col("liquidity") - or_else(F.col("l_sma"), 0)) / sd), -10, 10),
+        "normalized_liq": bounded(zero_if_odd(F.try_divide(F.col("liquidity") - or_else(F.col("l_sma"), 0), sd)), -10, 10),
         "momentum_rsi": bounded(or_else(F.col("rsi"), 50), 0, 100),
     })
 
@@ -147,7 +147,7 @@ def masks(rows: DataFrame) -> DataFrame:
 
 def percent_change(rows: DataFrame) -> DataFrame:
     ok = F.col("prev_close") > 0
-    return rows.withColumn("pct_change", F.when(ok, (F.col("close") / F.col("prev_close") - 1) * 100))
+    return rows.withColumn("pct_change", F.when(ok, (F.try_divide("close", "prev_close") - 1) * 100))
 
 
 #: The layers in order, each named after what it completes.

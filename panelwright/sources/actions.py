@@ -33,11 +33,11 @@ def adjusted(bars: DataFrame, actions: DataFrame, until=None) -> DataFrame:
     # the actions of a date come before its bar
     before = Window.partitionBy("ticker").orderBy("bar_date", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__held", F.last("close", ignorenulls=True).over(before))
-    cash = F.when(F.col("__paid") < F.col("__held"), 1 - F.col("__paid") / F.col("__held"))
+    cash = F.when(F.col("__paid") < F.col("__held"), 1 - F.try_divide("__paid", "__held"))
     both = both.withColumns({"__ratio": F.coalesce("__ratio", F.lit(1.0)), "__cash": F.coalesce(cash, F.lit(1.0))})
     later = Window.partitionBy("ticker").orderBy(F.desc("bar_date"), F.desc("__kind"), "__ratio", "__cash").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({"__shares": F.product("__ratio").over(later), "__price": F.product("__cash").over(later)})
     dated = F.col("bar_date").isNotNull()
-    factor = F.when(dated, F.col("__price") / F.col("__shares")).otherwise(1.0)
+    factor = F.when(dated, F.try_divide("__price", "__shares")).otherwise(1.0)
     changed = {**{p: F.col(p) * factor for p in PRICES}, "volume": F.col("volume") * F.when(dated, F.col("__shares")).otherwise(1.0)}
     return both.where("__kind = 1").withColumns(changed).select(*bars.columns)

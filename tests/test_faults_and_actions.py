@@ -45,6 +45,19 @@ def test_a_fault_counts_where_its_range_holds_it(spark):
         assert out.groupBy("as_of", "ticker", "bar_date").count().where("count > 1").count() == 0
 
 
+def test_extreme_numbers_end_no_run(spark):
+    rows = some_bars("A", 80)
+    want = analysis.signals(spark.createDataFrame(rows, BARS), DAY).collect()
+    nan, inf, big = float("nan"), float("inf"), 1e308
+    odd = [("huge", (big, big, big, big, big)), ("nothing", (0.0,) * 5), ("below", (-1.0, -1.0, -1.0, -1.0, 1e-10)), ("nan", (nan,) * 5), ("inf", (inf, inf, -inf, inf, inf)), ("mixed", (1.0, -big, big, 1e-308, -5.0))]
+    more = [(t, DAY - dt.timedelta(days=i), *(x if i % 3 else abs(x) for x in v)) for t, v in odd for i in range(80)]
+    got = {r.ticker: r for r in analysis.signals(spark.createDataFrame(rows + more, BARS), DAY).collect()}
+    assert got["A"] == want[0]
+    assert all(got[t].signal in ("Invalid Data", "Error (Calc)", "No Data", "Neutral", "Insufficient Data") for t in got if t != "A"), got
+    zero = spark.createDataFrame([("A", DAY - dt.timedelta(days=i), 1e-300, None) for i in range(4)], ACTIONS)
+    assert adjusted(spark.createDataFrame(rows, BARS), zero).count() == 80
+
+
 def test_text_dates_and_numbers_that_cannot_be_read(spark):
     rows = [(t, str(d), *map(str, v)) for t, d, *v in some_bars("ABCD")]
     rows[3] = ("A", "2001-02-31", *rows[3][2:])
