@@ -11,16 +11,17 @@ probability 5e-6.
 
 Pairs within a group of copies are never all listed:
 
-1. documents with equal sets are one representative (the smallest id) and links to it. Full sets are
-   compared, by the SHA-256 of all their sorted hashes, which a confirmation compares one by one;
+1. documents with equal sets are one representative (the smallest id) and links to it. Equal sets are told by
+   the SHA-256 of all their sorted hashes, a digest; all other links are confirmed on the sets themselves;
 2. in each band bucket every document is paired with the bucket's smallest id only, confirmed, and the
    links give first components;
 3. of a bucket only documents of different components still have to be compared. Its largest component
    stands on one side: its documents are compared with the others only, and the others with each other
-   (of a bucket of up to BLOCK documents all are compared at once). Both sides are cut into blocks of BLOCK documents; each pair of blocks is compared by bit counts in one
-   task, and only pairs of different components that the estimate lets through are confirmed. So no link
-   between components is missed, however large the bucket, and one stranger in a bucket of copies costs
-   one comparison a copy.
+   (of a bucket of up to BLOCK documents all are compared at once). Both sides are cut into blocks of BLOCK
+   documents; each pair of blocks is compared by bit counts in one task, and only pairs of different components
+   that the estimate lets through are confirmed. A document meets its signature once, and goes to its blocks
+   from there. So no link between components is missed, however large the bucket, and one stranger in a
+   bucket of copies costs one comparison a copy.
 
 Texts travel only for documents in candidate pairs; their ids are sent to the scan where their measured
 number allows it. A leader's partners are spread over slots of SLOT.
@@ -232,8 +233,11 @@ def _cross(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     with_others = F.transform(every("others"), lambda o: trip(0, F.least(own, o), F.greatest(own, o)))
     with_big = F.transform(every("bigs"), lambda o: trip(1, own, o))
     of_big = F.transform(every("others"), lambda o: trip(1, o, own))
-    rows = rows.select("key", "doc_id", "comp", "side", "block", F.explode(F.when(F.col("small"), F.array(trip(2, F.lit(0), F.lit(0)))).when(F.col("side") == 1, of_big).otherwise(F.concat(with_others, with_big))).alias("t"))
-    rows = rows.select("key", "doc_id", "comp", "side", "block", "t.kind", "t.i", "t.j").join(reps, "doc_id")
+    trips = F.when(F.col("small"), F.array(trip(2, F.lit(0), F.lit(0)))).when(F.col("side") == 1, of_big).otherwise(F.concat(with_others, with_big))
+    # a document meets its signature once, with all of its buckets (at most one a band), and goes to their tiles from there
+    own_buckets = rows.select("doc_id", F.struct("key", "comp", "side", "block", trips.alias("trips")).alias("b")).groupBy("doc_id").agg(F.collect_list("b").alias("b"))
+    rows = own_buckets.join(reps, "doc_id").select("doc_id", "sig", "bands", F.explode("b").alias("b")).select("doc_id", "sig", "bands", "b.key", "b.comp", "b.side", "b.block", F.explode("b.trips").alias("t"))
+    rows = rows.select("key", "doc_id", "comp", "side", "block", "t.kind", "t.i", "t.j", "sig", "bands")
     kind = dict(rows.dtypes)["doc_id"]
     tile = ["key", "kind", "i", "j"]
     return rows.repartition(*tile).sortWithinPartitions(*tile).mapInPandas(_bucket_pairs, f"u {kind}, v {kind}").distinct()
