@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright import params
+from panelwright.functions import scalar
 from panelwright.operators import align, display, indicators, report, scoring
 from panelwright.operators import signals as sig
-from panelwright.plans import analysis
+from panelwright.plans import analysis, oracle, queries
 from panelwright.schema import BARS, CRITERIA
 
 DAY = dt.date(2001, 6, 30)
@@ -261,3 +262,27 @@ def test_notes(spark):
     assert said == {"Long": (2, None), "Short": (2, None), "Errors": (7, "⚠️ 7 stocks encountered errors during analysis.")}
     none = {r.tab: r.note for r in report.notes(results(spark).limit(0)).collect()}
     assert none == report.NOTES
+
+
+def test_printed_decimals_and_their_sql(spark, duck):
+    values = [(16.25, 1), (16.249999999999996, 1), (-16.25, 1), (0.125, 2), (-1e-17, 2), (-0.004, 2), (2.0, 2), (1.0049, 2), (None, 2)]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(values)], "i int, v double")
+    found = {d: {r.i: r.t for r in df.select("i", scalar.printed(F.col("v"), d).alias("t")).collect()} for d in (1, 2)}
+    sql = [duck.sql(f"select {oracle.printed(f'({v})::double' if v is not None else 'null::double', d)}").fetchall()[0][0] for v, d in values]
+    mine = [found[d][i] for i, (_, d) in enumerate(values)]
+    assert mine[:-1] == sql[:-1] == ["16.3", "16.3", "-16.3", "0.13", "0.00", "-0.00", "2.00", "1.00"]
+
+
+def test_rounding_errors_of_confidence_rank_nothing(spark):
+    rows = [("b", 1, 50.00000000000001), ("a", 0, 50.0), ("c", 2, 50.00001)]
+    df = spark.createDataFrame([(t, i, "Long", c) for t, i, c in rows], "ticker string, seq long, signal string, confidence double")
+    for keys in ((), ("signal",)):
+        assert [r.ticker for r in report.positions(df, "seq", *keys).orderBy("pos").collect()] == ["c", "a", "b"]
+    assert [r.ticker for r in report.ordered(df).collect()] == ["c", "a", "b"]
+
+
+def test_adjusted_bars_equal_their_sql_to_the_last_bit(spark, sf, duck):
+    mine = queries.adjusted(queries.all_bars(spark, sf), queries.derived_actions(spark, sf))
+    mine = {(r.ticker, str(r.bar_date)): (r.open, r.close, r.volume) for r in mine.collect()}
+    sql = duck.sql(f"with {oracle.ADJUSTED_BARS} select ticker, bar_date, open, close, volume from bars").fetchall()
+    assert {(t, str(d)): tuple(v) for t, d, *v in sql} == mine
