@@ -286,3 +286,15 @@ def test_adjusted_bars_equal_their_sql_to_the_last_bit(spark, sf, duck):
     mine = {(r.ticker, str(r.bar_date)): (r.open, r.close, r.volume) for r in mine.collect()}
     sql = duck.sql(f"with {oracle.ADJUSTED_BARS} select ticker, bar_date, open, close, volume from bars").fetchall()
     assert {(t, str(d)): tuple(v) for t, d, *v in sql} == mine
+
+
+def test_last_rows_need_few_rows(spark):
+    """The last rows of all layers over all rows, and those of the layers over what they depend on, are the same to the last bit."""
+    gone = [(None, None, None, None, None) if i % 7 == 3 else x for i, x in enumerate(walk(200, 9))]
+    up = [(100 + i, 101 + i, 99 + i, 100.5 + i, 10 + i % 3) for i in range(120)]
+    df = bars(spark, A=walk(251), B=walk(90, 2), C=walk(45, 3), D=walk(30, 4), E=gone, F=up, G=[FLAT] * 60, **{f"W{i}": walk(100 + 3 * i, 20 + i) for i in range(12)})
+    rows = analysis.panel(df, ("2001-05-01", "2001-06-30"), "own").cache()
+    few = indicators.last_computed(rows)
+    assert few.count() < rows.count() / 5
+    old, new = (sorted(map(tuple, sig.classified(sig.last_rows(x)).collect()), key=repr) for x in (indicators.computed(rows), few))
+    assert len(old) > 30 and old == new
