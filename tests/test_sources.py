@@ -171,3 +171,27 @@ def test_log_lines(spark, caplog):
             1 / 0  # noqa: B018
     text = caplog.text
     assert "count: started" in text and "tasks" in text and "count: done" in text and "broken: failed" in text
+
+
+def test_a_task_is_dealt_a_bounded_number_of_trades_and_bars(spark, sf, monkeypatch):
+    """However small a shuffle is, adaptive execution gathers no more rows in a task than those asked for."""
+    from pyspark.sql import functions as F
+
+    from panelwright.plans import queries as q
+    from panelwright.sources import bars as bar_sources
+
+    def tasks(df, *keys):
+        return df.select(F.spark_partition_id().alias("p"), *keys).distinct().groupBy("p").count().count()
+
+    # 10 suppliers with 6,000 trades
+    monkeypatch.setattr(bar_sources, "TRADES", 200)
+    monkeypatch.setattr(bar_sources, "DEALT", 200)
+    trades = q.read(spark, sf, "lineitem")
+    parts = bar_sources.tasks(trades, bar_sources.TRADES)
+    assert parts == -(-trades.count() // 200) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bar_sources.tasks(trades, 10**9) == spark.sparkContext.defaultParallelism
+    for df in (q.derived_bars(spark, sf), q.panel(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # nothing is dealt once more by a shuffle whose tasks adaptive execution chooses
+        assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM"), plan
+        assert tasks(df, "ticker") > int(spark.conf.get("spark.sql.shuffle.partitions"))
