@@ -28,24 +28,26 @@ def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (byte + _SELECT[(words >> byte & _U(0xFF)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
 
 
-def _next_bit(words: np.ndarray, place: np.ndarray, flip: bool) -> np.ndarray:
-    """The next set (with ``flip``: unset) bit after each place; 64 times the number of words if there is none."""
+def _next_bit(words: np.ndarray, counts: np.ndarray, place: np.ndarray, flip: bool) -> np.ndarray:
+    """The next set (with ``flip``: unset) bit after each place; 64 times the number of words if there is none.
+
+    ``counts``: how many such bits precede each word. A run without any, such as the pointers past a parent of many
+    successors, is passed by one search in it, however long it is.
+    """
     at = place + 1
     word = at >> 6
     inside = word < len(words)
     rest = words[np.minimum(word, len(words) - 1)]
     rest = (~rest if flip else rest) & (~_U(0) << (at & 63).astype(np.uint64))
     out = np.where(inside, 64 * word + np.bitwise_count((rest & (~rest + _U(1))) - _U(1)), 64 * len(words))
-    live = np.flatnonzero((rest == 0) & inside)  # most have one in the same word
-    while len(live):
-        word[live] += 1
-        out[live] = 64 * len(words)
-        live = live[word[live] < len(words)]
-        rest = ~words[word[live]] if flip else words[word[live]]
-        hit = rest != 0
-        bits = rest[hit]
-        out[live[hit]] = 64 * word[live[hit]] + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
-        live = live[~hit]
+    far = np.flatnonzero((rest == 0) & inside)  # most have one in the same word
+    if len(far):
+        word = np.searchsorted(counts, counts[word[far] + 1], side="right") - 1
+        hit = word < len(words)
+        out[far[~hit]] = 64 * len(words)
+        far, word = far[hit], word[hit]
+        bits = ~words[word] if flip else words[word]
+        out[far] = 64 * word + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
     return out
 
 
@@ -125,7 +127,7 @@ class EliasFano:
         if not len(i):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         place = self._select1(i)
-        after = _next_bit(self.high, place, False)
+        after = _next_bit(self.high, self.ones, place, False)
         bits = _U(self.low_bits)
         return ((place - i).astype(np.uint64) << bits) | self._lows(i), ((after - i - 1).astype(np.uint64) << bits) | self._lows(i + 1)
 
@@ -137,7 +139,7 @@ class EliasFano:
         h = np.minimum(h, most)
         # values with high part h lie between the h-th and the (h+1)-th zero
         zero = np.where(h > 0, self._select0(np.maximum(h - 1, 0)), -1)
-        end = _next_bit(self.high, zero, True) - h
+        end = _next_bit(self.high, self.zeros, zero, True) - h
         return np.minimum(zero + 1 - h, self.n), np.minimum(end, self.n), beyond
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -240,11 +240,11 @@ class Words:
 # ---------------------------------------------------------------- levels from 2 on
 
 
-def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts pairs of uint64, places of the first of each distinct pair)."""
+def ordered(a: np.ndarray, b: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts pairs of uint64, places of the first of each distinct pair); ``kind`` 'stable' merges sorted runs."""
     bits = int(b.max(initial=0)).bit_length()
     # one sort of packed pairs wherever they fit 64 bits
-    order = np.argsort(a << np.uint64(bits) | b) if int(a.max(initial=0)).bit_length() + bits <= 64 else np.lexsort((b, a))
+    order = np.argsort(a << np.uint64(bits) | b, kind=kind) if int(a.max(initial=0)).bit_length() + bits <= 64 else np.lexsort((b, a))
     x, y = a[order], b[order]
     first = np.ones(len(a), bool)
     first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -259,7 +259,7 @@ class Grams:
         self._size = self._whole = 0
 
     def add(self, parent: np.ndarray, word: np.ndarray, low: np.ndarray, counts: np.ndarray | None = None) -> None:
-        order, first = ordered(parent, word)
+        order, first = ordered(parent, word, None if counts is None else "stable")
         n = np.diff(first, append=len(order)) if counts is None else np.add.reduceat(counts[order], first) if len(first) else counts
         keep = order[first]
         self._parts.append((parent[keep], word[keep], low[keep], n))

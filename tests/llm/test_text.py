@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,42 @@ def test_a_token_probability_is_a_distribution(spark):
     assert abs(total - 1) < 2e-3 and all(v < 0 for v in whole.values())
 
 
+def test_elias_fano_passes_long_gaps_in_a_few_steps():
+    """Sequences with long runs of zeros (a parent of many successors) and of ones; steps don't grow with a run."""
+    n, steps = 200_000, 0
+    values = np.concatenate([np.zeros(n), np.full(n, 3 * n), np.arange(5) * n + 4 * n]).astype(np.uint64)
+    coded = EliasFano.build(values)
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        at = np.array([0, n - 2, n - 1, n, 2 * n - 1, 2 * n, len(values) - 2])
+        x, y = coded.get_pairs(at)
+        found = coded.find(np.array([0, 1, 3 * n, 3 * n + 1, 4 * n, 8 * n, 9 * n], np.uint64))
+    finally:
+        sys.settrace(before)
+    assert (x == values[at]).all() and (y == values[at + 1]).all()
+    assert found.tolist() == [0, -1, n, -1, 2 * n, len(values) - 1, -1]
+    assert steps < 1500
+
+
+def test_merged_counts_of_sorted_parts_are_those_of_all():
+    r = np.random.default_rng(5)
+    held, want = ngram.Grams(), Counter()
+    for _ in range(6):
+        a, b = r.integers(0, 40, 300, np.uint64), r.integers(0, 40, 300, np.uint64)
+        want.update(zip(a.tolist(), b.tolist(), strict=True))
+        held.add(a, b, (a * np.uint64(40) + b).astype(np.uint16))
+    a, b, low, n = held.merge()
+    assert list(zip(a.tolist(), b.tolist(), n.tolist(), strict=True)) == [(*k, c) for k, c in sorted(want.items())]
+    assert (low == a * 40 + b).all()
+
+
 def test_grams_sort_alike_packed_or_not():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 50, 500, np.uint64), r.integers(0, 50, 500, np.uint64)
