@@ -298,3 +298,22 @@ def test_last_rows_need_few_rows(spark):
     assert few.count() < rows.count() / 5
     old, new = (sorted(map(tuple, sig.classified(sig.last_rows(x)).collect()), key=repr) for x in (indicators.computed(rows), few))
     assert len(old) > 30 and old == new
+
+
+def test_whole_ranges_pass_three_layers_of_windows(spark):
+    """A layer copies each row: only three see whole ranges, the others the rows that are kept."""
+    rows = analysis.flow_model(analysis.panel(bars(spark, A=walk(60)), ("2001-05-01", "2001-06-30")))
+    nodes = [line.strip(" :+-") for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    first_cut = max(i for i, n in enumerate(nodes) if n.startswith("Filter") and "__end" in n)
+    spread = next(i for i, n in enumerate(nodes) if n.startswith("Generate"))
+    assert sum(n.startswith("Window ") for n in nodes[first_cut:spread]) == 3
+
+
+def test_filling_and_guarding_in_one_layer_change_nothing(spark):
+    gone = [(None, None, None, None, None) if i % 7 == 3 or i < 4 else x for i, x in enumerate(walk(60, 9))]
+    no_volume = [(o, h, low, c, None) for o, h, low, c, _ in walk(60, 4)]
+    negative = [(o, h, low, -c if i == 30 else c, v) for i, (o, h, low, c, v) in enumerate(walk(60, 5))]
+    df = bars(spark, A=walk(60), B=gone, C=walk(30, 3), D=no_volume, E=negative)
+    laid = align.aligned(df, ("2001-05-01", "2001-06-30"))
+    want, got = (sorted(map(tuple, x.collect()), key=repr) for x in (align.guarded(align.filled(laid)), align.filled_and_guarded(laid)))
+    assert want == got and len({r[-2:] for r in want}) == 3
